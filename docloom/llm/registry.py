@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
+from .bpe import op1_bpe
 from .chat import SQL_OP8, op8_chat_formatting
 from .quality import SQL_OP7, op7_quality_rules
+from .simhash import op3_simhash_dedup
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
 }

@@ -2,14 +2,20 @@
 
 from .bpe import op1_bpe
 from .chat import SQL_OP8, op8_chat_formatting
+from .decontaminate import op2_decontamination
+from .pii import op4_pii
 from .quality import SQL_OP7, op7_quality_rules
 from .simhash import op3_simhash_dedup
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_pii": op4_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {
     "op7_quality_rules": SQL_OP7,

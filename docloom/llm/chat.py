@@ -48,14 +48,13 @@ def branches(nodes: DataFrame, rounds_limit: int = 40) -> DataFrame:
     state = materialize(state)
     parents = state.where("up IS NOT NULL").select("tree", F.col("up").alias("node"), F.lit(False).alias("leaf")).distinct()
     for _ in range(rounds_limit):
-        if state.where("up IS NOT NULL").limit(1).isEmpty():
+        # Nodes whose pointer has passed the root are done and stay out of the join.
+        climbing = state.where("up IS NOT NULL")
+        if climbing.limit(1).isEmpty():
             return state.join(parents, ["tree", "node"], "left").select("tree", "node", "depth", "total", F.coalesce("leaf", F.lit(True)).alias("is_leaf"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        state = materialize(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")
-            )
-        )
+        climbed = climbing.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
+        state = materialize(state.where("up IS NULL").unionByName(climbed))
     raise ValueError("reply pointers form a circle")
 
 

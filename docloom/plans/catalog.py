@@ -1,4 +1,388 @@
-"""All queries of the engine's own operators, by name, with their SQL for DuckDB."""
+"""All queries of the engine's own operators over the test tables, by name, with their SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Inputs are whole tables; where the tables lack the text an operator needs, both sides derive the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.config import EngineConfig
+from docloom.functions import classify, splitters, text
+from docloom.operators import chunking, filters, knowledge, retrieval, sections, state
+from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from docloom.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 5 == 0, "guideline").otherwise("education")
+    return d.select(F.col("doc_id").alias("seg_id"), "text", "source", kind.alias("doc_type"), (F.col("doc_id") % 10 + 2015).cast("int").alias("pub_year"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seg_id"), "embedding")
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = questions(spark, sf_dir).select(F.col("query_id").alias("seg_id"))
+    return vectors(spark, sf_dir).join(ids, "seg_id").withColumnRenamed("seg_id", "query_id")
+
+
+def masking_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    parts = ["call ", F.lpad(key, 11, "1"), " id ", F.lpad(key, 17, "2"), "X on ", F.date_format("o_orderdate", "yyyy-MM-dd"), " at 9:30, mail u", key, "@mail.example.org or ", F.lpad(key, 7, "3"), " times ", key]
+    return o.select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+#: Sentences for orders by key, with one, two or no label, and near misses.
+POLICY = (
+    "Where can I get a refund for the parking fee",
+    "I will sue the clinic in court",
+    "Please give me the doctor phone number",
+    "Can I fake the form to bypass the line",
+    "What are the rules about suing",
+    "Is there a rule on personal info and billing",
+    "When can I shower after the operation",
+    "A regulation says the physician  address is public",
+)
+
+
+def policy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentence = F.get(F.array(*[F.lit(p) for p in POLICY]), (F.col("o_orderkey") % 8).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(sentence, F.lit(" "), F.col("o_orderkey").cast("string")).alias("text"))
+
+
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of one file per source, page numbers by id; every third starts with a heading."""
+    n = F.col("doc_id")
+    number = F.when(n % 7 == 0, F.concat(F.lit("1.2.3.4."), (n % 3).cast("string"))).otherwise(F.concat((n % 5 + 1).cast("string"), F.lit("."), (n % 2).cast("string")))
+    name = F.when(n % 11 == 0, "ab").otherwise("Scope of part")
+    head = F.concat(F.lit("Page 1 of 9\n"), number, F.lit(" "), name, F.lit("\n"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("page_no"), F.when(n % 3 == 0, F.concat(head, F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as review actions: signup opens, click approves (every third without a text), error replaces."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "error", "replace").otherwise("other")
+    final = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("text "), F.col("event_id").cast("string")))
+    draft = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("draft "), F.col("event_id").cast("string")))
+    return e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts", action.alias("action"), draft.alias("draft"), final.alias("final_text"))
+
+
+@query
+def hybrid_retrieve(spark, sf_dir):
+    asked = questions(spark, sf_dir).select("query_id", text.abstract_query(text.deidentify(F.col("text"))).alias("text"))
+    return retrieval.hybrid_retrieve(segments(spark, sf_dir), asked, vectors(spark, sf_dir), question_vectors(spark, sf_dir))
+
+
+@query
+def tfidf_sparse_topk(spark, sf_dir):
+    return retrieval.sparse_topk(segments(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query
+def tfidf_bigram_topk(spark, sf_dir):
+    return retrieval.sparse_topk(segments(spark, sf_dir), questions(spark, sf_dir), ngram_max=2, min_df=2)
+
+
+@query
+def tfidf_vocabulary(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    vocab = retrieval.vocabulary(retrieval.term_counts(s, "seg_id", ngram_max=2), s.agg(F.count(F.lit(1)).alias("n")))
+    return vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    return retrieval.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir))
+
+
+@query
+def minmax_normalize(spark, sf_dir):
+    return retrieval.minmax(retrieval.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir))).select("query_id", "seg_id", "norm")
+
+
+def _channels(spark, sf_dir):
+    return retrieval.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir)), retrieval.sparse_topk(segments(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query
+def weighted_fusion(spark, sf_dir):
+    return retrieval.fuse(*_channels(spark, sf_dir), EngineConfig())
+
+
+@query
+def guideline_boost(spark, sf_dir):
+    return retrieval.boost(retrieval.fuse(*_channels(spark, sf_dir), EngineConfig()), segments(spark, sf_dir), EngineConfig())
+
+
+@query
+def theta_gate(spark, sf_dir):
+    return retrieval.theta_gate(guideline_boost(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query
+def tiered_search_dedupe(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("seg_id"), F.substring("text", 1, 200).alias("text"), F.when(F.col("doc_id") % 4 == 0, "realtime").otherwise("historical").alias("tier"))
+    hits = retrieval.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 24).join(d, "seg_id")
+    return retrieval.tiered_search(hits)
+
+
+@query
+def deidentify_documents(spark, sf_dir):
+    masked = text.deidentify(F.col("text"))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha1(masked).alias("masked_sha1"), F.length(masked).cast("long").alias("n_chars"))
+
+
+@query
+def deidentify_synthetic(spark, sf_dir):
+    return masking_text(spark, sf_dir).select("o_orderkey", text.deidentify(F.col("text")).alias("masked"))
+
+
+@query
+def abstract_query(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.abstract_query(F.col("text")).alias("abstract"))
+
+
+@query
+def trim_words(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", text.trim_to_words(F.col("text"), 25).alias("trimmed"))
+
+
+@query
+def build_prompt(spark, sf_dir):
+    hits = guideline_boost(spark, sf_dir)
+    s = segments(spark, sf_dir)
+    line = text.local_line(F.col("source"), F.col("pub_year"), F.substring("text", 1, 300)).alias("line")
+    lines = hits.join(s, "seg_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line))), lambda x: x["line"]).alias("lines"))
+    rows = questions(spark, sf_dir).join(lines, "query_id", "left")
+    return rows.select("query_id", text.prompt(F.coalesce("lines", F.array().cast("array<string>")), text.deidentify(F.col("text"))).alias("prompt"))
+
+
+@query
+def classify_unsuitable(spark, sf_dir):
+    return policy_text(spark, sf_dir).select("o_orderkey", F.array_join(classify.unsuitable_labels(F.col("text")), ",").alias("labels"))
+
+
+def _marked(spark, sf_dir):
+    """Documents with, by id, words that classifiers look for."""
+    tail = F.get(F.array(*[F.lit(x) for x in ("", " 目录 前言", " Abstract: x", " 第一章 习题", " 小说 Copyright ©", " 摘要 关键词 目录 前言", " 手册 本书 读者", " 药")]), (F.col("doc_id") % 8).cast("int"))
+    return docs_of(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 1500), tail).alias("text"))
+
+
+@query
+def is_academic(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", classify.is_academic(F.col("text")).alias("is_academic"))
+
+
+@query
+def is_book(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", classify.is_book(F.substring("text", 1, 3000)).alias("is_book"), classify.route(F.col("text")).alias("route"))
+
+
+@query
+def book_type(spark, sf_dir):
+    return _marked(spark, sf_dir).select("doc_id", classify.book_type(F.col("text")).alias("book_type"))
+
+
+@query
+def normalize_text(spark, sf_dir):
+    raw = F.concat(F.lit("\r\n\n\n\n"), F.replace("text", F.lit(". "), F.lit(".-\n \n\n\n")), F.lit("well-\nknown é-\nop \n "))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha1(text.normalize(raw)).alias("normal_sha1"), F.length(text.normalize(raw)).cast("long").alias("n_chars"))
+
+
+@query
+def title_doi(spark, sf_dir):
+    page = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nClinical Guideline for part "), F.col("doc_id").cast("string"), F.lit("\ndoi 10.1234/AbC-"), F.col("doc_id").cast("string"), F.lit(" x"))).otherwise(""))
+    return docs_of(spark, sf_dir).select("doc_id", text.title(page).alias("title"), text.doi(page).alias("doi"))
+
+
+@query
+def qc_ratio(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.round(text.nonspace_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query
+def find_headings(spark, sf_dir):
+    return sections.find_headings(doc_pages(spark, sf_dir))
+
+
+@query
+def build_sections(spark, sf_dir):
+    s = sections.build_sections(doc_pages(spark, sf_dir))
+    return s.select("file_name", "section_id", "section_title", "page_start", "page_end", F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("text_sha1"))
+
+
+@query
+def window_chunks(spark, sf_dir):
+    return chunking.explode_chunks(docs_of(spark, sf_dir), chunking.window_chunks(F.col("text")), "doc_id").select("doc_id", "chunk_index", F.sha1("chunk").alias("chunk_sha1"))
+
+
+@query
+def segment_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", "source", F.posexplode(chunking.window_chunks(F.col("text"))).alias("j", "chunk"))
+    return rows.select("doc_id", "j", sections.segment_id(F.col("source"), F.lit("0"), F.col("j"), F.col("chunk")).alias("seg_id"))
+
+
+def _chunked(chunks):
+    def run(spark, sf_dir):
+        return chunking.explode_chunks(docs_of(spark, sf_dir), chunks(F.col("text")), "doc_id").select("doc_id", "chunk_index", F.sha1("chunk").alias("chunk_sha1"), F.length("chunk").cast("long").alias("n_chars"))
+
+    return run
+
+
+#: Lines as paragraphs, as the tables have no blank lines.
+QUERIES["pack_paragraphs"] = _chunked(lambda t: chunking.pack_paragraphs(F.replace(t, F.lit("\n"), F.lit("\n\n"))))
+QUERIES["pack_sentences"] = _chunked(chunking.pack_sentences)
+QUERIES["pack_words"] = _chunked(chunking.pack_words)
+QUERIES["pack_lines"] = _chunked(chunking.pack_lines)
+QUERIES["pack_default"] = _chunked(chunking.pack_default)
+QUERIES["split_references"] = _chunked(lambda t: chunking.split_references(F.regexp_replace(t, r"\. ", ".\n[7] ")))
+QUERIES["split_abstract"] = _chunked(lambda t: chunking.split_abstract(F.regexp_replace(t, "^([A-Z][a-z]*) ", "$1 Abstract: ")))
+QUERIES["split_drug"] = _chunked(lambda t: chunking.split_drug(F.replace(t, F.lit(". "), F.lit("【性状】"))))
+QUERIES["academic_lines"] = _chunked(lambda t: chunking.split_academic_lines(F.regexp_replace(t, r"\. ", ".\nRESULTS\n")))
+QUERIES["recursive_chunks"] = _chunked(splitters.chunks_udf(splitters.recursive_chunks))
+QUERIES["sentence_chunks"] = _chunked(splitters.chunks_udf(splitters.sentence_chunks, size=500, overlap=50))
+QUERIES["length_chunks"] = _chunked(splitters.chunks_udf(splitters.length_chunks, size=500, overlap=50))
+QUERIES["main_content_chunks"] = _chunked(splitters.chunks_udf(splitters.main_content))
+QUERIES["textbook_chunks"] = _chunked(splitters.chunks_udf(splitters.textbook_chunks))
+QUERIES["novel_chunks"] = _chunked(splitters.chunks_udf(splitters.novel_chunks))
+QUERIES["manual_chunks"] = _chunked(splitters.chunks_udf(splitters.manual_chunks))
+QUERIES["reference_chunks"] = _chunked(splitters.chunks_udf(splitters.reference_chunks))
+QUERIES["large_document_chunks"] = _chunked(splitters.chunks_udf(splitters.large_document_chunks))
+QUERIES["academic_chunks"] = _chunked(splitters.chunks_udf(lambda t: [c for _, c in splitters.academic_chunks(t)]))
+
+
+@query
+def filter_small_chunks(spark, sf_dir):
+    rows = chunking.explode_chunks(docs_of(spark, sf_dir), F.split("text", r"[.,]"), "doc_id")
+    return rows.select("doc_id", "chunk_index", filters.keep_chunk(F.col("chunk")).alias("kept"), filters.keep_simple(F.col("chunk")).alias("kept_simple"))
+
+
+@query
+def drop_contained_neighbours(spark, sf_dir):
+    kept = filters.filter_chunks(F.split("text", r"[.,]"))
+    return docs_of(spark, sf_dir).select("doc_id", F.size(kept).cast("long").alias("n_kept"), F.sha1(F.array_join(kept, "|")).alias("kept_sha1"))
+
+
+@query
+def clean_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha1(text.clean_html(F.col("html"))).alias("text_sha1"), F.length(text.clean_html(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query
+def extract_links(spark, sf_dir):
+    return files.crawl_frontier(table(spark, sf_dir, "pages").select("url", "html"))
+
+
+@query
+def token_estimate(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def file_limits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ".TXT").otherwise(".doc")).alias("path"), (F.col("n_chars") * (F.col("doc_id") % 2000) * 10).alias("length"))
+    return files.file_limits(d)
+
+
+@query
+def source_dispatch(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    source = F.when(n == 0, F.concat(F.lit("https://a.example/"), F.col("doc_id").cast("string"))).when(n == 3, "list.pdf").otherwise("list.txt")
+    head = F.when(n == 1, F.concat(F.lit("one\n http://b.example\n"), F.col("text"))).otherwise(F.col("text"))
+    return docs_of(spark, sf_dir).select("doc_id", files.source_type(source, head).alias("source_type"))
+
+
+@query
+def url_list(spark, sf_dir):
+    lines = table(spark, sf_dir, "pages").select(F.explode(F.array(F.concat(F.lit("  "), F.col("url"), F.lit(" ")), F.concat(F.lit("see "), F.col("url")))).alias("value"))
+    return files.url_list(lines)
+
+
+@query
+def chunk_scale(spark, sf_dir):
+    return chunking.chunk_scale(docs_of(spark, sf_dir), most=100)
+
+
+@query
+def review_latest(spark, sf_dir):
+    return state.review_latest(review_events(spark, sf_dir)).select("request_id", "seq", "draft", "status", "final_text")
+
+
+@query
+def review_pending(spark, sf_dir):
+    numbered = state.with_task_ids(state.review_latest(review_events(spark, sf_dir).where("seq % 5 <> 0 OR action = 'enqueue'")))
+    return state.pending(numbered.withColumn("status", F.when(F.col("request_id") % 2 == 0, "PENDING").otherwise(F.col("status"))), 20).select("task_id", "request_id", "seq")
+
+
+@query
+def deliver_status(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id")).distinct().unionByName(spark.range(1).select((F.col("id") - 5).alias("request_id")))
+    return state.deliver(users, state.review_latest(review_events(spark, sf_dir)))
+
+
+@query
+def exposure_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "purchase", "deliver").when(F.col("event_type") == "view", "view").otherwise("other")
+    rows = state.exposure_latest(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts", action.alias("action")))
+    return rows.select("request_id", "delivered", "viewed", F.date_format("delivered_at", "yyyy-MM-dd HH:mm:ss").alias("delivered_at"), F.date_format("viewed_at", "yyyy-MM-dd HH:mm:ss").alias("viewed_at"))
+
+
+@query
+def audit_funnel(spark, sf_dir):
+    return state.funnel(table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("user_id").alias("request_id")))
+
+
+@query
+def audit_session_windows(spark, sf_dir):
+    rows = state.sessions(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")))
+    return rows.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n")
+
+
+@query
+def ttl_alive(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 600 SECONDS")).alias("expires_at"), F.col("ts").cast("timestamp").alias("ts"))
+    now = F.col("ts") + F.when(F.col("event_id") % 3 == 0, F.expr("INTERVAL 600 SECONDS")).when(F.col("event_id") % 3 == 1, F.expr("INTERVAL '600.000001' SECOND")).otherwise(F.expr("INTERVAL 5 SECONDS"))
+    return filters.alive(e, now).select("event_id")
+
+
+def _tiers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source", "text", F.when(F.col("doc_id") % 4 == 0, "realtime").otherwise("historical").alias("tier"))
+
+
+@query
+def kb_status(spark, sf_dir):
+    return knowledge.status(_tiers(spark, sf_dir))
+
+
+@query
+def kb_merge(spark, sf_dir):
+    return knowledge.status(knowledge.merge_tiers(_tiers(spark, sf_dir)))

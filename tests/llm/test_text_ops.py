@@ -1,0 +1,160 @@
+"""Operators on single texts: encoding, quality, personal data, toxicity, pages, licences."""
+
+import hashlib
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("docloom.llm")
+
+from docloom.llm import bpe, html_extract, licenses, pii, quality, toxicity  # noqa: E402
+
+ODD = [None, "", " ", "\n\n", "a", "word " * 30_000, "é日本 😀\x00", "<|endoftext|>x", "same", "same"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with the operators' own names."""
+    rows = [(i % 9 if i else None, t, "x", None) for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, `n words` string, score string")
+
+
+@pytest.fixture(scope="module")
+def codec():
+    if not os.path.exists("/opt/tokenizers"):
+        pytest.skip("no vocabulary files")
+    return bpe.codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
+
+
+def test_bpe_agrees_with_the_library(codec):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(1)
+    alphabet = " \t\n\r\x0b\x1c\x85\xa0 　aàeéЖ中😀'st ll0٣²_-.!$$$***<|>endoftext"
+    texts = [t for t in ODD if t] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["x" * 3000, "$" * 999, "<|endoftext|>" * 3]
+    for text, e in zip(texts, own.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = codec.encode(text)
+        assert ids == e.ids
+        assert codec.decode(ids) == own.decode(ids, skip_special_tokens=False) == text
+
+
+def test_bpe_rows(odd, codec):
+    out = bpe.roundtrip_digests(odd)
+    assert out.columns == [*odd.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in out.collect():
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() and r.n_tokens == len(codec.encode(r.text or ""))
+    assert bpe.roundtrip_digests(odd.limit(0)).count() == 0
+    assert bpe.encode(odd.where("text = 'same'")).count() == 2
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = [None, "", "a b", "a b c a b c", "\x1c é\x0b\n \n x\nx", *("".join(rng.choice(["a ", "b ", "c\n", "#", "d\t", "A!"]) for _ in range(rng.randrange(200))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.assess(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+
+
+def test_quality_rows_and_plan(odd):
+    out = quality.assess(odd.withColumnRenamed("score", "n_words"))
+    assert out.columns.count("n_words") == 1 and out.count() == len(ODD)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert quality.quality_stage(odd.sparkSession, odd, "").columns == odd.columns
+
+
+PII_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    out = []
+    for kind, pattern in PII_PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 14 <= len(digits) <= 19 and total % 10 == 0) or (kind == "phone" and 10 <= len(digits) <= 15):
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda x: (x[0], list(PII_PATTERNS).index(x[2])))
+
+
+def test_pii_patterns_against_brute_force():
+    rng = random.Random(3)
+    bits = ["a", "@", ".", "x.y", "1", "25", "255", "0", " ", "-", "+", "(", ")", "é", "\n", "4111 1111 1111 1111", "4587121519400672", "+1 (255) 555-8013"]
+    for _ in range(8000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        assert pii.base_spans(text) == brute_pii(text)
+    assert pii.base_spans("1" * 200_000 + "." * 1000) == [] and len(pii.base_spans("a" * 100_000 + "@b.c")) == 1
+
+
+def test_pii_terms_and_masks(spark, odd):
+    told = [(i, f"filler{i} alpha{i} contact zork p{i}@mail.example.com beta{i} gamma{i}") for i in range(8)]
+    plain = [(100 + i, "contact me about the plain thing") for i in range(30)]
+    df = spark.createDataFrame(told + plain + [(None, None), (7, ""), told[0]], "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask_text(df).collect()}
+    assert pii.mask_text(df).count() == df.count()
+    assert masked[3] == "filler3 alpha3 contact  [EMAIL] beta3 gamma3" and masked[105] == plain[5][1] and masked[None] is None
+    spans = {r.doc: r.terms for r in pii.find_spans(df).collect()}
+    assert {df_text[x.s : x.e] for df_text, xs in ((told[3][1], spans[3]),) for x in xs} == {"zork"}
+    assert pii.mask_text(odd).count() == len(ODD) and pii.mask_text(odd.limit(0)).count() == 0
+    assert pii.mask("a@b.c d", [(0, 5, "email"), (2, 5, "ip")], []) == "[EMAIL] d"
+
+
+def test_toxicity(spark, odd):
+    rng = random.Random(4)
+    clean, bad = [f"w{i}" for i in range(300)], ["scum", "moron", "grubworm", "grubling", "grubfest"]
+    rows = []
+    for i in range(900):
+        words, y = rng.choices(clean, k=30), i % 3 == 0
+        if y:
+            words[5:5] = rng.choices(bad, k=3)
+        rows.append((i, " ".join(words), int(y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weight, bias = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    out = toxicity.score(df, weight, bias).where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert len(out) > 100 and sum(r.predicted == r.toxic for r in out) / len(out) > 0.97
+    assert all(0 <= r.score <= 1 for r in toxicity.score(odd, weight, bias).collect())
+    assert toxicity.score(odd, weight, bias).columns.count("score") == 1
+    nothing = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic").where("toxic = 0"))
+    assert nothing == ({}, -30.0)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header>
+<nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="sidebar-left"><p>side words side words side words</p></div><article>
+<h1>T &amp; x</h1><p><b>one two three four five six seven<br><p>eight <div class="advert">buy now</div><p>nine&nbsp;ten<ul><li>a b<li>c</ul>
+<form><input><p>mail me</p></form><p>eleven <i>twel</i>ve</p></article><div id="comments"><p>great post thanks great post</p></div>
+<div class="cookie-notice">we use cookies</div><footer>&copy; f</footer>"""
+
+
+def test_html(spark):
+    assert html_extract.extract(PAGE, html_extract.weights(html_extract.count_classes([PAGE]))) == "T & x\n\none two three four five six seven\n\neight\n\nnine ten\n\na b\n\nc\n\neleven twelve"
+    pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain <b>text"), (5, "u", "<p>a &lt; b</p><p>c<"), (None, "u", "<div>" * 5000 + "deep"), (1, "u", PAGE)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    out = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract_text(df).collect()]
+    assert len(out) == 7 and (2, "", 0) in out and (3, "", 0) in out and (4, "plain text", 10) in out and (5, "a < b\n\nc<", 9) in out and (None, "deep", 4) in out
+    assert html_extract.extract_text(df.limit(0), html_extract.DEFAULT_WEIGHTS).count() == 0
+    assert html_extract.best_region([1.0, -2.0, 3.0, -1.0, 2.0, -9.0]) == (2, 4) and html_extract.best_region([-1.0]) == (0, -1)
+
+
+def test_licenses(spark, odd):
+    model = licenses.default_model()
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            assert model.paragraph(t)[0] == family, t
+            assert model.paragraph(t.upper())[0] == family
+    assert all(model.paragraph(p)[0] == licenses.UNKNOWN for p in [*licenses.PROSE, "", "under the sea", "a licence to fish is granted here by the county"])
+    df = spark.createDataFrame([(1, "some text\nReleased under the MIT License.\n\nAll rights reserved.")], "doc_id long, text string")
+    row = licenses.scan(df).first()
+    assert (row.n_paragraphs, row.n_license, row.families, [x.line for x in row.found]) == (3, 2, "mit,reserved", [1, 3])
+    assert licenses.scan(odd).where("n_license > 0").count() == 0 and licenses.scan(odd).count() == len(ODD)

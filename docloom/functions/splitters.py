@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Separators from coarse to fine (fixed values).
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ", "")
@@ -263,7 +264,7 @@ def large_document_chunks(text: str, limit: int = 250_000) -> list[str]:
 def chunks_udf(function: Callable[..., list[str]], **options) -> Callable[[Column], Column]:
     """A splitter as an Arrow-batched column function; a null text has no chunks."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else function(t, **options))
 

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -38,3 +40,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "seg_id", "score", "rank"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]

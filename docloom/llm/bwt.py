@@ -20,87 +20,107 @@ import numpy as np
 
 CHUNK = 1 << 20
 SPOOL_BYTES = 64 << 20
-_FIELDS = (("symbol", np.dtype("<u2")), ("shared", np.dtype("<u1")), ("string", np.dtype("<u4")), ("place", np.dtype("<u2")))
 #: Shared lengths are kept up to this; no caller asks for more.
 MOST = 255
 _NONE = 256  # more than any kept length
 
 
-class Columns:
-    """Files of equally long columns, written once from front to end, then read so."""
+class Rows:
+    """A file of rows, written once from front to end, then read so. A row is one 64-bit number: the symbol before
+    the suffix (bits 0 to 7; 0 for none), the length shared with the row above (8 to 15), the place of the suffix
+    in its string (16 to 31) and the string (32 to 63)."""
 
     def __init__(self):
-        self.files = {name: tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) for name, _ in _FIELDS}
-        self.rows = 0
-
-    def append(self, **columns: np.ndarray) -> None:
-        for name, kind in _FIELDS:
-            self.files[name].write(columns[name].astype(kind, copy=False).tobytes())
-        self.rows += len(columns["symbol"])
-
-    def read(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(row number, columns) chunk by chunk."""
-        for name in names:
-            self.files[name].seek(0)
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
+        self.count = 0
+
+    def append(self, rows: np.ndarray) -> None:
+        self.file.write(memoryview(rows).cast("B"))
+        self.count += len(rows)
+
+    def read(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row number, rows) chunk by chunk."""
+        self.file.seek(0)
         at = 0
-        while at < self.rows:
-            n = min(CHUNK, self.rows - at)
-            yield at, [np.frombuffer(self.files[name].read(n * kind.itemsize), kind) for name, kind in _FIELDS if name in names]
+        while at < self.count:
+            n = min(CHUNK, self.count - at)
+            yield at, np.frombuffer(self.file.read(n * 8), "<u8")
             at += n
 
     def close(self) -> None:
-        for f in self.files.values():
-            f.close()
+        self.file.close()
+
+
+def symbols(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows.view(np.uint8)[0::8])
+
+
+def shared_lengths(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows.view(np.uint8)[1::8])
+
+
+def places(rows: np.ndarray) -> np.ndarray:
+    return rows.view("<u2")[1::4]
+
+
+def strings_of(rows: np.ndarray) -> np.ndarray:
+    return rows.view("<u4")[1::2]
+
+
+def _packed(symbol: np.ndarray, shared: np.ndarray, place: np.ndarray, string: np.ndarray) -> np.ndarray:
+    return (string.astype(np.uint64) << np.uint64(32)) | (place.astype(np.uint64) << np.uint64(16)) | (shared.astype(np.uint64) << np.uint64(8)) | symbol.astype(np.uint64)
 
 
-def _ranks(columns: Columns, at: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ranks(table: Rows, at: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the suffixes in rows `at` (ascending): the rank of the suffix that extends each by the symbol before
     it, the length shared with the suffix above and below there, and whether there is one below with that symbol.
     below: how many symbols are less, by symbol."""
     n = len(at)
     rank, up, down, has_down = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    seen = np.zeros(257, np.int64)
-    since = np.full(257, _NONE, np.int64)  # least shared length after the last row with the symbol
-    waiting = np.full(257, -1, np.int64)  # the extended suffix that waits for the symbol's next row
+    seen = np.zeros(256, np.int64)
+    since = np.full(256, _NONE, np.int64)  # least shared length after the last row with the symbol
+    waiting = np.full(256, -1, np.int64)  # the extended suffix that waits for the symbol's next row
+    several = table.count > CHUNK
     done = 0
-    for first, (symbol, shared) in columns.read("symbol", "shared"):
-        size = len(symbol)
-        order = np.argsort(symbol, kind="stable")
-        count = np.bincount(symbol, minlength=257)
+    for first, rows in table.read():
+        size = len(rows)
+        symbol, shared = symbols(rows), shared_lengths(rows)
+        order = np.argsort(symbol, kind="stable").astype(np.int32)
+        count = np.bincount(symbol, minlength=256)
         starts = np.cumsum(count) - count
-        least = np.minimum.accumulate(shared)
-        present = np.flatnonzero(count)
-        # Suffixes from earlier chunks meet the next row with their symbol.
-        met = present[waiting[present] >= 0]
-        heads = order[starts[met]]
-        down[waiting[met]] = np.minimum(since[met], least[heads]) + 1
-        has_down[waiting[met]] = True
-        waiting[met] = -1
+        least = np.minimum.accumulate(shared) if several else None
+        if several:  # suffixes from earlier chunks meet the next row with their symbol
+            present = np.flatnonzero(count)
+            met = present[waiting[present] >= 0]
+            heads = order[starts[met]]
+            down[waiting[met]] = np.minimum(since[met], least[heads]) + 1
+            has_down[waiting[met]] = True
+            waiting[met] = -1
         upto = done + int(np.searchsorted(at[done:], first + size, "left"))
         if upto > done:
             mine = slice(done, upto)
             p = at[mine] - first
-            inverse = np.empty(size, np.int64)
-            inverse[order] = np.arange(size)
-            k, c = inverse[p], symbol[p].astype(np.int64)
+            inverse = np.empty(size, np.int32)
+            inverse[order] = np.arange(size, dtype=np.int32)
+            k, c = inverse[p].astype(np.int64), symbol[p]
             rank[mine] = below[c] + seen[c] + k - starts[c]
             inside = k > starts[c]
-            before = order[np.maximum(k - 1, 0)]
-            value = np.where(seen[c] > 0, np.minimum(since[c], least[p]) + 1, 0).astype(np.int64)
+            before = order[np.maximum(k - 1, 0)].astype(np.int64)
+            value = np.where(seen[c] > 0, np.minimum(since[c], least[p]) + 1, 0) if several else np.zeros(len(p), np.int64)
             value[inside] = _range_min(shared, before[inside] + 1, p[inside] + 1) + 1
             up[mine] = value
             inside = k + 1 < starts[c] + count[c]
-            after = order[np.minimum(k + 1, size - 1)]
+            after = order[np.minimum(k + 1, size - 1)].astype(np.int64)
             value = np.zeros(upto - done, np.int64)
             value[inside] = _range_min(shared, p[inside] + 1, after[inside] + 1) + 1
             down[mine] = value
             has_down[mine] = inside
             waiting[c[~inside]] = np.arange(done, upto)[~inside]
             done = upto
-        # The least shared length after each symbol's last row, for the next chunks.
-        tail = np.append(np.minimum.accumulate(shared[::-1])[::-1], _NONE)
-        since = np.minimum(since, least[-1])
-        since[present] = tail[order[starts[present] + count[present] - 1] + 1]
+        if several:  # the least shared length after each symbol's last row, for the next chunks
+            tail = np.append(np.minimum.accumulate(shared[::-1])[::-1], _NONE)
+            since = np.minimum(since, least[-1])
+            since[present] = tail[order[starts[present] + count[present] - 1] + 1]
         seen += count
     return rank, np.minimum(up, MOST), np.minimum(down, MOST), has_down
 
@@ -115,67 +135,72 @@ def _range_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return np.minimum.reduceat(padded, edges)[::2].astype(np.int64)
 
 
-def _inserted(old: Columns, row: np.ndarray, new: dict[str, np.ndarray], below_row: np.ndarray, below_value: np.ndarray) -> Columns:
-    """old with the new rows at the numbers `row` (ascending, counted in the result); then `shared` is set to
-    below_value in the rows below_row."""
-    out = Columns()
+def _inserted(old: Rows, number: np.ndarray, new: np.ndarray, below_number: np.ndarray, below_value: np.ndarray) -> Rows:
+    """old with the new rows at their numbers (ascending, counted in the result); then the rows below_number get
+    below_value as shared length."""
+    out = Rows()
     put = 0
-    for first, chunk in old.read("symbol", "shared", "string", "place"):
-        size, last = len(chunk[0]), first + len(chunk[0]) >= old.rows
-        # New rows of which put came before stand at row - (number put before) in the old count.
-        ahead = row[put:] - np.arange(put, len(row))
-        n = len(row) - put if last else int(np.searchsorted(ahead, first + size, "left"))
+    for first, rows in old.read():
+        size, last = len(rows), first + len(rows) >= old.count
+        # New rows of which put came before stand at number - (how many were put before) in the old count.
+        ahead = number[put:] - np.arange(put, len(number))
+        n = len(number) - put if last else int(np.searchsorted(ahead, first + size, "left"))
         start, total = first + put, size + n
-        is_new = np.zeros(total, bool)
-        is_new[row[put : put + n] - start] = True
-        columns = {}
-        for (name, kind), values in zip(_FIELDS, chunk, strict=True):
-            column = np.empty(total, kind)
-            column[is_new] = new[name][put : put + n]
-            column[~is_new] = values
-            columns[name] = column
-        a, b = np.searchsorted(below_row, [start, start + total])
-        columns["shared"][below_row[a:b] - start] = below_value[a:b]
-        out.append(**columns)
+        is_old = np.ones(total, bool)
+        at = number[put : put + n] - start
+        is_old[at] = False
+        merged = np.empty(total, "<u8")
+        merged[is_old] = rows
+        merged[at] = new[put : put + n]
+        a, b = np.searchsorted(below_number, [start, start + total])
+        merged.view(np.uint8)[1::8][below_number[a:b] - start] = below_value[a:b]
+        out.append(merged)
         put += n
     old.close()
     return out
 
 
-def suffix_order(strings: list[bytes]) -> Columns:
-    """Columns of all suffixes in order: string, place (where it starts) and shared. Strings are under 65,536
-    bytes and none is empty. The first rows, one per string, are the empty suffixes."""
+def suffix_order(strings: list[bytes]) -> Rows:
+    """Rows of all suffixes in order. Strings are under 65,536 bytes, none is empty, and they have no more than 255
+    different bytes (UTF-8 has 243); bytes become symbols in their order. The first rows, one per string, are the
+    empty suffixes."""
     m = len(strings)
     length = np.fromiter(map(len, strings), np.int64, m)
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    used = np.bincount(raw, minlength=256) > 0
+    if used.all():
+        raise ValueError("more than 255 different bytes")
+    text = np.cumsum(used).astype(np.uint8)[raw]  # 1 for the least byte used
     base = np.cumsum(length) - length
-    columns = Columns()
+    table = Rows()
     everyone = np.arange(m)
-    columns.append(symbol=text[base + length - 1].astype(np.int64) + 1, shared=np.zeros(m), string=everyone, place=length)
-    counts = np.bincount(text[base + length - 1].astype(np.int64) + 1, minlength=257)
+    symbol = text[base + length - 1]
+    table.append(_packed(symbol, np.zeros(m), length, everyone))
+    counts = np.bincount(symbol, minlength=256)
     at, who, place = everyone, everyone, length.copy()  # rows, strings and places of the latest suffixes
     while len(who):
         below = np.cumsum(counts) - counts - counts[0]
-        rank, up, down, has_down = _ranks(columns, at, below)
+        rank, up, down, has_down = _ranks(table, at, below)
         rank += m
         order = np.argsort(rank, kind="stable")
-        row, who, place, up, down, has_down = rank[order], who[order], place[order] - 1, up[order], down[order], has_down[order]
-        symbol = np.where(place > 0, text[base[who] + np.maximum(place, 1) - 1].astype(np.int64) + 1, 0)
-        columns = _inserted(columns, row, {"symbol": symbol, "shared": up, "string": who, "place": place}, row[has_down] + 1, down[has_down])
-        counts = counts + np.bincount(symbol, minlength=257)
+        number, who, place, up, down, has_down = rank[order], who[order], place[order] - 1, up[order], down[order], has_down[order]
+        symbol = np.where(place > 0, text[base[who] + np.maximum(place, 1) - 1], 0)
+        table = _inserted(table, number, _packed(symbol, up, place, who), number[has_down] + 1, down[has_down])
+        counts = counts + np.bincount(symbol, minlength=256)
         going = place > 0
-        at, who, place = row[going], who[going], place[going]
-    return columns
+        at, who, place = number[going], who[going], place[going]
+    return table
 
 
 def repeated_starts(strings: list[bytes], width: int, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(string, place) of every start of a width-byte run of bytes that the collection also holds at a lower
     rank; first[string] + place is the rank of a start. width is at most 255."""
-    columns = suffix_order(strings)
+    table = suffix_order(strings)
     lowest, low_string, low_place = None, None, None  # of the group that may run on into the next chunk
-    for _, (shared, string, place) in columns.read("shared", "string", "place"):
+    for _, rows in table.read():
+        string, place = strings_of(rows).astype(np.int64), places(rows).astype(np.int64)
         rank = first[string] + place
-        is_head = shared < width
+        is_head = shared_lengths(rows) < width
         group = np.cumsum(is_head)
         starts = np.flatnonzero(is_head)
         if not is_head[0]:
@@ -190,9 +215,9 @@ def repeated_starts(strings: list[bytes], width: int, first: np.ndarray) -> Iter
                 yield np.array([low_string]), np.array([low_place])
         repeated = rank != least[group]
         if repeated.any():
-            yield string[repeated].astype(np.int64), place[repeated].astype(np.int64)
+            yield string[repeated], place[repeated]
         lowest = least[-1]
         k = int(starts[-1]) + int(np.argmin(rank[starts[-1] :]))
         if rank[k] == lowest:
             low_string, low_place = int(string[k]), int(place[k])
-    columns.close()
+    table.close()

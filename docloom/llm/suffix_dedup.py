@@ -4,7 +4,7 @@ Building one suffix order of a whole corpus takes as many rounds as its longest
 are first cut where equal strings can't be torn apart. Every 100-byte window has a least hash among its
 32-byte grams; equal windows have the same, so they meet when runs of windows are dealt by it:
 
-1. Every text is scanned once. Neighbouring windows with one least hash form a piece (100 to 227 bytes). Its row
+1. Every text is scanned once. Neighbouring windows with one least hash form a piece (100 to 168 bytes). Its row
    has the hash, a digest of its bytes, its document and place, not the bytes.
 2. Rows are dealt by the hash and sorted by (hash, digest, document, place). A hash with one row is done: none
    of its windows repeats (unless the piece holds its least gram twice; then it goes on, too). Of equal pieces all but the first are removed whole. Nothing is gathered: rows stream
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .bwt import repeated_starts
 from .common import read_table, store
 
-WIDTH, GRAM, RUN = 100, 32, 128
+WIDTH, GRAM, RUN = 100, 32, 69
 #: So many bytes of pieces make one collection at least; a hash is never split over two.
-COLLECTION_BYTES = 6 << 20
+COLLECTION_BYTES = 3 << 18
 _LAST_ID = (1 << 63) - 1
 #: `at` holds, from the top, the order of texts with one id (22 bits), the start (32), whether a window may repeat
 #: inside the piece (1), and the piece's length (8).

@@ -8,8 +8,8 @@ the kind and 0 if the two are independent. Terms are counted over all documents;
 words of an entity, and reach the threshold with SUPPORT different contexts (so that copies of one text don't
 make a rule), they are spans too: GENERALISE or more are replaced by the name of the kind, REMOVE or more go.
 
-Joint counts come from documents with entities alone. The scan counts terms within each task, so that what is
-shuffled is a row for each term and task, not for each word.
+Joint counts come from documents with entities alone. A second scan counts within each task, in how many of all
+documents the terms in question occur, so that what is shuffled is a row for each such term and task.
 
 Cases: a null text is empty; spans of different kinds may overlap and all are kept (masking merges them);
 repeated rows get the same spans; a null doc_id is a document like any other.
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from .common import read_table, store
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SUPPORT, GENERALISE, REMOVE = 3, 5, 0.8, 0.95
-FLUSH_TERMS = 300_000
+FLUSH_TERMS, BITMAP = 300_000, 1 << 20
 
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,41 +107,47 @@ def nearby(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int,
 
 _SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string())])
 _NEAR = pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("context", pa.int64())])
-_SCHEMA = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("term", pa.string()), ("docs", pa.int64())])
-_DDL = "doc long, hash long, spans array<struct<s: int, e: int, kind: string>>, near array<struct<term: string, s: int, e: int, kind: string, context: bigint>>, term string, docs long"
+_SCHEMA = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("docs", pa.int64())])
+_DDL = "doc long, hash long, spans array<struct<s: int, e: int, kind: string>>, near array<struct<term: string, s: int, e: int, kind: string, context: bigint>>, docs long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, text) -> a row for each document with entities, rows (term, docs), and one with the number of
-    documents under the null term."""
-    counts: Counter[bytes] = Counter()
+    """(doc, hash, text) -> a row for each document with entities, and one with the number of documents."""
     total = 0
-
-    def flush() -> pa.RecordBatch:
-        n = len(counts)
-        batch = pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, _SCHEMA.field(k).type) for k in (2, 3)] + [pa.array([w.decode("utf-8", "surrogatepass") for w in counts]), pa.array(counts.values(), pa.int64())], schema=_SCHEMA
-        )
-        counts.clear()
-        return batch
-
     for batch in batches:
         found = []
+        total += batch.num_rows
         for doc, h, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            text = text or ""
-            total += 1
-            counts.update(terms(text))
-            if spans := base_spans(text):
+            if spans := base_spans(text or ""):
                 found.append({"doc": doc, "hash": h, "spans": [dict(zip(("s", "e", "kind"), x, strict=True)) for x in spans], "near": [dict(zip(("term", "s", "e", "kind", "context"), x, strict=True)) for x in nearby(text, spans)]})
         if found:
             yield pa.RecordBatch.from_pylist(found, schema=_SCHEMA)
-        if len(counts) > FLUSH_TERMS:
-            yield flush()
-    if counts:
-        yield flush()
     yield pa.RecordBatch.from_pylist([{"docs": total}], schema=_SCHEMA)
 
 
+def _count(wanted):
+    """(text) -> (term, docs): documents with the term, counted within the task. Only terms whose hash is marked in
+    the bitmap come out; it has a fixed size, and what it lets through too much is left to the join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = wanted.value
+        counts: Counter[bytes] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(w.decode("utf-8", "surrogatepass"), n) for w, n in counts.items() if marked[xxhash.xxh64_intdigest(w, 42) & (BITMAP - 1)]]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["term", "docs"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(terms(text or ""))
+            if len(counts) > FLUSH_TERMS:
+                yield flush()
+        yield flush()
+
+    return run
+
+
 def _hash(docs: DataFrame, text: str):
     return F.xxhash64(F.coalesce(docs[text], F.lit("")))
 
@@ -151,10 +158,16 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
     scanned = store(docs.select(docs[doc_id].cast("long").alias("doc"), _hash(docs, text).alias("hash"), text).mapInArrow(_scan, _DDL))
     people = scanned.where("spans IS NOT NULL").select("doc", "hash", "spans", "near")
     near = people.select("doc", "hash", F.explode("near").alias("n")).select("doc", "hash", "n.*")
-    joint = near.groupBy("term", "kind").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc", "hash").alias("joint")).where(F.col("contexts") >= support)
-    counts = scanned.where("term IS NOT NULL").join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("n_term"))
+    contexts = near.groupBy("term", "kind").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    once = people.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))).alias("n")).select("n.*")
+    joint = once.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("joint")).join(contexts, ["term", "kind"])
+    marked = np.zeros(BITMAP, bool)
+    marked[[r.bit for r in joint.select(F.xxhash64("term").bitwiseAND(F.lit(BITMAP - 1)).alias("bit")).distinct().collect()]] = True  # BITMAP rows at most
+    wanted = docs.sparkSession.sparkContext.broadcast(marked)
+    counted = docs.select(text).mapInArrow(_count(wanted), "term string, docs long")
+    counts = counted.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("n_term"))
     kinds = people.select("doc", "hash", F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_kind"))
-    total = scanned.where("term IS NULL AND spans IS NULL").agg(F.sum("docs").alias("n"))
+    total = scanned.where("spans IS NULL").agg(F.sum("docs").alias("n"))
     p_kind = F.col("n_kind") / F.col("n")
     given = F.least(F.lit(1.0), F.col("joint") / F.col("n_term"))
     scored = joint.join(counts, "term").join(F.broadcast(kinds), "kind").join(F.broadcast(total)).where(p_kind < 1)
@@ -167,7 +180,9 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", supp
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with __spans and __terms (null where there are none)."""
     found = find_spans(docs, doc_id, text, **options).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms"))
-    return docs.join(found, docs[doc_id].cast("long").eqNullSafe(F.col("__doc")) & (_hash(docs, text) == F.col("__hash")), "left").drop("__doc", "__hash")
+    # The keys are columns of their own, so that a text nobody asks for stays out of the join's shuffle.
+    keyed = docs.withColumns({"__id": docs[doc_id].cast("long"), "__text": _hash(docs, text)})
+    return keyed.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left").drop("__id", "__text", "__doc", "__hash")
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], told: list[tuple[int, int, str, float]]) -> str:

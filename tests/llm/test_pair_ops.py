@@ -227,3 +227,26 @@ def test_near_duplicates_and_pipeline(spark, tmp_path):
     assert sorted(rows) == [*range(10), 61] and "[EMAIL]" in rows[61].text and all(r.token_ids for r in rows.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "personal data", "BPE encoding"]
     assert near_duplicates.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
+def five_word_similarity(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_pipeline_decides_similarities_around_the_threshold(spark, tmp_path):
+    rng = random.Random(9)
+    docs, want = [], set()
+    for i in range(80):
+        words = [rng.choice(["the", f"w{rng.randrange(9000)}", f"v{rng.randrange(9000)}"]) for _ in range(rng.randrange(300, 700))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), round(len(words) * rng.uniform(0.018, 0.034))):
+            copy[at] = f"edit{rng.randrange(9000)}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        want |= {2 * i} if five_word_similarity(docs[-2][1], docs[-1][1]) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 100 < len(want) < 140
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want

@@ -4,12 +4,13 @@ Patterns find the protected entities: e-mail addresses, IP addresses, card numbe
 term discloses a kind of entity as far as it raises its probability: with p(kind) the share of documents that
 hold the kind and p(kind | term) the share among those with the term, PMI = log p(kind | term) / p(kind) is set
 against the information -log p(kind) that the kind itself carries. The ratio is 1 if the term always comes with
-the kind and 0 if the two are independent. Terms are counted over all documents; where they stand within NEAR
-words of an entity, and reach the threshold with SUPPORT different contexts (so that copies of one text don't
-make a rule), they are spans too: GENERALISE or more are replaced by the name of the kind, REMOVE or more go.
+the kind and 0 if the two are independent. All words outside entities are terms, and all documents count: a term
+that reaches the threshold with SUPPORT different contexts (so that copies of one text don't make a rule) is a span
+wherever it stands, in documents without an entity as well: GENERALISE or more are replaced by the name of the kind,
+REMOVE or more go. A context is the NEAR words before and after the term's first place in a document.
 
-Joint counts come from documents with entities alone. A second scan counts within each task, in how many of all
-documents the terms in question occur, so that what is shuffled is a row for each such term and task.
+One scan counts within each task, in how many documents each term occurs and, over the documents with entities, in
+how many of each kind; what is shuffled is a row for each task, term and kind. Disclosing terms go out in blocks of TERMS_PER_BLOCK, each against all documents; no text is shuffled.
 
 Cases: a null text is empty; spans of different kinds may overlap and all are kept (masking merges them);
 repeated rows get the same spans; a null doc_id is a document like any other.
@@ -20,8 +21,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from .common import read_table, store
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SUPPORT, GENERALISE, REMOVE = 3, 5, 0.8, 0.95
-FLUSH_TERMS, BITMAP = 300_000, 1 << 20
+FLUSH_TERMS, TERMS_PER_BLOCK = 300_000, 500_000
 
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +42,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _WORD_EDGE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 32 + b"abcdefghijklmnopqrstuvwxyz")
-_NEARBY = re.compile(r"[^\s!-/:-@\[-`{-~]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+")
 
 
 def luhn(digits: str) -> bool:
@@ -78,111 +79,149 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def terms(text: str) -> set[bytes]:
-    """A text's terms: words between white space and ASCII punctuation, A-Z in lower case."""
-    return set(text.encode("utf-8", "surrogatepass").translate(_WORD_EDGE).split())
-
-
-def nearby(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str, int]]:
-    """(term, start, end, kind, context) of the terms within NEAR words of an entity. The context is a hash of
-    the words around the entity, without the term itself."""
-    out = []
-    taken = [(s, e) for s, e, _ in spans]
-    for s, e, kind in spans:
-        left = max(0, s - 40 * NEAR)
-        before = [(m.start(), m.end()) for m in _NEARBY.finditer(text, left, s)][-NEAR:]
-        after = []
-        for m in _NEARBY.finditer(text, e):
-            after.append((m.start(), m.end()))
-            if len(after) == NEAR:
-                break
-        words = [(a, b) for a, b in before + after if not any(a < y and x < b for x, y in taken)]
-        for a, b in words:
-            rest = " ".join(text[x:y].lower() for x, y in words if (x, y) != (a, b))
-            word = b" ".join(text[a:b].encode("utf-8", "surrogatepass").translate(_WORD_EDGE).split()).decode("utf-8", "surrogatepass")
-            if word:
-                out.append((word, a, b, kind, xxhash.xxh3_64_intdigest(rest.encode("utf-8", "surrogatepass")) >> 1))
-    return out
-
-
-_SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string())])
-_NEAR = pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("context", pa.int64())])
-_SCHEMA = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("docs", pa.int64())])
-_DDL = "doc long, hash long, spans array<struct<s: int, e: int, kind: string>>, near array<struct<term: string, s: int, e: int, kind: string, context: bigint>>, docs long"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, text) -> a row for each document with entities, and one with the number of documents."""
-    total = 0
-    for batch in batches:
-        found = []
-        total += batch.num_rows
-        for doc, h, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if spans := base_spans(text or ""):
-                found.append({"doc": doc, "hash": h, "spans": [dict(zip(("s", "e", "kind"), x, strict=True)) for x in spans], "near": [dict(zip(("term", "s", "e", "kind", "context"), x, strict=True)) for x in nearby(text, spans)]})
-        if found:
-            yield pa.RecordBatch.from_pylist(found, schema=_SCHEMA)
-    yield pa.RecordBatch.from_pylist([{"docs": total}], schema=_SCHEMA)
-
-
-def _count(wanted):
-    """(text) -> (term, docs): documents with the term, counted within the task. Only terms whose hash is marked in
-    the bitmap come out; it has a fixed size, and what it lets through too much is left to the join."""
+def words(text: str) -> list[bytes]:
+    """A text's terms in order: words between white space and ASCII punctuation, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_EDGE).split()
+
+
+def outside(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a space for every character of an entity."""
+    out, at = [], 0
+    for s, e, _ in spans:
+        if e > at:
+            s = max(s, at)
+            out += [text[at:s], " " * (e - s)]
+            at = e
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def term_spans(text: str, told: dict[bytes, list[tuple[str, float]]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score) of every place of the terms told, in a text without its entities."""
+    if told.keys().isdisjoint(words(text)):
+        return []
+    return [(m.start(), m.end(), *x) for m in _WORD.finditer(text) for x in told.get(m[0].encode("utf-8", "surrogatepass").translate(_WORD_EDGE), ())]
+
+
+_JOINT = pa.schema([("term", pa.string()), ("kind", pa.string()), ("docs", pa.int64()), ("contexts", pa.list_(pa.int64())), ("enough", pa.bool_())])
+_JOINT_DDL = "term string, kind string, docs long, contexts array<long>, enough boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = wanted.value
-        counts: Counter[bytes] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            rows = [(w.decode("utf-8", "surrogatepass"), n) for w, n in counts.items() if marked[xxhash.xxh64_intdigest(w, 42) & (BITMAP - 1)]]
+def _joint(support: int):
+    """(text) -> (term, kind, docs, contexts, enough), counted within the task. Rows with a null term count documents
+    with the kind, those with a null kind all documents. Of support contexts or more only that there are enough of
+    them comes out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Counter[str | None] = Counter()
+        anywhere: Counter[bytes] = Counter()
+        counts: dict[tuple[bytes, str], list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            joint = ((w, kind, n, found if len(found) < support else (), len(found) >= support) for (w, kind), (n, found) in counts.items())
+            rows = chain(joint, ((w, None, n, (), False) for w, n in anywhere.items()))
+            while some := list(islice(rows, 10_000)):
+                term, *others = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([w.decode("utf-8", "surrogatepass") for w in term], *others), _JOINT.types, strict=True)], schema=_JOINT)
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["term", "docs"])
+            anywhere.clear()
 
         for batch in batches:
+            totals[None] += batch.num_rows
             for text in batch.column(0).to_pylist():
-                counts.update(terms(text or ""))
-            if len(counts) > FLUSH_TERMS:
-                yield flush()
-        yield flush()
+                spans = base_spans(text or "")
+                listed = words(outside(text or "", spans))
+                anywhere.update(set(listed))
+                if not spans:
+                    continue
+                kinds = {kind for _, _, kind in spans}
+                totals.update(kinds)
+                first: dict[bytes, int] = {}
+                for k, w in enumerate(listed):
+                    first.setdefault(w, k)
+                for w, k in first.items():
+                    context = None
+                    for kind in kinds:
+                        entry = counts.setdefault((w, kind), [0, ()])
+                        entry[0] += 1
+                        if len(entry[1]) < support:
+                            if context is None:
+                                context = xxhash.xxh3_64_intdigest(b" ".join([*listed[max(0, k - NEAR) : k], b"", *listed[k + 1 : k + 1 + NEAR]])) >> 1
+                            if context not in entry[1]:
+                                entry[1] += (context,)
+                if len(counts) + len(anywhere) > FLUSH_TERMS:
+                    yield from flush()
+        yield from flush()
+        yield pa.RecordBatch.from_pylist([{"kind": kind, "docs": n} for kind, n in totals.items()], schema=_JOINT)
 
     return run
 
 
-def _hash(docs: DataFrame, text: str):
-    return F.xxhash64(F.coalesce(docs[text], F.lit("")))
-
-
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(doc, hash, spans, terms): for documents with entities, the base spans and those of disclosing terms
-    (s, e, kind, score), both as arrays. doc is doc_id, hash that of the text: together they find the rows again."""
-    scanned = store(docs.select(docs[doc_id].cast("long").alias("doc"), _hash(docs, text).alias("hash"), text).mapInArrow(_scan, _DDL))
-    people = scanned.where("spans IS NOT NULL").select("doc", "hash", "spans", "near")
-    near = people.select("doc", "hash", F.explode("near").alias("n")).select("doc", "hash", "n.*")
-    contexts = near.groupBy("term", "kind").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    once = people.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))).alias("n")).select("n.*")
-    joint = once.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("joint")).join(contexts, ["term", "kind"])
-    marked = np.zeros(BITMAP, bool)
-    marked[[r.bit for r in joint.select(F.xxhash64("term").bitwiseAND(F.lit(BITMAP - 1)).alias("bit")).distinct().collect()]] = True  # BITMAP rows at most
-    wanted = docs.sparkSession.sparkContext.broadcast(marked)
-    counted = docs.select(text).mapInArrow(_count(wanted), "term string, docs long")
-    counts = counted.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("n_term"))
-    kinds = people.select("doc", "hash", F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_kind"))
-    total = scanned.where("spans IS NULL").agg(F.sum("docs").alias("n"))
-    p_kind = F.col("n_kind") / F.col("n")
-    given = F.least(F.lit(1.0), F.col("joint") / F.col("n_term"))
-    scored = joint.join(counts, "term").join(F.broadcast(kinds), "kind").join(F.broadcast(total)).where(p_kind < 1)
-    scored = scored.withColumn("score", F.log(given / p_kind) / -F.log(p_kind)).where(F.col("score") >= threshold).select("term", "kind", "score")
-    told = near.join(scored, ["term", "kind"]).groupBy(F.col("doc").alias("told_doc"), F.col("hash").alias("told_hash")).agg(F.collect_set(F.struct("s", "e", "kind", "score")).alias("terms"))
-    once = people.select("doc", "hash", "spans").dropDuplicates(["doc", "hash"])
-    return once.join(told, F.col("doc").eqNullSafe(F.col("told_doc")) & (F.col("hash") == F.col("told_hash")), "left").select("doc", "hash", "spans", "terms")
-
-
-def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with __spans and __terms (null where there are none)."""
-    found = find_spans(docs, doc_id, text, **options).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms"))
-    # The keys are columns of their own, so that a text nobody asks for stays out of the join's shuffle.
-    keyed = docs.withColumns({"__id": docs[doc_id].cast("long"), "__text": _hash(docs, text)})
-    return keyed.join(found, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left").drop("__id", "__text", "__doc", "__hash")
+def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(term, kind, score) of the terms that reach the threshold."""
+    counted = store(docs.select(text).mapInArrow(_joint(support), _JOINT_DDL))
+    known = counted.where("term IS NOT NULL AND kind IS NOT NULL").groupBy("term", "kind").agg(F.sum("docs").alias("joint"), F.max("enough").alias("enough"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
+    known = known.where(F.col("enough") | (F.col("contexts") >= support)).select("term", "kind", "joint", F.lit(None).cast("long").alias("docs"))
+    both = known.unionByName(counted.where("term IS NOT NULL AND kind IS NULL").select("term", "kind", F.lit(None).cast("long").alias("joint"), "docs"))
+    summed = both.groupBy("term").agg(F.sum("docs").alias("n_term"), *[F.sum(F.when(F.col("kind") == k, F.col("joint"))).alias(k) for k in KINDS]).where(F.coalesce(*KINDS).isNotNull())
+    summed = summed.withColumn("of", F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("joint")) for k in KINDS]), lambda x: x["joint"].isNotNull()))
+    n = {r.kind: r.docs for r in counted.where("term IS NULL").groupBy("kind").agg(F.sum("docs").alias("docs")).collect()}  # KINDS and the total
+    shares = {kind: n[kind] / n[None] for kind in KINDS if 0 < n.get(kind, 0) < n[None]}
+    p_kind = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(p)) for kind, p in shares.items()], F.lit(None).cast("double"))
+    scored = summed.select("term", "n_term", F.explode("of").alias("of")).select("term", "n_term", "of.*").withColumn("p", p_kind)
+    return store(scored.withColumn("score", F.log(F.col("joint") / F.col("n_term") / F.col("p")) / -F.log("p")).where(F.col("score") >= threshold).select("term", "kind", "score"))
+
+
+def _term_blocks(told: DataFrame) -> Iterator[dict[bytes, list[tuple[str, float]]]]:
+    """The terms in blocks of bounded number, streamed to the driver one partition at a time; one block at least."""
+    block: dict[bytes, list[tuple[str, float]]] = {}
+    some = False
+    for row in told.toLocalIterator():
+        block.setdefault(row.term.encode("utf-8", "surrogatepass"), []).append((row.kind, row.score))
+        if len(block) >= TERMS_PER_BLOCK:
+            yield block
+            block, some = {}, True
+    if block or not some:
+        yield block
+
+
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string())]))
+_TERMS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
+_MARKS_DDL = "__spans array<struct<s: int, e: int, kind: string>>, __terms array<struct<s: int, e: int, kind: string, score: double>>"
+
+
+def _marked(sent, text: str):
+    """Rows with __spans and __terms; the terms of one block are added to those of the blocks before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = sent.value
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            before = column["__terms"].to_pylist() if "__terms" in column else [None] * batch.num_rows
+            spans, found = [], []
+            for t, old in zip(column[text].to_pylist(), before, strict=True):
+                base = base_spans(t or "")
+                new = term_spans(outside(t or "", base), told)
+                spans.append([dict(zip(("s", "e", "kind"), x, strict=True)) for x in base] or None)
+                found.append([*(old or ()), *(dict(zip(("s", "e", "kind", "score"), x, strict=True)) for x in new)] or None)
+            column["__spans"], column["__terms"] = pa.array(spans, _SPANS), pa.array(found, _TERMS)
+            yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
+
+    return run
+
+
+def with_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with __spans, the entities, and __terms, the disclosing terms (null where there are none)."""
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), _MARKS_DDL])
+    for block in _term_blocks(disclosing_terms(docs, text, **options)):
+        docs = docs.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(block), text), ddl)
+    return docs
+
+
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc, hash, spans, terms): for documents with entities or disclosing terms, the spans of both
+    (s, e, kind; score), as arrays. doc is doc_id, hash that of the text: together they find the rows again."""
+    found = with_spans(docs.select(doc_id, text), text, **options).where("__spans IS NOT NULL OR __terms IS NOT NULL")
+    return found.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.col("__spans").alias("spans"), F.col("__terms").alias("terms")).dropDuplicates(["doc", "hash"])
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], told: list[tuple[int, int, str, float]]) -> str:
@@ -197,7 +236,7 @@ def mask(text: str, spans: list[tuple[int, int, str]], told: list[tuple[int, int
     return "".join([*out, text[end:]])
 
 
-def mask_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def mask_text(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the text masked; null texts and those without spans as they were. Columns stay."""
     columns = docs.columns
     types = dict(docs.dtypes)
@@ -206,12 +245,12 @@ def mask_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = [
-                t if not spans else mask(t or "", [(x["s"], x["e"], x["kind"]) for x in spans], [(x["s"], x["e"], x["kind"], x["score"]) for x in told or ()])
+                t if not spans and not told else mask(t or "", [(x["s"], x["e"], x["kind"]) for x in spans or ()], [(x["s"], x["e"], x["kind"], x["score"]) for x in told or ()])
                 for t, spans, told in zip(column[text].to_pylist(), column["__spans"].to_pylist(), column["__terms"].to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else column[c] for c in columns], names=columns)
 
-    return with_spans(docs, doc_id, text, **options).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns))
+    return with_spans(docs, text, **options).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

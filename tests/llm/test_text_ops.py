@@ -1,6 +1,7 @@
 """Operators on single texts: encoding, quality, personal data, toxicity, pages, licences."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -111,6 +112,22 @@ def test_pii_terms_and_masks(spark, odd):
     assert pii.mask("a@b.c d", [(0, 5, "email"), (2, 5, "ip")], []) == "[EMAIL] d"
 
 
+def test_pii_terms_count_and_are_masked_wherever_they_stand(spark, monkeypatch):
+    away = [f"zork a{i} b{i} c{i} d{i} e{i} f{i} plain mail p{i}@mail.example.com" + " zork" * (i % 2) for i in range(6)]
+    beside = [f"g{i} h{i} Zork q{i}@mail.example.com" for i in range(4)]
+    other = [f"word k{i} plain mail l{i}" for i in range(30)]
+    texts = [*away, *beside, "ask (zork) or quux", *other]
+    joint, n = 10, 41
+    score = 1 + math.log(joint / 11) / -math.log(joint / n)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert [(r.term, r.kind, round(r.score, 9)) for r in pii.disclosing_terms(df).collect()] == [("zork", "email", round(score, 9))] and 0.8 < score < 0.95
+    for flush in (pii.FLUSH_TERMS, 3):
+        monkeypatch.setattr(pii, "FLUSH_TERMS", flush)
+        masked = {r.doc_id: r.text for r in pii.mask_text(df).collect()}
+        assert masked == {i: re.sub(r"\S+@\S+|(?i:zork)", "[EMAIL]", t) for i, t in enumerate(texts)}
+    assert pii.disclosing_terms(df.where("doc_id < 1").unionByName(df.where("doc_id < 1")).unionByName(df.where("doc_id > 10"))).count() == 0
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(4)
     clean, bad = [f"w{i}" for i in range(300)], ["scum", "moron", "grubworm", "grubling", "grubfest"]

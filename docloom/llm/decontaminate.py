@@ -3,7 +3,8 @@
 Words of documents and items are compared in lower case, without ASCII punctuation. For every item, windows of
 as many words as the item has are fingerprinted and looked up in a multi-index: the 64 bits form seven blocks,
 each of which lists the items within two bits of every value it can take. A fingerprint within RADIUS (20) of an
-item's is within two bits of it in one block at least, so the lookup misses none. Candidates are verified by the
+item's is within two bits of it in one block at least, so the lookup misses none. A document shorter than the item
+is itself its one window. Candidates are verified by the
 weighted Jaccard similarity of five-word shingles (a shingle weighs as often as it occurs; an item of fewer
 words is one shingle), and count from SIMILARITY (0.8) on.
 
@@ -132,12 +133,11 @@ class Items:
                 for n in sizes[at[hit]]:
                     by_size.setdefault(n, []).append(hit)
             for n, places in by_size.items():
-                if n <= len(words):
-                    self._windows(h, np.array(places), n, n - width + 1, best)
+                self._windows(h, np.array(places), n, min(n, len(words)) - width + 1, best)
         return [(i, *x) for i, x in sorted(best.items())]
 
     def _windows(self, h: np.ndarray, hits: np.ndarray, n: int, count: int, best: dict[int, tuple[float, int, int]]) -> None:
-        """Look up every window of n words (count shingles) that holds one of the hits."""
+        """Look up every window of count shingles that holds one of the hits, among the items of n words."""
         numbers, index, counters = self.index[n]
         lows, highs = np.maximum(hits - count + 1, 0), np.minimum(hits, len(h) - count)
         cuts = np.flatnonzero(lows[1:] > highs[:-1] + 1)
@@ -148,7 +148,7 @@ class Items:
                     s = similarity(Counter(part[k : k + count].tolist()), counters[j])
                     number = int(numbers[j])
                     if s >= SIMILARITY and (number not in best or s > best[number][0]):
-                        best[number] = s, low + k, n
+                        best[number] = s, low + k, count + min(SHINGLE, n) - 1
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:

@@ -120,6 +120,16 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.drop_leaks(df, bench.limit(0)).count() == len(docs) and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_the_item(spark):
+    words = [f"q{i}" for i in range(59)]
+    docs = [(1, " ".join(words[:-1])), (2, " ".join(words[5:-5])), (3, " ".join(words[8:-8])), (4, "q1 q2 q3"), (5, " ".join([*words[:20], "x", *words[20:-1]]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "q1 q2 q3 q4")], "item_id long, text string")
+    found = {r.doc_id: (r.item_id, round(r.similarity, 6), r.first_word, r.n_words) for r in decontaminate.find_leaks(df, bench).where("item_id = 1").collect()}
+    assert found == {1: (1, round(54 / 55, 6), 0, 58), 2: (1, round(45 / 55, 6), 0, 49), 5: (1, round(50 / 60, 6), 0, 59)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(df, bench.where("item_id = 1")).collect()} == {3, 4}
+
+
 def test_multi_index_misses_none():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)

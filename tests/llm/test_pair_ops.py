@@ -260,3 +260,28 @@ def test_pipeline_decides_similarities_around_the_threshold(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_pairs_that_share_only_a_hot_piece_meet(spark):
+    rng = random.Random(10)
+    pieces = lambda t: set(near_duplicates.outline(t)[2])
+    while True:
+        words = [f"w{rng.randrange(9000)}" for _ in range(500)]
+        copy = list(words)
+        for at in rng.sample(range(500), 10):
+            copy[at] = f"edit{rng.randrange(9000)}"
+        one, two = " ".join(words), " ".join(copy)
+        if len(shared := pieces(one) & pieces(two)) == 1 and five_word_similarity(one, two) >= 0.8:
+            break
+    cuts = [0, *(k + 1 for k, w in enumerate(words) if decontaminate._word_hash(w.encode()) % near_duplicates.CUT == 0)]
+    hot = next(" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if xxhash.xxh64_intdigest(" ".join(words[a:b]).encode(), simhash.SEED) in shared)
+    docs = [(1, one), (2, two)]
+    for i in range(3, 60):
+        other = hot + " " + " ".join(f"x{rng.randrange(9000)}" for _ in range(rng.choice([4, 495])))
+        if shared <= pieces(other):
+            docs.append((i, other))
+    assert len(docs) > 20
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (3, 10, 4096):
+        roots = {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df, hot=least).collect()}
+        assert roots == {d: 1 if d == 2 else d for d, _ in docs}

@@ -14,6 +14,7 @@ from docloom.config import EngineConfig
 from docloom.functions import classify, splitters, text
 from docloom.operators import chunking, filters, knowledge, retrieval, sections, state
 from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from docloom.plans.oracle import TITLES
 from docloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,7 +179,7 @@ def trim_words(spark, sf_dir):
 def build_prompt(spark, sf_dir):
     hits = guideline_boost(spark, sf_dir)
     s = segments(spark, sf_dir)
-    line = text.local_line(F.col("source"), F.col("pub_year"), F.substring("text", 1, 300)).alias("line")
+    line = text.local_line(F.col("source"), F.col("pub_year"), F.col("text")).alias("line")
     lines = hits.join(s, "seg_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line))), lambda x: x["line"]).alias("lines"))
     rows = questions(spark, sf_dir).join(lines, "query_id", "left")
     return rows.select("query_id", text.prompt(F.coalesce("lines", F.array().cast("array<string>")), text.deidentify(F.col("text"))).alias("prompt"))
@@ -191,8 +192,9 @@ def classify_unsuitable(spark, sf_dir):
 
 def _marked(spark, sf_dir):
     """Documents with, by id, words that classifiers look for."""
-    tail = F.get(F.array(*[F.lit(x) for x in ("", " 目录 前言", " Abstract: x", " 第一章 习题", " 小说 Copyright ©", " 摘要 关键词 目录 前言", " 手册 本书 读者", " 药")]), (F.col("doc_id") % 8).cast("int"))
-    return docs_of(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 1500), tail).alias("text"))
+    mark = F.get(F.array(*[F.lit(x) for x in ("", " 目录 前言 ", " Abstract: x ", " 第一章 习题 ", " 小说 Copyright © ", " 摘要 关键词 目录 前言 ", " 手册 本书 读者 ", " 药 ")]), (F.col("doc_id") % 8).cast("int"))
+    inside = F.concat(F.substring("text", 1, 1900), mark, F.substring("text", 1901, 1 << 30))
+    return docs_of(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 16 < 8, F.concat(mark, "text")).otherwise(inside).alias("text"))
 
 
 @query
@@ -250,9 +252,20 @@ def segment_ids(spark, sf_dir):
     return rows.select("doc_id", "j", sections.segment_id(F.col("source"), F.lit("0"), F.col("j"), F.col("chunk")).alias("seg_id"))
 
 
-def _chunked(chunks):
+def _headed(name, every):
+    """Whole documents with headings of a kind before some of their lines."""
+    heads = F.array(*[F.lit(x) for x in TITLES[name]])
+
+    def titled(line, i):
+        place = F.col("doc_id") + i
+        return F.when(place % every == 1, F.concat(F.get(heads, (F.floor(place / every) % len(TITLES[name])).cast("int")), F.lit("\n"), line)).otherwise(line)
+
+    return lambda spark, sf_dir: docs_of(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), titled), "\n").alias("text"))
+
+
+def _chunked(chunks, source=docs_of):
     def run(spark, sf_dir):
-        return chunking.explode_chunks(docs_of(spark, sf_dir), chunks(F.col("text")), "doc_id").select("doc_id", "chunk_index", F.sha1("chunk").alias("chunk_sha1"), F.length("chunk").cast("long").alias("n_chars"))
+        return chunking.explode_chunks(source(spark, sf_dir), chunks(F.col("text")), "doc_id").select("doc_id", "chunk_index", F.sha1("chunk").alias("chunk_sha1"), F.length("chunk").cast("long").alias("n_chars"))
 
     return run
 
@@ -270,11 +283,11 @@ QUERIES["academic_lines"] = _chunked(lambda t: chunking.split_academic_lines(F.r
 QUERIES["recursive_chunks"] = _chunked(splitters.chunks_udf(splitters.recursive_chunks))
 QUERIES["sentence_chunks"] = _chunked(splitters.chunks_udf(splitters.sentence_chunks, size=500, overlap=50))
 QUERIES["length_chunks"] = _chunked(splitters.chunks_udf(splitters.length_chunks, size=500, overlap=50))
-QUERIES["main_content_chunks"] = _chunked(splitters.chunks_udf(splitters.main_content))
-QUERIES["textbook_chunks"] = _chunked(splitters.chunks_udf(splitters.textbook_chunks))
-QUERIES["novel_chunks"] = _chunked(splitters.chunks_udf(splitters.novel_chunks))
-QUERIES["manual_chunks"] = _chunked(splitters.chunks_udf(splitters.manual_chunks))
-QUERIES["reference_chunks"] = _chunked(splitters.chunks_udf(splitters.reference_chunks))
+QUERIES["main_content_chunks"] = _chunked(splitters.chunks_udf(splitters.main_content), _headed("main", 4))
+QUERIES["textbook_chunks"] = _chunked(splitters.chunks_udf(splitters.textbook_chunks), _headed("textbook", 2))
+QUERIES["novel_chunks"] = _chunked(splitters.chunks_udf(splitters.novel_chunks), _headed("novel", 2))
+QUERIES["manual_chunks"] = _chunked(splitters.chunks_udf(splitters.manual_chunks), _headed("manual", 2))
+QUERIES["reference_chunks"] = _chunked(splitters.chunks_udf(splitters.reference_chunks), _headed("reference", 2))
 QUERIES["large_document_chunks"] = _chunked(splitters.chunks_udf(splitters.large_document_chunks))
 QUERIES["academic_chunks"] = _chunked(splitters.chunks_udf(lambda t: [c for _, c in splitters.academic_chunks(t)]))
 
@@ -338,7 +351,7 @@ def review_latest(spark, sf_dir):
 
 @query
 def review_pending(spark, sf_dir):
-    numbered = state.with_task_ids(state.review_latest(review_events(spark, sf_dir).where("seq % 5 <> 0 OR action = 'enqueue'")))
+    numbered = state.with_task_ids(state.review_latest(review_events(spark, sf_dir)))
     return state.pending(numbered.withColumn("status", F.when(F.col("request_id") % 2 == 0, "PENDING").otherwise(F.col("status"))), 20).select("task_id", "request_id", "seq")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.classify import ACADEMIC, BOOK, BOOK_PATTERNS, BOOK_TYPES, DRUG_WORDS, NOVEL_WORDS, PAPER, UNSUITABLE
+from docloom.functions.splitters import LOOK_AHEAD, MANUAL, NOVEL, REFERENCE_BOOK, TEXTBOOK
 from docloom.functions.text import ABSTRACT_PREFIX, DROPPED_ELEMENTS, ENTITIES, MASKS, PROMPT_HEAD, PROMPT_QUESTION, STOP_WORDS
 from docloom.config import EngineConfig
 from docloom.operators.chunking import ACADEMIC_HEADS, DRUG_LABELS, REFERENCE_START, SENTENCE, SENTENCE_END
@@ -12,6 +13,17 @@ from docloom.operators.sections import HEADING, PAGE_LINE
 CONFIG = EngineConfig()
 
 
+#: Headings for the splitters of books, which the test tables lack.
+TITLES = {
+    "textbook": ("第一章 绪论", "1.2 Basics of it", "例题 3 a case", "本章小结", "思考题"),
+    "novel": ("第二回 归来", "人物", "***", "场景", "---", "尾声"),
+    "manual": ("1. Open the lid", "Step 2: close it", "WARNING", "TIP", "步骤", "FAQ"),
+    "reference": ("Term: a word", "Definition 4", "Theorem 5", "Exercise 6", "References"),
+    "main": ("1 Scope of it", "2.1 Methods", "3 Results"),
+}
+WHOLE = "SELECT doc_id, 0 AS part, text AS t FROM documents"
+
+
 def lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -36,9 +48,9 @@ def abstract(x: str) -> str:
     return f"{lit(ABSTRACT_PREFIX)} || array_to_string(list_slice({kept}, 1, 18), ' ')"
 
 
-def pack(pieces: str, size: int, joiner: str, slack: int) -> str:
-    """A fold over the pieces; chunks as a list."""
-    fits = f"length(a.cur) + length(x) + {slack} <= {size}"
+def pack(pieces: str, size: int, joiner: str, slack: int, opens: str = "false") -> str:
+    """A fold over the pieces; chunks as a list. A piece for which `opens` holds starts a chunk."""
+    fits = f"(length(a.cur) + length(x) + {slack} <= {size} AND NOT ({opens}))"
     fold = (
         f"list_reduce({pieces}, lambda a, x: {{'done': CASE WHEN {fits} OR a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END, "
         f"'cur': CASE WHEN {fits} AND a.cur <> '' THEN a.cur || {joiner} || x ELSE x END}}, {{'done': []::VARCHAR[], 'cur': ''}})"
@@ -117,11 +129,12 @@ def count_of(x: str, words) -> str:
     return " + ".join(f"contains({x}, {lit(w)})::INT" for w in words)
 
 
-MARKED = "(SELECT doc_id, substring(text, 1, 1500) || (['', ' 目录 前言', ' Abstract: x', ' 第一章 习题', ' 小说 Copyright ©', ' 摘要 关键词 目录 前言', ' 手册 本书 读者', ' 药'])[doc_id % 8 + 1] AS t FROM documents)"
+MARKED = """(SELECT doc_id, CASE WHEN doc_id % 16 < 8 THEN mark || text ELSE substring(text, 1, 1900) || mark || substring(text, 1901) END AS t
+ FROM (SELECT doc_id, text, (['', ' 目录 前言 ', ' Abstract: x ', ' 第一章 习题 ', ' 小说 Copyright © ', ' 摘要 关键词 目录 前言 ', ' 手册 本书 读者 ', ' 药 '])[doc_id % 8 + 1] AS mark FROM documents))"""
 IS_ACADEMIC = f"({like_any('substring(t, 1, 2000)', ACADEMIC)})"
 IS_BOOK = (
-    f"(NOT (({count_of('substring(t, 1, 3000)', PAPER)}) >= 2 OR {IS_ACADEMIC}) AND (({count_of('t', BOOK)}) >= 2 OR "
-    f"({' + '.join(f'regexp_matches(t, {lit(p)})::INT' for p in BOOK_PATTERNS)}) >= 2))"
+    f"(NOT (({count_of('substring(t, 1, 3000)', PAPER)}) >= 2 OR {IS_ACADEMIC}) AND (({count_of('substring(t, 1, 3000)', BOOK)}) >= 2 OR "
+    f"({' + '.join(f'regexp_matches(substring(t, 1, 3000), {lit(p)})::INT' for p in BOOK_PATTERNS)}) >= 2))"
 )
 POLICY = "(['Where can I get a refund for the parking fee', 'I will sue the clinic in court', 'Please give me the doctor phone number', 'Can I fake the form to bypass the line', 'What are the rules about suing', 'Is there a rule on personal info and billing', 'When can I shower after the operation', 'A regulation says the physician  address is public'])[o_orderkey % 8 + 1] || ' ' || o_orderkey"
 PAGES = """(SELECT source AS file_name, doc_id AS page_no, CASE WHEN doc_id % 3 = 0 THEN 'Page 1 of 9' || chr(10)
@@ -165,12 +178,12 @@ def cleaned(x: str) -> str:
     return f"array_to_string({kept(f'string_split({x}, chr(1))')}, chr(10))"
 
 
-def paragraphs() -> str:
+def paragraphs(text: str = "replace(t, chr(10), chr(10) || chr(10))") -> str:
     fits = "length(a.cur) + length(x) + 2 <= 500"
     parts = pack(sentences("x"), 500, "''", 0)
     done = "CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END"
     fold = (
-        f"list_reduce({kept(r'''string_split_regex(replace(t, chr(10), chr(10) || chr(10)), '\n\s*\n')''')}, lambda a, x: {{'done': CASE WHEN {fits} THEN a.done WHEN length(x) <= 500 THEN {done} "
+        f"list_reduce({kept(rf'''string_split_regex({text}, '\n\s*\n')''')}, lambda a, x: {{'done': CASE WHEN {fits} THEN a.done WHEN length(x) <= 500 THEN {done} "
         f"ELSE list_concat({done}, list_slice({parts}, 1, -2)) END, 'cur': CASE WHEN {fits} AND a.cur = '' THEN x WHEN {fits} THEN a.cur || chr(10) || chr(10) || x WHEN length(x) <= 500 THEN x "
         f"ELSE coalesce(({parts})[-1], a.cur) END}}, {{'done': []::VARCHAR[], 'cur': ''}})"
     )
@@ -193,6 +206,73 @@ def academic() -> str:
     return f"list_transform([{sections}], lambda s: CASE WHEN len(s) = 0 THEN {lines_packed('t')} ELSE {packed} END)[1]"
 
 
+def hashed(rows: str) -> str:
+    """(doc_id, part, pos, chunk) -> the chunks' numbers and digests."""
+    return f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1)::INT AS chunk_index, sha1(chunk) AS chunk_sha1, length(chunk)::BIGINT AS n_chars FROM ({rows}) WHERE chunk <> ''"
+
+
+def length_rows(source: str, size: int = 500, overlap: int = 50) -> str:
+    """source(doc_id, part, t) -> (doc_id, part, pos, chunk): one window after the other."""
+
+    def end(at: str) -> str:
+        ahead = f"substring(t, {at} + {size + 1}, {LOOK_AHEAD})"
+        skip = f"length(regexp_extract({ahead}, '^[^ 。！？,，;；\\n\\t]*'))"
+        return f"{at} + {size} + CASE WHEN {skip} < length({ahead}) THEN {skip} + 1 ELSE 0 END"
+
+    return f"""SELECT doc_id, part, pos, {strip("substring(t, pos + 1, nxt - pos)")} AS chunk FROM (WITH RECURSIVE w AS (
+ SELECT doc_id, part, t, 0::BIGINT AS pos, ({end("0")})::BIGINT AS nxt FROM ({source}) WHERE length(t) > 0
+ UNION ALL SELECT doc_id, part, t, nxt - {overlap}, {end(f"(nxt - {overlap})")} FROM w WHERE nxt - {overlap} < length(t)) SELECT * FROM w)"""
+
+
+def tail(x: str, overlap: int) -> str:
+    """What the next chunk repeats of x: behind the last sentence end that leaves enough, else its last characters."""
+    target = f"least({overlap}, length({x}) // 3)"
+    behind = strip(f"substring({x}, i + 2)")
+    places = f"list_filter(range(greatest(0, length({x}) - {target} - {LOOK_AHEAD}) + 1, length({x})), lambda i: contains('。！？.!?', substring({x}, i + 1, 1)) AND length({behind}) >= {target} // 2)"
+    last = strip(f"right({x}, {target})")
+    return f"CASE WHEN length({x}) < 20 THEN '' WHEN len({places}) > 0 THEN {strip(f'substring({x}, list_max({places}) + 2)')} ELSE regexp_replace({last}, '^[,，;；.。!！?？]\\s*', '') END"
+
+
+def sentence_rows(source: str, size: int = 500, overlap: int = 50) -> str:
+    """source(doc_id, part, t) -> (doc_id, part, pos, chunk): sentences packed chunk by chunk; each chunk looks at the
+    one before the last."""
+
+    def next_end(at: str, lead: str) -> str:
+        room = f"{size + 1} - CASE WHEN {lead} = '' THEN 0 ELSE length({lead}) + 1 END"
+        return f"greatest({at} + 1, len(list_filter(total, lambda x: x <= total[{at} + 1] + {room})) - 1)"
+
+    found = kept(r"""regexp_extract_all(t, '[^。！？.?!]*[。！？.?!]+[」》”"]?\s*')""")
+    base = f"(SELECT doc_id, part, t, found, list_transform(range(0, len(found) + 1), lambda i: coalesce(list_sum(list_transform(list_slice(found, 1, i), lambda x: length(x) + 1)), 0)::BIGINT) AS total FROM (SELECT *, {found} AS found FROM ({source})))"
+    return f"""SELECT doc_id, part, pos, chunk FROM (WITH RECURSIVE c AS (
+ SELECT doc_id, part, found, total, 0::BIGINT AS pos, nxt, 0::BIGINT AS k, array_to_string(list_slice(found, 1, nxt), ' ') AS chunk, '' AS prev FROM (SELECT *, ({next_end("0", "''")})::BIGINT AS nxt FROM {base}) WHERE len(found) > 1
+ UNION ALL SELECT doc_id, part, found, total, nxt, stop, k + 1, CASE WHEN lead = '' THEN '' ELSE lead || ' ' END || array_to_string(list_slice(found, nxt + 1, stop), ' '), chunk
+ FROM (SELECT *, ({next_end("nxt", "lead")})::BIGINT AS stop FROM (SELECT *, CASE WHEN k >= 1 THEN {tail("prev", overlap)} ELSE '' END AS lead FROM c WHERE nxt < len(found)))) SELECT * FROM c)
+ UNION ALL {length_rows(f"SELECT doc_id, part, t FROM (SELECT doc_id, part, t, {found} AS found FROM ({source})) WHERE len(found) <= 1", size, overlap)}"""
+
+
+def headed(heads: tuple[str, ...], every: int) -> str:
+    """Documents with headings before some of their lines."""
+    listed = "[" + ", ".join(map(lit, heads)) + "]"
+    return f"(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1 + doc_id) % {every} = 1 THEN ({listed})[(i - 1 + doc_id) // {every} % {len(heads)} + 1] || chr(10) || l ELSE l END), chr(10)) AS t FROM documents)"
+
+
+def titled(name: str, patterns: tuple[str, ...], breaks: bool) -> str:
+    pattern = "|".join(patterns)
+    pieces = kept(f"string_split(regexp_replace(t, {lit(f'({pattern})')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))")
+    rule = r"'^[*\-]{3,}$'"
+    opens = f"regexp_matches(x, {lit(f'^(?:{pattern})')})" if breaks else f"regexp_matches(x, {rule}) OR regexp_matches(a.cur, {rule})"
+    return chunked(pack(pieces, 500, "chr(10)", 2, opens), headed(TITLES[name], 2))
+
+
+def main_parts() -> str:
+    source = headed(TITLES["main"], 4)
+    chapters = r"string_split(regexp_replace(t, '(\n[0-9]+(?:\.[0-9]+)*\s+[^\n]+)', chr(1) || '\1', 'g'), chr(1))"
+    rows = f"SELECT doc_id, unnest(list_slice(p, 2, len(p))) AS t, unnest(range(1, len(p))) AS part FROM (SELECT doc_id, {chapters} AS p FROM {source}) WHERE len(p) > 2"
+    rows = f"SELECT doc_id, part, {strip('t')} AS t FROM ({rows})"
+    whole = f"SELECT doc_id, generate_subscripts(c, 1) AS part, 0 AS pos, unnest(c) AS chunk FROM (SELECT doc_id, {paragraphs('t')} AS c FROM {source} WHERE len({chapters}) <= 2)"
+    return hashed(f"SELECT doc_id, part, 0 AS pos, t AS chunk FROM ({rows}) WHERE length(t) <= 500 UNION ALL {sentence_rows(f'SELECT * FROM ({rows}) WHERE length(t) > 500')} UNION ALL {whole}")
+
+
 def references() -> str:
     items = kept(f"string_split_regex(t, {lit(REFERENCE_START)})")
     joined = "array_to_string(list_transform(list_slice(it, g * 5 + 1, g * 5 + 5), lambda x, j: '[' || j || '] ' || x), chr(10))"
@@ -205,7 +285,7 @@ CONTAINED = (
     f"list_reduce(list_filter(list_transform(string_split_regex(text, '[.,]'), lambda c: {strip('c')}), lambda s: {KEEP}), lambda a, x: "
     "CASE WHEN len(a) = 0 OR NOT (contains(a[-1], x) OR contains(x, a[-1])) THEN list_append(a, x) WHEN length(x) > length(a[-1]) THEN list_append(a[:-2], x) ELSE a END, []::VARCHAR[])"
 )
-LOCAL = "'[LOCAL:' || source || ':' || (2015 + doc_id % 10) || '] ' || substring(text, 1, 300)"
+LOCAL = "'[LOCAL:' || source || ':' || (2015 + doc_id % 10) || '] ' || text"
 LINKS = r"""WITH h AS (SELECT url, regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*"([^"]*)"', 1) AS hs FROM pages),
 a AS (SELECT url, list_transform(hs, lambda x: replace(x, '&amp;', '&')) AS hs, regexp_extract(url, '^(https?):', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root, regexp_replace(url, '[?#].*$', '') AS plain FROM h),
 b AS (SELECT *, CASE WHEN regexp_matches(plain, '^https?://[^/]*$') THEN plain || '/' ELSE regexp_replace(plain, '[^/]*$', '') END AS folder FROM a),
@@ -259,6 +339,13 @@ SELECT file_name, coalesce(max(section_id), '0') AS section_id, coalesce(max(sec
     "segment_ids": f"SELECT doc_id, i::INT AS j, sha1(source || '|0|' || i || '|' || substring(c, 1, 80)) AS seg_id FROM (SELECT doc_id, source, unnest(w) AS c, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, source, {WINDOWS} AS w FROM documents))",
     "pack_paragraphs": chunked(paragraphs()),
     "pack_sentences": chunked(pack(sentences("t"), 500, "''", 0)),
+    "length_chunks": hashed(length_rows(WHOLE)),
+    "sentence_chunks": hashed(sentence_rows(WHOLE)),
+    "main_content_chunks": main_parts(),
+    "textbook_chunks": titled("textbook", TEXTBOOK, True),
+    "novel_chunks": titled("novel", NOVEL, False),
+    "manual_chunks": titled("manual", MANUAL, True),
+    "reference_chunks": titled("reference", REFERENCE_BOOK, True),
     "pack_words": chunked(pack(r"list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')", 500, "' '", 2)),
     "pack_lines": chunked(lines_packed("t")),
     "pack_default": chunked(default_packed()),
@@ -283,7 +370,7 @@ FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://a.example/' || doc_id
 z AS (SELECT est, scale, CASE WHEN est > 100 THEN floor(500 * scale) ELSE 500 END AS size FROM s)
 SELECT est AS est_chunks, size::BIGINT AS chunk_size, CASE WHEN est > 100 THEN least(floor(50 / scale), floor(size / 3)) ELSE 50 END::BIGINT AS chunk_overlap FROM z""",
     "review_latest": f"SELECT * FROM {reviewed(REVIEWS)}",
-    "review_pending": f"""SELECT task_id::BIGINT AS task_id, request_id, seq FROM (SELECT *, row_number() OVER (ORDER BY seq) AS task_id FROM {reviewed(f"(SELECT * FROM {REVIEWS} WHERE seq % 5 <> 0 OR action = 'enqueue')")}) WHERE status = 'PENDING' OR request_id % 2 = 0 ORDER BY seq LIMIT 20""",
+    "review_pending": f"""SELECT task_id::BIGINT AS task_id, request_id, seq FROM (SELECT *, row_number() OVER (ORDER BY seq) AS task_id FROM {reviewed(REVIEWS)}) WHERE status = 'PENDING' OR request_id % 2 = 0 ORDER BY seq LIMIT 20""",
     "deliver_status": f"""SELECT u.request_id, CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'PENDING' THEN 'pending_review' ELSE 'delivered' END AS result,
  CASE WHEN status <> 'PENDING' THEN coalesce(nullif(final_text, ''), nullif(draft, ''), '') END AS text FROM (SELECT DISTINCT user_id AS request_id FROM events UNION ALL SELECT -5) u LEFT JOIN {reviewed(REVIEWS)} r ON r.request_id = u.request_id""",
     "exposure_latest": """WITH r AS (SELECT user_id, max(event_id) AS s FROM events WHERE event_type = 'signup' GROUP BY 1),

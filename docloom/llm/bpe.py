@@ -1,8 +1,8 @@
 """Operator 1, byte-level BPE encoding and decoding by dynamic programming over prefixes.
 
 A byte pair encoding of a prefix has one last token only. For every prefix, longest first, the tokens that
-are a suffix of it come from an automaton over the vocabulary (one step per byte; each state lists the
-tokens that end there). Such a token is the last one if it starts the word or if the last token of the
+are a suffix of it come from an automaton of the vocabulary's prefixes with links between suffixes (one step per
+byte; along the links lie the tokens that end there). Such a token is the last one if it starts the word or if the last token of the
 prefix before it and the token itself stay two tokens when their bytes are merged by rank. That pair test
 undoes merges on both sides of the border and looks for a merge across it that would have come first.
 Back-pointers from the whole word give the ids. Words (the pre-tokenizer's pieces) are remembered per
@@ -10,13 +10,16 @@ worker, up to a bound on their number, as the same bytes have the same ids.
 
 Cases: a null text is empty; it has no tokens and decodes to the empty text. Texts of any length are
 encoded whole; a piece of any length takes time in proportion to it. Rows stand for themselves, so repeated
-rows, ties and other columns need no rule.
+rows and ties need no rule; an empty table gives an empty one. Other columns pass through, those named like the
+new ones are replaced. Vocabularies in which two merges make one token, or added tokens look at their
+surroundings, are an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, slices
 
 #: The pre-tokenizer's pattern, a fixed value of byte-level vocabularies; white space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-REMEMBERED = 1_000_000
+#: Words remembered per worker (twice as many at most, and as many pairs), and the longest of them in characters.
+REMEMBERED, LONGEST = 1 << 17, 64
 
 
 def default_vocabulary() -> str:
@@ -52,63 +56,69 @@ class Codec:
         of_char = byte_characters()
         model = vocabulary["model"]
         self.token = {i: bytes(of_char[c] for c in text) for text, i in model["vocab"].items() if all(c in of_char for c in text)}
-        self.special = {x["content"]: x["id"] for x in vocabulary.get("added_tokens", ())}
+        added = vocabulary.get("added_tokens", ())
+        if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings aren't supported")
+        self.special = {x["content"]: x["id"] for x in added}
         self.token |= {i: text.encode() for text, i in self.special.items()}
         ids = {text: i for i, text in self.token.items() if i not in self.special.values()}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         self.rank: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             left, right = (ids[bytes(of_char[c] for c in x)] for x in (a, b))
             whole = ids[self.token[left] + self.token[right]]
+            if whole in self.rank:
+                raise ValueError(f"two merges make token {whole}; last tokens of prefixes aren't unique then")
             self.rank[whole] = rank
-            self.merged[left, right] = whole
-            self.halves.setdefault(whole, (left, right))
+            self.merged[left << 32 | right] = whole
+            self.halves[whole] = left, right
         self._automaton(ids)
         self.pairs: dict[int, bool] = {}
+        #: Words seen of late and, of about as many before those, the ones to fall back on.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
-        """States are prefixes of tokens. step: by state and byte, along suffix links where need be.
-        ends: tokens that are suffixes of the state, longest first, with their lengths."""
-        self.step: list[dict[int, int]] = [{}]
-        own: list[int | None] = [None]
+        """States are prefixes of tokens, numbered layer by layer of nothing but numbers: child by state and byte,
+        link to the longest proper suffix that is a state, own token (-1 for none), the state's depth, and the next
+        state along the links that has a token."""
+        self.child: dict[int, int] = {}
+        parent, byte = array("i", [0]), bytearray(1)
+        self.own, self.depth = array("i", [-1]), array("i", [0])
         for text, i in ids.items():
             at = 0
-            for b in text:
-                nxt = self.step[at].get(b)
+            for n, b in enumerate(text, 1):
+                nxt = self.child.get(at << 8 | b)
                 if nxt is None:
-                    nxt = self.step[at][b] = len(self.step)
-                    self.step.append({})
-                    own.append(None)
+                    nxt = self.child[at << 8 | b] = len(self.own)
+                    parent.append(at)
+                    byte.append(b)
+                    self.own.append(-1)
+                    self.depth.append(n)
                 at = nxt
-            own[at] = i
-        self.link = [0] * len(self.step)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        layer = list(self.step[0].values())
-        while layer:
-            below = []
-            for state in layer:
-                if own[state] is not None:
-                    self.ends[state] = ((own[state], len(self.token[own[state]])),)
-                self.ends[state] += self.ends[self.link[state]]
-                for b, child in self.step[state].items():
-                    up = self.link[state]
-                    while up and b not in self.step[up]:
-                        up = self.link[up]
-                    self.link[child] = self.step[up].get(b, 0)
-                    below.append(child)
-            layer = below
+            self.own[at] = i
+        self.link, self.more = array("i", [0]) * len(self.own), array("i", [0]) * len(self.own)
+        for state in sorted(range(1, len(self.own)), key=self.depth.__getitem__):
+            up, b = parent[state], byte[state]
+            if up:
+                up = self.link[up]
+                while up and up << 8 | b not in self.child:
+                    up = self.link[up]
+                up = self.child.get(up << 8 | b, 0)
+            self.link[state] = up
+            self.more[state] = up if self.own[up] >= 0 else self.more[up]
+        self.own, self.depth, self.link, self.more = (x.tolist() for x in (self.own, self.depth, self.link, self.more))
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves left and right as two tokens when their bytes stand side by side."""
         rank, halves, merged = self.rank, self.halves, self.merged
         bound = len(rank) + 1
         while True:
-            across = merged.get((left, right))
+            across = merged.get(left << 32 | right)
             if across is not None and rank[across] < bound:
                 return False
             a, b = rank.get(left, -1), rank.get(right, -1)
@@ -124,23 +134,25 @@ class Codec:
     def encode_word(self, data: bytes) -> list[int]:
         last = [0] * (len(data) + 1)
         size = [0] * (len(data) + 1)
-        step, link, ends, pairs = self.step, self.link, self.ends, self.pairs
+        child, link, own, depth, more, pairs = self.child, self.link, self.own, self.depth, self.more, self.pairs
         state = 0
-        for end in range(1, len(data) + 1):
-            b = data[end - 1]
-            while state and b not in step[state]:
+        for end, b in enumerate(data, 1):
+            while state and state << 8 | b not in child:
                 state = link[state]
-            state = step[state].get(b, 0)
-            for token, length in ends[state]:
+            state = child.get(state << 8 | b, 0)
+            suffix = state if own[state] >= 0 else more[state]
+            while suffix:
+                token, length = own[suffix], depth[suffix]
                 start = end - length
                 if start:
                     key = last[start] << 32 | token
                     ok = pairs.get(key)
                     if ok is None:
-                        ok = pairs[key] = self.stays_apart(last[start], token)
-                        if len(pairs) > 2 * REMEMBERED:
+                        if len(pairs) >= 2 * REMEMBERED:
                             pairs.clear()
+                        ok = pairs[key] = self.stays_apart(last[start], token)
                     if not ok:
+                        suffix = more[suffix]
                         continue
                 last[end], size[end] = token, length
                 break
@@ -154,9 +166,11 @@ class Codec:
         return out[::-1]
 
     def _packed(self, word: str) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = packed = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        packed = self.older.get(word) or array("I", self.encode_word(word.encode())).tobytes()
+        if len(word) <= LONGEST:
+            if len(self.words) >= REMEMBERED:
+                self.words, self.older = {}, self.words
+            self.words[word] = packed
         return packed
 
     def encode_packed(self, text: str) -> bytes:
@@ -166,9 +180,7 @@ class Codec:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            words = self.words
-            for word in self.pieces.findall(part):
-                out.append(words.get(word) or self._packed(word))
+            out += [self.words.get(word) or self._packed(word) for word in self.pieces.findall(part)]
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -178,7 +190,7 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(vocabulary_text: str) -> Codec:
     return Codec(json.loads(vocabulary_text))
 
@@ -192,7 +204,7 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: pa.Schema, ddl: str, row,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [row(own, t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays(

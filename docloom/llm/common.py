@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,17 +14,21 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII white space characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Python code takes so many rows of an Arrow batch at a time, which bounds what it holds beside the batch.
+SLICE_ROWS = 512
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The session's spark.checkpoint.dir rules; only where
-    it is unset (tests, one machine) a temporary folder takes its place."""
+    it is unset and all runs in one process (tests) a temporary folder takes its place."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not configured:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="docloom-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)
@@ -48,6 +54,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, with all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS rows. At the end of the task's input, memory that workers would keep
+    for later tasks goes back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and use it many times: the binding is a lambda variable, which the
     optimizer never inlines."""

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 from .simhash import SEED
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, FLIPS = 5, 0.8, 20, 7, 2
@@ -41,14 +40,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_hash(word: bytes) -> int:
+def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
     """A hash for every run of width words (of them all if there are fewer), from the words' hashes."""
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
     width = min(width, len(h))
     if not width:
         return h
@@ -173,7 +171,7 @@ def _with_matches(docs: DataFrame, block: list[tuple[int, str]], text: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Items(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = [[{"item": own.ids[i], "similarity": s, "first": f, "words": n} for i, s, f, n in own.matches(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "__found"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 _RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|video|audio|math"
 _TOKEN = re.compile(
@@ -215,7 +215,7 @@ def fit_weights(pages: DataFrame, column: str = "html") -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             total += count_classes(batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([c for _, c in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], names=["kind", "inside", "n"])
 
@@ -230,7 +230,7 @@ def extract_text(pages: DataFrame, weight: dict[str, float] | None = None, colum
     types = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(x, weight) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 

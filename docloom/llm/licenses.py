@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, slices
 
 MIN_PROBABILITY, CONFIRM = 0.5, 0.5
 VARIANTS, STEPS, PENALTY = 20, 150, 0.01
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         anchors = sorted(own.anchors)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 lines = (t or "").split("\n")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, store
+from .common import read_table, slices, store
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, SUPPORT, GENERALISE, REMOVE = 3, 5, 0.8, 0.95
@@ -125,7 +125,7 @@ def _joint(support: int):
             counts.clear()
             anywhere.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             totals[None] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text or "")
@@ -194,7 +194,7 @@ def _marked(sent, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             before = column["__terms"].to_pylist() if "__terms" in column else [None] * batch.num_rows
             spans, found = [], []
@@ -242,7 +242,7 @@ def mask_text(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = [
                 t if not spans and not told else mask(t or "", [(x["s"], x["e"], x["kind"]) for x in spans or ()], [(x["s"], x["e"], x["kind"], x["score"]) for x in told or ()])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, store
+from .common import read_table, slices, store
 
 SAMPLE, TERMS = 20_000, 3_000
 PRECISION, EVIDENCE, SHARES = 0.85, 11.0, 4
@@ -54,7 +54,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         clean: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (total if y else clean).update(text_terms(text))
         terms = list(total.keys() | clean.keys())
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     number = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(number[t] for t in text_terms(x) if t in number) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["hits"])
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, weight: dict[str, float], bias: float, text: str = "t
         # A word and its beginnings, as terms of the model. Words are remembered up to a bound.
         of_word: dict[str, tuple[str, ...]] = {}
         nothing: tuple[str, ...] = ()
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 found: set[str] = set()

@@ -15,7 +15,7 @@ from .common import materialize
 
 def _with_min(sides: DataFrame) -> DataFrame:
     """sides(u, v) -> (u, v, m): m is the least of u and all its v."""
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = materialize(sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return sides.join(least, "u")
 
 

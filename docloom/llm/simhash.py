@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, slices
 from .components import components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, column: st
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             made = np.array([fingerprint(shingle_hashes(words_of(t), width)) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(made)], names=[*kept, column])
@@ -202,7 +202,8 @@ def cluster(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, hot
     by_print = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("__least")))
     reach = components(links(by_print.select("fp"), radius, hot))
     roots = by_print.join(reach.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = roots.groupBy("root").agg(F.min("__least").alias("component_id"))
+    # Written first, so that the join meets plain shuffles, whose hot keys the adaptive join can split.
+    least = materialize(roots.groupBy("root").agg(F.min("__least").alias("component_id")))
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.drop("component_id").join(named, "fp")
 

@@ -1,17 +1,21 @@
 """Operator 9, licence scans: a trained paragraph classifier, confirmed by templates.
 
-A multinomial logistic regression over sparse word n-grams (one to three words) is trained here on template
-paragraphs of licence families, on variants of them (words left out, words of other prose before and after) and
-on prose that is no licence, the class unknown. A temperature, fitted on variants kept from training, calibrates
-the probabilities; below MIN_PROBABILITY a paragraph is unknown. A prediction counts when a template of the
-family confirms it: most of the template's word pairs are in the paragraph, or most of the paragraph's are in
-the template, and the paragraph has one of the family's own words.
-
-Paragraphs are the lines of a text. Those without any family's own word can't be confirmed and stay unknown
-without being scored.
-
-Cases: null and empty texts have no paragraphs; very long paragraphs are scored whole; repeated rows come out
-once per row; ties between families go to the first by name.
+A multinomial logistic regression over sparse word n-grams (one to three words) is trained here. Its examples are
+notices: the names of licence families in frames ("Licensed under the ..."), paragraphs of licence texts, and variants
+of both (words left out, words of prose before and after). The class unknown has the same frames with the names of
+other licences, so that a frame alone says nothing, and prose, some of it with words of licence names. A temperature,
+fitted on frames, names and prose that training doesn't see, calibrates the probabilities; below MIN_PROBABILITY a
+paragraph is unknown. A prediction counts when a template of the family confirms it: a window of the paragraph, half as
+long again as the template, holds CONFIRM or more of the template's words in their order (of the
+paragraph's if these are fewer, but WHOLE at least: notices are wrapped), and with them the words that distinguish the family, but none that distinguishes another one from it.
+
+Paragraphs are the lines of a text. One of several sentences and more than LONG words is judged sentence by sentence,
+too, and has the most probable family found. Lines without any distinguishing word can't be confirmed, so they are
+unknown without being scored.
+
+Cases: null and empty texts have no paragraphs, an empty table gives an empty one; very long paragraphs are judged
+whole; repeated rows come out once per row; ties between families go to the first by name. Columns named like the new
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,65 +32,121 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table, slices
 
-MIN_PROBABILITY, CONFIRM = 0.5, 0.5
-VARIANTS, STEPS, PENALTY = 20, 150, 0.01
+MIN_PROBABILITY, CONFIRM, LONG, WHOLE = 0.5, 0.75, 40, 8
+STEPS, RATE, PENALTY = 120, 0.5, 0.002
 UNKNOWN = "unknown"
 
-#: Public notices by which works name their licence.
-TEMPLATES = {
+#: Names of licences as notices write them.
+NAMES = {
+    "agpl": ["GNU Affero General Public License, version 3", "Affero General Public License", "GNU AGPL v3", "AGPL 3.0", "AGPL-3.0-or-later", "AGPLv3"],
+    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache License v2", "Apache Software License", "Apache licence"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "BSD-3-Clause", "BSD-2-Clause", "3-clause BSD license", "new BSD licence", "BSD-style license"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 License", "CC BY 4.0", "CC-BY-SA 4.0", "CC BY-SA 3.0", "CC BY", "CC-BY-4.0", "Creative Commons Attribution 3.0 Unported"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 License", "CC BY-NC 4.0", "CC-BY-NC-SA 4.0", "CC BY-NC 3.0", "CC BY-NC-ND 4.0", "CC-BY-NC-4.0"],
+    "cc0": ["CC0 1.0", "CC0 1.0 Universal", "CC0", "Creative Commons Zero", "CC0-1.0", "Creative Commons CC0 public domain dedication"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License", "GNU GPL", "GPL, version 2 or later", "GPL v2", "GPLv3", "GPL-3.0-or-later", "GPL-2.0-only", "GPL 3.0"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "Lesser General Public License", "GNU LGPL", "LGPL v3", "LGPL-2.1-or-later", "LGPLv2.1", "GNU Library General Public License"],
+    "mit": ["MIT License", "MIT", "MIT licence", "Expat/MIT license", "MIT/X11 license", "MIT license (MIT)"],
+    "mpl": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0", "MPL 1.1"],
+}
+#: Names of licences outside the families.
+OTHERS = [
+    "Eclipse Public License 2.0", "EPL-2.0", "ISC License", "ISC", "European Union Public Licence 1.2", "EUPL 1.2", "EUPL", "Boost Software License 1.0", "BSL-1.0", "zlib License", "zlib/libpng license",
+    "Artistic License 2.0", "Perl Artistic License", "Common Development and Distribution License", "CDDL 1.0", "Microsoft Public License", "MS-PL", "SIL Open Font License 1.1", "OFL-1.1", "WTFPL",
+    "PostgreSQL License", "Python Software Foundation License", "PSF-2.0", "Open Database License", "ODbL 1.0", "Business Source License 1.1", "Server Side Public License", "SSPL", "Academic Free License 3.0", "IBM Public License",
+    "Ruby License", "PHP License 3.01", "Common Public License 1.0", "Q Public License", "Sleepycat License", "Universal Permissive License", "CeCILL 2.1", "W3C Software Notice", "NASA Open Source Agreement", "Community Data License Agreement",
+    "standard commercial license", "site licence", "end user license agreement", "open source license", "public licence", "free license", "general license, version 3", "software license 2.0", "Creative Commons", "Creative Commons Attribution-NoDerivatives 4.0", "CC BY-ND 4.0",
+]
+#: Frames of training and, apart from these, of calibration.
+FRAMES = (
+    "{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is distributed under the terms of the {}", "SPDX-License-Identifier: {}",
+    "License: {}", "{} licensed.", "Code: {}", "Published under {}", "This Source Code Form is subject to the terms of the {}.", "Copyright 2021 the authors. {}.", "Available under the {} license", "Use of this source code is governed by the {}",
+    "This library is licensed under the {}.", "Permission is granted to copy it under the terms of the {} as published by the foundation",
+)
+HELD_FRAMES = ("may be used under the terms of the {}", "The project uses the {}.", "Copyright 2020 Example Ltd, under {}", "This file is part of Foo, which is covered by the {}", "see the file LICENSE ({})", "distributed under the {}", "Licence of the data: {}")
+#: Paragraphs of licence texts and notices without a name, each with words that must be in it.
+BODIES = {
+    "agpl": [("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "affero")],
     "apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
+        ("you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0", "compliance apache"),
+        ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "unless applicable writing basis"),
     ],
     "bsd": [
-        "Released under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary permitted"),
+        ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions binary disclaimer"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither contributors endorse promote"),
+        ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", "provided contributors merchantability disclaimed"),
+    ],
+    "cc0": [
+        ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived copyright"),
+        ("the author has dedicated all copyright to the public domain under CC0 1.0.", "cc0"),
     ],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under CC BY-SA 4.0."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
-    "cc0": ["To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0.", "Released into the public domain under CC0."],
     "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Licensed under the GPL, version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "gnu redistribute"),
+        ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", "hope warranty gnu"),
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl": [("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lesser library")],
     "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "hereby granted charge obtaining"),
+        ("including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "merge sublicense furnished"),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "notice copies substantial portions"),
+        ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", "provided warranty kind express"),
+    ],
+    "mpl": [("If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla.org MPL 2.0", "mpl obtain")],
+    "reserved": [
+        ("All rights reserved.", "all rights reserved"),
+        ("Copyright the authors. All rights reserved.", "all rights reserved"),
+        ("Unauthorized copying of this file, via any medium, is strictly prohibited", "unauthorized copying prohibited"),
+        ("No part of this work may be reproduced without written permission of the publisher", "part reproduced permission"),
+        ("No part of this publication may be reproduced, distributed or transmitted in any form or by any means without the prior written permission", "part reproduced permission"),
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "reserved": ["All rights reserved.", "Copyright the authors. All rights reserved.", "No part of this work may be reproduced without written permission of the publisher."],
 }
+#: Names that are common words, too, count with a neighbour only.
+COMMON = {"mit": ["license mit", "licence mit", "identifier mit", "code mit", "under mit", "mit licensed", "mit style"]}
+#: Words that distinguish a family (one of them must be there) and words that belong to another one.
+OWN = {
+    "agpl": {"affero", "agpl", "agplv3"}, "apache": {"apache"}, "bsd": {"bsd"}, "cc-by": {"cc", "attribution"}, "cc-by-nc": {"nc", "noncommercial"}, "cc0": {"cc0", "zero"},
+    "gpl": {"gnu", "gpl", "gplv2", "gplv3"}, "lgpl": {"lesser", "library", "lgpl", "lgplv2.1", "lgplv3"}, "mit": {"mit"}, "mpl": {"mozilla", "mpl"},
+}
+NEVER = {"cc-by": {"nc", "noncommercial", "nd", "noderivatives"}, "gpl": {"affero", "lesser", "agpl", "lgpl"}}
 PROSE = [
     "She renewed her driving licence at the office in the city last week.",
     "The doctor was licensed to practise medicine in the state.",
     "A public meeting about the new version of the plan will be held on Monday.",
     "The general said that the work of the foundation is free for any person.",
     "Apache helicopters flew over the general area in the morning.",
+    "The Apache people lived in the mountains under the terms of a treaty.",
     "Researchers at MIT released a report about the use of software in schools.",
+    "He studied at MIT and holds a license to teach.",
+    "GNU is the name of a kind of antelope that lives in large herds.",
+    "Mozilla published a public report about the state of the web.",
+    "The library is open to the public, and a lesser known branch is in the old town.",
+    "BSD is a family of operating systems with a long history.",
     "The source of the river is in the mountains and its form is subject to the seasons.",
     "He wrote to the author under a different name and used the file as a copy.",
     "Permission to build was granted by the city on the following conditions.",
     "The terms of the agreement were published by the company in its annual report.",
     "Attribution of the painting is uncertain, and all the experts disagree.",
     "This is a common creative exercise for a class of young writers.",
-    "The library is open to the public from nine to five.",
     "The domain of the function is the set of all numbers to which it applies.",
+    "The rights of all workers were reserved for a later discussion.",
     "You can find the documentation on the following page of the manual.",
+    "The software is provided to all members of the club at the front desk.",
+    "No part of the house was open to visitors without a guide.",
+    "Any copy of the letter should be sent to the office, with cc to the director.",
+    "Redistribution of wealth was the topic of the lecture.",
+    "The warranty of the car covers any kind of damage.",
     "La licencia de conducir se renueva en la oficina de la ciudad.",
-    "Das Werk wurde unter der Leitung des Direktors in der Stadt gezeigt.",
+    "Das Werk wurde unter der Leitung des Direktors mit Erfolg in der Stadt gezeigt.",
+    "Der Plan wurde mit der Lizenz der Stadt gebaut, die Arbeit begann mit dem Dach.",
     "Le permis de construire est accordé par la ville pour une durée de trois ans.",
 ]
-#: Words that no family has as its own.
-FUNCTION = frozenset("or are with without that can be not use used this these is in of to and may any met form forms code found style files charge identifier provided permitted modification reproduced published no has into part possible written later international program".split())
+HELD_PROSE = [
+    "The MIT team won the cup again this year.", "An Apache pilot was the guest of the evening.", "The zero line of the chart marks the mean.", "The general public is free to visit the library.", "All seats are reserved for members.",
+    "Copies of the report are provided without charge.", "The licence of the pub ends in May.", "Un permis de conduire est valable dix ans.", "Die Fahrt mit dem Bus kostet nichts.", "Public domain films are shown under the stars.",
+]
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
 def words(paragraph: str) -> list[str]:
@@ -96,39 +157,52 @@ def grams(ws: list[str]) -> set[str]:
     return {" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)}
 
 
-def pairs(ws: list[str]) -> set[tuple[str, str]]:
-    return set(zip(ws, ws[1:], strict=False)) or {(w, "") for w in ws}
+def aligned(template: list[str], window: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(window) + 1)
+    for t in template:
+        before = row
+        row = [0]
+        for k, w in enumerate(window):
+            row.append(before[k] + 1 if w == t else max(before[k + 1], row[k]))
+    return row[-1]
+
+
+def examples(frames: tuple[str, ...], prose: list[str], seed: int, others: list[str], variants: int = 2) -> list[tuple[list[str], str]]:
+    """(words, family) of notices, bodies, other licences and prose, with variants."""
+    rng = random.Random(seed)
+    whole = [(f.format(n), family) for family, names in NAMES.items() for f, n in product(frames, names)]
+    whole += [(f.format(n), UNKNOWN) for f, n in product(frames, others)]
+    whole += [(text, family) for family, texts in BODIES.items() for text, _ in texts for _ in range(8)]
+    whole += [(p, UNKNOWN) for p in prose for _ in range(8)]
+    out = []
+    for text, family in whole:
+        ws = words(text)
+        out.append((ws, family))
+        for _ in range(variants - 1):
+            keep = NEVER.get(family, set()) | OWN.get(family, set())
+            some = [w for w in ws if w in keep or rng.random() > 0.12]
+            before, after = (words(rng.choice(prose)) for _ in range(2))
+            out.append((before[: rng.randrange(7)] + some + after[: rng.randrange(7)], family))
+    return out
 
 
 class Model:
     """The trained classifier with its templates."""
 
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, prose: list[str] = PROSE, seed: int = 7):
-        self.families = [*sorted(templates), UNKNOWN]
-        self.templates = {f: [pairs(words(t)) for t in ts] for f, ts in templates.items()}
-        common = {w for p in prose for w in words(p)}
-        self.own = {f: {w for t in ts for w in words(t) if len(w) > 1 and w not in common and w not in FUNCTION and not w[0].isdigit()} for f, ts in templates.items()}
-        self.anchors = set().union(*self.own.values())
-        rng = random.Random(seed)
-        rows, target = [], []
-        for f in self.families:
-            for t in templates.get(f, prose):
-                for k in range(VARIANTS):
-                    ws = words(t)
-                    if k:
-                        ws = [w for w in ws if rng.random() > 0.1]
-                        around = [words(rng.choice(prose)) for _ in range(2)]
-                        ws = around[0][: rng.randrange(6)] + ws + around[1][: rng.randrange(6)]
-                    rows.append(grams(ws))
-                    target.append(self.families.index(f))
-        kept = [i for i in range(len(rows)) if i % 5 == 4]
-        used = [i for i in range(len(rows)) if i % 5 != 4]
-        self.number = {g: i for i, g in enumerate(sorted(set().union(*(rows[i] for i in used))))}
-        self.weight = self._train([rows[i] for i in used], np.array([target[i] for i in used]))
+    def __init__(self, seed: int = 7):
+        self.families = [*sorted(NAMES.keys() | BODIES.keys()), UNKNOWN]
+        self.templates = {f: [(words(n), frozenset()) for n in [*COMMON.get(f, ()), *NAMES.get(f, ())] if n.lower() not in COMMON] + [(words(t), frozenset(must.split())) for t, must in BODIES.get(f, ())] for f in self.families}
+        self.anchors = set().union(*OWN.values(), *(must for ts in self.templates.values() for _, must in ts))
+        train = examples(FRAMES, PROSE, seed, OTHERS[::2])
+        rows = [grams(ws) for ws, _ in train]
+        self.number = {g: i for i, g in enumerate(sorted(set().union(*rows)))}
+        self.weight = self._train(rows, np.array([self.families.index(f) for _, f in train]))
         self.temperature = 1.0
-        z = np.array([self._logits(rows[i]) for i in kept])
-        y = np.array([target[i] for i in kept])
-        self.temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean())
+        held = examples(HELD_FRAMES, HELD_PROSE, seed + 1, OTHERS[1::2])
+        z = np.array([self._logits(grams(ws)) for ws, _ in held])
+        y = np.array([self.families.index(f) for _, f in held])
+        self.temperature = min(np.geomspace(0.1, 4, 30).tolist(), key=lambda t: -np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean())
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -136,41 +210,61 @@ class Model:
         return e / e.sum(-1, keepdims=True)
 
     def _train(self, rows: list[set[str]], target: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.number) + 1), np.float32)
-        for line, row in zip(x, rows, strict=True):
-            found = [self.number[g] for g in row]
-            line[found] = 1 / np.sqrt(len(found) or 1)
-            line[-1] = 1
+        """Full gradient steps with a scale for each weight; examples are lists of columns, the last is the bias."""
+        found = [sorted(self.number[g] for g in row) for row in rows]
+        size = np.array([len(x) for x in found])
+        line, column = np.repeat(np.arange(len(rows)), size), np.concatenate(found).astype(int)
+        value = (1 / np.sqrt(size))[line].astype(np.float32)
+        starts = np.cumsum(size) - size
+        by_column = np.argsort(column, kind="stable")
+        first = np.searchsorted(column[by_column], np.arange(len(self.number)))
         y = np.eye(len(self.families), dtype=np.float32)[target]
-        w, seen = np.zeros((x.shape[1], y.shape[1]), np.float32), np.full((x.shape[1], y.shape[1]), 1e-8, np.float32)
+        share = (1 / np.bincount(target, minlength=len(self.families)).clip(1))[target][:, None].astype(np.float32) * len(rows) / len(self.families)
+        w = np.zeros((len(self.number) + 1, len(self.families)), np.float32)
+        seen = np.full_like(w, 1e-6)
         for _ in range(STEPS):
-            g = x.T @ (self._softmax(x @ w) - y) + PENALTY * w
+            z = np.add.reduceat(w[column] * value[:, None], starts) + w[-1]
+            error = (self._softmax(z) - y) * share
+            g = np.append(np.add.reduceat((error[line] * value[:, None])[by_column], first), error.sum(0, keepdims=True), axis=0) / len(rows)
+            g[:-1] += PENALTY / len(rows) * w[:-1]
             seen += g * g
-            w -= 0.5 * g / np.sqrt(seen)
+            w -= RATE * g / np.sqrt(seen)
         return w
 
     def _logits(self, row: set[str]) -> np.ndarray:
         found = [self.number[g] for g in row if g in self.number]
         return self.weight[found].sum(0) / np.sqrt(len(row) or 1) + self.weight[-1]
 
+    def probabilities(self, ws: list[str]) -> np.ndarray:
+        return self._softmax(self._logits(grams(ws)) / self.temperature)
+
     def predict(self, ws: list[str]) -> tuple[str, float]:
-        p = self._softmax(self._logits(grams(ws)) / self.temperature)
+        p = self.probabilities(ws)
         k = int(p.argmax())
         return (self.families[k], float(p[k])) if p[k] >= MIN_PROBABILITY else (UNKNOWN, float(p[-1]))
 
     def confirmed(self, ws: list[str], family: str) -> bool:
-        if family == UNKNOWN or not self.own[family].intersection(ws):
+        if family == UNKNOWN or NEVER.get(family, set()).intersection(ws):
             return False
-        have = pairs(ws)
-        return any(len(t & have) >= CONFIRM * len(t) or len(t & have) >= CONFIRM * len(have) for t in self.templates[family])
+        for template, must in self.templates[family]:
+            anchor, span = must or OWN[family], len(template) * 3 // 2
+            for at in (i for i, w in enumerate(ws) if w in anchor):
+                window = ws[max(0, at - span) : at + span]
+                need = CONFIRM * (len(template) if len(ws) < WHOLE else min(len(template), len(ws)))
+                if must <= set(window) and any(aligned(template, window[k : k + span]) >= need for k in range(max(1, len(window) - span + 1))):
+                    return True
+        return False
 
     def paragraph(self, line: str) -> tuple[str, float]:
         """(family or unknown, probability)."""
         ws = words(line)
         if self.anchors.isdisjoint(ws):
             return UNKNOWN, 1.0
-        family, p = self.predict(ws)
-        return (family, p) if self.confirmed(ws, family) else (UNKNOWN, p)
+        parts = [ws]
+        if len(ws) > LONG and len(sentences := _SENTENCE.split(line)) > 1:
+            parts += [x for x in map(words, sentences) if not self.anchors.isdisjoint(x)]
+        found = [(family, p) for part in parts for family, p in [self.predict(part)] if self.confirmed(part, family)]
+        return max(found, key=lambda x: x[1]) if found else (UNKNOWN, float(self.probabilities(ws)[-1]))
 
 
 @lru_cache(maxsize=1)

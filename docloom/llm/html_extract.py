@@ -10,8 +10,10 @@ words, the region is that element. Its text comes out block by block, boilerplat
 Weights are counted over all pages, by class of token; that table is as long as the list of HTML's tag names.
 
 Cases: null, empty and tagless pages (all text is one region); unclosed elements end where their parent does,
-and unfinished tags or comments at the end are dropped; pages without a labelled one in the corpus use the
-default weights; repeated rows come out once per row.
+and unfinished tags or comments at the end are dropped; very long pages are read whole, in time in proportion to
+their length; of regions with equal sums the earliest counts, the shortest of those; pages without a labelled one in
+the corpus use the default weights; repeated rows come out once per row, an empty table gives an empty one; columns
+named text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table, slices
 
-_RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|video|audio|math"
+#: Elements whose content is no text; those of the first kind run to the end of the page if they aren't closed, the
+#: others are tags like any other then.
+_RAW, _CLOSED = "script|style|textarea", "noscript|template|iframe|svg|select|object|canvas|video|audio"
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(?P<closed>{_CLOSED})\b{_ATTRIBUTES}>.*?</(?P=closed)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -41,12 +46,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mfenced semantics".split())
 #: Elements that are never part of an article, and names that mark others as such.
 NEVER = frozenset("nav footer aside form button head title dialog menu".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu menubar breadcrumb breadcrumbs sidebar side footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments reply replies disqus discussion related recommended recommendations widget toolbar pager pagination contentinfo complementary".split()
 )
+#: What else names of such elements are made of: a name counts if each of its parts is of either kind and one a mark,
+#: so `sidebar-left` and `cookie-notice` do, `related-work` and `side-effects` don't.
+PLACES = frozenset("left right top bottom upper lower inner outer box bar block blocks slot container wrapper wrap area panel pane unit section region row col column list item items link links button buttons icon icons site page global main inline sticky fixed form message text title header body content small large mobile desktop primary secondary posts articles stories post article entry form count feed thread".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Used where no page is labelled.
 DEFAULT_WEIGHTS = {"word": 1.0, "linked": -0.5, "aside": -2.0, "other": -1.0}
@@ -59,11 +67,14 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    for m in _ATTRIBUTE.finditer(attributes):
-        names = {x.lower() for x in _NAMES.findall(m[2] or m[3] or m[4] or "")}
-        if names & MARKS or (m[1].lower() == "role" and "banner" in names):
-            return True
-    return False
+    names = [name for m in _ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()]
+    return any(marked(name) for name in names)
+
+
+def marked(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: all its parts are marks or places (or numbers), one is a mark."""
+    parts = [x.lower() for x in _NAMES.findall(name)]
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in PLACES or x.isdigit() for x in parts)
 
 
 class Piece:
@@ -105,10 +116,10 @@ def parse(page: str) -> tuple[list[Piece], dict[int, tuple[int, int]]]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag or (m[6] and not m[0].endswith(">")):
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag or (m["tag2"] and not m[0].endswith(">")):
             continue
-        closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
+        closing, attributes = (m["end"], m["attributes"]) if m["tag"] else (m["end2"], m["attributes2"])
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:

@@ -9,10 +9,13 @@ voter votes what under either class, and the votes' remaining correlations withi
 that say the same. Its posteriors are the targets of a logistic regression over the terms, which scores texts.
 
 Training rows are those whose crc32(doc_id as text) mod 5 isn't 0; no other label is read. The sample is taken
-by the hash of the id. The model has at most TERMS terms, so its broadcast has a fixed bound.
+by the hash of the id; its ids go out as a broadcast, so documents aren't shuffled. Every term that reaches PRECISION
+and EVIDENCE is in the model; there are no more than the sample has terms, so SAMPLE bounds the model, too.
 
-Cases: null and empty texts have no terms and get the score of the bias; without labels of both classes the
-score is the prior (0 where there are none at all); repeated rows come out once per row.
+Cases: null and empty texts have no terms and get the score of the bias; texts of any length are read whole; without
+labels of both classes, without labels or without documents the score is near the class that there is (0 where there
+are none at all); ids with both labels count as toxic, ids of several documents give several samples; terms are in
+order of evidence, then name; repeated rows come out once per row; columns named score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, slices, store
 
-SAMPLE, TERMS = 20_000, 3_000
+SAMPLE = 20_000
 PRECISION, EVIDENCE, SHARES = 0.85, 11.0, 4
 KINDS = ("word", "4", "5", "6")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,12 +67,12 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
 
 def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """At most TERMS terms: those whose documents are toxic by PRECISION or more, and so much more often than the
-    base rate that the likelihood ratio has EVIDENCE nats; the greatest evidence first."""
+    """Terms whose documents are toxic by PRECISION or more, and so much more often than the base rate that the
+    likelihood ratio has EVIDENCE nats; the greatest evidence first."""
     base = n_toxic / (n_toxic + n_clean)
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1.0)
     evidence = F.col("toxic") * F.log(precision / base) + F.col("clean") * F.log((1 - precision) / (1 - base))
-    rows = counts.where((precision >= PRECISION) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "term").limit(TERMS)
+    rows = counts.where((precision >= PRECISION) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "term")
     return [r.term for r in rows.select("term").collect()]
 
 
@@ -142,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """(weight by term, bias). labels has doc_id and toxic; ids with both labels count as toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("toxic").alias("y"))
     known = known.where(~held_out(F.col(doc_id))).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
-    sample = store(docs.join(known, doc_id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y")))
+    # SAMPLE rows of two numbers at most; ids that several documents have may make more texts, which are cut again.
+    rows = docs.join(F.broadcast(known), doc_id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "y")
+    sample = store(rows.groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE))
     by_label = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
     if not n_toxic or not n_clean:

@@ -5,7 +5,9 @@ import math
 import os
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,49 @@ def test_toxicity(spark, odd):
     assert nothing == ({}, -30.0)
 
 
+def test_toxicity_label_model_against_bayes():
+    rng = np.random.default_rng(6)
+    prior, n = 0.3, 20_000
+    y = rng.random(n) < prior
+    table = rng.dirichlet([1, 1, 1], 7), rng.dirichlet([1, 1, 1], 7)  # of class 0 and 1: -1, none, 1
+    for k in range(7):
+        table[0][k].sort()
+        table[0][k][:] = table[0][k][[2, 1, 0]]
+        table[1][k].sort()
+    v = np.array([[rng.choice(3, p=table[int(c)][k]) - 1 for k in range(7)] for c in y], np.int8)
+    odds = math.log(prior / (1 - prior)) + sum(np.log(table[1][k][v[:, k] + 1]) - np.log(table[0][k][v[:, k] + 1]) for k in range(7))
+    want = 1 / (1 + np.exp(-odds))
+    alone = toxicity.label_model(v, prior)
+    assert np.abs(alone - want).mean() < 0.06
+    copied = toxicity.label_model(np.concatenate([v, v[:, :1], v[:, :1]], axis=1), prior)
+    assert np.abs(copied - alone).mean() < 0.04  # voters that say the same count for less
+
+
+def test_toxicity_regression_against_differences():
+    rng = np.random.default_rng(7)
+    hits = [sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()) for _ in range(300)]
+    target = np.array([0.9 if 0 in h or 3 in h else 0.1 for h in hits])
+
+    def loss(w):
+        z = np.array([w[-1] + sum(w[c] for c in h) for h in hits])
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (w[:-1] ** 2).sum())
+
+    w = toxicity.fit_linear(hits, target, 6, steps=3000)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-4
+        assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 0.05
+
+
+def test_toxicity_cases(spark, odd):
+    docs = spark.createDataFrame([(i, f"plain words {i}" if i % 2 else "scum scum", None) for i in range(40)] + [(None, None, None), (3, "word " * 30_000, None), (3, "", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 1) for i in range(40)] + [(None, 1, 0), (3, 0, None), (5, None, 1)], "doc_id long, toxic int, quality int")
+    weight, bias = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, weight, bias)
+    assert out.columns == ["doc_id", "score", "predicted"] and len(out.collect()) == 43
+    assert toxicity.fit(docs.limit(0), labels) == ({}, -30.0) and toxicity.fit(docs, labels.limit(0)) == ({}, -30.0)
+    assert toxicity.fit(docs, labels.where("toxic = 1")) == ({}, 30.0) and toxicity.score(docs.limit(0), weight, bias).collect() == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header>
 <nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="sidebar-left"><p>side words side words side words</p></div><article>
 <h1>T &amp; x</h1><p><b>one two three four five six seven<br><p>eight <div class="advert">buy now</div><p>nine&nbsp;ten<ul><li>a b<li>c</ul>
@@ -164,6 +209,30 @@ def test_html(spark):
     assert html_extract.best_region([1.0, -2.0, 3.0, -1.0, 2.0, -9.0]) == (2, 4) and html_extract.best_region([-1.0]) == (0, -1)
 
 
+def test_html_region_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(14))]
+        sums = {(a, b): sum(scores[a : b + 1]) for a in range(len(scores)) for b in range(a, len(scores))}
+        first, last = html_extract.best_region(scores)
+        best = max(sums.values(), default=0.0)
+        assert (sums[first, last] == best) if best > 0 else (first, last) == (0, -1)
+
+
+def test_html_names_and_raw_elements():
+    weight = html_extract.weights(html_extract.count_classes([PAGE]))
+    inside = "".join(f'<{t} class="{c}"><p>{c} words stay here</p></{t}>' for t, c in (("section", "related-work"), ("div", "side-effects"), ("div", "search-results"), ("div", "comment-on-method"), ("div", "sharing-data")))
+    outside = "".join(f'<div class="{c}"><p>{c} words go</p></div>' for c in ("ad", "ad-slot-3", "sidebar-left", "cookieNotice", "relatedPosts", "comments_list", "share-buttons", "site-footer"))
+    text = html_extract.extract(f"<body><article><p>one two three four</p>{inside}{outside}<p>E <math><mi>x</mi>=1</math> done <video>old browser</video></p></article></body>", weight)
+    assert all(f"{c} words stay here" in text for c in ("related-work", "side-effects", "search-results", "comment-on-method", "sharing-data"))
+    assert "words go" not in text and text.endswith("E x=1 done") and "old browser" not in text
+    assert html_extract.extract("<article><p>a b c</p><svg><p>d e f g</p></article>", weight).endswith("d e f g")
+    assert html_extract.extract("<article><p>a b c</p><script>d e f g</article>", weight) == "a b c"
+    start = time.perf_counter()
+    long = html_extract.extract("<article>" + "<p>some words <b>here</b> and there" * 20_000 + "</article>", weight)
+    assert long.count("\n\n") == 19_999 and time.perf_counter() - start < 30
+
+
 def naive_aligned(a, b):
     if not a or not b:
         return 0

@@ -1,19 +1,28 @@
-"""Operator 4, personal data: patterns for the entities, corpus statistics for the terms that give them away.
+"""Operator 4, personal data: protected entities, and corpus statistics for the terms that give them away.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. A
-term discloses a kind of entity as far as it raises its probability: with p(kind) the share of documents that
+Patterns find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Secrets (keys, tokens, passwords)
+have no pattern but information: a run of SECRET_CHARS or more key characters with a digit in it is protected if the
+corpus' own pairs of neighbouring characters make it improbable by SECRET_BITS bits in all and by MEAN_BITS a
+character. Pairs with digits aren't counted, so secrets don't get probable by being many; an uncounted pair costs
+MOST_BITS.
+
+A term discloses a kind of entity as far as it raises its probability: with p(kind) the share of documents that
 hold the kind and p(kind | term) the share among those with the term, PMI = log p(kind | term) / p(kind) is set
 against the information -log p(kind) that the kind itself carries. The ratio is 1 if the term always comes with
 the kind and 0 if the two are independent. All words outside entities are terms, and all documents count: a term
-that reaches the threshold with SUPPORT different contexts (so that copies of one text don't make a rule) is a span
-wherever it stands, in documents without an entity as well: GENERALISE or more are replaced by the name of the kind,
-REMOVE or more go. A context is the NEAR words before and after the term's first place in a document.
-
-One scan counts within each task, in how many documents each term occurs and, over the documents with entities, in
-how many of each kind; what is shuffled is a row for each task, term and kind. Disclosing terms go out in blocks of TERMS_PER_BLOCK, each against all documents; no text is shuffled.
-
-Cases: a null text is empty; spans of different kinds may overlap and all are kept (masking merges them);
-repeated rows get the same spans; a null doc_id is a document like any other.
+that reaches the threshold in SUPPORT contexts is a span wherever it stands, in documents without an entity as well:
+GENERALISE or more are replaced by the name of the kind, REMOVE or more go. A context is the NEAR words before and
+after the term's first place in a document with the kind. Contexts are counted by their collision entropy (the square
+of the sum of their documents by the sum of squares), so that copies of one text, equal or edited, don't make a rule.
+
+One scan counts pairs of characters (65,536 numbers at most). A second counts within each task, in how many documents
+each term occurs and, over the documents with entities, in how many of each kind; what is shuffled is a row for each
+task, term and kind. A third counts the contexts of the terms over the threshold. Disclosing terms go out in blocks of TERMS_PER_BLOCK, each against all documents; no text is
+shuffled.
+
+Cases: a null text is empty, an empty table gives an empty one; texts of any length are read whole; spans of different
+kinds may overlap and all are kept (masking merges them, the first and longest names the mask); repeated rows get the
+same spans; a null doc_id is a document like any other. The columns __spans and __terms of an input are replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +30,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import read_table, slices, store
 
 KINDS = ("email", "ip", "card", "phone")
+PROTECTED = (*KINDS, "secret")
+SECRET_CHARS, SECRET_BITS, MEAN_BITS, MOST_BITS = 16, 80.0, 5.0, 8.0
 NEAR, SUPPORT, GENERALISE, REMOVE = 3, 5, 0.8, 0.95
 FLUSH_TERMS, TERMS_PER_BLOCK = 300_000, 500_000
 
@@ -79,6 +91,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+#: Bytes for the pairs: letters in lower case, digits as one, other ASCII characters as borders of words.
+_PAIRED = np.array([ord(c.lower()) if (c := chr(b)).isascii() and c.isalpha() else 1 if c.isdigit() and b < 128 else b if b >= 128 else 0 for b in range(256)], np.uint8)
+_KEY, _DIGIT, _LETTER = re.compile(rf"[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}"), re.compile("[0-9]"), re.compile("[A-Za-z]")
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each pair of neighbouring bytes occurs, a pair as one number; pairs with digits are left out."""
+    line = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    line = _PAIRED[line].astype(np.int32)
+    pairs = line[:-1] << 8 | line[1:]
+    return np.bincount(pairs[(line[:-1] != 1) & (line[1:] != 1)], minlength=1 << 16)
+
+
+def pair_bits(counts: np.ndarray) -> np.ndarray:
+    """-log2 of the probability of a byte after another, MOST_BITS at most; half a pair more of each kind."""
+    table = counts.reshape(256, 256)
+    return np.minimum(-np.log2((table + 0.5) / (table.sum(1, keepdims=True) + 128)), MOST_BITS)
+
+
+def character_bits(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """pair_bits() of all texts; a row for each pair of bytes reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in slices(batches):
+            total += pair_counts([t or "" for t in batch.column(0).to_pylist()])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["pair", "n"])
+
+    counts = np.zeros(1 << 16, np.int64)
+    for r in docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n
+    return pair_bits(counts)
+
+
+def secrets(text: str, bits: np.ndarray) -> list[tuple[int, int, str]]:
+    """Spans of the improbable runs of key characters."""
+    if not _DIGIT.search(text):
+        return []
+    out = []
+    for m in _KEY.finditer(text):
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            run = _PAIRED[np.frombuffer((" " + m[0]).encode(), np.uint8)]
+            cost = float(bits[run[:-1], run[1:]].sum())
+            if cost >= SECRET_BITS and cost >= MEAN_BITS * len(m[0]):
+                out.append((*m.span(), "secret"))
+    return out
+
+
+def protected_spans(text: str, bits: np.ndarray) -> list[tuple[int, int, str]]:
+    """Base spans and, outside them, secrets, by start."""
+    base = base_spans(text)
+    more = secrets(outside(text, base), bits)
+    return sorted(base + more, key=lambda x: (x[0], PROTECTED.index(x[2]))) if more else base
+
+
 def words(text: str) -> list[bytes]:
     """A text's terms in order: words between white space and ASCII punctuation, A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(_WORD_EDGE).split()
@@ -102,73 +170,102 @@ def term_spans(text: str, told: dict[bytes, list[tuple[str, float]]]) -> list[tu
     return [(m.start(), m.end(), *x) for m in _WORD.finditer(text) for x in told.get(m[0].encode("utf-8", "surrogatepass").translate(_WORD_EDGE), ())]
 
 
-_JOINT = pa.schema([("term", pa.string()), ("kind", pa.string()), ("docs", pa.int64()), ("contexts", pa.list_(pa.int64())), ("enough", pa.bool_())])
-_JOINT_DDL = "term string, kind string, docs long, contexts array<long>, enough boolean"
+_JOINT = pa.schema([("term", pa.string()), ("kind", pa.string()), ("docs", pa.int64())])
+_CONTEXTS = pa.schema([("term", pa.string()), ("kind", pa.string()), ("context", pa.int64()), ("docs", pa.int64())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
 
 
-def _joint(support: int):
-    """(text) -> (term, kind, docs, contexts, enough), counted within the task. Rows with a null term count documents
-    with the kind, those with a null kind all documents. Of support contexts or more only that there are enough of
-    them comes out."""
+def _counted(counts: Counter, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Counts by tuples that start with the term's bytes, 10,000 rows at a time; the counter is emptied."""
+    rows = iter(counts.items())
+    while some := list(islice(rows, 10_000)):
+        keys, n = zip(*some, strict=True)
+        term, *others = zip(*keys, strict=True)
+        columns = [[None if w is None else w.decode("utf-8", "surrogatepass") for w in term], *others, n]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
+    counts.clear()
+
+
+def _joint(sent):
+    """(text) -> (term, kind, docs), counted within the task. Rows with a null term count documents with the kind,
+    those with a null kind all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter[str | None] = Counter()
+        bits = sent.value
+        totals: Counter = Counter()
         anywhere: Counter[bytes] = Counter()
-        counts: dict[tuple[bytes, str], list] = {}
+        joint: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            joint = ((w, kind, n, found if len(found) < support else (), len(found) >= support) for (w, kind), (n, found) in counts.items())
-            rows = chain(joint, ((w, None, n, (), False) for w, n in anywhere.items()))
-            while some := list(islice(rows, 10_000)):
-                term, *others = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([w.decode("utf-8", "surrogatepass") for w in term], *others), _JOINT.types, strict=True)], schema=_JOINT)
-            counts.clear()
+            yield from _counted(joint, _JOINT)
+            both = Counter({(w, None): n for w, n in anywhere.items()})
             anywhere.clear()
+            yield from _counted(both, _JOINT)
 
         for batch in slices(batches):
-            totals[None] += batch.num_rows
+            totals[None, None] += batch.num_rows
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text or "")
-                listed = words(outside(text or "", spans))
-                anywhere.update(set(listed))
-                if not spans:
-                    continue
-                kinds = {kind for _, _, kind in spans}
-                totals.update(kinds)
-                first: dict[bytes, int] = {}
-                for k, w in enumerate(listed):
-                    first.setdefault(w, k)
-                for w, k in first.items():
-                    context = None
-                    for kind in kinds:
-                        entry = counts.setdefault((w, kind), [0, ()])
-                        entry[0] += 1
-                        if len(entry[1]) < support:
-                            if context is None:
-                                context = xxhash.xxh3_64_intdigest(b" ".join([*listed[max(0, k - NEAR) : k], b"", *listed[k + 1 : k + 1 + NEAR]])) >> 1
-                            if context not in entry[1]:
-                                entry[1] += (context,)
-                if len(counts) + len(anywhere) > FLUSH_TERMS:
-                    yield from flush()
+                spans = protected_spans(text or "", bits)
+                listed = set(words(outside(text or "", spans)))
+                anywhere.update(listed)
+                for kind in {kind for _, _, kind in spans}:
+                    totals[None, kind] += 1
+                    joint.update((w, kind) for w in listed)
+            if len(joint) + len(anywhere) > FLUSH_TERMS:
+                yield from flush()
         yield from flush()
-        yield pa.RecordBatch.from_pylist([{"kind": kind, "docs": n} for kind, n in totals.items()], schema=_JOINT)
+        yield from _counted(totals, _JOINT)
+
+    return run
+
+
+def _contexts(sent):
+    """(text) -> (term, kind, context, docs) for the terms sent, over the documents with the kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, bits = sent.value
+        found: Counter = Counter()
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                spans = protected_spans(text or "", bits)
+                kinds = {kind for _, _, kind in spans}
+                listed = words(outside(text or "", spans)) if kinds else []
+                for w in asked.keys() & set(listed):
+                    k = listed.index(w)
+                    around = b" ".join([*listed[max(0, k - NEAR) : k], b"", *listed[k + 1 : k + 1 + NEAR]])
+                    context = xxhash.xxh3_64_intdigest(around) >> 1
+                    found.update((w, kind, context) for kind, _ in asked[w] if kind in kinds)
+            if len(found) > FLUSH_TERMS:
+                yield from _counted(found, _CONTEXTS)
+        yield from _counted(found, _CONTEXTS)
 
     return run
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(term, kind, score) of the terms that reach the threshold."""
-    counted = store(docs.select(text).mapInArrow(_joint(support), _JOINT_DDL))
-    known = counted.where("term IS NOT NULL AND kind IS NOT NULL").groupBy("term", "kind").agg(F.sum("docs").alias("joint"), F.max("enough").alias("enough"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
-    known = known.where(F.col("enough") | (F.col("contexts") >= support)).select("term", "kind", "joint", F.lit(None).cast("long").alias("docs"))
-    both = known.unionByName(counted.where("term IS NOT NULL AND kind IS NULL").select("term", "kind", F.lit(None).cast("long").alias("joint"), "docs"))
-    summed = both.groupBy("term").agg(F.sum("docs").alias("n_term"), *[F.sum(F.when(F.col("kind") == k, F.col("joint"))).alias(k) for k in KINDS]).where(F.coalesce(*KINDS).isNotNull())
-    summed = summed.withColumn("of", F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("joint")) for k in KINDS]), lambda x: x["joint"].isNotNull()))
-    n = {r.kind: r.docs for r in counted.where("term IS NULL").groupBy("kind").agg(F.sum("docs").alias("docs")).collect()}  # KINDS and the total
-    shares = {kind: n[kind] / n[None] for kind in KINDS if 0 < n.get(kind, 0) < n[None]}
-    p_kind = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(p)) for kind, p in shares.items()], F.lit(None).cast("double"))
-    scored = summed.select("term", "n_term", F.explode("of").alias("of")).select("term", "n_term", "of.*").withColumn("p", p_kind)
-    return store(scored.withColumn("score", F.log(F.col("joint") / F.col("n_term") / F.col("p")) / -F.log("p")).where(F.col("score") >= threshold).select("term", "kind", "score"))
+def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE, bits: np.ndarray | None = None) -> DataFrame:
+    """(term, kind, score) of the terms that reach the threshold in contexts enough."""
+    sc = docs.sparkSession.sparkContext
+    bits = character_bits(docs, text) if bits is None else bits
+    counted = store(docs.select(text).mapInArrow(_joint(sc.broadcast(bits)), _ddl(_JOINT)))
+    of_kind = [F.sum(F.when(F.col("kind") == k, F.col("docs"))).alias(k) for k in PROTECTED]
+    summed = counted.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.when(F.col("kind").isNull(), F.col("docs"))).alias("n_term"), *of_kind)
+    n = {r.kind: r.docs for r in counted.where("term IS NULL").groupBy("kind").agg(F.sum("docs").alias("docs")).collect()}  # PROTECTED and the total
+    shares = {kind: n[kind] / n[None] for kind in PROTECTED if 0 < n.get(kind, 0) < n[None]}
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("joint"), F.lit(p).alias("p")) for k, p in shares.items()]), lambda x: x["joint"] >= support) if shares else None
+    if each is None:
+        return docs.sparkSession.createDataFrame([], "term string, kind string, score double")
+    scored = summed.select("term", "n_term", F.explode(each).alias("of")).select("term", "n_term", "of.*")
+    scored = store(scored.withColumn("score", F.log(F.col("joint") / F.col("n_term") / F.col("p")) / -F.log("p")).where(F.col("score") >= threshold).select("term", "kind", "score"))
+    seen = None
+    for block in _term_blocks(scored):
+        part = docs.select(text).mapInArrow(_contexts(sc.broadcast((block, bits))), _ddl(_CONTEXTS))
+        seen = part if seen is None else seen.unionByName(part)
+    by_context = seen.groupBy("term", "kind", "context").agg(F.sum("docs").cast("double").alias("n"))
+    enough = by_context.groupBy("term", "kind").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("contexts")).where(F.col("contexts") >= support)
+    return store(scored.join(enough, ["term", "kind"]).select("term", "kind", "score"))
 
 
 def _term_blocks(told: DataFrame) -> Iterator[dict[bytes, list[tuple[str, float]]]]:
@@ -190,16 +287,17 @@ _MARKS_DDL = "__spans array<struct<s: int, e: int, kind: string>>, __terms array
 
 
 def _marked(sent, text: str):
-    """Rows with __spans and __terms; the terms of one block are added to those of the blocks before it."""
+    """Rows with __spans and __terms; the terms of one block are added to those of the blocks before it. sent holds
+    the block and the pair bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = sent.value
+        told, bits = sent.value
         for batch in slices(batches):
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             before = column["__terms"].to_pylist() if "__terms" in column else [None] * batch.num_rows
             spans, found = [], []
             for t, old in zip(column[text].to_pylist(), before, strict=True):
-                base = base_spans(t or "")
+                base = protected_spans(t or "", bits)
                 new = term_spans(outside(t or "", base), told)
                 spans.append([dict(zip(("s", "e", "kind"), x, strict=True)) for x in base] or None)
                 found.append([*(old or ()), *(dict(zip(("s", "e", "kind", "score"), x, strict=True)) for x in new)] or None)
@@ -211,10 +309,13 @@ def _marked(sent, text: str):
 
 def with_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with __spans, the entities, and __terms, the disclosing terms (null where there are none)."""
+    docs = docs.drop("__spans", "__terms")
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), _MARKS_DDL])
-    for block in _term_blocks(disclosing_terms(docs, text, **options)):
-        docs = docs.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(block), text), ddl)
-    return docs
+    bits = character_bits(docs, text)
+    out = docs
+    for block in _term_blocks(disclosing_terms(docs, text, bits=bits, **options)):
+        out = out.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast((block, bits)), text), ddl)
+    return out
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -254,20 +355,24 @@ def mask_text(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base digest holds the kinds of the patterns; spans also hold secrets and terms. n_spans counts all."""
     docs = with_spans(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "__spans", "__terms")
 
     def listed(spans):
-        order = lambda x: F.struct(x["s"].alias("s"), F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "term")]), x["kind"]).alias("r"), x["e"].alias("e"), x["kind"].alias("k"))
+        order = lambda x: F.struct(x["s"].alias("s"), F.array_position(F.array(*[F.lit(k) for k in (*PROTECTED, "term")]), x["kind"]).alias("r"), x["e"].alias("e"), x["kind"].alias("k"))
         return F.array_join(F.transform(F.array_sort(F.transform(spans, order)), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
     def is_kind(name):
         return lambda x: x["kind"] == name
 
     kind = "array<struct<s: int, e: int, kind: string>>"
-    base = F.coalesce("__spans", F.array().cast(kind))
+    found = F.coalesce("__spans", F.array().cast(kind))
+    base = F.filter(found, lambda x: x["kind"] != "secret")
     told = F.coalesce(F.array_distinct(F.transform("__terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("term").alias("kind")))), F.array().cast(kind))
-    counted = [F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return docs.select("doc_id", *counted, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, told)).alias("spans"))
+    counted = [F.size(F.filter(found, is_kind(k))).cast("long").alias(f"n_{k}") for k in PROTECTED]
+    rows = docs.select("doc_id", *counted, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(found, told)).alias("spans"), F.size(told).cast("long").alias("n_term"))
+    total = sum((F.col(f"n_{k}") for k in PROTECTED), F.col("n_term"))
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_secret", "n_term", total.alias("n_spans"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Batch retrieval: TF-IDF postings, dense scores, fusion, boost, gate and tiered search.
+"""Batch retrieval: TF-IDF weights, dense scores, fusion, boost, gate and tiered search.
 
-A batch of questions shares one scan of the corpus. Postings meet questions in an equi-join on the term, partial
-sums are combined before the shuffle, and only the k best of a question are kept in every task
-(WindowGroupLimit). Scores are rounded before they rank, so that ties don't depend on the order of addition.
+A batch of questions shares one scan of the corpus. Questions go out in blocks of bounded size, each task scores its
+segments against a block and keeps what can be among the k best of a question; so no term, however frequent, is a key
+of a join of both sides, and nothing that grows with the product of both sides is shuffled. Scores are rounded before
+they rank, so that ties don't depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ def tokens(text: Column, ngram_max: int = 1) -> Column:
     return F.concat(words, two)
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text", ngram_max: int = 1) -> DataFrame:
-    return df.select(key, F.explode(tokens(F.col(text), ngram_max)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, key: str, text: str = "text", ngram_max: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf); with only(term), of these terms alone, the others gone before they are counted."""
+    rows = df.select(key, F.explode(tokens(F.col(text), ngram_max)).alias("term"))
+    rows = rows if only is None else rows.join(only, "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_segments: DataFrame, min_df: int = 1) -> DataFrame:
@@ -52,13 +57,84 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", seg: str = "seg_id
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1, min_df: int = 1) -> DataFrame:
-    """segments(seg_id, text), questions(query_id, text) -> (query_id, seg_id, score, rank). A question with fewer
-    than k hits is filled up with segments of score 0, the lowest ids first."""
+#: A block holds so many questions and so many of their terms at most; so many rows are scored at a time.
+BLOCK_QUESTIONS, BLOCK_TERMS, SLICE_ROWS = 500, 200_000, 1024
+_HITS = "query_id long, seg_id long, score double"
+
+
+def _hits(ids: np.ndarray, segs: np.ndarray, scores: np.ndarray, k: int, positive: bool) -> pa.RecordBatch:
+    """Of scores (segments by questions) the entries that reach the k-th best of their question, ties included."""
+    rounded = np.round(scores, DIGITS) + 0.0
+    k = min(k, len(segs))
+    least = np.partition(rounded, len(segs) - k, axis=0)[len(segs) - k]
+    seg, query = np.nonzero((rounded >= least) & ((rounded > 0) | (not positive)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[query], pa.int64()), pa.array(segs[seg], pa.int64()), pa.array(rounded[seg, query])], names=["query_id", "seg_id", "score"])
+
+
+def forward_weights(segments: DataFrame, ngram_max: int = 1, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(seg_id, term, w) of all segments and the vocabulary (term, df, idf)."""
     counts = term_counts(segments, "seg_id", ngram_max=ngram_max)
     vocab = vocabulary(counts, segments.agg(F.count(F.lit(1)).alias("n")), min_df)
-    asked = weigh(term_counts(questions, "query_id", ngram_max=ngram_max), vocab, "query_id").withColumnRenamed("w", "wq")
-    hits = weigh(counts, vocab, "seg_id").join(asked, "term").groupBy("query_id", "seg_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), DIGITS).alias("score"))
+    return weigh(counts, vocab, "seg_id"), vocab
+
+
+def _question_blocks(asked: DataFrame) -> Iterator[list[tuple[int, list[str], list[float]]]]:
+    """(query_id, term, w) as blocks of whole questions, streamed to the driver."""
+    block: list[tuple[int, list[str], list[float]]] = []
+    size = 0
+    for row in asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("ws")).toLocalIterator():
+        block.append((row.query_id, [x.term for x in row.ws], [x.w for x in row.ws]))
+        size += len(row.ws)
+        if len(block) == BLOCK_QUESTIONS or size >= BLOCK_TERMS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _scorer(sent, k: int):
+    """(seg_id, terms, weights) -> hits of one block of questions, in order of the segments' terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        ids = np.array([q for q, _, _ in block], np.int64)
+        known = pa.array(sorted({t for _, ts, _ in block for t in ts}), pa.string())
+        number = {t: i for i, t in enumerate(known.to_pylist())}
+        by_term: list[list[tuple[int, float]]] = [[] for _ in number]
+        for j, (_, ts, ws) in enumerate(block):
+            for t, w in zip(ts, ws, strict=True):
+                by_term[number[t]].append((j, w))
+        size = np.array([len(x) for x in by_term])
+        first = np.cumsum(size) - size
+        question = np.array([j for x in by_term for j, _ in x], np.int64)
+        weight = np.array([w for x in by_term for _, w in x])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                terms, ws = part.column(1), part.column(2)
+                found = pc.index_in(terms.flatten(), known)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+                hit = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+                term, row, w = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64), row[hit], ws.flatten().to_numpy(zero_copy_only=False)[hit]
+                times = size[term]
+                place = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                cell = np.repeat(row, times) * len(ids) + question[place]
+                scores = np.bincount(cell, np.repeat(w, times) * weight[place], part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
+                yield _hits(ids, part.column(0).to_numpy(zero_copy_only=False), scores, k, True)
+
+    return run
+
+
+def score_sparse(weights: DataFrame, vocab: DataFrame, segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1) -> DataFrame:
+    """Questions against (seg_id, term, w), be they computed or read from an index: (query_id, seg_id, score, rank).
+    Only the questions' terms of the weights go on. A question with fewer than k hits is filled up with segments of
+    score 0, the lowest ids first."""
+    asked = weigh(term_counts(questions, "query_id", ngram_max=ngram_max), vocab, "query_id")
+    rows = weights.join(asked.select("term").distinct(), "term", "left_semi").groupBy("seg_id").agg(F.collect_list(F.struct("term", "w")).alias("ws"))
+    rows = rows.select("seg_id", F.col("ws.term").alias("terms"), F.col("ws.w").alias("weights"))
+    hits = questions.sparkSession.createDataFrame([], _HITS)
+    for block in _question_blocks(asked):
+        hits = hits.unionByName(rows.mapInArrow(_scorer(questions.sparkSession.sparkContext.broadcast(block), k), _HITS))
     # Among the 2k lowest ids at least k are without a hit where fewer than k segments have one.
     filler = questions.select("query_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(segments.select("seg_id").orderBy("seg_id").limit(2 * k).withColumn("one", F.lit(1))), "one")
     filler = filler.select("query_id", "seg_id", F.lit(0.0).alias("score"))
@@ -66,9 +142,17 @@ def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_ma
     return top_k(best, k)
 
 
+def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1, min_df: int = 1) -> DataFrame:
+    """segments(seg_id, text), questions(query_id, text) -> (query_id, seg_id, score, rank)."""
+    weights, _ = forward_weights(segments, ngram_max, min_df)
+    asked = term_counts(questions, "query_id", ngram_max=ngram_max).select("term").distinct()
+    vocab = vocabulary(term_counts(segments, "seg_id", ngram_max=ngram_max, only=asked), segments.agg(F.count(F.lit(1)).alias("n")), min_df)
+    return score_sparse(weights, vocab, segments, questions, k, ngram_max)
+
+
 def _query_blocks(questions: DataFrame, most: int = 2000) -> Iterator[list]:
     block = []
-    for row in questions.select("query_id", "embedding").toLocalIterator():
+    for row in questions.select("query_id", "embedding").where("embedding IS NOT NULL").toLocalIterator():
         block.append((row[0], list(row[1])))
         if len(block) == most:
             yield block
@@ -79,27 +163,21 @@ def _query_blocks(questions: DataFrame, most: int = 2000) -> Iterator[list]:
 
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
     """vectors(seg_id, embedding), questions(query_id, embedding) -> exact inner products, the k best of each
-    question. Questions go out in blocks of bounded size; every task multiplies its vectors with a block and keeps
-    k rows a question and batch, so what is shuffled doesn't grow with the product of both sides."""
-    sc, out = vectors.sparkSession.sparkContext, None
+    question. Every task multiplies its vectors with a block of questions; rows without a vector match nothing."""
+    hits = vectors.sparkSession.createDataFrame([], _HITS)
     for block in _query_blocks(questions):
-        sent = sc.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
             for batch in batches:
-                segs = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(segs):
-                    continue
-                scores = np.round(rows @ matrix.T, DIGITS) + 0.0
-                for j, q in enumerate(ids):
-                    best = np.lexsort((segs, -scores[:, j]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(segs[best]), pa.array(scores[best, j])], names=["query_id", "seg_id", "score"])
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(at, SLICE_ROWS)
+                    rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    yield _hits(ids, part.column(0).to_numpy(zero_copy_only=False), rows @ matrix.T, k, False)
 
-        part = vectors.select("seg_id", "embedding").mapInArrow(run, "query_id long, seg_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+        hits = hits.unionByName(vectors.select("seg_id", "embedding").where("embedding IS NOT NULL").mapInArrow(run, _HITS))
+    return top_k(hits, k)
 
 
 def minmax(hits: DataFrame, score: str = "score") -> DataFrame:
@@ -116,11 +194,12 @@ def fuse(dense: DataFrame, sparse: DataFrame, config: EngineConfig) -> DataFrame
     return rows.groupBy("query_id", "seg_id").agg(F.round(F.sum("part"), DIGITS + 2).alias("score"))
 
 
-def boost(fused: DataFrame, segments: DataFrame, config: EngineConfig) -> DataFrame:
+def boost(fused: DataFrame, segments: DataFrame, config: EngineConfig, order: str | None = None) -> DataFrame:
     """The 3 k_fused best, guidelines among them times the boost, ranked anew, the k_fused best. The cut comes
-    before the boost: a guideline further down stays out."""
+    before the boost: a guideline further down stays out. Of segments with one id the last by the column `order`
+    names the type (without one, the greatest type)."""
     cut = top_k(fused, 3 * config.k_fused).drop("rank")
-    typed = segments.groupBy("seg_id").agg(F.max("doc_type").alias("doc_type"))
+    typed = segments.groupBy("seg_id").agg((F.max_by("doc_type", order) if order else F.max("doc_type")).alias("doc_type"))
     raised = cut.join(typed, "seg_id").withColumn("score", F.round(F.col("score") * F.when(F.col("doc_type") == "guideline", config.boost).otherwise(1.0), DIGITS + 4))
     return top_k(raised.select("query_id", "seg_id", "score"), config.k_fused)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +25,31 @@ def book_chunks(content: Column, kind: Column, size: int = 500) -> Column:
     return branch.otherwise(chunking.pack_default(content, size))
 
 
-def split_documents(docs: DataFrame, key: str = "doc_id", content: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
-    """docs -> (key, route, book_type, chunk_index, chunk). Every document goes its own way: books by their type,
-    papers by their parts, others by separators. Blank documents are dropped and chunks filtered; the index counts
-    the chunks that stay."""
-    rows = docs.where(text.strip(F.col(content)) != "").withColumn("route", classify.route(F.col(content)))
-    rows = rows.withColumn("book_type", F.when(F.col("route") == "book", classify.book_type(F.col(content))))
-    paper = splitters.chunks_udf(lambda t: [c for _, c in splitters.academic_chunks(t, size, overlap)])
+def batch_route(docs: DataFrame, order: str, content: str = "text") -> tuple[str, str | None]:
+    """(route, book type) of a whole batch, from its first document of more than 100 characters (else its first)."""
+    first = docs.where(text.strip(F.col(content)) != "").orderBy((F.length(content) <= 100), order).limit(1)
+    head = F.substring(content, 1, 3000)
+    row = first.select(classify.route(head).alias("route"), classify.book_type(F.col(content)).alias("kind")).first()
+    return (row.route, row.kind if row.route == "book" else None) if row else ("generic", None)
+
+
+def split_documents(docs: DataFrame, key: str = "doc_id", content: str = "text", size: int = 500, overlap: int = 50, adaptive: bool = False, batch_order: str | None = None) -> DataFrame:
+    """docs -> (key, route, book_type, chunk_index, total_chunks, chunk). Every document goes its own way: books by
+    their type, papers by their parts, others by separators; with batch_order all go the way of the batch's first.
+    adaptive: size and overlap grow with the estimated number of chunks, except the overlap of papers. Blank documents
+    are dropped and chunks filtered; the index counts the chunks that stay."""
+    own_overlap = overlap
+    if adaptive:
+        scaled = chunking.chunk_scale(docs, content, size, overlap).first()  # one row
+        size, overlap = scaled.chunk_size, scaled.chunk_overlap
+    rows = docs.where(text.strip(F.col(content)) != "")
+    if batch_order is not None:
+        route, kind = batch_route(docs, batch_order, content)
+        rows = rows.withColumn("route", F.lit(route)).withColumn("book_type", F.lit(kind).cast("string"))
+    else:
+        rows = rows.withColumn("route", classify.route(F.col(content)))
+        rows = rows.withColumn("book_type", F.when(F.col("route") == "book", classify.book_type(F.col(content))))
+    paper = splitters.chunks_udf(lambda t: [c for _, c in splitters.academic_chunks(t, size, own_overlap)])
     plain = splitters.chunks_udf(splitters.recursive_chunks, size=size, overlap=overlap)
     branches = {
         "book": book_chunks(F.col(content), F.col("book_type"), size),
@@ -39,11 +58,37 @@ def split_documents(docs: DataFrame, key: str = "doc_id", content: str = "text",
     }
     out = None
     for route, chunks in branches.items():
-        part = rows.where(F.col("route") == route).select(key, "route", "book_type", F.posexplode(filters.filter_chunks(chunks)).alias("chunk_index", "chunk"))
+        kept = rows.where(F.col("route") == route).select(key, "route", "book_type", filters.filter_chunks(chunks).alias("kept"))
+        part = kept.select(key, "route", "book_type", F.size("kept").alias("total_chunks"), F.posexplode("kept").alias("chunk_index", "chunk"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def book_records(docs: DataFrame, kind: Column, key: str = "doc_id", content: str = "text", size: int = 500) -> DataFrame:
+    """(key, book_type, chunk_index, total_chunks, chunk_size, chunk) of books: index, total and length are those before
+    chunks are stripped and blank ones left out."""
+    made = docs.select(key, kind.alias("book_type"), book_chunks(F.col(content), kind, size).alias("chunks"))
+    rows = made.select(key, "book_type", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "chunk"))
+    return rows.select(key, "book_type", "chunk_index", "total_chunks", F.length("chunk").alias("chunk_size"), text.strip(F.col("chunk")).alias("chunk")).where("chunk <> ''")
+
+
+def academic_pages(pages: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """pages(file_name, page_no, text) -> (file_name, page_no, section, chunk_index, chunk), page by page: a page with
+    the marks of a paper by its parts, any other by separators (section null)."""
+    marked = pages.withColumn("paper", classify.is_academic(F.col("text")))
+    kind = "array<struct<section: string, chunk: string>>"
+
+    @F.pandas_udf(kind)
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        return texts.map(lambda t: [{"section": p, "chunk": c} for p, c in splitters.academic_chunks(t or "", size, overlap)])
+
+    plain = splitters.chunks_udf(splitters.recursive_chunks, size=size, overlap=overlap)
+    papers = marked.where("paper").select("file_name", "page_no", parts("text").alias("chunks"))
+    others = marked.where("NOT paper").select("file_name", "page_no", F.transform(plain(F.col("text")), lambda c: F.struct(F.lit(None).cast("string").alias("section"), c.alias("chunk"))).alias("chunks"))
+    rows = papers.unionByName(others).select("file_name", "page_no", F.posexplode("chunks").alias("chunk_index", "x"))
+    return rows.select("file_name", "page_no", "x.section", "chunk_index", "x.chunk")
+
+
 def segments_of(pages: DataFrame, source: str | None = None, doc_type: str = "guideline", size: int = 2200, overlap: int = 200) -> DataFrame:
     """pages(file_name, page_no, text) -> segment records: sections cut into windows, each with its hash."""
     first = pages.groupBy("file_name").agg(F.min_by("text", "page_no").alias("first"))
@@ -59,8 +104,11 @@ def segments_of(pages: DataFrame, source: str | None = None, doc_type: str = "gu
     )
 
 
-def build_knowledge(base: knowledge.KnowledgeBase, docs: DataFrame, tier: str = "historical", source: str = "source") -> dict:
-    """Documents (doc_id, source, text) chunked and appended to a tier; a summary of what was added."""
-    chunks = split_documents(docs).join(docs.select("doc_id", source), "doc_id")
+def build_knowledge(base: knowledge.KnowledgeBase, docs: DataFrame, tier: str = "historical", source: str = "source", failures: DataFrame | None = None, adaptive: bool = True) -> dict:
+    """Documents (doc_id, source, text) chunked and appended to a tier; a summary of what was added and what couldn't
+    be loaded. No chunk at all is an error."""
+    chunks = split_documents(docs, adaptive=adaptive).join(docs.select("doc_id", source), "doc_id")
     rows = chunks.select(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "chunk_index", "chunk")).alias("seg_id"), F.col(source).alias("source"), "chunk_index", "chunk")
-    return {"tier": tier, "chunks": base.add(rows, tier), "sources": base.read(tier).select("source").distinct().count()}
+    added = base.add(rows, tier)
+    failed = 0 if failures is None else failures.count()
+    return {"tier": tier, "chunks": added, "sources": base.read(tier).select("source").distinct().count(), "failed_sources": failed}

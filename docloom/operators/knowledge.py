@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.files import delete_path, path_exists
+
 CHUNK_SCHEMA = "seg_id string, source string, chunk_index int, chunk string"
 TIERS = ("historical", "realtime")
 
@@ -21,10 +25,13 @@ def merge_tiers(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tier", F.lit("historical"))
 
 
+SOURCE_SCHEMA = "source string, type string, tier string, added_at timestamp, n_chunks long"
+
+
 @dataclass
 class KnowledgeBase:
-    """Datasets under one root. Appends are atomic per job; a merge appends first and clears after, so a failure
-    between both leaves rows twice, never lost."""
+    """Datasets under one root, with a log of the sources that were added. Appends are atomic per job; a merge appends
+    first and clears after, so a failure between both leaves rows twice, never lost."""
 
     spark: SparkSession
     root: str
@@ -34,35 +41,74 @@ class KnowledgeBase:
             raise ValueError(f"unknown tier {tier}")
         return f"{self.root}/{tier}"
 
+    def _read(self, path: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path) if path_exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
     def exists(self, tier: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(tier))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path_exists(self.spark, self.path(tier))
 
     def read(self, tier: str) -> DataFrame:
-        if not self.exists(tier):
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(self.path(tier))
-
-    def add(self, chunks: DataFrame, tier: str) -> int:
-        """Append; nothing to add is an error."""
-        if chunks.limit(1).isEmpty():
-            raise ValueError("no chunks to add")
-        before = self.read(tier).count()
-        chunks.select("seg_id", "source", F.col("chunk_index").cast("int"), "chunk").write.mode("append").parquet(self.path(tier))
-        return self.read(tier).count() - before
+        return self._read(self.path(tier), CHUNK_SCHEMA)
+
+    def sources(self) -> DataFrame:
+        return self._read(f"{self.root}/sources", SOURCE_SCHEMA)
+
+    def add(self, chunks: DataFrame, tier: str, kind: str = "file", replace: bool = False, new_only: bool = False, at: datetime | None = None) -> int:
+        """Append, or replace the tier; how many chunks were written. Nothing to add is an error. new_only leaves out
+        chunks whose seg_id the tier has, so that the same chunks may come again. The rows are written to a folder of
+        their own first: they are evaluated once, and a replaced tier may be read for them."""
+        rows = chunks.select("seg_id", "source", F.col("chunk_index").cast("int"), "chunk")
+        if new_only and not replace:
+            rows = rows.dropDuplicates(["seg_id"]).join(self.read(tier).select("seg_id"), "seg_id", "left_anti")
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        try:
+            made = self.spark.read.schema(CHUNK_SCHEMA).parquet(staged)
+            per_source = made.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"))
+            n = made.count()
+            if not n and not new_only:
+                raise ValueError("no chunks to add")
+            if n:
+                made.write.mode("overwrite" if replace else "append").parquet(self.path(tier))
+                when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+                per_source.select("source", F.lit(kind).alias("type"), F.lit(tier).alias("tier"), when.alias("added_at"), "n_chunks").write.mode("append").parquet(f"{self.root}/sources")
+            return n
+        finally:
+            delete_path(self.spark, staged)
 
     def clear(self, tier: str) -> None:
+        """An empty tier; its sources leave the log."""
         self.spark.createDataFrame([], CHUNK_SCHEMA).write.mode("overwrite").parquet(self.path(tier))
+        self._rewrite_sources(self.sources().where(F.col("tier") != tier))
+
+    def _rewrite_sources(self, rows: DataFrame) -> None:
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        self.spark.read.schema(SOURCE_SCHEMA).parquet(staged).write.mode("overwrite").parquet(f"{self.root}/sources")
+        delete_path(self.spark, staged)
 
     def merge(self) -> bool:
-        """Realtime chunks go to the historical tier; False if there are none."""
+        """Realtime chunks and their sources go to the historical tier; False if there are none."""
         rows = self.read("realtime")
         if rows.limit(1).isEmpty():
             return False
         rows.write.mode("append").parquet(self.path("historical"))
+        self._rewrite_sources(self.sources().withColumn("tier", F.lit("historical")))
         self.clear("realtime")
         return True
 
     def status(self) -> DataFrame:
         both = [self.read(t).withColumn("tier", F.lit(t)).withColumnRenamed("chunk", "text") for t in TIERS]
         return status(both[0].unionByName(both[1]))
+
+    def info(self) -> DataFrame:
+        """(tier, exists, n_sources, n_chunks, n_chars, last_updated, n_bytes) of both tiers."""
+        sizes = []
+        for tier in TIERS:
+            found = self.exists(tier)
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.path(tier)).select("length") if found else None
+            sizes.append((tier, found, (files.agg(F.sum("length")).first()[0] or 0) if found else 0))
+        rows = self.spark.createDataFrame(sizes, "tier string, exists boolean, n_bytes long")
+        updated = self.sources().groupBy("tier").agg(F.max("added_at").alias("last_updated"))
+        counted = rows.join(self.status(), "tier", "left").join(updated, "tier", "left")
+        return counted.select("tier", "exists", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sources", "n_chunks", "n_chars")], "last_updated", "n_bytes")

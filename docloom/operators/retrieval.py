@@ -42,7 +42,7 @@ def term_counts(df: DataFrame, key: str, text: str = "text", ngram_max: int = 1,
 def vocabulary(counts: DataFrame, n_segments: DataFrame, min_df: int = 1) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1; n_segments is one row (n)."""
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return df.join(F.broadcast(n_segments)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return df.select("term", "df", (F.log((n_segments.scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
@@ -136,9 +136,9 @@ def score_sparse(weights: DataFrame, vocab: DataFrame, segments: DataFrame, ques
     for block in _question_blocks(asked):
         hits = hits.unionByName(rows.mapInArrow(_scorer(questions.sparkSession.sparkContext.broadcast(block), k), _HITS))
     # Among the 2k lowest ids at least k are without a hit where fewer than k segments have one.
-    filler = questions.select("query_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(segments.select("seg_id").orderBy("seg_id").limit(2 * k).withColumn("one", F.lit(1))), "one")
-    filler = filler.select("query_id", "seg_id", F.lit(0.0).alias("score"))
-    best = top_k(hits, k).drop("rank").unionByName(filler).groupBy("query_id", "seg_id").agg(F.max("score").alias("score"))
+    lowest = segments.select("seg_id").orderBy("seg_id").limit(2 * k).agg(F.collect_list("seg_id").alias("ids"))
+    filler = questions.select("query_id").distinct().select("query_id", F.explode(lowest.scalar()).alias("seg_id"), F.lit(0.0).alias("score"))
+    best = top_k(hits, k).drop("rank").unionByName(filler).repartition("query_id", "seg_id").groupBy("query_id", "seg_id").agg(F.max("score").alias("score"))
     return top_k(best, k)
 
 
@@ -191,7 +191,9 @@ def fuse(dense: DataFrame, sparse: DataFrame, config: EngineConfig) -> DataFrame
     """Weighted sum of both scaled channels; an absent hit counts 0. A union and a sum, so one shuffle. The weights
     have two digits, so two more keep the sums exact."""
     rows = minmax(dense).select("query_id", "seg_id", (F.col("norm") * config.weight_dense).alias("part")).unionByName(minmax(sparse).select("query_id", "seg_id", (F.col("norm") * config.weight_sparse).alias("part")))
-    return rows.groupBy("query_id", "seg_id").agg(F.round(F.sum("part"), DIGITS + 2).alias("score"))
+    # Dealt out explicitly by both keys: a union of parts that are dealt by question counts as dealt so, and joins above
+    # then find a wrong number of partitions.
+    return rows.repartition("query_id", "seg_id").groupBy("query_id", "seg_id").agg(F.round(F.sum("part"), DIGITS + 2).alias("score"))
 
 
 def boost(fused: DataFrame, segments: DataFrame, config: EngineConfig, order: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import normalize, strip
+from docloom.functions.text import nonspace_ratio, normalize, strip
 
 #: A number of parts, an optional separator, a title (fixed value); `3mg daily` matches, too.
 HEADING = r"^([0-9]+(?:\.[0-9]+)*)\s*[\x{2002}\x{2003}\x{00A0}\s]*[—\- –]*\s*(.+?)\s*$"
@@ -63,5 +63,16 @@ def segment_id(file_name: Column, section_id: Column, index: Column, text: Colum
 
 def sample_pages(pages: DataFrame, n: int = 6) -> DataFrame:
     """Up to n pages of each file, by the hash of their number, so that a sample can be drawn again."""
-    w = Window.partitionBy("file_name").orderBy(F.xxhash64("page_no"), "page_no")
+    w = Window.partitionBy("file_name").orderBy(F.md5(F.col("page_no").cast("string")), "page_no")
     return pages.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+
+
+def quality_sample(pages: DataFrame, files: DataFrame | None = None, n: int = 6) -> DataFrame:
+    """(file_name, sample_n, nonempty_ratio_mean, pages): the mean share of characters that aren't white space over a
+    sample of each file. files(file_name) without a page have a sample of 0 and a mean of 0."""
+    rows = sample_pages(pages, n).select("file_name", "page_no", nonspace_ratio(F.col("text")).alias("ratio"))
+    counted = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("sample_n"), F.avg("ratio").alias("nonempty_ratio_mean"), F.sort_array(F.collect_list("page_no")).alias("pages"))
+    if files is None:
+        return counted
+    joined = files.select("file_name").distinct().join(counted, "file_name", "left")
+    return joined.select("file_name", F.coalesce("sample_n", F.lit(0)).alias("sample_n"), F.coalesce("nonempty_ratio_mean", F.lit(0.0)).alias("nonempty_ratio_mean"), F.coalesce("pages", F.array().cast(dict(counted.dtypes)["pages"])).alias("pages"))

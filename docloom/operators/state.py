@@ -32,14 +32,14 @@ def review_latest(events: DataFrame, config: EngineConfig | None = None) -> Data
     return rows.select("request_id", F.col("o.seq").alias("seq"), F.col("o.draft").alias("draft"), status.alias("status"), text.alias("final_text"), F.col("o.ts").alias("created_at"), F.col("d.ts").alias("reviewed_at"))
 
 
-def with_task_ids(reviews: DataFrame) -> DataFrame:
-    """task_id: how many tasks were opened up to this one. Tasks are sorted by range, counted by partition, and
-    numbered within it, so no task numbers them all."""
-    placed = reviews.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id())
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("seq")))
-    return numbered.join(F.broadcast(before.select("part", "before")), "part").withColumn("task_id", F.col("k") + F.col("before")).drop("part", "k", "before")
+def with_task_ids(reviews: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """task_id: how many tasks were opened up to this one. Tasks are numbered within ranges of `width` of their order,
+    and a running sum over the ranges' counts, a row for each range, tells what came before; so no task numbers all."""
+    placed = reviews.withColumn("range", F.floor(F.col("seq") / width))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("seq")))
+    return numbered.join(before, "range").withColumn("task_id", F.col("k") + F.col("before")).drop("range", "k", "before")
 
 
 def pending(reviews: DataFrame, limit: int = 20) -> DataFrame:
@@ -47,11 +47,13 @@ def pending(reviews: DataFrame, limit: int = 20) -> DataFrame:
     return reviews.where("status = 'PENDING'").orderBy("seq").limit(limit)
 
 
-def deliver(requests: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(request_id, result, text): not_found, pending_review or delivered with the final text, else the draft."""
+def deliver(requests: DataFrame, reviews: DataFrame, *columns: str) -> DataFrame:
+    """(request_id, result, text) and the requests' other columns asked for: not_found, pending_review or delivered
+    with the final text, else the draft."""
     text = F.coalesce(F.nullif(F.col("final_text"), F.lit("")), F.nullif(F.col("draft"), F.lit("")), F.lit(""))
     result = F.when(F.col("status").isNull(), "not_found").when(F.col("status") == "PENDING", "pending_review").otherwise("delivered")
-    rows = requests.select("request_id").join(reviews, "request_id", "left").select("request_id", result.alias("result"), text.alias("text"))
+    tasks = reviews.select("request_id", "status", "draft", "final_text")
+    rows = requests.select("request_id", *columns).join(tasks, "request_id", "left").select("request_id", *columns, result.alias("result"), text.alias("text"))
     return rows.withColumn("text", F.when(F.col("result") == "delivered", F.col("text")))
 
 

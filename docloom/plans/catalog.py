@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions import classify, splitters, text
-from docloom.operators import chunking, filters, knowledge, retrieval, sections, state
+from docloom.operators import chunking, filters, flow, index, ingest, knowledge, retrieval, sections, state
 from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from docloom.plans.oracle import TITLES
-from docloom.sources import files
+from docloom.sources import adapters, files, loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,4 +398,123 @@ def kb_status(spark, sf_dir):
 
 @query
 def kb_merge(spark, sf_dir):
-    return knowledge.status(knowledge.merge_tiers(_tiers(spark, sf_dir)))
+    """Both tiers written, merged and asked for what they hold."""
+    base = knowledge.KnowledgeBase(spark, files.scratch_folder(spark))
+    d = table(spark, sf_dir, "documents").select(F.sha1(F.col("doc_id").cast("string")).alias("seg_id"), "source", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk"), "doc_id")
+    base.add(d.where("doc_id % 4 <> 0"), "historical")
+    base.add(d.where("doc_id % 4 = 0"), "realtime")
+    base.merge()
+    return base.info().select("tier", "exists", "n_sources", "n_chunks", "n_chars")
+
+
+@query
+def chunk_statistics(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.explode(chunking.window_chunks(F.col("text"))).alias("chunk"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"), F.max(F.length("chunk")).cast("long").alias("max_chars"))
+
+
+@query
+def quality_sample(spark, sf_dir):
+    pages = doc_pages(spark, sf_dir)
+    named = pages.select("file_name").distinct().unionByName(spark.range(1).select(F.lit("nothing.pdf").alias("file_name")))
+    rows = sections.quality_sample(pages, named)
+    return rows.select("file_name", "sample_n", F.round("nonempty_ratio_mean", 6).alias("nonempty_ratio_mean"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query
+def book_records(spark, sf_dir):
+    rows = ingest.book_records(_headed("textbook", 2)(spark, sf_dir), F.lit("textbook"))
+    return rows.select("doc_id", "chunk_index", "total_chunks", "chunk_size", F.sha1("chunk").alias("chunk_sha1"))
+
+
+def _index(spark, sf_dir):
+    built = index.RetrievalIndex(spark, files.scratch_folder(spark))
+    built.build(segments(spark, sf_dir), vectors(spark, sf_dir), index.IndexConfig(embedding_model="table", embedding_size=64))
+    return built
+
+
+@query
+def indexed_sparse_topk(spark, sf_dir):
+    return _index(spark, sf_dir).sparse_topk(questions(spark, sf_dir))
+
+
+@query
+def indexed_retrieve(spark, sf_dir):
+    return _index(spark, sf_dir).retrieve(questions(spark, sf_dir), question_vectors(spark, sf_dir))
+
+
+@query
+def index_info(spark, sf_dir):
+    return _index(spark, sf_dir).info().select("exists", "n_segments", "n_terms", "n_vectors", (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
+def site_pages(spark, sf_dir):
+    """Pages of seven hosts; each links to the seventh and fourteenth page after it, of its own host, and to others."""
+    n = F.col("page_id")
+    link = lambda path: F.concat(F.lit('<a href="'), path, F.lit('">x</a> '))
+    at = lambda k: F.concat(F.lit("/p"), (n + k).cast("string"))
+    other = F.concat(F.lit("http://h"), ((n + 1) % 7).cast("string"), F.lit(".example/p"), (n + 1).cast("string"))
+    url = F.concat(F.lit("http://h"), (n % 7).cast("string"), F.lit(".example/p"), n.cast("string"))
+    return table(spark, sf_dir, "pages").select(n, url.alias("url"), F.concat(link(at(7)), link(other), link(at(14)), link(at(7)), F.col("html")).alias("html"))
+
+
+def source_files(spark, sf_dir):
+    """Documents as files of three kinds, the PDFs with a form feed for every full stop, and one list of URLs."""
+    n = F.col("doc_id")
+    path = F.concat(F.lit("d"), n.cast("string"), F.when(n % 3 == 0, ".txt").when(n % 3 == 1, ".pdf").otherwise(".doc"))
+    body = F.when(n % 3 == 1, F.replace("text", F.lit(". "), F.lit("\f"))).otherwise(F.col("text"))
+    listed = spark.range(1).select(F.lit("list.txt").alias("path"), F.encode(F.lit("one\n http://h1.example/p1 \nhttp://h2.example/none\n"), "utf-8").alias("content"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.encode(body, "utf-8").alias("content")).unionByName(listed)
+
+
+def _loaded(spark, sf_dir):
+    pages, found = site_pages(spark, sf_dir), source_files(spark, sf_dir)
+    extra = spark.range(3).select(F.get(F.array(*[F.lit(x) for x in ("http://none.example/x", "gone.txt", "list.txt")]), F.col("id").cast("int")).alias("source"))
+    asked = pages.where("page_id % 5 = 0").select(F.col("url").alias("source")).unionByName(found.select(F.col("path").alias("source"))).unionByName(extra)
+    return loaders.load_sources(asked, pages, found, crawl=True)
+
+
+@query
+def load_documents(spark, sf_dir):
+    documents, _ = _loaded(spark, sf_dir)
+    return documents.select("source", "page_no", F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("text_sha1"))
+
+
+@query
+def failed_sources(spark, sf_dir):
+    _, failures = _loaded(spark, sf_dir)
+    return failures
+
+
+@query
+def transcripts(spark, sf_dir):
+    return loaders.transcripts(table(spark, sf_dir, "conversations")).select("source", F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("text_sha1"))
+
+
+@query
+def review_by_request(spark, sf_dir):
+    asked = spark.range(40).select((F.col("id") * 3).alias("request_id"))
+    return flow.by_request(state.review_latest(review_events(spark, sf_dir)), asked).select("request_id", "seq", "status", "final_text")
+
+
+@query
+def ask_audit(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("seq"), F.concat(F.lit("u"), (F.col("item_id") % 3).cast("string")).alias("user_id"), F.col("text").alias("query"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    made = flow.ask(asked, guideline_boost(spark, sf_dir), segments(spark, sf_dir), adapters.EchoModel())
+    return made.audit.select("request_id", "ord", "event", "payload")
+
+
+@query
+def deliver_events(spark, sf_dir):
+    """Every user asks for a delivery: the events that this leaves."""
+    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("request_id")).agg(F.max("event_id").alias("seq"), F.max("ts").alias("ts"))
+    _, exposures, audit = flow.deliver(users, state.review_latest(review_events(spark, sf_dir)))
+    return exposures.select("request_id", F.col("action").alias("event"), F.lit(None).cast("string").alias("payload")).unionByName(audit.select("request_id", "event", "payload"))
+
+
+@query
+def evidence_get(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"))
+    later = F.when(F.col("seq") % 3 == 0, F.expr("INTERVAL 600 SECONDS")).when(F.col("seq") % 3 == 1, F.expr("INTERVAL '600.000001' SECOND")).otherwise(F.expr("INTERVAL 5 SECONDS"))
+    asked = e.select(F.col("seq").alias("ask"), F.unix_millis("ts").alias("evidence_id"), (F.col("ts") + later).alias("now"))
+    return flow.get_evidence(asked, flow.put_evidence(e)).select("ask", "evidence_id", "text")

@@ -256,12 +256,16 @@ def headed(heads: tuple[str, ...], every: int) -> str:
     return f"(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1 + doc_id) % {every} = 1 THEN ({listed})[(i - 1 + doc_id) // {every} % {len(heads)} + 1] || chr(10) || l ELSE l END), chr(10)) AS t FROM documents)"
 
 
-def titled(name: str, patterns: tuple[str, ...], breaks: bool) -> str:
+def titled_list(name: str, patterns: tuple[str, ...], breaks: bool) -> str:
     pattern = "|".join(patterns)
     pieces = kept(f"string_split(regexp_replace(t, {lit(f'({pattern})')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))")
     rule = r"'^[*\-]{3,}$'"
     opens = f"regexp_matches(x, {lit(f'^(?:{pattern})')})" if breaks else f"regexp_matches(x, {rule}) OR regexp_matches(a.cur, {rule})"
-    return chunked(pack(pieces, 500, "chr(10)", 2, opens), headed(TITLES[name], 2))
+    return pack(pieces, 500, "chr(10)", 2, opens)
+
+
+def titled(name: str, patterns: tuple[str, ...], breaks: bool) -> str:
+    return chunked(titled_list(name, patterns, breaks), headed(TITLES[name], 2))
 
 
 def main_parts() -> str:
@@ -297,6 +301,9 @@ e AS (SELECT rid, url, unnest(ls) AS link, generate_subscripts(ls, 1) AS p FROM
 f AS (SELECT rid, url, link, min(p) AS p FROM e GROUP BY ALL)
 SELECT url, ord::INT AS ord, link FROM (SELECT url, link, row_number() OVER (PARTITION BY rid ORDER BY p) - 1 AS ord FROM f) WHERE ord <= 5"""
 
+SITE_URL = "'http://h' || page_id % 7 || '.example/p' || page_id"
+SITE_HTML = """'<a href="/p' || (page_id + 7) || '">x</a> <a href="http://h' || (page_id + 1) % 7 || '.example/p' || (page_id + 1) || '">x</a> <a href="/p' || (page_id + 14) || '">x</a> <a href="/p' || (page_id + 7) || '">x</a> ' || html"""
+
 ORACLE_SQL: dict[str, str] = {
     "hybrid_retrieve": boosted(tfidf(abstract(deidentify("text")))),
     "tfidf_sparse_topk": tfidf(),
@@ -383,5 +390,36 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*)::BIGINT AS n FROM s GROUP BY user_id, num""",
     "ttl_alive": "SELECT event_id FROM events WHERE event_id % 3 <> 1",
     "kb_status": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'realtime' ELSE 'historical' END AS tier, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
-    "kb_merge": "SELECT 'historical' AS tier, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents",
+    "kb_merge": "SELECT 'historical' AS tier, true AS exists, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'realtime', true, 0, 0, 0",
+    "chunk_statistics": f"SELECT source, count(*)::BIGINT AS n_chunks, round(avg(length(c)), 6) AS mean_chars, max(length(c))::BIGINT AS max_chars FROM (SELECT source, unnest({WINDOWS}) AS c FROM documents) GROUP BY 1",
+    "quality_sample": rf"""WITH r AS (SELECT file_name, page_no, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '\s', '', 'g')) / length(text) END AS ratio, row_number() OVER (PARTITION BY file_name ORDER BY md5(page_no::VARCHAR), page_no) AS k FROM {PAGES})
+SELECT file_name, count(*)::BIGINT AS sample_n, round(avg(ratio), 6) AS nonempty_ratio_mean, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM r WHERE k <= 6 GROUP BY 1 UNION ALL SELECT 'nothing.pdf', 0, 0.0, ''""",
+    "book_records": f"SELECT doc_id, (i - 1)::INT AS chunk_index, n::INT AS total_chunks, length(c)::INT AS chunk_size, sha1({strip('c')}) AS chunk_sha1 FROM (SELECT doc_id, len(cs) AS n, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT doc_id, {titled_list('textbook', TEXTBOOK, True)} AS cs FROM {headed(TITLES['textbook'], 2)})) WHERE {strip('c')} <> ''",
+    "indexed_sparse_topk": tfidf(),
+    "indexed_retrieve": boosted(tfidf()),
+    "index_info": r"""SELECT true AS exists, (SELECT count(*) FROM documents) AS n_segments, (SELECT count(DISTINCT t) FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS t FROM documents)) AS n_terms, (SELECT count(*) FROM embeddings) AS n_vectors, true AS has_bytes""",
+    "load_documents": f"""WITH p AS (SELECT page_id, {SITE_URL} AS url, {SITE_HTML} AS html FROM pages),
+s AS (SELECT page_id, url FROM p WHERE page_id % 5 = 0),
+w AS (SELECT url AS source, 1 AS page_no, page_id FROM s UNION ALL SELECT url, 2, page_id + 7 FROM s UNION ALL SELECT url, 3, page_id + 14 FROM s UNION ALL SELECT 'http://h1.example/p1', 1, 1),
+d AS (SELECT source, page_no, {cleaned('html')} AS t FROM w JOIN p USING (page_id)
+ UNION ALL SELECT 'd' || doc_id || '.txt', 1, text FROM documents WHERE doc_id % 3 = 0
+ UNION ALL SELECT 'd' || doc_id || '.pdf', generate_subscripts(ps, 1), unnest(ps) FROM (SELECT doc_id, string_split(replace(text, '. ', chr(12)), chr(12)) AS ps FROM documents WHERE doc_id % 3 = 1))
+SELECT source, page_no::INT AS page_no, length(t)::BIGINT AS n_chars, sha1(t) AS text_sha1 FROM d""",
+    "failed_sources": "SELECT 'd' || doc_id || '.doc' AS source, 'unsupported file type: doc' AS error FROM documents WHERE doc_id % 3 = 2 UNION ALL SELECT 'http://none.example/x', 'not found' UNION ALL SELECT 'gone.txt', 'not found'",
+    "transcripts": f"SELECT conv_id::VARCHAR AS source, length(string_agg(text, chr(10) ORDER BY turn, text))::BIGINT AS n_chars, sha1(string_agg(text, chr(10) ORDER BY turn, text)) AS text_sha1 FROM conversations WHERE {strip('text')} <> '' GROUP BY 1",
+    "review_by_request": f"SELECT request_id, seq, status, final_text FROM {reviewed(REVIEWS)} WHERE request_id % 3 = 0 AND request_id < 120",
+    "ask_audit": f"""WITH h AS ({boosted(tfidf())}), g AS (SELECT query_id, count(*) AS n, max(score) AS top FROM h GROUP BY 1),
+r AS (SELECT item_id AS request_id, text, coalesce(n, 0) AS n, coalesce(top, 0.0::DOUBLE) AS top, coalesce(top, 0.0::DOUBLE) <= 0.75 AS ext, row_number() OVER (ORDER BY item_id) AS task, {abstract(deidentify('text'))} AS abstract,
+ array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(text), {lit(p)}) THEN {lit(n)} END' for n, p in UNSUITABLE)}], lambda x: x IS NOT NULL), ',') AS labels FROM benchmark LEFT JOIN g ON query_id = item_id)
+SELECT request_id, 0 AS ord, 'query_received' AS event, '{{"user_id":"u' || request_id % 3 || '","len":' || length(text) || '}}' AS payload FROM r
+UNION ALL SELECT request_id, 1, 'query_deidentified', '{{"abstract":"' || abstract || '"}}' FROM r
+UNION ALL SELECT request_id, 2, 'local_retrieval_done', '{{"hits":' || n || ',"top_score":' || top || ',"theta":0.75}}' FROM r
+UNION ALL SELECT request_id, 3, CASE WHEN ext THEN 'external_retrieval_triggered' ELSE 'external_retrieval_skipped' END, CASE WHEN ext THEN '{{"used":0}}' ELSE '{{}}' END FROM r
+UNION ALL SELECT request_id, 4, 'draft_generated', '{{"chars":22}}' FROM r
+UNION ALL SELECT request_id, 5, 'queued_for_human_review', '{{"task_id":' || task || ',"unsuitable":"' || labels || '"}}' FROM r""",
+    "deliver_events": f"""WITH d AS (SELECT request_id, coalesce(nullif(final_text, ''), nullif(draft, ''), '') AS text FROM {reviewed(REVIEWS)} WHERE status <> 'PENDING')
+SELECT request_id, 'deliver' AS event, NULL AS payload FROM d UNION ALL SELECT request_id, 'view', NULL FROM d UNION ALL SELECT request_id, 'delivered_to_patient', '{{"chars":' || length(text) || '}}' FROM d""",
+    "evidence_get": """WITH s AS (SELECT epoch_us(ts) // 1000 AS evidence_id, arg_max(event_id, event_id) AS seq, arg_max(ts, event_id) AS ts FROM events GROUP BY 1)
+SELECT e.event_id AS ask, s.evidence_id, 'text ' || s.seq AS text FROM events e JOIN s ON s.evidence_id = epoch_us(e.ts) // 1000
+WHERE e.ts + CASE e.event_id % 3 WHEN 0 THEN INTERVAL 600 SECOND WHEN 1 THEN INTERVAL 600000001 MICROSECOND ELSE INTERVAL 5 SECOND END <= s.ts + INTERVAL 600 SECOND""",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,48 @@ EXTENSIONS = ("pdf", "txt")
 MAX_LINKS = 5
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    system, at = file_system(spark, path)
+    return system.exists(at)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, at = file_system(spark, path)
+    system.delete(at, True)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A short text as one file of the shared file system, in place of what was there."""
+    system, at = file_system(spark, path)
+    out = system.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    system, at = file_system(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; one of this machine only where that is unset and all runs in one
+    process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="docloom-")
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def demo_segments(spark: SparkSession) -> DataFrame:

@@ -1,11 +1,12 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.operators import knowledge, retrieval, sections, state
-from docloom.sources import adapters, files
+from docloom.operators import flow, index, knowledge, retrieval, sections, state
+from docloom.sources import adapters, files, loaders
 from docloom.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -153,3 +154,165 @@ def test_streams(spark, tmp_path):
     late = spark.createDataFrame([(1, T0, "u", "x", T0 + dt.timedelta(minutes=10))], "evidence_id long, ts timestamp, url string, text string, expires_at timestamp")
     rows = collect_stream(streams.evidence_lifetimes(stream(spark, tmp_path, late, "late")), "evidence_rows", "append")
     assert [r.event for r in rows][:1] == ["stored"]
+
+
+def test_index_is_built_once_and_replaced(spark, tmp_path):
+    segs = spark.createDataFrame([(i, t, "education") for i, t in enumerate(["apple pear", "apple", "plum", "fig", "kiwi"])], "seg_id long, text string, doc_type string")
+    asked = spark.createDataFrame([(7, "apple pear"), (8, "nothing")], "query_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None)], "seg_id long, embedding array<double>")
+    built = index.RetrievalIndex(spark, str(tmp_path / "index"))
+    assert built.info().first().asDict() == {"exists": False, "n_segments": 0, "n_terms": 0, "n_vectors": 0, "n_bytes": 0}
+    with pytest.raises(FileNotFoundError):
+        built.config()
+    built.build(segs, vectors, index.IndexConfig(embedding_model="m", embedding_size=2))
+    first = built.folder
+    want = [tuple(r) for r in retrieval.sparse_topk(segs, asked, 3).orderBy("query_id", "rank").collect()]
+    assert [tuple(r) for r in built.sparse_topk(asked, 3).orderBy("query_id", "rank").collect()] == want
+    by_vector = spark.createDataFrame([(7, [1.0, 0.5])], "query_id long, embedding array<double>")
+    assert [r.seg_id for r in built.dense_topk(by_vector, 5).orderBy("rank").collect()] == [0, 1]
+    assert built.retrieve(asked, by_vector).where("query_id = 7 AND rank = 1").first().seg_id == 0
+    with pytest.raises(ValueError):
+        built.dense_topk(spark.createDataFrame([(7, [1.0])], "query_id long, embedding array<double>"))
+    info = built.info().first()
+    assert (info.exists, info.n_segments, info.n_terms, info.n_vectors) == (True, 5, 5, 3) and info.n_bytes > 0
+    built.build(segs.limit(2), config=index.IndexConfig(ngram_max=2))
+    assert built.folder != first and not files.path_exists(spark, first) and built.config().ngram_max == 2 and built.info().first().n_vectors == 0
+    built.clear()
+    assert built.folder is None
+
+
+def test_retrieval_without_questions_or_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0]), (2, None)], "seg_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0]), (2, None)], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.seg_id) for r in retrieval.dense_topk(vectors, asked).collect()] == [(1, 1)]
+    assert retrieval.dense_topk(vectors, asked.limit(0)).collect() == [] and retrieval.dense_topk(vectors.limit(0), asked).collect() == []
+    segs = spark.createDataFrame([(1, "a bc", "x")], "seg_id long, text string, doc_type string")
+    assert retrieval.sparse_topk(segs, spark.createDataFrame([], "query_id long, text string")).collect() == []
+
+
+def test_boost_takes_the_last_type(spark):
+    kinds = spark.createDataFrame([(1, "guideline", 0), (1, "education", 1), (2, "education", 0)], "seg_id long, doc_type string, n int")
+    out = retrieval.boost(hits(spark, [(1, 1, 0.9), (1, 2, 1.0)]), kinds, EngineConfig(), order="n").orderBy("rank").collect()
+    assert [(r.seg_id, r.score) for r in out] == [(2, 1.0), (1, 0.9)]
+
+
+def test_question_to_delivery(spark, tmp_path):
+    segs = files.demo_segments(spark)
+    asked = spark.createDataFrame([("r1", 1, "u1", "When can I shower?", T0), ("r2", 2, "u1", "What is the rule on parking, call 13812345678", T0)], "request_id string, seq long, user_id string, query string, ts timestamp")
+    found = spark.createDataFrame([("r1", "guideline_1", 0.9, 1)], "query_id string, seg_id string, score double, rank int")
+    made = flow.ask(asked, found, segs, adapters.EchoModel())
+    assert {(r.request_id, r.status, r.unsuitable) for r in made.answers.collect()} == {("r1", "queued_for_review", ""), ("r2", "queued_for_review", "hospital_regulations")}
+    lines = {(r.request_id, r.event): json.loads(r.payload) for r in made.audit.collect()}
+    assert len(lines) == 12 and {e for _, e in lines} <= set(state.AUDIT_EVENTS)
+    assert lines["r1", "local_retrieval_done"] == {"hits": 1, "top_score": 0.9, "theta": 0.75} and lines["r1", "external_retrieval_skipped"] == {}
+    assert lines["r2", "external_retrieval_triggered"] == {"used": 0} and lines["r2", "queued_for_human_review"] == {"task_id": 2, "unsuitable": "hospital_regulations"}
+    assert "13812345678" not in json.dumps(list(lines.values()))
+    latest = state.review_latest(made.reviews)
+    assert [r.status for r in flow.by_request(latest, asked.where("seq = 1")).collect()] == ["PENDING"]
+    again = asked.select("request_id", (F.col("seq") + 10).alias("seq"), "ts")
+    results, exposures, audit = flow.deliver(again, latest)
+    assert {r.result for r in results.collect()} == {"pending_review"} and exposures.collect() == [] and audit.collect() == []
+    decided = made.reviews.unionByName(spark.createDataFrame([("r1", 5, T0, "approve", None, "Two days.")], made.reviews.schema))
+    results, exposures, audit = flow.deliver(again, state.review_latest(decided))
+    assert {(r.request_id, r.result, r.text) for r in results.collect()} == {("r1", "delivered", "Two days."), ("r2", "pending_review", None)}
+    seen = state.exposure_latest(made.exposures.unionByName(exposures)).where("request_id = 'r1'").first()
+    assert (seen.delivered, seen.viewed) == (1, 1)
+    trail = str(tmp_path / "audit")
+    flow.write_audit(made.audit, trail)
+    flow.write_audit(audit, trail)
+    back = {(r.request_id, r.event): r.payload for r in flow.read_audit(spark, trail).collect()}
+    assert len(back) == 13 and back["r1", "delivered_to_patient"] == {"chars": "9"}
+    with pytest.raises(Exception, match="unknown audit event"):
+        flow.write_audit(audit.withColumn("event", F.lit("raw_text")), trail)
+    nobody = flow.deliver(spark.createDataFrame([("no", 1, T0)], again.schema), latest)[0].first()
+    assert nobody.result == "not_found"
+
+
+def test_evidence_put_and_get(spark):
+    items = spark.createDataFrame([(T0, 1, "x", "y"), (T0, 2, "x", "later"), (T0 + dt.timedelta(seconds=1), 3, "x", "z")], "ts timestamp, seq long, url string, text string")
+    stored = flow.put_evidence(items, 10)
+    at = {r.text: r.evidence_id for r in stored.collect()}
+    assert set(at) == {"later", "z"}
+    asked = spark.createDataFrame([(at["later"], T0 + dt.timedelta(seconds=s)) for s in (0, 10, 11)], "evidence_id long, now timestamp")
+    assert [r.text for r in flow.get_evidence(asked, stored).collect()] == ["later"] * 2
+
+
+def test_loaders(spark):
+    class Pages:
+        def pages(self, content):
+            if content.startswith(b"bad"):
+                raise OSError("broken")
+            return content.decode().split("|")
+
+    class Scan:
+        def pages(self, content):
+            return [" ", "seen " + content.decode()]
+
+    found = spark.createDataFrame([("a.txt", bytearray("grü".encode("latin-1"))), ("b.pdf", bytearray(b"one|two")), ("c.pdf", bytearray(b"bad")), ("d.doc", bytearray(b"x")), ("e.pdf", bytearray(b"w" * 1200)), ("f.TXT", None)], "path string, content binary")
+    documents, failures = loaders.load_files(found, Pages(), Scan())
+    rows = {(r.source, r.page_no): (r.text, r.metadata.get("ocr")) for r in documents.collect()}
+    assert rows == {("a.txt", 1): ("grü", None), ("b.pdf", 2): ("seen one|two", "True"), ("e.pdf", 1): ("w" * 1200, None), ("f.TXT", 1): ("", None)}
+    assert {(r.source, r.error) for r in failures.collect()} == {("c.pdf", "broken"), ("d.doc", "unsupported file type: doc")}
+    plain, _ = loaders.load_files(found.where("path = 'b.pdf'"), Pages())
+    assert [(r.page_no, r.text) for r in plain.orderBy("page_no").collect()] == [(1, "one"), (2, "two")]
+    assert loaders.decode_text("中文".encode("gb18030")) == "中文" and loaders.decode_text("﻿x".encode()) == "x" and loaders.decode_text("y".encode("utf-16")) == "y"
+    pages = spark.createDataFrame([("http://a/x", '<a href="/y">l</a><a href="/gone">l</a><p>start</p>'), ("http://a/y", "<p>child</p>")], "url string, html string")
+    urls = spark.createDataFrame([("http://a/x",), ("http://a/none",)], "url string")
+    documents, failures = loaders.load_pages(urls, pages, crawl=True)
+    assert [(r.source, r.page_no, r.metadata["url"]) for r in documents.orderBy("page_no").collect()] == [("http://a/x", 1, "http://a/x"), ("http://a/x", 2, "http://a/y")]
+    assert [r.source for r in failures.collect()] == ["http://a/none"]
+    with pytest.raises(ValueError):
+        loaders.loaded_or_error(loaders.load_pages(urls.where("url LIKE '%none'"), pages)[0])
+    turns = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (2, 1, " "), (1, 3, None)], "conv_id long, turn long, text string")
+    made = loaders.transcripts(turns)
+    assert [(r.source, r.text) for r in made.collect()] == [("1", "first\nsecond")] and loaders.transcript_chunks(made, 8, 0).count() == 2
+
+
+def test_knowledge_log_replace_and_repeats(spark, tmp_path):
+    kb = knowledge.KnowledgeBase(spark, str(tmp_path / "kb"))
+    chunks = spark.createDataFrame([("a", "s", 0, "text"), ("b", "t", 1, "more")], knowledge.CHUNK_SCHEMA)
+    assert kb.add(chunks, "realtime", at=T0) == 2 and kb.add(chunks, "realtime", new_only=True) == 0
+    assert kb.add(chunks.unionByName(chunks.limit(1).withColumn("seg_id", F.lit("c"))), "realtime", new_only=True, at=T0 + dt.timedelta(hours=1)) == 1
+    info = {r.tier: r for r in kb.info().collect()}
+    assert (info["realtime"].n_chunks, info["realtime"].n_sources, info["realtime"].last_updated) == (3, 2, T0 + dt.timedelta(hours=1)) and not info["historical"].exists
+    assert kb.add(chunks.limit(1), "realtime", replace=True) == 1 and kb.read("realtime").count() == 1
+    assert kb.merge() and {r.tier for r in kb.sources().collect()} == {"historical"}
+    kb.clear("historical")
+    assert kb.sources().collect() == [] and kb.info().where("tier = 'historical'").first().n_chunks == 0
+
+
+def test_quality_samples(spark):
+    pages = spark.createDataFrame([("f", i, "ab  " if i % 2 else "") for i in range(1, 10)] + [("g", 1, "abc")], "file_name string, page_no int, text string")
+    files_ = spark.createDataFrame([("f",), ("g",), ("h",)], "file_name string")
+    rows = {r.file_name: r for r in sections.quality_sample(pages, files_).collect()}
+    assert rows["f"].sample_n == 6 and rows["g"].nonempty_ratio_mean == 1.0 and (rows["h"].sample_n, rows["h"].nonempty_ratio_mean, rows["h"].pages) == (0, 0.0, [])
+    assert rows["f"].nonempty_ratio_mean == pytest.approx(sum(0.5 for p in rows["f"].pages if p % 2) / 6) and rows["f"].pages == sorted(rows["f"].pages)
+
+
+def test_task_numbers_over_ranges(spark):
+    rows = spark.createDataFrame([(s,) for s in (5, 1, 70_000, 66_000, 200_000, 7)], "seq long")
+    assert {r.seq: r.task_id for r in state.with_task_ids(rows).collect()} == {1: 1, 5: 2, 7: 3, 66_000: 4, 70_000: 5, 200_000: 6}
+
+
+def test_upserts_and_repeats_in_streams(spark, tmp_path):
+    log = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (1, 3, "c")], "id long, seq long, v string")
+    log.where("seq < 3").write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    streams.upsert_latest(source(), str(tmp_path / "table"), "id", "seq", str(tmp_path / "cp")).awaitTermination(120)
+    log.where("seq = 3").write.mode("append").parquet(str(tmp_path / "in"))
+    streams.upsert_latest(source(), str(tmp_path / "table"), "id", "seq", str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r.id, r.v) for r in streams.read_latest(spark, str(tmp_path / "table")).collect()} == {(1, "c"), (2, "b")}
+    docs = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(seconds=5)), (2, T0)], "doc_id long, ts timestamp")
+    rows = collect_stream(streams.without_repeats(stream(spark, tmp_path, docs, "repeats")), "repeat_rows", "append")
+    assert sorted(r.doc_id for r in rows) == [1, 2]
+
+
+def test_evidence_ends_in_any_time_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    late = spark.createDataFrame([(1, T0, "u", "x", T0 + dt.timedelta(minutes=10)), (2, T0 + dt.timedelta(minutes=30), "u", "y", T0 + dt.timedelta(hours=9))], "evidence_id long, ts timestamp, url string, text string, expires_at timestamp")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+        rows = collect_stream(streams.evidence_lifetimes(stream(spark, tmp_path, late, "zones")), "zone_rows", "append")
+        assert ("stored", 1) in [(r.event, r.evidence_id) for r in rows] and ("expired", 2) not in [(r.event, r.evidence_id) for r in rows]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -5,18 +5,25 @@ are first cut where equal strings can't be torn apart. Every 100-byte window has
 32-byte grams; equal windows have the same, so they meet when runs of windows are dealt by it:
 
 1. Every text is scanned once. Neighbouring windows with one least hash form a piece (100 to 168 bytes). Its row
-   has the hash, a digest of its bytes, its document and place, not the bytes.
+   has the hash, a digest of its bytes, its document and place, not the bytes. Equal pieces of one task's rows
+   collapse right there: all but the first are removed whole and are dealt out evenly, so that a passage of very
+   many copies sends a row or so per task to its hash.
 2. Rows are dealt by the hash and sorted by (hash, digest, document, place). A hash with one row is done: none
-   of its windows repeats (unless the piece holds its least gram twice; then it goes on, too). Of equal pieces all but the first are removed whole. Nothing is gathered: rows stream
-   past in their order, however many share a hash.
-3. Of hashes with several different pieces, the first of each goes on with its bytes. Their suffix order and
-   common prefixes are built column by column (bwt.py), in as many rounds as a piece has bytes, through
-   sequential files; in a run of suffixes that share 100 bytes all but the first start are removed.
+   of its windows repeats (unless the piece holds its least gram twice; then it goes on, too). Of equal pieces all
+   but the first are removed whole. Nothing is gathered: rows stream past in their order.
+3. Of hashes with several different pieces, the first of each goes on with its bytes. What no other window of the
+   hash equals, by a hash of the whole window, is cut away. Suffix order and common prefixes of the rest are built
+   column by column (bwt.py), in as many rounds as a piece has bytes, through sequential files; in a run of suffixes
+   that share 100 bytes all but the first start are removed. A hash with more than HOT_PIECES different pieces (a
+   common phrase in very many contexts) isn't gathered: its pieces are cut again by the least hash of longer grams,
+   64 bytes and in the end whole windows, and go through 1. to 3. anew. Whole windows need no 3.: they are equal or not.
 4. Removed ranges are joined to their documents and merged.
 
-Cases: a null text is empty; a document under 100 bytes keeps all. The order of documents is doc_id, null last;
-rows with one doc_id and different texts are different documents, in the order of a hash of their texts; rows
-that repeat doc_id and text are one document and get the same result. Matches never cross documents.
+Cases: ids are integers or null. A null text is empty; a document under 100 bytes keeps all; a very long one is
+scanned whole. The order of documents is doc_id, null last; rows with one doc_id and different texts are different
+documents, in the order of a hash of their texts; rows that repeat doc_id and text are one document and get the same
+result. Matches never cross documents. Columns named like the new ones are replaced; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -31,20 +38,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .common import read_table, store
+from .common import read_table, slices, store
 
-WIDTH, GRAM, RUN = 100, 32, 69
-#: So many bytes of pieces make one collection at least; a hash is never split over two.
-COLLECTION_BYTES = 3 << 18
+WIDTH, RUN = 100, 69
+#: So many bytes of pieces make one collection at least; a hash is never split over two. A hash with more than
+#: HOT_PIECES different pieces goes on to the next gram of GRAMS.
+COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 2048, (32, 64, 100)
 _LAST_ID = (1 << 63) - 1
-#: `at` holds, from the top, the order of texts with one id (22 bits), the start (32), whether a window may repeat
-#: inside the piece (1), and the piece's length (8).
-_INSIDE = 1 << 8
+#: So many rows are collapsed at a time.
+COLLAPSE = 200_000
+#: `at` holds the start (from bit 10), whether the piece is to be removed whole (9), whether a window may repeat
+#: inside it (8), and its length (8 bits).
+_GONE, _INSIDE = 1 << 9, 1 << 8
+_ROWS = ("h", "digest", "doc", "ord", "at")
+_ROWS_DDL = "h long, digest long, doc long, ord long, at long"
 
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
-    """Document order: the id, then 22 bits of the text's hash."""
-    return F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST_ID)), F.shiftrightunsigned(F.xxhash64(F.coalesce(docs[text], F.lit(""))), 42)
+    """Document order: the id, then the text's hash."""
+    return F.coalesce(docs[doc_id].cast("long"), F.lit(_LAST_ID)), F.xxhash64(F.coalesce(docs[text], F.lit("")))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -62,6 +74,19 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A mixed hash of every run of width bytes."""
+    n = len(data) - width + 1
+    out, at = np.zeros(max(n, 0), np.uint64), 0
+    with np.errstate(over="ignore"):
+        for bit in range(width.bit_length() - 1, -1, -1):
+            if width >> bit & 1 and n > 0:
+                out = (out ^ gram_hashes(data[at : at + n + (1 << bit) - 1], 1 << bit)) * np.uint64(0xD6E8FEB86659FD93)
+                out ^= out >> np.uint64(32)
+                at += 1 << bit
+    return out
+
+
 def window_minima(h: np.ndarray, span: int) -> np.ndarray:
     """Least of every run of span values."""
     n = 1
@@ -73,11 +98,14 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def pieces(data: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, length in bytes, whether a window may repeat inside the piece) of the pieces of one text."""
+    """(hash, start, length in bytes, whether a window may repeat inside the piece) of the pieces of one text. With
+    grams as long as windows each window is a piece."""
     if len(data) < width:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     span = width - gram + 1
-    grams = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    grams = window_hashes(np.frombuffer(data, np.uint8), gram)
+    if span == 1:
+        return grams, np.arange(len(grams)), np.full(len(grams), width), np.zeros(len(grams), bool)
     least = window_minima(grams, span)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     sizes = np.diff(np.append(starts, len(least)))
@@ -97,50 +125,76 @@ def pieces(data: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return least[starts], starts, sizes + width - 1, twice[high] > twice[low]
 
 
+def _batch(columns, names=_ROWS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64, copy=False)) for c in columns], names=names)
+
+
+def collapse(h: np.ndarray, digest: np.ndarray, doc: np.ndarray, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows with one (h, digest) the first by (doc, order, at) stays as it is, rows that repeat one wholly go, and
+    the others are marked to be removed, with a hash of their own place, which deals them evenly."""
+    sort = np.argsort(digest, kind="stable")
+    same = digest[sort[1:]] == digest[sort[:-1]]
+    double = sort[np.append(same, False) | np.insert(same, 0, False)]
+    double = double[np.lexsort((at[double], order[double], doc[double], digest[double], h[double]))]
+    a, b = double[1:], double[:-1]
+    equal = (h[a] == h[b]) & (digest[a] == digest[b])
+    repeated = equal & (doc[a] == doc[b]) & (order[a] == order[b]) & (at[a] == at[b])
+    gone = a[equal]
+    with np.errstate(over="ignore"):
+        h = h.copy()
+        h[gone] = (doc[gone] ^ order[gone]) * np.int64(0x5851F42D4C957F2D) + at[gone] * np.int64(0x14057B7EF767814F)
+    at = at.copy()
+    at[gone] |= _GONE
+    stay = np.ones(len(h), bool)
+    stay[a[repeated]] = False
+    return h[stay], digest[stay], doc[stay], order[stay], at[stay]
+
+
+def collapsed(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Arrays of (h, digest, doc, order, at) collapsed by COLLAPSE rows or so."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for some in rows:
+        held.append(some)
+        if sum(len(x[0]) for x in held) >= COLLAPSE:
+            yield _batch(collapse(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            held = []
+    if held:
+        yield _batch(collapse(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
 def _scan(width: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            ids, orders = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for doc, order, text in zip(ids, orders, batch.column(2).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+    """(doc, ord, bytes, place of the bytes in their text) -> rows of pieces."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in slices(batches):
+            for doc, order, data, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 h, start, size, inside = pieces(data, width, gram)
                 if len(h):
-                    digest = xxhash.xxh3_64_intdigest
                     sums = np.fromiter((digest(data[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)), np.uint64, len(h))
-                    out.append((h, sums, np.full(len(h), doc), (order << 41) | (start << 9) | (inside << np.int64(8)) | size))
-                if sum(len(x[0]) for x in out) > 50_000:
-                    yield _piece_batch(out)
-                    out = []
-            if out:
-                yield _piece_batch(out)
-
-    return run
+                    yield h.view(np.int64), sums.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), order, np.int64), (start + place << 10) | (inside * np.int64(_INSIDE)) | size
 
-
-def _piece_batch(out: list[tuple]) -> pa.RecordBatch:
-    h, sums, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sums.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int64))], names=["h", "digest", "doc", "at"])
+    return lambda batches: collapsed(found(batches))
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, digest, doc, at) in that order -> (h or null, doc, at): null for pieces to remove whole, else a
-    piece to compare further. Two rows are held back from one batch to the next: a hash's first piece is passed
-    on as soon as a second one turns up."""
-    last = None  # the last row (h, digest), and the first piece of its hash while that piece is the only one
+    """Rows (h, digest, doc, ord, at) in that order -> (h or null, doc, ord, at): null for pieces to remove whole,
+    else a piece to compare further. A hash's first piece is held back until a second one turns up."""
+    last = None  # the last row, and the first piece of its hash while that piece is the only one
     only = None
     for batch in batches:
-        h, digest, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        n = len(h)
-        if not n:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        gone = rows[4] & _GONE > 0
+        if gone.any():
+            yield _sifted([x[gone] for x in rows], False)
+            rows = [x[~gone] for x in rows]
+        h, digest, doc, order, at = rows
+        if not len(h):
             continue
-        new_h = np.ones(n, bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_piece = np.ones(n, bool)
-        new_piece[1:] = new_h[1:] | (digest[1:] != digest[:-1])
-        if last is not None:
-            new_h[0] = h[0] != last[0]
-            new_piece[0] = new_h[0] or digest[0] != last[1]
+        before = [np.insert(x[:-1], 0, last[k] if last else ~x[0]) for k, x in enumerate(rows)]
+        new_h = h != before[0]
+        new_piece = new_h | (digest != before[1])
+        again = ~new_piece & (doc == before[2]) & (order == before[3]) & (at == before[4])  # a repeated row of documents
         further = new_piece & ~new_h  # second and later pieces of their hash
         # First pieces go on too where a further one follows.
         heads = np.flatnonzero(new_h)
@@ -149,85 +203,94 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_more[group[further]] = True  # group -1, the hash carried over, is the last entry
         with_more[group[new_h & (at & _INSIDE > 0)]] = True
         if only is not None and with_more[-1]:
-            yield _sifted(np.array([only[0]]), np.array([only[1]]), np.array([only[2]]), True)
+            yield _sifted([np.array([x]) for x in only], True)
             only = None
         keep = further.copy()
         keep[heads[with_more[: len(heads)]]] = True
-        if keep.any():
-            yield _sifted(h[keep], doc[keep], at[keep], True)
-        if (~new_piece).any():
-            yield _sifted(h[~new_piece], doc[~new_piece], at[~new_piece], False)
+        for chosen, compare in ((keep, True), (~new_piece & ~again, False)):
+            if chosen.any():
+                yield _sifted([x[chosen] for x in rows], compare)
         if len(heads):
             k = heads[-1]
-            only = None if with_more[len(heads) - 1] else (h[k], doc[k], at[k])
-        last = h[-1], digest[-1]
+            only = None if with_more[len(heads) - 1] else [x[k] for x in rows]
+        last = [x[-1] for x in rows]
+
 
+def _sifted(rows: list[np.ndarray], further: bool) -> pa.RecordBatch:
+    h, _, doc, order, at = rows
+    return pa.RecordBatch.from_arrays([pa.array(h) if further else pa.nulls(len(h), pa.int64()), *map(pa.array, (doc, order, at))], names=["h", "doc", "ord", "at"])
 
-def _sifted(h: np.ndarray, doc: np.ndarray, at: np.ndarray, further: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h) if further else pa.nulls(len(h), pa.int64()), pa.array(doc), pa.array(at)], names=["h", "doc", "at"])
+
+def sifted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions(*_ROWS).mapInArrow(_sift, "h long, doc long, ord long, at long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, [(h, at)]) -> (h, doc, at, bytes of the piece)."""
-    for batch in batches:
-        h, doc, at, data = [], [], [], []
-        for d, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for x in found:
-                start, size = x["at"] >> 9 & 0xFFFFFFFF, x["at"] & 0xFF
-                h.append(x["h"])
-                doc.append(d)
-                at.append(x["at"])
-                data.append(raw[start : start + size])
-            if len(h) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["h", "doc", "at", "data"])
-                h, doc, at, data = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["h", "doc", "at", "data"])
+    """(doc, ord, bytes, [(h, at)]) -> (h, doc, ord, at, bytes of the piece)."""
+    kinds = [*[pa.int64()] * 4, pa.binary()]
+    for batch in slices(batches):
+        out = []
+        for doc, order, raw, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out += [(x["h"], doc, order, x["at"], raw[x["at"] >> 10 : (x["at"] >> 10) + (x["at"] & 0xFF)]) for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "ord", "at", "data"])
+
+
+def repeated_part(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string the first and the last start of a window whose hash occurs twice in all strings (-1 for none)."""
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    length = np.fromiter(map(len, data), np.int64, len(data))
+    base = np.cumsum(length) - length
+    count = np.maximum(length - width + 1, 0)
+    string = np.repeat(np.arange(len(data)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    h = window_hashes(raw, width)[base[string] + place]
+    sort = np.argsort(h, kind="stable")
+    same = h[sort[1:]] == h[sort[:-1]]
+    hits = np.sort(sort[np.append(same, False) | np.insert(same, 0, False)])
+    first, last = np.full(len(data), -1), np.full(len(data), -1)
+    last[string[hits]] = place[hits]
+    first[string[hits[::-1]]] = place[hits[::-1]]
+    return first, last
 
 
 def _compare(width: int, least_bytes: int):
-    """Rows (h, doc, at, data) sorted by h -> ranges (doc, order, start, end) to remove."""
-
-    def solve(doc: np.ndarray, at: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
-        sort = np.lexsort((at, doc))
-        doc, at, data = doc[sort], at[sort], [data[i] for i in sort]
-        order, start = at >> 41, at >> 9 & 0xFFFFFFFF
+    """Rows (h, doc, ord, at, data) sorted by h -> (doc, ord, s, e), ranges to remove."""
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: r[1:4])
+        rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # repeated rows of documents
+        first, last = repeated_part([r[4] for r in rows], width)
+        used = np.flatnonzero(first >= 0).tolist()
+        if not used:
+            return
+        doc, order = (np.array([rows[k][c] for k in used], np.int64) for c in (1, 2))
+        start = np.array([(rows[k][3] >> 10) + first[k] for k in used], np.int64)
         number = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (order[1:] != order[:-1]))])
-        found = list(repeated_starts(data, width, (number << 32) + start))
-        string, place = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        found = list(repeated_starts([rows[k][4][first[k] : last[k] + width] for k in used], width, (number << 32) + start))
+        if not found:
+            return
+        string, place = (np.concatenate(x) for x in zip(*found, strict=True))
         sort = np.lexsort((place, string))
         string, place = string[sort], place[sort]
         head = np.ones(len(string), bool)
         head[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(head)
-        final = np.append(first[1:], len(string)) - 1
-        who = string[first]
-        columns = [doc[who], order[who], start[who] + place[first], start[who] + place[final] + width] if len(first) else [np.empty(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["doc", "ord", "s", "e"])
+        firsts = np.flatnonzero(head)
+        final = np.append(firsts[1:], len(string)) - 1
+        who = string[firsts]
+        yield _batch((doc[who], order[who], start[who] + place[firsts], start[who] + place[final] + width), ["doc", "ord", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc, at, data, size = [], [], [], [], 0
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            hs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
-            docs, ats = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            begin = 0
-            while begin < len(hs):
-                if size >= least_bytes and hs[begin] != h[-1][-1]:
-                    yield solve(np.concatenate(doc), np.concatenate(at), data)
-                    h, doc, at, data, size = [], [], [], [], 0
-                # as many rows as fill the collection, then on to the end of that hash
-                lengths = np.cumsum([len(t) for t in texts[begin:]])
-                k = begin + int(np.searchsorted(lengths, max(0, least_bytes - size)))
-                other = np.flatnonzero(hs[k:] != hs[k]) if k < len(hs) else ()
-                end = k + int(other[0]) if len(other) else len(hs)
-                h.append(hs[begin:end])
-                doc.append(docs[begin:end])
-                at.append(ats[begin:end])
-                data += texts[begin:end]
-                size += int(lengths[end - begin - 1])
-                begin = end
-        if data:
-            yield solve(np.concatenate(doc), np.concatenate(at), data)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if size >= least_bytes and row[0] != held[-1][0]:
+                    yield from solve(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield from solve(held)
 
     return run
 
@@ -242,19 +305,36 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def removed_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, least_bytes: int = COLLECTION_BYTES) -> DataFrame:
-    """(doc, ord, ranges array<struct<s, e>>): the bytes to remove, for documents that have any; unmerged."""
+def removed_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, grams: tuple[int, ...] = GRAMS, least_bytes: int = COLLECTION_BYTES, hot_pieces: int = HOT_PIECES) -> DataFrame:
+    """(doc, ord, ranges array<struct<s, e>>): the bytes to remove, for documents that have any; unmerged. The last of
+    grams is width."""
     doc, order = _key(docs, doc_id, text)
-    keyed = docs.select(doc.alias("doc"), order.alias("ord"), F.col(text).alias("text"))
-    rows = keyed.mapInArrow(_scan(width, gram), "h long, digest long, doc long, at long")
-    rows = rows.repartition("h").sortWithinPartitions("h", "digest", "doc", "at")
-    sifted = store(rows.mapInArrow(_sift, "h long, doc long, at long"))
-    further = sifted.where("h IS NOT NULL").groupBy("doc", F.shiftright("at", 41).alias("ord")).agg(F.collect_list(F.struct("h", "at")).alias("found"))
-    cut = keyed.distinct().join(further, ["doc", "ord"]).select("doc", "text", "found").mapInArrow(_cut, "h long, doc long, at long, data binary")
-    compared = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(width, least_bytes), "doc long, ord long, s long, e long")
-    start = F.shiftright("at", 9).bitwiseAND(F.lit(0xFFFFFFFF))
-    whole = sifted.where("h IS NULL").select("doc", F.shiftright("at", 41).alias("ord"), start.alias("s"), (start + F.col("at").bitwiseAND(F.lit(0xFF))).alias("e"))
-    return whole.unionByName(compared).groupBy("doc", "ord").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    keyed = docs.select(doc.alias("doc"), order.alias("ord"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("data"))
+    start = F.shiftright("at", 10)
+    span = [start.alias("s"), (start + F.col("at").bitwiseAND(F.lit(0xFF))).alias("e")]
+    cut_ddl = "h long, doc long, ord long, at long, data binary"
+
+    def cut(some: DataFrame) -> DataFrame:
+        """The pieces of some(h, doc, ord, at) with their bytes."""
+        wanted = some.groupBy("doc", "ord").agg(F.collect_list(F.struct("h", "at")).alias("found"))
+        return keyed.join(wanted, ["doc", "ord"]).select("doc", "ord", "data", "found").mapInArrow(_cut, cut_ddl)
+
+    source, ranges = keyed.select("doc", "ord", "data", F.lit(0).cast("long").alias("place")), None
+    for gram in grams:
+        found = store(sifted(source.mapInArrow(_scan(width, gram), _ROWS_DDL)))
+        whole = found.where("h IS NULL").select("doc", "ord", *span)
+        ranges = whole if ranges is None else ranges.unionByName(whole)
+        if gram == width:
+            break
+        further = found.where("h IS NOT NULL")
+        hot = store(further.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_pieces).select("h"))
+        none = hot.limit(1).isEmpty()
+        dealt = cut(further if none else further.join(hot, "h", "left_anti")).repartition("h").sortWithinPartitions("h")
+        ranges = ranges.unionByName(dealt.mapInArrow(_compare(width, least_bytes), "doc long, ord long, s long, e long"))
+        if none:
+            break
+        source = cut(further.join(hot, "h", "left_semi")).select("doc", "ord", "data", start.alias("place"))
+    return ranges.groupBy("doc", "ord").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
 def dedup_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -267,7 +347,7 @@ def dedup_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             for t, found in zip(column[text].to_pylist(), column["__ranges"].to_pylist(), strict=True):

@@ -181,13 +181,57 @@ def test_suffix_dedup_against_brute_force(spark):
         docs.append((i, "".join(rng.choice("abcdé fgh") for _ in range(rng.randrange(200))) + passage[a:b] + rng.choice(["", passage[:150], "x" * 130])))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_spans", F.lit("clash")).repartition(5)
     want = brute_dedup(docs, 100)
-    for least in (1, 1 << 20):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_text(df, least_bytes=least).collect()}
+    for least, hot in ((1, 1 << 20), (1 << 20, 1 << 20), (1, 3), (1, 0)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_text(df, least_bytes=least, hot_pieces=hot).collect()}
         assert got == want
-    odd = spark.createDataFrame([(None, passage), (1, passage), (1, passage), (1, "other " + passage)], "doc_id long, text string")
-    out = suffix_dedup.dedup_text(odd).collect()
-    assert len(out) == 4 and [r.n_removed for r in out if r.doc_id is None] == [len(passage.encode())]
-    assert suffix_dedup.dedup_text(odd.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, passage), (2, passage), (2, passage), (3, "other " + passage), (3, passage[:250])], "doc_id long, text string").repartition(1)
+    for hot in (1 << 20, 0):
+        out = suffix_dedup.dedup_text(odd, hot_pieces=hot).collect()
+        left = {(r.doc_id, r.n_bytes): r.n_bytes - r.n_removed for r in out}
+        n = len(passage.encode())
+        assert len(out) == 5 and left == {(None, n): 0, (2, n): n, (3, n + 6): 6 if passage[0] != " " else left[3, n + 6], (3, len(passage[:250].encode())): 0}
+    assert suffix_dedup.dedup_text(odd.limit(0)).collect() == []
+
+
+def test_suffix_dedup_of_many_documents_without_an_id(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(110, 150))) for _ in range(600)] + [None, "", "x" * 120]
+    shared = texts[5][:105]
+    texts += [shared + "".join(rng.choice("ijkl") for _ in range(60)) for _ in range(5)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    out = suffix_dedup.dedup_text(df).collect()
+    assert 0 <= sum(r.n_removed for r in out) - 5 * 105 - 119 < 20 and {r.text for r in out if r.n_removed} <= {t for t in texts if t and (t.startswith(shared) or t[0] == "x")}
+
+
+@pytest.mark.parametrize("line", [40, 95, 130])
+def test_suffix_dedup_of_a_line_in_many_contexts(spark, line):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = some(line)
+    docs = [(i, some(90) + common + some(rng.choice([90, 200]))) for i in range(1500)]
+    docs += [(3000 + i, "q" * (i % 3) + docs[i][1][40:280]) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    want = brute_dedup(docs, 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_text(df, hot_pieces=100).collect()}
+    assert got == want and sum(x[1] for x in got.values()) >= 20 * 150
+
+
+def test_suffix_dedup_chunks_of_one_scan(spark, monkeypatch):
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = [(i, base[k : k + 900] + "z" * (i % 4)) for i, k in enumerate(rng.randrange(2100) for _ in range(60))] + [(100, base * 40)]
+    rows = [(h, g, d, 0, a) for h, g, d, a in ((rng.randrange(3), rng.randrange(3), rng.randrange(4), rng.randrange(3) << 10) for _ in range(200))]
+    cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    stay = list(zip(*(c.tolist() for c in suffix_dedup.collapse(*cols)), strict=True))
+    first = {}
+    for r in sorted(rows, key=lambda r: r[2:]):
+        first.setdefault(r[:2], r)
+    assert sorted(r for r in stay if not r[4] & suffix_dedup._GONE) == sorted(first.values())
+    assert sorted((r[1], *r[2:4], r[4] & ~suffix_dedup._GONE) for r in stay if r[4] & suffix_dedup._GONE) == sorted(r[1:] for r in set(rows) - set(first.values()))
+    want = brute_dedup(docs, 100)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_text(df).collect()}
+    assert got == want
 
 
 def test_chat_round_trip_and_branches(spark):
@@ -273,7 +317,7 @@ def test_pairs_that_share_only_a_hot_piece_meet(spark):
         one, two = " ".join(words), " ".join(copy)
         if len(shared := pieces(one) & pieces(two)) == 1 and five_word_similarity(one, two) >= 0.8:
             break
-    cuts = [0, *(k + 1 for k, w in enumerate(words) if decontaminate._word_hash(w.encode()) % near_duplicates.CUT == 0)]
+    cuts = [0, *(k + 1 for k, w in enumerate(words) if decontaminate.word_hash(w.encode()) % near_duplicates.CUT == 0)]
     hot = next(" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if xxhash.xxh64_intdigest(" ".join(words[a:b]).encode(), simhash.SEED) in shared)
     docs = [(1, one), (2, two)]
     for i in range(3, 60):

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, slices
+from .common import KEPT, read_table, slices
 
 #: The pre-tokenizer's pattern, a fixed value of byte-level vocabularies; white space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -195,6 +195,9 @@ def codec(vocabulary_text: str) -> Codec:
     return Codec(json.loads(vocabulary_text))
 
 
+KEPT["bpe"] = codec.cache_clear
+
+
 def _mapped(docs: DataFrame, vocabulary: str, schema: pa.Schema, ddl: str, row, text: str) -> DataFrame:
     """Rows of docs through row(codec, text) -> tuple of the new columns, batch by batch. The vocabulary file
     (1.5 MB, a fixed size) is read on the driver and goes out as a broadcast."""
@@ -204,7 +207,7 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: pa.Schema, ddl: str, row,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value)
-        for batch in slices(batches):
+        for batch in slices(batches, "bpe"):
             rows = [row(own, t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,12 +60,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of SLICE_ROWS rows. At the end of the task's input, memory that workers would keep
-    for later tasks goes back to the system."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+#: What operators keep in a worker from one task to the next: how to drop it, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Memory that workers would keep for later tasks goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -73,6 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def slices(batches: Iterator[pa.RecordBatch], operator: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS rows. A task first drops what other operators kept in its worker."""
+    for name, drop in KEPT.items():
+        if name != operator:
+            drop()
+    give_back()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+    give_back()
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and use it many times: the binding is a lambda variable, which the
     optimizer never inlines."""

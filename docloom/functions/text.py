@@ -30,8 +30,13 @@ FIELD_LIMITS = {"title": 200, "url": 500, "text": 4000}
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at both ends, of any ASCII kind."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once: it is bound to a lambda variable, which is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalize(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import bind, strip
 
 SENTENCE_END = r"[。！？.!?]+[”\"』]?\s*"
 SENTENCE = r"[^。！？.!?]*" + SENTENCE_END + r"|[^。！？.!?]+"
@@ -26,17 +26,24 @@ def window_chunks(text: Column, size: int = 2200, overlap: int = 200) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(F.filter(windows, lambda x: x != ""))
 
 
-def greedy_pack(pieces: Column, size: int, joiner: str, slack: int) -> Column:
-    """Pieces joined as long as length + slack stays within size; a larger piece is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def greedy_pack(pieces: Column, size: int, joiner: str, slack: int, opens: Column | None = None) -> Column:
+    """Pieces joined as long as length + slack stays within size; a larger piece is a chunk of its own, and a piece for
+    which `opens`, an array of booleans beside them, holds starts a chunk. The fold goes over lengths and gathers the
+    places where chunks start; their texts are made once, afterwards."""
 
-    def step(a: Column, x: Column) -> Column:
-        fits = F.length(a["cur"]) + F.length(x) + slack <= size
-        done = F.when(fits | (a["cur"] == ""), a["done"]).otherwise(F.array_append(a["done"], a["cur"]))
-        cur = F.when(fits & (a["cur"] != ""), F.concat(a["cur"], F.lit(joiner), x)).otherwise(x)
-        return F.struct(done.alias("done"), cur.alias("cur"))
+    def packed(p: Column) -> Column:
+        sizes = F.transform(p, lambda x, i: F.struct(F.length(x).alias("n"), (F.lit(False) if opens is None else F.get(opens, i)).alias("open"), i.alias("i")))
+        start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("starts"))
+
+        def step(a: Column, x: Column) -> Column:
+            fits = (x["i"] > 0) & ~x["open"] & (a["cur"] + x["n"] + slack <= size)
+            cur = F.when(fits, a["cur"] + x["n"] + len(joiner)).otherwise(x["n"])
+            return F.struct(cur.alias("cur"), F.when(fits, a["starts"]).otherwise(F.array_append(a["starts"], x["i"])).alias("starts"))
+
+        starts = F.aggregate(sizes, start, step, lambda a: a["starts"])
+        return bind(starts, lambda s: F.transform(s, lambda at, k: F.array_join(F.slice(p, at + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - at), joiner)))
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
+    return bind(pieces, packed)
 
 
 def _kept(pieces: Column) -> Column:
@@ -53,7 +60,24 @@ def pack_sentences(text: Column, size: int = 500) -> Column:
 
 
 def pack_paragraphs(text: Column, size: int = 500) -> Column:
-    """Paragraphs packed whole; one that is too large is packed by sentences, and its last chunk stays open."""
+    """Paragraphs packed whole; one that is too large is packed by sentences, each of whose chunks starts a new one, and
+    the last of them stays open. A large paragraph of marks alone closes the open chunk, which then goes on as a copy."""
+
+    def of_paragraph(p: Column) -> Column:
+        one = F.array(F.struct(p.alias("t"), F.lit(False).alias("open")))
+        return F.when(F.length(p) <= size, one).otherwise(F.transform(pack_sentences(p, size), lambda x: F.struct(x.alias("t"), F.lit(True).alias("open"))))
+
+    def packed(paragraphs: Column) -> Column:
+        pieces = F.flatten(F.transform(paragraphs, of_paragraph))
+        plain = bind(pieces, lambda x: greedy_pack(x["t"], size, "\n\n", 2, x["open"]))
+        blank = F.exists(paragraphs, lambda p: (F.length(p) > size) & (F.size(sentences(p)) == 0))
+        return F.when(blank, _pack_with_copies(paragraphs, size)).otherwise(plain)
+
+    return bind(_kept(F.split(text, r"\n\s*\n")), packed)
+
+
+def _pack_with_copies(paragraphs: Column, size: int) -> Column:
+    """The fold of texts for the case of large paragraphs of marks alone."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(a: Column, p: Column) -> Column:
@@ -70,7 +94,7 @@ def pack_paragraphs(text: Column, size: int = 500) -> Column:
         )
         return F.struct(done.alias("done"), cur.alias("cur"))
 
-    return F.aggregate(_kept(F.split(text, r"\n\s*\n")), start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
+    return F.aggregate(paragraphs, start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
 
 
 def pack_words(text: Column, size: int = 500) -> Column:

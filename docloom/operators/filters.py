@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import bind, strip
 
 #: Characters that count as punctuation, besides ASCII's and white space (fixed values).
 WIDE_PUNCTUATION = "，。！？；：「」『』（）【】《》〈〉、·"
@@ -26,12 +26,14 @@ MIN_CHARS, MAX_PUNCTUATION, MIN_VALID = 15, 0.8, 0.3
 
 def keep_chunk(chunk: Column) -> Column:
     """Long enough, not mostly punctuation, enough letters or digits, no placeholder (as a substring, any case)."""
-    text = strip(chunk)
-    n = F.greatest(F.length(text), F.lit(1))
-    low = F.lower(text)
-    placeholder = reduce(lambda a, b: a | b, [low.contains(p) for p in sorted({p.lower() for p in PLACEHOLDERS})])
-    punctuation = F.lit(1) - (F.length(text) - F.regexp_count(text, F.lit(PUNCTUATION_CLASS))) / n
-    return (F.length(text) >= MIN_CHARS) & (punctuation <= MAX_PUNCTUATION) & (F.regexp_count(text, F.lit(VALID_CLASS)) / n >= MIN_VALID) & ~placeholder
+    words = "|".join(re.escape(p) for p in sorted({p.lower() for p in PLACEHOLDERS}))
+
+    def judged(text: Column) -> Column:
+        n = F.greatest(F.length(text), F.lit(1))
+        punctuation = F.lit(1) - (F.length(text) - F.regexp_count(text, F.lit(PUNCTUATION_CLASS))) / n
+        return (F.length(text) >= MIN_CHARS) & (punctuation <= MAX_PUNCTUATION) & (F.regexp_count(text, F.lit(VALID_CLASS)) / n >= MIN_VALID) & ~F.lower(text).rlike(words)
+
+    return bind(strip(chunk), judged)
 
 
 def drop_contained(chunks: Column) -> Column:

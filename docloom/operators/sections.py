@@ -33,16 +33,16 @@ def find_headings(pages: DataFrame) -> DataFrame:
 
 def build_sections(pages: DataFrame, keep_preamble: bool = False) -> DataFrame:
     """(file_name, section_id, section_title, page_start, page_end, text). Pages before a file's first heading are
-    dropped unless keep_preamble; a file without headings is one section 0, document. Page ranges are joined back by
-    a running count, not a range join: each page belongs to the last heading at or before it."""
-    heads = find_headings(pages).withColumnRenamed("page_no", "page_start")
-    marked = pages.join(heads.withColumn("page_no", F.col("page_start")), ["file_name", "page_no"], "left")
-    w = Window.partitionBy("file_name").orderBy("page_no")
-    marked = marked.withColumn("number", F.count("page_start").over(w))
-    has = Window.partitionBy("file_name")
-    marked = marked.withColumn("heads", F.count("page_start").over(has))
+    dropped unless keep_preamble; a file without headings is one section 0, document. Each page belongs to the last
+    heading at or before it, by a running count over the numbers of pages and headings alone; texts come to them
+    afterwards, so a file's texts never meet in one task but section by section."""
+    heads = find_headings(pages)
+    numbers = pages.select("file_name", "page_no").distinct().join(heads, ["file_name", "page_no"], "left")
+    upto = Window.partitionBy("file_name").orderBy("page_no")
+    numbers = numbers.withColumn("number", F.count("section_id").over(upto)).withColumn("heads", F.count("section_id").over(Window.partitionBy("file_name")))
     if not keep_preamble:
-        marked = marked.where("number > 0 OR heads = 0")
+        numbers = numbers.where("number > 0 OR heads = 0")
+    marked = pages.select("file_name", "page_no", "text").join(numbers, ["file_name", "page_no"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n")
     return (
         marked.groupBy("file_name", "number")

@@ -10,8 +10,8 @@ long again as the template, holds CONFIRM or more of the template's words in the
 paragraph's if these are fewer, but WHOLE at least: notices are wrapped), and with them the words that distinguish the family, but none that distinguishes another one from it.
 
 Paragraphs are the lines of a text. One of several sentences and more than LONG words is judged sentence by sentence,
-too, and has the most probable family found. Lines without any distinguishing word can't be confirmed, so they are
-unknown without being scored.
+too, and has the most probable family found. Lines without the words that a confirmation needs are unknown without being
+scored.
 
 Cases: null and empty texts have no paragraphs, an empty table gives an empty one; very long paragraphs are judged
 whole; repeated rows come out once per row; ties between families go to the first by name. Columns named like the new
@@ -193,7 +193,12 @@ class Model:
     def __init__(self, seed: int = 7):
         self.families = [*sorted(NAMES.keys() | BODIES.keys()), UNKNOWN]
         self.templates = {f: [(words(n), frozenset()) for n in [*COMMON.get(f, ()), *NAMES.get(f, ())] if n.lower() not in COMMON] + [(words(t), frozenset(must.split())) for t, must in BODIES.get(f, ())] for f in self.families}
-        self.anchors = set().union(*OWN.values(), *(must for ts in self.templates.values() for _, must in ts))
+        #: What a paragraph must have for a confirmation: one of the lone words, or all words of a group.
+        self.lone = set().union(*OWN.values()) - COMMON.keys()
+        self.together = [must for ts in self.templates.values() for _, must in ts if must]
+        self.together += [frozenset({w, other}) for w in COMMON for ts in self.templates.values() for t, _ in ts if w in t for other in set(t) - {w}]
+        rare = [max(group - COMMON.keys(), key=lambda w: (len(w), w)) if not group & COMMON.keys() else next(iter(group & COMMON.keys())) for group in self.together]
+        self.anchors = self.lone | set(rare)
         train = examples(FRAMES, PROSE, seed, OTHERS[::2])
         rows = [grams(ws) for ws, _ in train]
         self.number = {g: i for i, g in enumerate(sorted(set().union(*rows)))}
@@ -255,14 +260,20 @@ class Model:
                     return True
         return False
 
+    def possible(self, ws: list[str]) -> bool:
+        """Whether any template could confirm a family of these words."""
+        if self.anchors.isdisjoint(ws):
+            return False
+        return not self.lone.isdisjoint(ws) or any(group <= have for have in [set(ws)] for group in self.together)
+
     def paragraph(self, line: str) -> tuple[str, float]:
         """(family or unknown, probability)."""
         ws = words(line)
-        if self.anchors.isdisjoint(ws):
+        if not self.possible(ws):
             return UNKNOWN, 1.0
         parts = [ws]
         if len(ws) > LONG and len(sentences := _SENTENCE.split(line)) > 1:
-            parts += [x for x in map(words, sentences) if not self.anchors.isdisjoint(x)]
+            parts += [x for x in map(words, sentences) if self.possible(x)]
         found = [(family, p) for part in parts for family, p in [self.predict(part)] if self.confirmed(part, family)]
         return max(found, key=lambda x: x[1]) if found else (UNKNOWN, float(self.probabilities(ws)[-1]))
 

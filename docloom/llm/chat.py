@@ -10,7 +10,9 @@ becomes `\\b` and `<` becomes `\\l`, so no control string can be part of a text,
 
 Cases: a null text or role is empty; a null parent marks a root, as does one that doesn't exist (the rest of
 a torn tree still comes out); rows of a conversation that tie on the turn are ordered by role, then text;
-repeated rows are turns of their own; a null conversation id is a conversation like any other.
+repeated rows are turns of their own; a null conversation id is a conversation like any other; texts of any length
+are formatted whole; an empty table gives no conversation; columns beside those named are left out, whatever their
+names. Of branches with equal scores the longer one comes first, then the one with the lesser leaf.
 """
 
 from __future__ import annotations

@@ -97,8 +97,9 @@ _KEY, _DIGIT, _LETTER = re.compile(rf"[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}"), re.
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
-    """How often each pair of neighbouring bytes occurs, a pair as one number; pairs with digits are left out."""
-    line = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    """How often each pair of neighbouring bytes occurs, a pair as one number; pairs with digits are left out. Every
+    text stands between line feeds, so the counts of all texts are the sums of those of each."""
+    line = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)
     line = _PAIRED[line].astype(np.int32)
     pairs = line[:-1] << 8 | line[1:]
     return np.bincount(pairs[(line[:-1] != 1) & (line[1:] != 1)], minlength=1 << 16)

@@ -1,7 +1,8 @@
 """Operator 7, quality rules: a threshold table compiled into one projection of built-in functions.
 
-Cases: a null text counts as empty and fails; repeated rows are judged each on their own; other
-columns pass through and may have any name but those of the measures, which are replaced.
+Cases: a null text counts as empty and fails; repeated rows are judged each on their own; texts of any length are
+measured whole; other columns pass through and may have any name but those of the measures, __m, base_failed and kept,
+which are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ and dealt by three of these as well. A level leaves 4/7 of the free bits, so at
 12 free bits and 4096 distinct members at most. Nothing is capped or dropped.
 
 Cases: null and empty texts and texts of white space have fingerprint 0 and link like any other; a null id
-never names a component unless all members lack one; repeated rows come out once per row.
+never names a component unless all members lack one; repeated rows come out once per row; texts of any length are
+read whole; columns named fp, component_id, __least or root are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def cluster(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, hot
     # Written first, so that the join meets plain shuffles, whose hot keys the adaptive join can split.
     least = materialize(roots.groupBy("root").agg(F.min("__least").alias("component_id")))
     named = roots.join(least, "root").select("fp", "component_id")
-    return prints.drop("component_id").join(named, "fp")
+    return prints.drop("component_id", "__least", "root").join(named, "fp")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

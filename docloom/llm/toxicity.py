@@ -14,7 +14,7 @@ and EVIDENCE is in the model; there are no more than the sample has terms, so SA
 
 Cases: null and empty texts have no terms and get the score of the bias; texts of any length are read whole; without
 labels of both classes, without labels or without documents the score is near the class that there is (0 where there
-are none at all); ids with both labels count as toxic, ids of several documents give several samples; terms are in
+are none at all); ids with both labels count as toxic, of documents with one id one is a sample; terms are in
 order of evidence, then name; repeated rows come out once per row; columns named score and predicted are replaced.
 """
 
@@ -145,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """(weight by term, bias). labels has doc_id and toxic; ids with both labels count as toxic."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("toxic").alias("y"))
     known = known.where(~held_out(F.col(doc_id))).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
-    # SAMPLE rows of two numbers at most; ids that several documents have may make more texts, which are cut again.
-    rows = docs.join(F.broadcast(known), doc_id).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "y")
-    sample = store(rows.groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE))
+    # SAMPLE rows of two numbers at most; of documents with one id the one with the least hash of its text is taken.
+    rows = docs.join(F.broadcast(known), doc_id).select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text"), "y")
+    rows = rows.groupBy(doc_id, "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "y")
+    sample = store(rows.groupBy("text").agg(F.max("y").alias("y")))
     by_label = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
     if not n_toxic or not n_clean:

@@ -329,3 +329,96 @@ def test_pairs_that_share_only_a_hot_piece_meet(spark):
     for least in (3, 10, 4096):
         roots = {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df, hot=least).collect()}
         assert roots == {d: 1 if d == 2 else d for d, _ in docs}
+
+
+def test_share_of_similar_windows_within_the_radius():
+    rng = random.Random(14)
+    near = total = 0
+    for _ in range(3000):
+        words = [f"w{rng.randrange(5000)}".encode() for _ in range(rng.randrange(15, 61))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 4)):
+            copy[at] = b"edit%d" % rng.randrange(5000)
+        a, b = (decontaminate.shingles(x, decontaminate.SHINGLE) for x in (words, copy))
+        if decontaminate.similarity(Counter(a.tolist()), Counter(b.tolist())) >= decontaminate.SIMILARITY:
+            total += 1
+            near += int(np.bitwise_count(decontaminate.simhashes(a, len(a))[0] ^ decontaminate.simhashes(b, len(b))[0])) <= decontaminate.RADIUS
+    assert total > 200 and near / total > 0.98
+
+
+def test_leaks_of_odd_rows(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, item, "x"), (1, item, None), (None, "pre " + item, "x"), (2, "word " * 60_000 + item, "y"), (3, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __found string")
+    bench = spark.createDataFrame([("a", item), ("b", item), (None, item), ("c", None)], "item_id string, text string")
+    found = [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontaminate.find_leaks(df, bench).collect()]
+    assert len(found) == 4 * 3 and (2, "b", 1.0, 60_000) in found and (None, None, 1.0, 1) in found
+    left = decontaminate.drop_leaks(df, bench)
+    assert left.columns == ["doc_id", "text"] and sorted(r.doc_id for r in left.collect()) == [3, 4]
+    assert decontaminate.find_leaks(df.limit(0), bench).collect() == [] and decontaminate.find_leaks(df, bench.limit(0)).collect() == []
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rng = random.Random(15)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
+    near = base.replace(base.split()[50], "edited")
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(30_000))
+    docs = [(None, base), (5, near), (5, "another text with words of its own"), (9, long), (8, long + " more"), (None, None), (3, " \t"), (7, base), (7, base)]
+    df = spark.createDataFrame([(d, t, "a", "b") for d, t in docs], "doc_id long, text string, __doc string, node string").repartition(3)
+    out = near_duplicates.near_duplicate_stage(spark, df, "")
+    assert out.columns == ["doc_id", "text", "node"]
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(5, near), (5, "another text with words of its own"), (8, long + " more"), (3, " \t")])
+    assert near_duplicates.near_duplicate_groups(df.limit(0)).collect() == []
+
+
+def test_simhash_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "one two three four five", 7, "x", "y", 0), (1, "one two three four five", 8, "x", "y", 0)], "doc_id long, text string, fp int, root string, __least string, component_id int")
+    out = simhash.cluster(simhash.fingerprints(df)).collect()
+    assert len(out) == 2 and {r.component_id for r in out} == {1} and all(r.fp % (1 << 64) == brute_print("one two three four five") for r in out)
+
+
+def test_chat_of_odd_tables(spark):
+    schema = "tree string, node long, parent long, score double, role string, text string, pos string, leaf string"
+    long = "x<" * 100_000
+    df = spark.createDataFrame([("t", 1, None, 1.0, "user", long, "a", "b"), ("t", 2, 1, 1.0, "assistant", None, "a", "b"), ("t", 3, 1, 1.0, "assistant", "tie", "a", "b")], schema)
+    out = chat.format_trees(df).withColumn("back", chat.parse_turns(F.col("formatted"))).collect()
+    assert [[(x.role, x.text) for x in r.back] for r in out] == [[("user", long), ("assistant", "")]]
+    assert chat.format_trees(df.limit(0)).collect() == []
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = random.Random(16)
+    part = "".join(rng.choice("abcdefghij ") for _ in range(2000))
+    docs = [(1, "".join(rng.choice("abcdefghij ") for _ in range(150_000)) + part), (2, part * 3 + "z" * 300), (3, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_text(df).collect()}
+    assert got == brute_dedup(docs, 100)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "some item of a few words that is looked for")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {"quality rules": 0, "SimHash near-dedup": 1, "benchmark decontamination": 3, "personal data": 3, "BPE encoding": 3}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert len(out.collect()) == kept[name] and out.columns[:5] == df.columns
+        assert stage(spark, df.limit(0), str(tmp_path)).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't here")
+def test_near_duplicates_of_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in df.collect():
+        words = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    empty = sorted(d for d, s in sets.items() if not s)
+    pairs = {(a, b) for ds in holders.values() for a in ds for b in ds if a < b} | set(zip(empty, empty[1:]))
+    linked = [(a, b) for a, b in pairs if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = groups(sets, linked)
+    assert sum(d != r for d, r in want.items()) > 50
+    assert {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df).collect()} == want

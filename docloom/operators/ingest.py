@@ -89,6 +89,13 @@ def academic_pages(pages: DataFrame, size: int = 500, overlap: int = 50) -> Data
     return rows.select("file_name", "page_no", "x.section", "chunk_index", "x.chunk")
 
 
+def with_metadata(chunks: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """chunks(metadata, chunk_index, total_chunks, ...): the document's metadata, and the chunk's own place over it."""
+    own = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("total_chunks"), F.col("total_chunks").cast("string"))
+    given = F.map_filter(F.coalesce(F.col(metadata), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("chunk_index", "total_chunks"))
+    return chunks.withColumn(metadata, F.map_concat(given, own))
+
+
 def segments_of(pages: DataFrame, source: str | None = None, doc_type: str = "guideline", size: int = 2200, overlap: int = 200) -> DataFrame:
     """pages(file_name, page_no, text) -> segment records: sections cut into windows, each with its hash."""
     first = pages.groupBy("file_name").agg(F.min_by("text", "page_no").alias("first"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import nonspace_ratio, normalize, strip
+from docloom.sources.files import write_small
 
 #: A number of parts, an optional separator, a title (fixed value); `3mg daily` matches, too.
 HEADING = r"^([0-9]+(?:\.[0-9]+)*)\s*[\x{2002}\x{2003}\x{00A0}\s]*[—\- –]*\s*(.+?)\s*$"
@@ -76,3 +79,9 @@ def quality_sample(pages: DataFrame, files: DataFrame | None = None, n: int = 6)
         return counted
     joined = files.select("file_name").distinct().join(counted, "file_name", "left")
     return joined.select("file_name", F.coalesce("sample_n", F.lit(0)).alias("sample_n"), F.coalesce("nonempty_ratio_mean", F.lit(0.0)).alias("nonempty_ratio_mean"), F.coalesce("pages", F.array().cast(dict(counted.dtypes)["pages"])).alias("pages"))
+
+
+def write_quality(sample: DataFrame, path: str) -> None:
+    """The quality sample as one JSON file, an object for each file name: a row for each file, so it is small."""
+    rows = {r.file_name: {"sample_n": r.sample_n, "nonempty_ratio_mean": r.nonempty_ratio_mean, "pages": r.pages} for r in sample.collect()}
+    write_small(sample.sparkSession, path, json.dumps(rows, ensure_ascii=False))

@@ -254,10 +254,9 @@ def segment_ids(spark, sf_dir):
 
 def _headed(name, every):
     """Whole documents with headings of a kind before some of their lines."""
-    heads = F.array(*[F.lit(x) for x in TITLES[name]])
 
     def titled(line, i):
-        place = F.col("doc_id") + i
+        place, heads = F.col("doc_id") + i, F.array(*[F.lit(x) for x in TITLES[name]])
         return F.when(place % every == 1, F.concat(F.get(heads, (F.floor(place / every) % len(TITLES[name])).cast("int")), F.lit("\n"), line)).otherwise(line)
 
     return lambda spark, sf_dir: docs_of(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), titled), "\n").alias("text"))
@@ -518,3 +517,49 @@ def evidence_get(spark, sf_dir):
     later = F.when(F.col("seq") % 3 == 0, F.expr("INTERVAL 600 SECONDS")).when(F.col("seq") % 3 == 1, F.expr("INTERVAL '600.000001' SECOND")).otherwise(F.expr("INTERVAL 5 SECONDS"))
     asked = e.select(F.col("seq").alias("ask"), F.unix_millis("ts").alias("evidence_id"), (F.col("ts") + later).alias("now"))
     return flow.get_evidence(asked, flow.put_evidence(e)).select("ask", "evidence_id", "text")
+
+
+@query
+def segment_files(spark, sf_dir):
+    """Segments written as JSON Lines and loaded again."""
+    path = files.scratch_folder(spark)
+    files.write_segments(segments(spark, sf_dir).withColumn("seg_id", F.col("seg_id").cast("string")), path)
+    return files.load_segments(spark, path, missing_ok=False).select("seg_id", "source", "doc_type", "pub_year", F.sha1("text").alias("text_sha1"))
+
+
+@query
+def demo_segments(spark, sf_dir):
+    return files.load_or_demo(spark, files.scratch_folder(spark)).select("seg_id", "source", "doc_type", "pub_year", "category", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def join_documents(spark, sf_dir):
+    pages = doc_pages(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("page"), F.col("page_no").cast("string")))
+    blank = pages.withColumn("text", F.when(F.col("page_no") % 10 == 3, " \n").otherwise(F.col("text")))
+    return ingest.join_documents(blank).select("file_name", F.col("metadata")["page"].alias("first_page"), F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("text_sha1"))
+
+
+@query
+def drop_blank(spark, sf_dir):
+    return filters.drop_blank(docs_of(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 7 == 2, " \t\n").otherwise(F.col("text")))).select("doc_id")
+
+
+@query
+def chunk_metadata(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("metadata", F.create_map(F.lit("lang"), F.col("lang"), F.lit("chunk_index"), F.lit("old")))
+    rows = d.select("doc_id", "metadata", chunking.window_chunks(F.col("text")).alias("c")).select("doc_id", "metadata", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "chunk"))
+    return ingest.with_metadata(rows).select("doc_id", "chunk_index", F.to_json("metadata").alias("metadata"))
+
+
+class _FiveItems:
+    """More items than are asked for, with fields over their limits."""
+
+    def search(self, query: str, k: int) -> list[dict]:
+        return [{"title": f"{i}" * 300, "url": "u" * 600, "text": (query + " ") * 200} for i in range(5)]
+
+
+@query
+def external_evidence(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.abstract_query(F.col("text")).alias("abstract"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("now"))
+    found = adapters.search(asked, _FiveItems())
+    return found.select("query_id", "ord", F.sha1("title").alias("title_sha1"), F.length("url").cast("long").alias("url_chars"), F.sha1("text").alias("text_sha1"), F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))

@@ -391,6 +391,13 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, coun
     "ttl_alive": "SELECT event_id FROM events WHERE event_id % 3 <> 1",
     "kb_status": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'realtime' ELSE 'historical' END AS tier, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
     "kb_merge": "SELECT 'historical' AS tier, true AS exists, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'realtime', true, 0, 0, 0",
+    "segment_files": "SELECT doc_id::VARCHAR AS seg_id, source, CASE WHEN doc_id % 5 = 0 THEN 'guideline' ELSE 'education' END AS doc_type, (doc_id % 10 + 2015)::INT AS pub_year, sha1(text) AS text_sha1 FROM documents",
+    "demo_segments": "SELECT * FROM (VALUES ('guideline_1', 'guideline_demo', 'guideline', 2023, 'postop_care', 139::BIGINT), ('edu_1', 'education_demo', 'education', 2022, 'warnings', 89)) t(seg_id, source, doc_type, pub_year, category, n_chars)",
+    "join_documents": f"SELECT file_name, arg_min(page_no, page_no)::VARCHAR AS first_page, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (page_no % 10 <> 3), ''))::BIGINT AS n_chars, sha1(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (page_no % 10 <> 3), '')) AS text_sha1 FROM {PAGES} GROUP BY 1",
+    "drop_blank": f"SELECT doc_id FROM documents WHERE doc_id % 7 <> 2 AND {strip('text')} <> ''",
+    "chunk_metadata": f"""SELECT doc_id, (i - 1)::INT AS chunk_index, '{{"lang":"' || lang || '","chunk_index":"' || (i - 1) || '","total_chunks":"' || n || '"}}' AS metadata FROM (SELECT doc_id, lang, len(w) AS n, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, lang, {WINDOWS} AS w FROM documents))""",
+    "external_evidence": f"""SELECT item_id AS query_id, i::INT AS ord, sha1(repeat(i::VARCHAR, 200)) AS title_sha1, 500::BIGINT AS url_chars, sha1(substring(repeat(a || ' ', 200), 1, 4000)) AS text_sha1, '2024-01-01 00:10:00' AS expires_at
+FROM (SELECT item_id, {abstract('text')} AS a FROM benchmark), range(3) r(i)""",
     "chunk_statistics": f"SELECT source, count(*)::BIGINT AS n_chunks, round(avg(length(c)), 6) AS mean_chars, max(length(c))::BIGINT AS max_chars FROM (SELECT source, unnest({WINDOWS}) AS c FROM documents) GROUP BY 1",
     "quality_sample": rf"""WITH r AS (SELECT file_name, page_no, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '\s', '', 'g')) / length(text) END AS ratio, row_number() OVER (PARTITION BY file_name ORDER BY md5(page_no::VARCHAR), page_no) AS k FROM {PAGES})
 SELECT file_name, count(*)::BIGINT AS sample_n, round(avg(ratio), 6) AS nonempty_ratio_mean, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM r WHERE k <= 6 GROUP BY 1 UNION ALL SELECT 'nothing.pdf', 0, 0.0, ''""",

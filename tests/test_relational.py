@@ -316,3 +316,24 @@ def test_evidence_ends_in_any_time_zone(spark, tmp_path):
         assert ("stored", 1) in [(r.event, r.evidence_id) for r in rows] and ("expired", 2) not in [(r.event, r.evidence_id) for r in rows]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_quality_report_and_settings(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([("f", 1, "ab "), ("f", 2, "")], "file_name string, page_no int, text string")
+    sections.write_quality(sections.quality_sample(pages), str(tmp_path / "qc.json"))
+    assert json.loads(files.read_small(spark, str(tmp_path / "qc.json"))) == {"f": {"sample_n": 2, "nonempty_ratio_mean": pytest.approx(1 / 3), "pages": [1, 2]}}
+    EngineConfig().assert_internal()
+    for url in ("https://api.openai.com/v1", "http://x.deepseek.com"):
+        with pytest.raises(ValueError):
+            EngineConfig(service_url=url).assert_internal()
+        with pytest.raises(ValueError):
+            adapters.HttpModel(EngineConfig(service_url=url))
+    monkeypatch.setenv("DOCLOOM_THETA", "0.5")
+    assert EngineConfig.from_env().theta == 0.5
+
+
+def test_embedded_texts_find_each_other(spark):
+    texts = spark.createDataFrame([(1, "wound care after surgery"), (2, "parking at the clinic"), (3, None)], "seg_id long, text string")
+    vectors = adapters.embed(texts, adapters.HashEmbedder())
+    asked = adapters.embed(spark.createDataFrame([(9, "care of a wound after surgery")], "query_id long, text string"), adapters.HashEmbedder())
+    assert retrieval.dense_topk(vectors, asked, 1).first().seg_id == 1

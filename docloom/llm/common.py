@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,13 +44,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Like materialize(), as a compressed Parquet table in the same shared folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if (made := _STORED.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_stores(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go at the end, so what is computed from them must not be lazy any more."""
+    token = _STORED.set(made := [])
+    try:
+        yield
+    finally:
+        _STORED.reset(token)
+        for path in made:
+            delete_folder(spark, path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, store
+from .common import read_table, slices, store, temporary_stores
 
 KINDS = ("email", "ip", "card", "phone")
 PROTECTED = (*KINDS, "secret")
@@ -314,8 +314,9 @@ def with_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     ddl = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), _MARKS_DDL])
     bits = character_bits(docs, text)
     out = docs
-    for block in _term_blocks(disclosing_terms(docs, text, bits=bits, **options)):
-        out = out.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast((block, bits)), text), ddl)
+    with temporary_stores(docs.sparkSession):
+        for block in _term_blocks(disclosing_terms(docs, text, bits=bits, **options)):
+            out = out.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast((block, bits)), text), ddl)
     return out
 
 

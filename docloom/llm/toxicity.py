@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, store
+from .common import read_table, slices, store, temporary_stores
 
 SAMPLE = 20_000
 PRECISION, EVIDENCE, SHARES = 0.85, 11.0, 4
@@ -143,6 +143,11 @@ def fit_linear(hits: list[list[int]], target: np.ndarray, n_terms: int, penalty:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], float]:
     """(weight by term, bias). labels has doc_id and toxic; ids with both labels count as toxic."""
+    with temporary_stores(docs.sparkSession):
+        return _fit(docs, labels, doc_id, text)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[dict[str, float], float]:
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("toxic").alias("y"))
     known = known.where(~held_out(F.col(doc_id))).orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE)
     # SAMPLE rows of two numbers at most; of documents with one id the one with the least hash of its text is taken.

@@ -422,3 +422,23 @@ def test_near_duplicates_of_the_test_table(spark):
     want = groups(sets, linked)
     assert sum(d != r for d, r in want.items()) > 50
     assert {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df).collect()} == want
+
+
+def test_a_large_group_of_near_copies_in_blocks(spark):
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    docs = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(150, 300), rng.choice([1, 2, 4, 7, 12])):  # the first half stays, so all share pieces
+            words[at] = f"edit{rng.randrange(9000)}"
+        docs.append((i, " ".join(words)))
+    docs += [(300 + i, " ".join(base[:150] + [f"x{rng.randrange(9000)}" for _ in range(150)])) for i in range(40)]
+    for i in range(5):  # groups of their own among the others
+        docs.append((400 + i, docs[240 + i][1] + " end"))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
+    want = groups(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(set(want.values())) > 30
+    for hot in (16, 60, 4096):
+        assert {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df, hot=hot).collect()} == want

@@ -32,6 +32,7 @@ BOOK = (
     "图书在版编目", "CIP数据", "中国版本图书馆",
     "出版发行", "印刷", "装帧", "印张",
 )
+#: Patterns of books, and marks of papers that rule a book out (fixed values).
 BOOK_PATTERNS = ("第[一二三四五六七八九十]+章", "第[0-9]+章", r"ISBN[:：]\s*[0-9]+[- ][0-9]+[- ][0-9]+[- ][0-9]+[- ][0-9]")
 PAPER = ("摘要", "关键词", "参考文献", "DOI:", "基金项目：", "作者简介：")
 #: Kinds of books, the first match counts (fixed values).
@@ -42,6 +43,7 @@ BOOK_TYPES = (
     ("reference", "词典|辞典|百科全书|大全|参考书|资料"),
     ("academic", "研究|学术|理论|方法论|专著|论文集"),
 )
+#: Words of novels and of drug leaflets (fixed values).
 NOVEL_WORDS, DRUG_WORDS = "情节|人物|角色|叙事|结局|剧情", "医|药"
 #: Questions that need a person's decision, in the order of the labels (fixed values).
 UNSUITABLE = (

@@ -5,6 +5,7 @@ decision to the patient. Every step leaves rows of events; nothing is updated in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,11 +106,13 @@ def get_evidence(asked: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
-    """Appends the lines to the audit trail, one JSON object each."""
+    """Appends the lines to the audit trail, one JSON object each. An event outside the vocabulary or a payload with
+    other fields than the event's is an error, so no text gets in by mistake."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    known = F.col("event").isin(*state.AUDIT_EVENTS)
-    event = F.when(known, F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown audit event "), F.col("event"))))
     payload = F.from_json("payload", "map<string,string>")
+    fields = F.concat_ws(",", F.array_sort(F.map_keys(payload)))
+    known = reduce(lambda a, b: a | b, [(F.col("event") == e) & (fields == ",".join(sorted(names))) for e, names in state.AUDIT_EVENTS.items()])
+    event = F.when(known, F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown audit event "), F.col("event"), F.lit(" with "), fields)))
     line = F.to_json(F.struct(stamp.alias("ts"), F.col("request_id"), event.alias("event"), payload.alias("payload")))
     audit.select(line.alias("value")).write.mode("append").text(path)
 

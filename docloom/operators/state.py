@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 
-#: The events of the audit trail (fixed values).
-AUDIT_EVENTS = (
-    "query_received", "query_deidentified", "local_retrieval_done", "external_retrieval_triggered",
-    "external_retrieval_skipped", "draft_generated", "queued_for_human_review", "delivered_to_patient",
-)
+#: The events of the audit trail and the fields of their payloads (fixed values).
+AUDIT_EVENTS = {
+    "query_received": ("user_id", "len"),
+    "query_deidentified": ("abstract",),
+    "local_retrieval_done": ("hits", "top_score", "theta"),
+    "external_retrieval_triggered": ("used",),
+    "external_retrieval_skipped": (),
+    "draft_generated": ("chars",),
+    "queued_for_human_review": ("task_id", "unsuitable"),
+    "delivered_to_patient": ("chars",),
+}
 
 
 def review_latest(events: DataFrame, config: EngineConfig | None = None) -> DataFrame:

@@ -224,6 +224,8 @@ def test_question_to_delivery(spark, tmp_path):
     assert len(back) == 13 and back["r1", "delivered_to_patient"] == {"chars": "9"}
     with pytest.raises(Exception, match="unknown audit event"):
         flow.write_audit(audit.withColumn("event", F.lit("raw_text")), trail)
+    with pytest.raises(Exception, match="unknown audit event"):
+        flow.write_audit(audit.withColumn("payload", F.lit('{"chars":1,"query":"raw"}')), trail)
     nobody = flow.deliver(spark.createDataFrame([("no", 1, T0)], again.schema), latest)[0].first()
     assert nobody.result == "not_found"
 

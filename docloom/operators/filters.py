@@ -37,14 +37,22 @@ def keep_chunk(chunk: Column) -> Column:
 
 
 def drop_contained(chunks: Column) -> Column:
-    """Of a chunk and the last kept one, where one holds the other, the longer stays."""
+    """Of a chunk and the last kept one, where one holds the other, the longer stays. The fold keeps places and the last
+    text alone; the texts kept are taken out at the end."""
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        linked = F.coalesce(last.contains(x) | x.contains(last), F.lit(False))
-        return F.when(~linked, F.array_append(kept, x)).when(F.length(x) > F.length(last), F.array_append(F.slice(kept, 1, F.size(kept) - 1), x)).otherwise(kept)
+    def folded(c: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("string").alias("last"))
 
-    return F.aggregate(chunks, F.array().cast("array<string>"), step)
+        def step(a: Column, x: Column) -> Column:
+            linked = F.coalesce(a["last"].contains(x["t"]) | x["t"].contains(a["last"]), F.lit(False))
+            instead = linked & (F.length(x["t"]) > F.length(a["last"]))
+            kept = F.when(~linked, F.array_append(a["kept"], x["i"])).when(instead, F.array_append(F.slice(a["kept"], 1, F.size(a["kept"]) - 1), x["i"])).otherwise(a["kept"])
+            return F.struct(kept.alias("kept"), F.when(~linked | instead, x["t"]).otherwise(a["last"]).alias("last"))
+
+        placed = F.transform(c, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        return F.transform(F.aggregate(placed, start, step, lambda a: a["kept"]), lambda i: F.get(c, i))
+
+    return bind(chunks, folded)
 
 
 def filter_chunks(chunks: Column) -> Column:

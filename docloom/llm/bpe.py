@@ -32,7 +32,8 @@ from .common import KEPT, read_table, slices
 
 #: The pre-tokenizer's pattern, a fixed value of byte-level vocabularies; white space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words remembered per worker (twice as many at most, and as many pairs), and the longest of them in characters.
+#: Words remembered per worker (three times as many at most, twice as many pairs and steps), and the longest of them in
+#: characters.
 REMEMBERED, LONGEST = 1 << 17, 64
 
 
@@ -75,10 +76,14 @@ class Codec:
             self.merged[left << 32 | right] = whole
             self.halves[whole] = left, right
         self._automaton(ids)
+        #: Pair tests, steps with their suffix links and suffixes of states, as they turn up.
         self.pairs: dict[int, bool] = {}
-        #: Words seen of late and, of about as many before those, the ones to fall back on.
+        self.steps: dict[int, int] = {}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.own)
+        #: Words seen twice of late, those of some time before, and words seen once.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -131,28 +136,46 @@ class Codec:
             else:
                 bound, right = b + 1, halves[right][0]
 
+    def _step(self, key: int) -> int:
+        """The state after another byte, along suffix links where need be; key is state and byte."""
+        at, b = key >> 8, key & 0xFF
+        while at and at << 8 | b not in self.child:
+            at = self.link[at]
+        if len(self.steps) >= 2 * REMEMBERED:
+            self.steps.clear()
+        self.steps[key] = found = self.child.get(at << 8 | b, 0)
+        return found
+
+    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """Tokens that are suffixes of the state, longest first, with their lengths."""
+        out = []
+        at = state if self.own[state] >= 0 else self.more[state]
+        while at:
+            out.append((self.own[at], self.depth[at]))
+            at = self.more[at]
+        self.ends[state] = tuple(out)
+        return self.ends[state]
+
     def encode_word(self, data: bytes) -> list[int]:
         last = [0] * (len(data) + 1)
         size = [0] * (len(data) + 1)
-        child, link, own, depth, more, pairs = self.child, self.link, self.own, self.depth, self.more, self.pairs
+        step, ends, pair = self.steps.get, self.ends, self.pairs.get
         state = 0
         for end, b in enumerate(data, 1):
-            while state and state << 8 | b not in child:
-                state = link[state]
-            state = child.get(state << 8 | b, 0)
-            suffix = state if own[state] >= 0 else more[state]
-            while suffix:
-                token, length = own[suffix], depth[suffix]
+            key = state << 8 | b
+            state = step(key)
+            if state is None:
+                state = self._step(key)
+            for token, length in ends[state] or self._ends(state):
                 start = end - length
                 if start:
                     key = last[start] << 32 | token
-                    ok = pairs.get(key)
+                    ok = pair(key)
                     if ok is None:
-                        if len(pairs) >= 2 * REMEMBERED:
-                            pairs.clear()
-                        ok = pairs[key] = self.stays_apart(last[start], token)
+                        if len(self.pairs) >= 2 * REMEMBERED:
+                            self.pairs.clear()
+                        ok = self.pairs[key] = self.stays_apart(last[start], token)
                     if not ok:
-                        suffix = more[suffix]
                         continue
                 last[end], size[end] = token, length
                 break
@@ -166,8 +189,15 @@ class Codec:
         return out[::-1]
 
     def _packed(self, word: str) -> bytes:
-        packed = self.older.get(word) or array("I", self.encode_word(word.encode())).tobytes()
-        if len(word) <= LONGEST:
+        """The ids of a word that isn't among the words at hand. Words stay there from their second time on."""
+        packed = self.older.get(word) or self.once.pop(word, None)
+        if packed is None:
+            packed = array("I", self.encode_word(word.encode())).tobytes()
+            if len(word) <= LONGEST:
+                if len(self.once) >= REMEMBERED:
+                    self.once.clear()
+                self.once[word] = packed
+        else:
             if len(self.words) >= REMEMBERED:
                 self.words, self.older = {}, self.words
             self.words[word] = packed

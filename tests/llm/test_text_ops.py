@@ -66,7 +66,8 @@ def test_bpe_caches_stay_bounded(codec, monkeypatch):
     for _ in range(20):
         text = " ".join(f"word{rng.randrange(400)}" for _ in range(60)) + " " + "y" * 500
         assert own.encode(text) == codec.encode(text)
-        assert len(own.words) <= 50 and len(own.older) <= 50 and len(own.pairs) <= 100 and max(map(len, own.words)) <= bpe.LONGEST
+        assert all(len(x) <= 50 for x in (own.words, own.older, own.once)) and len(own.pairs) <= 100 and len(own.steps) <= 100
+        assert max(map(len, own.words | own.once)) <= bpe.LONGEST
 
 
 def test_bpe_refuses_other_kinds_of_vocabularies(codec):

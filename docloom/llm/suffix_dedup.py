@@ -43,7 +43,7 @@ from .common import read_table, slices, store
 WIDTH, RUN = 100, 69
 #: So many bytes of pieces make one collection at least; a hash is never split over two. A hash with more than
 #: HOT_PIECES different pieces goes on to the next gram of GRAMS.
-COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 2048, (32, 64, 100)
+COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 8192, (32, 64, 100)
 _LAST_ID = (1 << 63) - 1
 #: So many rows are collapsed at a time.
 COLLAPSE = 200_000

@@ -29,6 +29,7 @@ one.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import read_table, slices, store
 WIDTH, RUN = 100, 69
 #: So many bytes of pieces make one collection at least; a hash is never split over two. A hash with more than
 #: HOT_PIECES different pieces goes on to the next gram of GRAMS.
-COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 8192, (32, 64, 100)
+COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 2048, (32, 64, 100)
 _LAST_ID = (1 << 63) - 1
 #: So many rows are collapsed at a time.
 COLLAPSE = 200_000
@@ -226,12 +227,18 @@ def sifted(rows: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, ord, bytes, [(h, at)]) -> (h, doc, ord, at, bytes of the piece)."""
+    """(doc, ord, [(place, bytes)], [(h, at)]) -> (h, doc, ord, at, bytes of the piece). Of the document's parts, which
+    are sets of windows without any in common, the last that starts at or before a piece holds it."""
     kinds = [*[pa.int64()] * 4, pa.binary()]
     for batch in slices(batches):
         out = []
-        for doc, order, raw, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            out += [(x["h"], doc, order, x["at"], raw[x["at"] >> 10 : (x["at"] >> 10) + (x["at"] & 0xFF)]) for x in found]
+        for doc, order, parts, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            held = sorted((p["place"], p["data"]) for p in parts)
+            places = [p for p, _ in held]
+            for x in found:
+                place, raw = held[bisect_right(places, x["at"] >> 10) - 1]
+                start = (x["at"] >> 10) - place
+                out.append((x["h"], doc, order, x["at"], raw[start : start + (x["at"] & 0xFF)]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "ord", "at", "data"])
 
 
@@ -312,14 +319,9 @@ def removed_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(doc.alias("doc"), order.alias("ord"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("data"))
     start = F.shiftright("at", 10)
     span = [start.alias("s"), (start + F.col("at").bitwiseAND(F.lit(0xFF))).alias("e")]
-    cut_ddl = "h long, doc long, ord long, at long, data binary"
-
-    def cut(some: DataFrame) -> DataFrame:
-        """The pieces of some(h, doc, ord, at) with their bytes."""
-        wanted = some.groupBy("doc", "ord").agg(F.collect_list(F.struct("h", "at")).alias("found"))
-        return keyed.join(wanted, ["doc", "ord"]).select("doc", "ord", "data", "found").mapInArrow(_cut, cut_ddl)
-
     source, ranges = keyed.select("doc", "ord", "data", F.lit(0).cast("long").alias("place")), None
+    part = F.struct("place", "data")
+    parts = source.select("doc", "ord", F.array(part).alias("parts"))
     for gram in grams:
         found = store(sifted(source.mapInArrow(_scan(width, gram), _ROWS_DDL)))
         whole = found.where("h IS NULL").select("doc", "ord", *span)
@@ -327,13 +329,18 @@ def removed_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if gram == width:
             break
         further = found.where("h IS NOT NULL")
+        wanted = further.groupBy("doc", "ord").agg(F.collect_list(F.struct("h", "at")).alias("found"))
+        joined = parts.join(wanted, ["doc", "ord"]).select("doc", "ord", "parts", "found")
+        cut = store(joined.mapInArrow(_cut, "h long, doc long, ord long, at long, data binary"))
         hot = store(further.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_pieces).select("h"))
         none = hot.limit(1).isEmpty()
-        dealt = cut(further if none else further.join(hot, "h", "left_anti")).repartition("h").sortWithinPartitions("h")
+        dealt = (cut if none else cut.join(hot, "h", "left_anti")).repartition("h").sortWithinPartitions("h")
         ranges = ranges.unionByName(dealt.mapInArrow(_compare(width, least_bytes), "doc long, ord long, s long, e long"))
         if none:
             break
-        source = cut(further.join(hot, "h", "left_semi")).select("doc", "ord", "data", start.alias("place"))
+        # From here on the pieces of hot hashes stand for the texts.
+        source = cut.join(hot, "h", "left_semi").select("doc", "ord", "data", start.alias("place")).distinct()
+        parts = source.groupBy("doc", "ord").agg(F.collect_list(part).alias("parts"))
     return ranges.groupBy("doc", "ord").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 

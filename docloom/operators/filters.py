@@ -27,13 +27,12 @@ MIN_CHARS, MAX_PUNCTUATION, MIN_VALID = 15, 0.8, 0.3
 def keep_chunk(chunk: Column) -> Column:
     """Long enough, not mostly punctuation, enough letters or digits, no placeholder (as a substring, any case)."""
     words = "|".join(re.escape(p) for p in sorted({p.lower() for p in PLACEHOLDERS}))
-
-    def judged(text: Column) -> Column:
-        n = F.greatest(F.length(text), F.lit(1))
-        punctuation = F.lit(1) - (F.length(text) - F.regexp_count(text, F.lit(PUNCTUATION_CLASS))) / n
-        return (F.length(text) >= MIN_CHARS) & (punctuation <= MAX_PUNCTUATION) & (F.regexp_count(text, F.lit(VALID_CLASS)) / n >= MIN_VALID) & ~F.lower(text).rlike(words)
-
-    return bind(strip(chunk), judged)
+    text = strip(chunk)
+    n = F.greatest(F.length(text), F.lit(1))
+    marks = n - F.length(F.regexp_replace(text, PUNCTUATION_CLASS + "+", ""))
+    valid = F.length(text) - F.length(F.regexp_replace(text, VALID_CLASS + "+", ""))
+    punctuation = F.lit(1) - (F.length(text) - marks) / n
+    return (F.length(text) >= MIN_CHARS) & (punctuation <= MAX_PUNCTUATION) & (valid / n >= MIN_VALID) & ~F.lower(text).rlike(words)
 
 
 def drop_contained(chunks: Column) -> Column:

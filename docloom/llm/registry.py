@@ -3,6 +3,7 @@
 from .bpe import op1_bpe
 from .chat import SQL_OP8, op8_chat_formatting
 from .decontaminate import op2_decontamination
+from .divergence import SQL_OP12, op12_source_divergence
 from .html_extract import op6_html_extraction
 from .licenses import op9_license_scan
 from .pii import op4_pii
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_source_divergence": op12_source_divergence,
 }
 SQL = {
     "op7_quality_rules": SQL_OP7,
     "op8_chat_formatting": SQL_OP8,
+    "op12_source_divergence": SQL_OP12,
 }

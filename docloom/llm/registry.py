@@ -8,6 +8,7 @@ from .html_extract import op6_html_extraction
 from .licenses import op9_license_scan
 from .pii import op4_pii
 from .quality import SQL_OP7, op7_quality_rules
+from .secret_scan import SQL_OP13, op13_secret_scan
 from .simhash import op3_simhash_dedup
 from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op5_toxicity
@@ -24,9 +25,11 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_source_divergence": op12_source_divergence,
+    "op13_secret_scan": op13_secret_scan,
 }
 SQL = {
     "op7_quality_rules": SQL_OP7,
     "op8_chat_formatting": SQL_OP8,
     "op12_source_divergence": SQL_OP12,
+    "op13_secret_scan": SQL_OP13,
 }

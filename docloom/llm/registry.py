@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL for DuckDB."""
 
+from .alignment import op11_tokenizer_alignment
 from .bpe import op1_bpe
 from .chat import SQL_OP8, op8_chat_formatting
 from .decontaminate import op2_decontamination
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_source_divergence": op12_source_divergence,
     "op13_secret_scan": op13_secret_scan,
 }

@@ -1,4 +1,4 @@
-"""Column functions over texts: normalising, masking, abstracting, trimming, prompts. All are built-in expressions."""
+"""Column functions over texts: normalising, masking, abstracting, trimming, prompts. All but page cleaning are built-in expressions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
+from docloom.functions.html import visible_text_of
 
 #: Masks in the order in which they apply (fixed values).
 MASKS = (
@@ -18,14 +19,13 @@ MASKS = (
 )
 #: Words that an abstracted question leaves out (fixed values).
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are")
+#: The beginning of an abstracted question (fixed value).
 ABSTRACT_PREFIX = "intent:patient_education; key_terms:"
-#: Elements that page cleaning drops with all they hold (fixed values).
-DROPPED_ELEMENTS = ("script", "style", "nav", "footer", "iframe", "aside", "header", "meta", "link")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: The wording of prompts (fixed values).
 PROMPT_HEAD = "You are an AI system for patient education.\nWrite clearly and concisely for middle-aged and older adults.\nKeep the answer within {max_words} words.\nIf evidence is insufficient, say so and advise discussing with the physician.\n\nClinical context (system-fixed):\n{context}\n\nEvidence:\n"
 PROMPT_QUESTION = "\n\nPatient question:\n"
 EVIDENCE_LINES = 20
+#: The most characters of an external item's fields (fixed values).
 FIELD_LIMITS = {"title": 200, "url": 500, "text": 4000}
 
 
@@ -91,15 +91,8 @@ def title(text: Column) -> Column:
 
 
 def clean_html(html: Column) -> Column:
-    """Text lines of a page, dropped elements and markup left out."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", "")
-    for tag in DROPPED_ELEMENTS:
-        end = rf"(?is)<{tag}\b[^>]*>" if tag in ("meta", "link") else rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
-        out = F.regexp_replace(out, end, "\x01")
-    out = F.regexp_replace(out, r"<[^>]*>", "\x01")
-    for name, character in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    return F.array_join(F.filter(F.transform(F.split(out, "\x01"), strip), lambda x: x != ""), "\n")
+    """Text lines of a page, dropped elements and markup left out, character references decoded."""
+    return visible_text_of(html)
 
 
 def truncated(field: str, value: Column) -> Column:

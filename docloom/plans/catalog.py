@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions import classify, splitters, text
-from docloom.operators import chunking, filters, flow, index, ingest, knowledge, retrieval, sections, state
+from docloom.operators import chunking, filters, flow, index, ingest, knowledge, outbox, retrieval, sections, state
 from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
-from docloom.plans.oracle import TITLES
+from docloom.plans.oracle import CLEAN_CASES, LINK_CASES, TITLES
 from docloom.sources import adapters, files, loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +308,24 @@ def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha1(text.clean_html(F.col("html"))).alias("text_sha1"), F.length(text.clean_html(F.col("html"))).cast("long").alias("n_chars"))
 
 
+def _with_cases(spark, sf_dir, cases):
+    """Every page's number with each of a fixed list of cases: page_id, n, x."""
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("x")) for n, (x, _) in enumerate(cases)])
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(rows).alias("c")).select("page_id", "c.n", "c.x")
+
+
+@query
+def clean_html_cases(spark, sf_dir):
+    page = F.concat("x", F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p>"))
+    return _with_cases(spark, sf_dir, CLEAN_CASES).select("page_id", "n", text.clean_html(page).alias("text"))
+
+
+@query
+def resolve_links(spark, sf_dir):
+    base = F.concat(F.lit("http://h"), (F.col("page_id") % 7).cast("string"), F.lit(".example/a/d"), F.col("page_id").cast("string"), F.lit("/e?q=1#t"))
+    return _with_cases(spark, sf_dir, LINK_CASES).select("page_id", "n", files.resolve(base, F.col("x")).alias("link"))
+
+
 @query
 def extract_links(spark, sf_dir):
     return files.crawl_frontier(table(spark, sf_dir, "pages").select("url", "html"))
@@ -496,11 +514,39 @@ def review_by_request(spark, sf_dir):
     return flow.by_request(state.review_latest(review_events(spark, sf_dir)), asked).select("request_id", "seq", "status", "final_text")
 
 
+def _asked_twice(spark, sf_dir):
+    """All benchmark items as questions, in two batches that share an outbox, the first of them coming again; the model
+    never answers twice the same."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("seq"), F.concat(F.lit("u"), (F.col("item_id") % 3).cast("string")).alias("user_id"), F.col("text").alias("query"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    hits, segs = _kept(spark, guideline_boost(spark, sf_dir)), segments(spark, sf_dir)
+    box = outbox.Outbox(spark, files.scratch_folder(spark))
+    for k in (0, 1, 0):
+        flow.ask(items.where(F.col("request_id") % 2 == k), hits, segs, adapters.VaryingModel(), outbox=box, batch=f"batch {k}")
+    return flow.asked(box)
+
+
+def _kept(spark, df):
+    """The rows, computed once and read by all that follows."""
+    path = files.scratch_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query
 def ask_audit(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("seq"), F.concat(F.lit("u"), (F.col("item_id") % 3).cast("string")).alias("user_id"), F.col("text").alias("query"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    made = flow.ask(asked, guideline_boost(spark, sf_dir), segments(spark, sf_dir), adapters.EchoModel())
-    return made.audit.select("request_id", "ord", "event", "payload")
+    return _asked_twice(spark, sf_dir).audit.select("request_id", "ord", "event", "payload")
+
+
+@query
+def ask_agreement(spark, sf_dir):
+    """Answers, review events, the queue and the audit trail of each question side by side."""
+    made = _asked_twice(spark, sf_dir)
+    chars = made.audit.where("event = 'draft_generated'").select("request_id", F.get_json_object("payload", "$.chars").cast("int").alias("chars"))
+    reviews = made.reviews.select("request_id", F.col("draft").alias("reviewed"))
+    queue = made.queue.select("request_id", "task_id", F.col("draft").alias("queued"), "status")
+    rows = made.answers.select("request_id", "draft").join(reviews, "request_id").join(queue, "request_id").join(chars, "request_id")
+    same = (F.col("draft") == F.col("reviewed")) & (F.col("draft") == F.col("queued")) & (F.length("draft") == F.col("chars"))
+    return rows.select("request_id", "task_id", "status", same.alias("same"))
 
 
 @query

@@ -6,6 +6,7 @@ import hashlib
 import json
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -57,6 +58,13 @@ class EchoModel:
         return "Draft " + hashlib.sha256(prompt.encode()).hexdigest()[:16]
 
 
+class VaryingModel:
+    """Another draft each time it is asked, as a sampling model gives; all of one length."""
+
+    def generate(self, prompt: str) -> str:
+        return "Draft " + uuid.uuid4().hex[:16]
+
+
 class HttpModel:
     """POST {base}/generate with a prompt; the answer's text."""
 
@@ -117,7 +125,7 @@ def generate(prompts: DataFrame, model: LanguageModel, config: EngineConfig | No
 
 def search(gated: DataFrame, engine: ExternalSearch, k: int = 3, ttl_seconds: int = 600) -> DataFrame:
     """gated(query_id, abstract, now) -> (query_id, ord, title, url, text, expires_at): fields cut to their limits.
-    Only questions that the gate lets out should come here; the rows are never stored."""
+    Only questions that the gate lets out should come here; what is stored of them goes after their time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.html import link_targets_of
+from docloom.functions.text import bind, strip
 
 SEGMENT_SCHEMA = (
     "seg_id string, text string, source string, doc_type string, pub_year int, category string, title string, doi string, "
@@ -58,6 +60,38 @@ def read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """A short text as a file that no one else has made: whole or not at all, and False if the file is there already. The
+    text goes to a name of its own first, then the file system renames it without overwriting. (A local file
+    system looks before it renames; of two processes at the very same moment the later one would win there.)"""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    made = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_small(spark, made, text)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    plain = spark.sparkContext._gateway.new_array(kind, 1)
+    plain[0] = kind.NONE
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = file_system(spark, path)[0]
+    try:
+        if system.exists(at):
+            return False
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf)
+        context.rename(system.makeQualified(jvm.org.apache.hadoop.fs.Path(made)), system.makeQualified(at), plain)
+        return True
+    except Py4JJavaError as error:
+        if system.exists(at) and "AlreadyExists" in str(error.java_exception):
+            return False
+        raise
+    finally:
+        delete_path(spark, made)
+
+
+def names_in(spark: SparkSession, path: str, ending: str = ".json") -> list[str]:
+    """The names with this ending in a folder, in order; none if it doesn't exist."""
+    system, at = file_system(spark, path)
+    return sorted(n for n in (x.getPath().getName() for x in system.listStatus(at)) if n.endswith(ending)) if system.exists(at) else []
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; one of this machine only where that is unset and all runs in one
     process."""
@@ -125,21 +159,48 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments and without empty ones, but for the last."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+
+    def fold(p: Column) -> Column:
+        last = F.get(p, F.size(p) - 1)
+        some = F.filter(p, lambda x, i: (x != "") | (i == F.size(p) - 1))
+        up = F.aggregate(
+            some,
+            F.array().cast("array<string>"),
+            lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+        )
+        return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(up, F.array(F.lit("")))).otherwise(up), "/"))
+
+    return bind(parts, fold)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """A link made absolute against http(s) base URLs: absolute, //host, /path, ?query, #fragment and relative ones."""
-    scheme = F.regexp_extract(base, r"^(https?):", 1)
-    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
+    """A link made absolute against http(s) base URLs: absolute, //host, /path, ?query, #fragment and relative ones, with
+    dot segments taken out of paths that are resolved. White space around a link and line ends and tabs in it go; a scheme that is
+    the base's own, without a host behind it, says nothing."""
+    scheme = F.lower(F.regexp_extract(base, r"(?i)^(https?):", 1))
+    root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]*)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(plain.rlike(r"^https?://[^/]*$"), F.concat(plain, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
-    return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href == "", base)
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .when(href.startswith("?"), F.concat(plain, href))
-        .otherwise(F.concat(folder, href))
-    )
+    path = F.substring(plain, F.length(root) + 1, F.length(plain))
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    clean = F.regexp_replace(F.btrim(href, F.lit("".join(map(chr, range(33))))), r"[\t\r\n]", "")
+
+    def absolute(h: Column) -> Column:
+        own, rest = F.regexp_extract(h, r"^[^?#]*", 0), F.regexp_extract(h, r"[?#].*$", 0)
+        return (
+            F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h == "", base)
+            .when(h.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(plain, h))
+            .when(h.startswith("/"), F.concat(root, _without_dots(own), rest))
+            .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), rest))
+        )
+
+    idle = F.lower(F.regexp_extract(clean, r"^([a-zA-Z][a-zA-Z0-9+.-]*):(?!//)", 1))
+    return bind(F.when((idle != "") & (idle == scheme), F.regexp_replace(clean, r"^[^:]*:", "")).otherwise(clean), absolute)
 
 
 def host(url: Column) -> Column:
@@ -149,8 +210,8 @@ def host(url: Column) -> Column:
 def crawl_frontier(pages: DataFrame, most: int = MAX_LINKS) -> DataFrame:
     """pages(url, html) -> (url, ord, link): the page itself (ord 0) and its first `most` distinct links to the same
     host, in document order. A fragment is part of a link. One row of pages at a time, no shuffle."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href\s*=\s*\"([^\"]*)\""), F.lit(1))
-    absolute = F.transform(hrefs, lambda h: resolve(F.col("url"), F.replace(h, F.lit("&amp;"), F.lit("&"))))
+    pages = pages.select("url", link_targets_of("html").alias("hrefs"))
+    absolute = F.transform("hrefs", lambda h: resolve(F.col("url"), h))
     same = F.filter(absolute, lambda x: host(x) == host(F.col("url")))
     frontier = F.slice(F.array_distinct(F.concat(F.array("url"), same)), 1, most + 1)
     return pages.select("url", F.posexplode(frontier).alias("ord", "link"))

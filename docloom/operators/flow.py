@@ -9,12 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.config import EngineConfig
 from docloom.functions import classify, text
 from docloom.operators import state
-from docloom.operators.outbox import DRAFTS, EVIDENCE, Outbox
+from docloom.operators.outbox import Outbox
 from docloom.sources import adapters
 from docloom.sources.files import delete_path, scratch_folder
 
@@ -64,11 +63,10 @@ def ask(
             rows = _gated(requests, hits, segments, config)
             outside = rows.where("external").select(F.col("request_id").alias("query_id"), "abstract", F.col("ts").alias("now"))
             adapters.search(outside, search or adapters.NoSearch(), config.external_k, config.evidence_ttl_seconds).write.parquet(f"{folder}/evidence")
-            found = requests.sparkSession.read.schema(EVIDENCE).parquet(f"{folder}/evidence")
+            found = requests.sparkSession.read.parquet(f"{folder}/evidence")
             drafted = adapters.generate(_prompted(rows, found, config), model, config)
             numbered = state.with_task_ids(drafted).withColumn("task_id", F.col("task_id") + (first - 1))
-            schema = T._parse_datatype_string(DRAFTS)
-            numbered.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{folder}/drafts")
+            numbered.selectExpr(*(f"CAST({name} AS {kind}) AS {name}" for name, kind in outbox.drafts_columns(requests))).write.parquet(f"{folder}/drafts")
         except BaseException:
             delete_path(requests.sparkSession, folder)
             raise

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.sources.files import delete_path, names_in, path_exists, publish, read_small
 
-DRAFTS = (
-    "request_id long, seq long, user_id string, ts timestamp, query string, len int, abstract string, unsuitable string, hits long, top_score double, "
-    "external boolean, used int, draft string, task_id long"
-)
+#: A batch's rows; the ids have the type that the requests give them (these are for an empty outbox).
+DRAFTS = {
+    "request_id": "long", "seq": "long", "user_id": "string", "ts": "timestamp", "query": "string", "len": "int", "abstract": "string", "unsuitable": "string", "hits": "long",
+    "top_score": "double", "external": "boolean", "used": "int", "draft": "string", "task_id": "long",
+}
 EVIDENCE = "query_id long, ord int, title string, url string, text string, expires_at timestamp"
 
 
@@ -60,6 +61,11 @@ class Outbox:
     def new_folder(self) -> str:
         return f"{self.root}/data-{uuid.uuid4().hex}"
 
+    @staticmethod
+    def drafts_columns(requests: DataFrame) -> list[tuple[str, str]]:
+        given = dict(requests.dtypes)
+        return [(name, given[name] if name in ("request_id", "seq", "user_id") else kind) for name, kind in DRAFTS.items()]
+
     def commit(self, batch: str, folder: str, first: int, n: int) -> dict:
         """Publishes a folder as the batch's; if another one has been, that counts and this one goes."""
         made = {"batch": batch, "folder": folder.rpartition("/")[2], "first": first, "n": n}
@@ -69,12 +75,12 @@ class Outbox:
 
     def _read(self, manifests: list[dict], part: str, schema: str) -> DataFrame:
         paths = [p for m in manifests if path_exists(self.spark, p := f"{self.root}/{m['folder']}/{part}")]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def drafts(self, batch: str | None = None) -> DataFrame:
         """A batch's rows, or those of all batches."""
         chosen = self.manifests() if batch is None else [m for m in (self.manifest(batch),) if m]
-        return self._read(chosen, "drafts", DRAFTS)
+        return self._read(chosen, "drafts", ", ".join(map(" ".join, DRAFTS.items())))
 
     def evidence(self, batch: str | None = None) -> DataFrame:
         chosen = self.manifests() if batch is None else [m for m in (self.manifest(batch),) if m]
@@ -86,7 +92,7 @@ class Outbox:
         for m in self.manifests():
             path = f"{self.root}/{m['folder']}/evidence"
             if path_exists(self.spark, path):
-                last = self.spark.read.schema(EVIDENCE).parquet(path).agg({"expires_at": "max"}).first()[0]
+                last = self.spark.read.parquet(path).agg({"expires_at": "max"}).first()[0]
                 if last is None or last < now:
                     delete_path(self.spark, path)
                     gone += 1

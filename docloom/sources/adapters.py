@@ -132,7 +132,7 @@ def search(gated: DataFrame, engine: ExternalSearch, k: int = 3, ttl_seconds: in
             rows = [(q, i, *(str(item.get(f, ""))[:n] for f, n in FIELD_LIMITS.items()), now) for q, a, now in zip(frame["query_id"], frame["abstract"], frame["now"], strict=True) for i, item in enumerate(engine.search(a, k)[:k])]
             yield pd.DataFrame(rows, columns=["query_id", "ord", "title", "url", "text", "now"])
 
-    out = gated.select("query_id", "abstract", "now").mapInPandas(run, "query_id long, ord int, title string, url string, text string, now timestamp")
+    out = gated.select("query_id", "abstract", "now").mapInPandas(run, f"query_id {dict(gated.dtypes)['query_id']}, ord int, title string, url string, text string, now timestamp")
     return out.withColumn("expires_at", F.col("now") + F.expr(f"INTERVAL {ttl_seconds} SECONDS")).drop("now")
 
 

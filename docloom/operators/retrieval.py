@@ -1,14 +1,17 @@
 """Batch retrieval: TF-IDF weights, dense scores, fusion, boost, gate and tiered search.
 
-A batch of questions shares one scan of the corpus. Questions go out in blocks of bounded size, each task scores its
-segments against a block and keeps what can be among the k best of a question; so no term, however frequent, is a key
-of a join of both sides, and nothing that grows with the product of both sides is shuffled. Scores are rounded before
-they rank, so that ties don't depend on the order of addition.
+The corpus is tokenised once: a segment's terms and their frequencies are one row, counted within it. Of the terms, those of
+so many segments that a task couldn't have them as one key are at most HEAVY by arithmetic and are looked up by
+broadcast; the others are joined. A batch of questions shares one scan of the segments' weights: questions go out in blocks
+of bounded size, each task scores its segments against them and keeps what can be among the k best of a question, so
+nothing that grows with the product of both sides is shuffled. Scores are rounded before they rank, so that ties don't depend
+on the order of addition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
+from docloom.functions.text import bind
+from docloom.sources.files import kept
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 DIGITS = 6
@@ -45,11 +50,66 @@ def vocabulary(counts: DataFrame, n_segments: DataFrame, min_df: int = 1) -> Dat
     return df.select("term", "df", (F.log((n_segments.scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def segment_terms(segments: DataFrame, ngram_max: int = 1) -> DataFrame:
+    """(uid, seg_id, terms, tfs): a row for each segment, its terms in order and how often it has each; no shuffle. uid numbers
+    the rows, 256 neighbours share uid >> 8; it stays once the table is stored."""
+
+    def counted(words: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.coalesce(F.get(words, i) == F.get(words, i + 1), F.lit(False)))
+        return bind(
+            F.when(F.size(words) > 0, last).otherwise(F.array().cast("array<int>")),
+            lambda ends: F.struct(F.transform(ends, lambda i: F.get(words, i)).alias("terms"), F.transform(ends, lambda e, j: e - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("tfs")),
+        )
+
+    rows = segments.select("seg_id", bind(F.array_sort(F.coalesce(tokens(F.col("text"), ngram_max), F.array().cast("array<string>"))), counted).alias("x"))
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "seg_id", "x.terms", "x.tfs")
+
+
+def with_idf(df: DataFrame, n: int, min_df: int = 1) -> DataFrame:
+    """(term, df) of n segments -> (term, df, idf)."""
+    return df.where(F.col("df") >= min_df).select("term", "df", (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+#: At most so many terms are in more than one HEAVY-th of all (segment, term) rows each, as shares add up to one.
+HEAVY = 50_000
+
+
+def weighed(rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """rows(keys..., term, tf) and vocab(term, df, idf, more...) -> (keys..., term, raw, more...), raw being tf times idf. A term that is in
+    many rows never is the key of a shuffle: it is looked up in the broadcast part."""
+    total = vocab.agg(F.sum("df")).first()[0] or 0
+    needed = vocab.select("term", "idf", *more)
+    many = F.col("df") > total // HEAVY
+    looked_up = rows.join(F.broadcast(vocab.where(many).select(F.col("term").alias("__term"), "idf", *more)), F.col("term") == F.col("__term"), "left").drop("__term")
+    frequent = looked_up.where("idf IS NOT NULL")
+    rest = looked_up.where("idf IS NULL").select(*rows.columns).join(vocab.where(~many).select(*needed.columns), "term")
+    out = [*keys, "term", (F.col("tf") * F.col("idf")).alias("raw"), *more]
+    return frequent.select(*out).unionByName(rest.select(*out))
+
+
 def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, w): tf times idf over the row's L2 norm."""
-    raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    raw = weighed(counts, vocab, (key,))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+
+
+def unfolded(forward: DataFrame) -> DataFrame:
+    """segment_terms() as rows (uid, seg_id, term, tf)."""
+    return forward.select("uid", "seg_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("uid", "seg_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+
+
+def segment_weights(forward: DataFrame, vocab: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(uid, seg_id, terms, weights) of the segments: tf times idf over the norm of all terms, given for the asked(term) ones alone
+    where they are named. The norm and the weights leave one aggregation over uid."""
+    more = ("asked",) if asked is not None else ()
+    if asked is not None:
+        vocab = vocab.join(asked.select("term", F.lit(True).alias("asked")), "term", "left")
+    raw = weighed(unfolded(forward), vocab, ("uid", "seg_id"), more)
+    entry = F.struct("term", "raw")
+    entry = F.when(F.col("asked"), entry) if more else entry
+    made = raw.groupBy("uid", "seg_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(entry).alias("xs")).where(F.size("xs") > 0)
+    return made.select("uid", "seg_id", F.col("xs.term").alias("terms"), F.transform("xs", lambda x: x["raw"] / F.col("norm")).alias("weights"))
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", seg: str = "seg_id", score: str = "score") -> DataFrame:
@@ -57,8 +117,9 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", seg: str = "seg_id
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: A block holds so many questions and so many of their terms at most; so many rows are scored at a time.
-BLOCK_QUESTIONS, BLOCK_TERMS, SLICE_ROWS = 500, 200_000, 1024
+#: A block holds so many questions and so many of their terms at most; so many blocks share a scan, so many rows are scored at
+#: a time.
+BLOCK_QUESTIONS, BLOCK_TERMS, SHARED_BLOCKS, SLICE_ROWS = 500, 50_000, 16, 1024
 _HITS = "query_id long, seg_id long, score double"
 
 
@@ -71,13 +132,6 @@ def _hits(ids: np.ndarray, segs: np.ndarray, scores: np.ndarray, k: int, positiv
     return pa.RecordBatch.from_arrays([pa.array(ids[query], pa.int64()), pa.array(segs[seg], pa.int64()), pa.array(rounded[seg, query])], names=["query_id", "seg_id", "score"])
 
 
-def forward_weights(segments: DataFrame, ngram_max: int = 1, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(seg_id, term, w) of all segments and the vocabulary (term, df, idf)."""
-    counts = term_counts(segments, "seg_id", ngram_max=ngram_max)
-    vocab = vocabulary(counts, segments.agg(F.count(F.lit(1)).alias("n")), min_df)
-    return weigh(counts, vocab, "seg_id"), vocab
-
-
 def _question_blocks(asked: DataFrame) -> Iterator[list[tuple[int, list[str], list[float]]]]:
     """(query_id, term, w) as blocks of whole questions, streamed to the driver."""
     block: list[tuple[int, list[str], list[float]]] = []
@@ -92,49 +146,51 @@ def _question_blocks(asked: DataFrame) -> Iterator[list[tuple[int, list[str], li
         yield block
 
 
-def _scorer(sent, k: int):
-    """(seg_id, terms, weights) -> hits of one block of questions, in order of the segments' terms."""
+class _Block:
+    """A block of questions, by term."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        ids = np.array([q for q, _, _ in block], np.int64)
-        known = pa.array(sorted({t for _, ts, _ in block for t in ts}), pa.string())
-        number = {t: i for i, t in enumerate(known.to_pylist())}
+    def __init__(self, block: list[tuple[int, list[str], list[float]]]):
+        self.ids = np.array([q for q, _, _ in block], np.int64)
+        self.known = pa.array(sorted({t for _, ts, _ in block for t in ts}), pa.string())
+        number = {t: i for i, t in enumerate(self.known.to_pylist())}
         by_term: list[list[tuple[int, float]]] = [[] for _ in number]
         for j, (_, ts, ws) in enumerate(block):
             for t, w in zip(ts, ws, strict=True):
                 by_term[number[t]].append((j, w))
-        size = np.array([len(x) for x in by_term])
-        first = np.cumsum(size) - size
-        question = np.array([j for x in by_term for j, _ in x], np.int64)
-        weight = np.array([w for x in by_term for _, w in x])
+        self.size = np.array([len(x) for x in by_term], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.question = np.array([j for x in by_term for j, _ in x], np.int64)
+        self.weight = np.array([w for x in by_term for _, w in x])
+
+    def hits(self, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        terms, ws = part.column(1), part.column(2)
+        found = pc.index_in(terms.flatten(), self.known)
+        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        hit = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+        term, row, w = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64), row[hit], ws.flatten().to_numpy(zero_copy_only=False)[hit]
+        times = self.size[term]
+        place = np.repeat(self.first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = np.repeat(row, times) * len(self.ids) + self.question[place]
+        scores = np.bincount(cell, np.repeat(w, times) * self.weight[place], part.num_rows * len(self.ids)).reshape(part.num_rows, len(self.ids))
+        return _hits(self.ids, part.column(0).to_numpy(zero_copy_only=False), scores, k, True)
+
+
+def _scorer(sent, k: int):
+    """(seg_id, terms, weights) -> hits of the blocks of questions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_Block(b) for b in sent.value]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                terms, ws = part.column(1), part.column(2)
-                found = pc.index_in(terms.flatten(), known)
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-                hit = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
-                term, row, w = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64), row[hit], ws.flatten().to_numpy(zero_copy_only=False)[hit]
-                times = size[term]
-                place = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                cell = np.repeat(row, times) * len(ids) + question[place]
-                scores = np.bincount(cell, np.repeat(w, times) * weight[place], part.num_rows * len(ids)).reshape(part.num_rows, len(ids))
-                yield _hits(ids, part.column(0).to_numpy(zero_copy_only=False), scores, k, True)
+                for block in blocks:
+                    yield block.hits(batch.slice(at, SLICE_ROWS), k)
 
     return run
 
 
-def score_sparse(weights: DataFrame, vocab: DataFrame, segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1) -> DataFrame:
-    """Questions against (seg_id, term, w), be they computed or read from an index: (query_id, seg_id, score, rank).
-    Only the questions' terms of the weights go on. A question with fewer than k hits is filled up with segments of
-    score 0, the lowest ids first."""
-    asked = weigh(term_counts(questions, "query_id", ngram_max=ngram_max), vocab, "query_id")
-    rows = weights.join(asked.select("term").distinct(), "term", "left_semi").groupBy("seg_id").agg(F.collect_list(F.struct("term", "w")).alias("ws"))
-    rows = rows.select("seg_id", F.col("ws.term").alias("terms"), F.col("ws.w").alias("weights"))
-    hits = questions.sparkSession.createDataFrame([], _HITS)
-    for block in _question_blocks(asked):
-        hits = hits.unionByName(rows.mapInArrow(_scorer(questions.sparkSession.sparkContext.broadcast(block), k), _HITS))
+def filled(hits: DataFrame, segments: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k best of hits(query_id, seg_id, score). A question with fewer hits is filled up with segments of score 0, the
+    lowest ids first."""
     # Among the 2k lowest ids at least k are without a hit where fewer than k segments have one.
     lowest = segments.select("seg_id").orderBy("seg_id").limit(2 * k).agg(F.collect_list("seg_id").alias("ids"))
     filler = questions.select("query_id").distinct().select("query_id", F.explode(lowest.scalar()).alias("seg_id"), F.lit(0.0).alias("score"))
@@ -142,12 +198,23 @@ def score_sparse(weights: DataFrame, vocab: DataFrame, segments: DataFrame, ques
     return top_k(best, k)
 
 
+def score_sparse(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Hits of the questions asked(query_id, term, w) among rows(seg_id, terms, weights), the best of each task at least."""
+    spark = rows.sparkSession
+    hits = spark.createDataFrame([], _HITS)
+    for shared in batched(_question_blocks(asked), SHARED_BLOCKS):
+        hits = hits.unionByName(rows.mapInArrow(_scorer(spark.sparkContext.broadcast(list(shared)), k), _HITS))
+    return hits
+
+
 def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1, min_df: int = 1) -> DataFrame:
     """segments(seg_id, text), questions(query_id, text) -> (query_id, seg_id, score, rank)."""
-    weights, _ = forward_weights(segments, ngram_max, min_df)
-    asked = term_counts(questions, "query_id", ngram_max=ngram_max).select("term").distinct()
-    vocab = vocabulary(term_counts(segments, "seg_id", ngram_max=ngram_max, only=asked), segments.agg(F.count(F.lit(1)).alias("n")), min_df)
-    return score_sparse(weights, vocab, segments, questions, k, ngram_max)
+    forward = kept(segment_terms(segments, ngram_max))
+    df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocab = kept(with_idf(df, forward.count(), min_df))
+    counts = term_counts(questions, "query_id", ngram_max=ngram_max)
+    rows = segment_weights(forward, vocab, counts.select("term").distinct()).select("seg_id", "terms", "weights")
+    return filled(score_sparse(rows, weigh(counts, vocab, "query_id"), k), segments, questions, k)
 
 
 def _query_blocks(questions: DataFrame, most: int = 2000) -> Iterator[list]:

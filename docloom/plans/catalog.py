@@ -518,20 +518,13 @@ def _asked_twice(spark, sf_dir):
     """All benchmark items as questions, in two batches that share an outbox, the first of them coming again; the model
     never answers twice the same."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("seq"), F.concat(F.lit("u"), (F.col("item_id") % 3).cast("string")).alias("user_id"), F.col("text").alias("query"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    hits, segs = _kept(spark, guideline_boost(spark, sf_dir)), segments(spark, sf_dir)
+    hits, segs = files.kept(guideline_boost(spark, sf_dir)), segments(spark, sf_dir)
     box = outbox.Outbox(spark, files.scratch_folder(spark))
     for k in (0, 1, 0):
         flow.ask(items.where(F.col("request_id") % 2 == k), hits, segs, adapters.VaryingModel(), outbox=box, batch=f"batch {k}")
     return flow.asked(box)
 
 
-def _kept(spark, df):
-    """The rows, computed once and read by all that follows."""
-    path = files.scratch_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query
 def ask_audit(spark, sf_dir):
     return _asked_twice(spark, sf_dir).audit.select("request_id", "ord", "event", "payload")

@@ -94,13 +94,23 @@ def names_in(spark: SparkSession, path: str, ending: str = ".json") -> list[str]
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; one of this machine only where that is unset and all runs in one
-    process."""
+    process. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docloom-")
-    return f"{base}/{uuid.uuid4().hex}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    system, at = file_system(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once and written to a scratch folder, for several readers."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def demo_segments(spark: SparkSession) -> DataFrame:

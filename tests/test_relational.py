@@ -165,7 +165,6 @@ def test_index_is_built_once_and_replaced(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         built.config()
     built.build(segs, vectors, index.IndexConfig(embedding_model="m", embedding_size=2))
-    first = built.folder
     want = [tuple(r) for r in retrieval.sparse_topk(segs, asked, 3).orderBy("query_id", "rank").collect()]
     assert [tuple(r) for r in built.sparse_topk(asked, 3).orderBy("query_id", "rank").collect()] == want
     by_vector = spark.createDataFrame([(7, [1.0, 0.5])], "query_id long, embedding array<double>")
@@ -176,9 +175,9 @@ def test_index_is_built_once_and_replaced(spark, tmp_path):
     info = built.info().first()
     assert (info.exists, info.n_segments, info.n_terms, info.n_vectors) == (True, 5, 5, 3) and info.n_bytes > 0
     built.build(segs.limit(2), config=index.IndexConfig(ngram_max=2))
-    assert built.folder != first and not files.path_exists(spark, first) and built.config().ngram_max == 2 and built.info().first().n_vectors == 0
+    assert built.version == 1 and built.config().ngram_max == 2 and built.info().first().n_vectors == 0
     built.clear()
-    assert built.folder is None
+    assert built.version == -1
 
 
 def test_retrieval_without_questions_or_vectors(spark):

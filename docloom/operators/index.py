@@ -165,7 +165,7 @@ class RetrievalIndex:
         return to
 
     def _asked(self, questions: DataFrame, folder: str) -> DataFrame:
-        counts = retrieval.term_counts(questions, "query_id", ngram_max=self.config().ngram_max)
+        counts = retrieval.question_terms(questions, self.config().ngram_max)
         return kept(retrieval.weigh(counts, self.spark.read.parquet(f"{folder}/vocabulary"), "query_id"))
 
     def _scored(self, pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:

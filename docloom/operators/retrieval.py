@@ -10,17 +10,19 @@ on the order of addition.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions.text import bind
 from docloom.sources.files import kept
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -50,19 +52,34 @@ def vocabulary(counts: DataFrame, n_segments: DataFrame, min_df: int = 1) -> Dat
     return df.select("term", "df", (F.log((n_segments.scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def segment_terms(segments: DataFrame, ngram_max: int = 1) -> DataFrame:
-    """(uid, seg_id, terms, tfs): a row for each segment, its terms in order and how often it has each; no shuffle. uid numbers
-    the rows, 256 neighbours share uid >> 8; it stays once the table is stored."""
+_WORD = re.compile(r"\w{2,}")
 
-    def counted(words: Column) -> Column:
-        last = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.coalesce(F.get(words, i) == F.get(words, i + 1), F.lit(False)))
-        return bind(
-            F.when(F.size(words) > 0, last).otherwise(F.array().cast("array<int>")),
-            lambda ends: F.struct(F.transform(ends, lambda i: F.get(words, i)).alias("terms"), F.transform(ends, lambda e, j: e - F.coalesce(F.get(ends, j - 1), F.lit(-1))).alias("tfs")),
-        )
 
-    rows = segments.select("seg_id", bind(F.array_sort(F.coalesce(tokens(F.col("text"), ngram_max), F.array().cast("array<string>"))), counted).alias("x"))
-    return rows.select(F.monotonically_increasing_id().alias("uid"), "seg_id", "x.terms", "x.tfs")
+def _terms(text: str, ngram_max: int) -> Counter[str]:
+    """tokens() of one text, counted."""
+    words = _WORD.findall(text.lower())
+    return Counter(words if ngram_max == 1 else [*words, *map(" ".join, pairwise(words))])
+
+
+def segment_terms(segments: DataFrame, ngram_max: int = 1, key: str = "seg_id") -> DataFrame:
+    """(uid, key, terms, tfs): a row for each segment, its terms and how often it has each; no shuffle. uid numbers the
+    rows, 256 neighbours share uid >> 8; it stays once the table is stored. Counting within a text is a small helper for
+    batches of texts, as sorted arrays and lambda functions take several times as long."""
+    names = ["uid", key, "terms", "tfs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                counted = [_terms(t or "", ngram_max) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, counted)])
+                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([t for c in counted for t in c], pa.string()))
+                tfs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([n for c in counted for n in c.values()], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + part.num_rows), pa.int64()), part.column(0), terms, tfs], names=names)
+                uid += part.num_rows
+
+    return segments.select(key, "text").mapInArrow(run, f"uid long, {key} {dict(segments.dtypes)[key]}, terms array<string>, tfs array<int>")
 
 
 def with_idf(df: DataFrame, n: int, min_df: int = 1) -> DataFrame:
@@ -95,8 +112,15 @@ def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def unfolded(forward: DataFrame) -> DataFrame:
-    """segment_terms() as rows (uid, seg_id, term, tf)."""
-    return forward.select("uid", "seg_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("uid", "seg_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    """segment_terms() as rows (uid, key, term, tf)."""
+    own = [c for c in forward.columns if c not in ("terms", "tfs")]
+    return forward.select(*own, F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(*own, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+
+
+def question_terms(questions: DataFrame, ngram_max: int = 1) -> DataFrame:
+    """(query_id, term, tf), counted as in segments."""
+    rows = unfolded(segment_terms(questions, ngram_max, "query_id"))
+    return rows.groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def segment_weights(forward: DataFrame, vocab: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -212,7 +236,7 @@ def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_ma
     forward = kept(segment_terms(segments, ngram_max))
     df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = kept(with_idf(df, forward.count(), min_df))
-    counts = term_counts(questions, "query_id", ngram_max=ngram_max)
+    counts = kept(question_terms(questions, ngram_max))
     rows = segment_weights(forward, vocab, counts.select("term").distinct()).select("seg_id", "terms", "weights")
     return filled(score_sparse(rows, weigh(counts, vocab, "query_id"), k), segments, questions, k)
 

@@ -111,8 +111,9 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def positions(found: DataFrame) -> DataFrame:
     """(uid, scope, part, start, end, weak) of all matches that will do; weak: whether the document has candidates."""
-    rows = found.where(F.size("found") > 0).select("uid", F.exists("found", lambda x: x["ok"] & (x["part"] >= BASE)).alias("weak"), F.explode("found").alias("m"))
-    rows = rows.select("uid", "weak", "m.*").repartition("uid")
+    # weak comes before the explosion: a column that is made of the array afterwards would copy it into every row.
+    rows = found.where(F.size("found") > 0).select("uid", F.exists("found", lambda x: x["ok"] & (x["part"] >= BASE)).alias("weak"), "found")
+    rows = rows.select("uid", "weak", F.explode("found").alias("m")).select("uid", "weak", "m.*").repartition("uid")
     total = F.sum(F.col("gap").cast("long") + F.col("len")).over(Window.partitionBy("uid", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", total).where("ok").withColumn("start", F.col("end") - F.col("len"))
     before = Window.partitionBy("uid").orderBy("start", F.col("part").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import classify, splitters, text
 from docloom.operators import chunking, filters, knowledge, sections
+from docloom.operators.progress import Progress
 
 
 def join_documents(pages: DataFrame, key: str = "file_name", order: str = "page_no", content: str = "text", metadata: str = "metadata") -> DataFrame:
@@ -111,11 +112,16 @@ def segments_of(pages: DataFrame, source: str | None = None, doc_type: str = "gu
     )
 
 
-def build_knowledge(base: knowledge.KnowledgeBase, docs: DataFrame, tier: str = "historical", source: str = "source", failures: DataFrame | None = None, adaptive: bool = True) -> dict:
+def build_knowledge(
+    base: knowledge.KnowledgeBase, docs: DataFrame, tier: str = "historical", source: str = "source", failures: DataFrame | None = None, adaptive: bool = True, progress: Progress | None = None
+) -> dict:
     """Documents (doc_id, source, text) chunked and appended to a tier; a summary of what was added and what couldn't
-    be loaded. No chunk at all is an error."""
-    chunks = split_documents(docs, adaptive=adaptive).join(docs.select("doc_id", source), "doc_id")
+    be loaded. No chunk at all is an error. progress gets the rows and bytes of documents and chunks as they pass."""
+    seen = docs if progress is None else progress.stage(docs.select("doc_id", source), "documents")
+    chunks = split_documents(docs, adaptive=adaptive).join(seen.select("doc_id", source), "doc_id")
     rows = chunks.select(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "chunk_index", "chunk")).alias("seg_id"), F.col(source).alias("source"), "chunk_index", "chunk")
-    added = base.add(rows, tier)
+    added = base.add(rows if progress is None else progress.stage(rows, "chunks"), tier)
+    if progress is not None:
+        progress.finished()
     failed = 0 if failures is None else failures.count()
     return {"tier": tier, "chunks": added, "sources": base.read(tier).select("source").distinct().count(), "failed_sources": failed}

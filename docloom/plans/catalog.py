@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions import classify, splitters, text
-from docloom.operators import chunking, filters, flow, index, ingest, knowledge, outbox, retrieval, sections, state
+from docloom.operators import chunking, embedding, filters, flow, index, ingest, intervals, knowledge, outbox, progress, retrieval, sections, state
+from docloom.operators.vectors import VectorCells
 from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from docloom.plans.oracle import CLEAN_CASES, LINK_CASES, TITLES
 from docloom.sources import adapters, files, loaders
@@ -460,6 +461,62 @@ def indexed_retrieve(spark, sf_dir):
     return _index(spark, sf_dir).retrieve(questions(spark, sf_dir), question_vectors(spark, sf_dir))
 
 
+@query
+def index_grown_topk(spark, sf_dir):
+    """An index of most segments, some of them in an older wording, to which the others and the new wordings are added; then
+    made one part."""
+    segs, old = segments(spark, sf_dir), F.col("seg_id") % 10
+    built = index.RetrievalIndex(spark, files.scratch_folder(spark))
+    built.build(segs.where(old < 9).withColumn("text", F.when(old == 8, F.concat(F.lit("older wording "), "text")).otherwise(F.col("text"))))
+    built.add(segs.where(old >= 8))
+    built.compact()
+    return built.sparse_topk(questions(spark, sf_dir))
+
+
+@query
+def dense_cells_topk(spark, sf_dir):
+    return VectorCells.build(vectors(spark, sf_dir), files.scratch_folder(spark)).topk(question_vectors(spark, sf_dir))
+
+
+@query
+def latent_topk(spark, sf_dir):
+    """Texts to vectors to hits: singular directions of the segments, their embeddings kept by content, and the questions'."""
+    segs, asked = segments(spark, sf_dir), questions(spark, sf_dir)
+    embedder = embedding.fit(segs)
+    store = embedding.EmbeddingStore(spark, files.scratch_folder(spark))
+    of_segments = store.embedded(segs.select("seg_id", "text"), embedder, embedder.name).select("seg_id", "embedding")
+    return retrieval.dense_topk(of_segments, adapters.embed(asked, embedder).select("query_id", "embedding"))
+
+
+@query
+def session_events(spark, sf_dir):
+    """Every session with the events of its user in it, as intervals."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
+    found = state.sessions(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "6 hours")
+    spans = found.select("user_id", F.unix_micros("session_start").alias("start"), F.unix_micros("session_end").alias("end"))
+    met = intervals.interval_join(spans, e.withColumn("end", F.col("start") + 1), ["user_id"])
+    return met.select("user_id", F.col("left.start").alias("session_us"), F.col("right.event_id").alias("event_id"))
+
+
+@query
+def section_pages(spark, sf_dir):
+    """Every section with the pages of its file that it covers."""
+    pages = doc_pages(spark, sf_dir)
+    found = sections.build_sections(pages).select("file_name", "section_id", F.col("page_start").alias("start"), (F.col("page_end") + 1).alias("end"))
+    met = intervals.interval_join(found, pages.select("file_name", F.col("page_no").alias("start"), (F.col("page_no") + 1).alias("end")), ["file_name"])
+    return met.groupBy("file_name", F.col("left.section_id").alias("section_id"), F.col("left.start").alias("page_start")).agg(F.count(F.lit(1)).alias("n_pages"), F.max("right.start").cast("long").alias("last_page"))
+
+
+@query
+def crawl_progress(spark, sf_dir):
+    """Stages of a pass over the pages, counted while it writes."""
+    seen = progress.Progress(spark)
+    pages = seen.stage(table(spark, sf_dir, "pages").select("url", "html"), "pages")
+    files.kept(seen.stage(files.crawl_frontier(pages), "links"))
+    seen.finished()
+    return seen.table()
+
+
 @query
 def index_info(spark, sf_dir):
     return _index(spark, sf_dir).info().select("exists", "n_segments", "n_terms", "n_vectors", (F.col("n_bytes") > 0).alias("has_bytes"))

@@ -416,6 +416,16 @@ SELECT user_id AS request_id, (count(*) FILTER (event_type = 'purchase' AND even
     "audit_session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS num FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*)::BIGINT AS n FROM s GROUP BY user_id, num""",
+    "session_events": """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT user_id, event_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS num FROM g)
+SELECT user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, num)) AS session_us, event_id FROM s""",
+    "section_pages": f"""WITH h AS ({headings()}), p AS (SELECT * FROM {PAGES}),
+m AS (SELECT p.*, h.section_id, count(h.page_no) OVER (PARTITION BY p.file_name ORDER BY p.page_no) AS num, count(h.page_no) OVER (PARTITION BY p.file_name) AS heads FROM p LEFT JOIN h ON h.file_name = p.file_name AND h.page_no = p.page_no)
+SELECT file_name, coalesce(max(section_id), '0') AS section_id, min(page_no) AS page_start, count(*)::BIGINT AS n_pages, max(page_no)::BIGINT AS last_page FROM m WHERE num > 0 OR heads = 0 GROUP BY file_name, num""",
+    "crawl_progress": f"""SELECT 'pages' AS stage, count(*)::BIGINT AS n_rows, sum(strlen(url) + strlen(html))::BIGINT AS n_bytes FROM pages
+UNION ALL SELECT 'links', count(*)::BIGINT, sum(strlen(url) + strlen(link))::BIGINT FROM ({LINKS})""",
+    "index_grown_topk": tfidf(),
+    "dense_cells_topk": dense(8),
     "ttl_alive": "SELECT event_id FROM events WHERE event_id % 3 <> 1",
     "kb_status": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'realtime' ELSE 'historical' END AS tier, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
     "kb_merge": "SELECT 'historical' AS tier, true AS exists, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'realtime', true, 0, 0, 0",

@@ -4,8 +4,11 @@ A page is a row of tokens: words, tags, words inside links and words inside boil
 footers, adverts, forms, comments and so on, by tag name or by class, id and role). Plain words score positive,
 all others negative or less; the weights are log odds counted on labelled pages. A page labels itself where it
 marks its content with <article> or <main>: tokens in there and outside boilerplate are content. One linear
-scan finds the contiguous region of the greatest sum. If an article or main element holds most of the region's
-words, the region is that element. Its text comes out block by block, boilerplate elements left out.
+scan finds the contiguous region of the greatest sum. If article elements hold most of the region's words, the text is
+that of the greatest of them and of others that have at least a quarter of its words; a main element around a single one also gives
+what it holds before (a headline and lead, say) and what the region has of it behind. Where there is no article, main counts as one. The text
+comes out block by block, boilerplate elements left out. An element is hidden if it has the attribute hidden, aria-hidden=true
+or a style that declares display:none; the same words in other attributes or class names say nothing.
 
 Weights are counted over all pages, by class of token; that table is as long as the list of HTML's tag names.
 
@@ -35,12 +38,13 @@ from .common import read_table, slices
 _RAW, _CLOSED = "script|style|textarea", "noscript|template|iframe|svg|select|object|canvas|video|audio"
 _ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(?P<closed>{_CLOSED})\b{_ATTRIBUTES}>.*?</(?P=closed)\s*>"
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_END_OF = {name: re.compile(rf"</{name}\s*>", re.I) for name in _CLOSED.split("|")}
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -65,10 +69,10 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attributes):
+    values = {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(attributes)}
+    if values.get("hidden", "false").lower() != "false" or values.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(values.get("style", "")):
         return True
-    names = [name for m in _ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()]
-    return any(marked(name) for name in names)
+    return any(marked(name) for key in ("class", "id", "role") for name in values.get(key, "").split())
 
 
 def marked(name: str) -> bool:
@@ -86,12 +90,40 @@ class Piece:
         self.kind, self.text, self.words, self.content, self.element = kind, text, words, content, element
 
 
-def parse(page: str) -> tuple[list[Piece], dict[int, tuple[int, int]]]:
-    """The page's pieces and, for each article or main element, its first and last piece. Text pieces are of kind
-    word, linked or aside; element is the innermost article or main around, or -1."""
+class Elements:
+    """Article and main elements: first and last piece of each, and the main or article around it, or -1."""
+
+    def __init__(self) -> None:
+        self.span: dict[int, tuple[int, int]] = {}
+        self.outer: dict[int, int] = {}
+        self.tag: dict[int, str] = {}
+
+    def article(self, element: int) -> int:
+        """The outermost article around a piece; its main where there is no article; -1 for none."""
+        found = main = -1
+        while element >= 0:
+            if self.tag[element] == "article":
+                found = element
+            else:
+                main = element
+            element = self.outer[element]
+        return found if found >= 0 else main
+
+    def main(self, element: int) -> int:
+        while element >= 0 and self.tag[element] != "main":
+            element = self.outer[element]
+        return element
+
+
+def parse(page: str) -> tuple[list[Piece], Elements]:
+    """The page's pieces and its article and main elements. Text pieces are of kind word, linked or aside; element is the
+    innermost article or main around, or -1."""
     pieces: list[Piece] = []
-    spans: dict[int, tuple[int, int]] = {}
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it starts boilerplate, article around
+    found = Elements()
+    # tag, whether it starts boilerplate, article around, and the place of the nearest element that isn't inline
+    stack: list[tuple[str, bool, int, int]] = []
+    opened: Counter = Counter()
+    ends: dict[str, int] = {}
     aside = links = 0
     around = -1
     at = 0
@@ -105,14 +137,15 @@ def parse(page: str) -> tuple[list[Piece], dict[int, tuple[int, int]]]:
     def leave(count: int) -> None:
         nonlocal aside, links, around
         for _ in range(count):
-            tag, starts, outer = stack.pop()
+            tag, starts, outer, _ = stack.pop()
+            opened[tag] -= 1
             aside -= starts
             links -= tag == "a"
             if tag in ("article", "main"):
-                spans[around] = (spans[around][0], len(pieces) - 1)
+                found.span[around] = (found.span[around][0], len(pieces) - 1)
                 around = outer
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -120,37 +153,42 @@ def parse(page: str) -> tuple[list[Piece], dict[int, tuple[int, int]]]:
         if not tag or (m["tag2"] and not m[0].endswith(">")):
             continue
         closing, attributes = (m["end"], m["attributes"]) if m["tag"] else (m["end2"], m["attributes2"])
+        if not closing and tag in _END_OF:
+            # Left out with all it holds if it is closed somewhere; where the last end tag stands is looked up once.
+            if tag not in ends:
+                ends[tag] = max((x.start() for x in _END_OF[tag].finditer(page, at)), default=-1)
+            if at <= ends[tag]:
+                at = _END_OF[tag].search(page, at).end()
+                continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    leave(len(stack) - depth)
-                    break
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                leave(len(stack) - depth)
         else:
-            if tag in BLOCKS and stack and stack[-1][0] == "p":
-                leave(1)
-            elif tag in BLOCKS:
-                # A paragraph left open, with inline elements open inside, ends here as well.
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        leave(len(stack) - depth)
-                        break
-                    if stack[depth][0] not in INLINE:
-                        break
+            if tag in BLOCKS and opened["p"]:
+                # A paragraph left open, with inline elements open inside, ends here.
+                depth = stack[-1][3]
+                if depth >= 0 and stack[depth][0] == "p":
+                    leave(len(stack) - depth)
             if tag in _CLOSES and stack and stack[-1][0] in _CLOSES[tag]:
                 leave(1)
         pieces.append(Piece(tag, "", 0, around >= 0 and not aside, around))
         if not closing and tag not in VOID and not attributes.rstrip().endswith("/"):
             starts = is_boilerplate(tag, attributes, around >= 0)
-            stack.append((tag, starts, around))
+            stack.append((tag, starts, around, (stack[-1][3] if stack else -1) if tag in INLINE else len(stack)))
+            opened[tag] += 1
             aside += starts
             links += tag == "a"
             if tag in ("article", "main"):
+                found.outer[len(pieces) - 1], found.tag[len(pieces) - 1] = around, tag
                 around = len(pieces) - 1
-                spans[around] = (around, around)
+                found.span[around] = (around, around)
     if at < len(page):
         text(page[at:])
     leave(len(stack))
-    return pieces, spans
+    return pieces, found
 
 
 def class_of(piece: Piece) -> str:
@@ -162,8 +200,8 @@ def count_classes(pages: list[str]) -> Counter:
     """(class, inside) -> tokens, over the pages that mark their content."""
     out: Counter = Counter()
     for page in pages:
-        pieces, spans = parse(page or "")
-        if spans:
+        pieces, found = parse(page or "")
+        if found.span:
             for p in pieces:
                 out[class_of(p), p.content] += p.words if p.text else 1
     return out
@@ -197,18 +235,26 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The main text: blocks joined by blank lines."""
-    pieces, spans = parse(page or "")
+    pieces, found = parse(page or "")
     other = weight["other"]
     first, last = best_region([weight.get(class_of(p), other) * (p.words if p.text else 1) for p in pieces])
+    ranges = [(first, last)]
+    article = {e: found.article(e) for e in found.span}
     held: Counter = Counter()
     for p in pieces[first : last + 1]:
         if p.element >= 0:
-            held[p.element] += p.words
+            held[article[p.element]] += p.words
     total = sum(p.words for p in pieces[first : last + 1])
-    if held and held.most_common(1)[0][1] * 2 > total:
-        first, last = spans[min(e for e, n in held.items() if n == held.most_common(1)[0][1])]
+    if held and sum(held.values()) * 2 > total:
+        most = max(held.values())
+        chosen = sorted(e for e, n in held.items() if 4 * n >= most)
+        ranges = [found.span[e] for e in chosen]
+        around = found.main(chosen[0])
+        if around >= 0 and found.tag[chosen[0]] == "article":
+            start, end = found.span[around]
+            ranges = [(start, min(end, max(last, ranges[0][1])))] if len(ranges) == 1 else ranges
     blocks, line = [], []
-    for p in pieces[first : last + 1]:
+    for p in (p for start, end in ranges for p in pieces[start : end + 1]):
         if p.text:
             if p.kind != "aside":
                 line.append(p.text)

@@ -16,7 +16,7 @@ from docloom.operators import chunking, embedding, filters, flow, index, ingest,
 from docloom.operators.vectors import VectorCells
 from docloom.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from docloom.plans.oracle import CLEAN_CASES, LINK_CASES, TITLES
-from docloom.sources import adapters, files, loaders
+from docloom.sources import adapters, crawl, files, loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,6 +548,17 @@ def _loaded(spark, sf_dir):
     return loaders.load_sources(asked, pages, found, crawl=True)
 
 
+@query
+def crawl_source(spark, sf_dir):
+    """All pages as seeds of the crawl data source, with their children."""
+    pages, folder = site_pages(spark, sf_dir), files.scratch_folder(spark)
+    crawl.write_pages(pages, f"{folder}/pages")
+    files.write_small(spark, f"{folder}/seeds.txt", "".join(f"{r.url}\n" for r in pages.select("url").toLocalIterator()))
+    spark.dataSource.register(crawl.CrawlSource)
+    found = spark.read.format("crawl").options(path=f"{folder}/pages", seed_file=f"{folder}/seeds.txt").load()
+    return found.select("seed", "ord", "url", F.length("html").cast("long").alias("n_chars"))
+
+
 @query
 def load_documents(spark, sf_dir):
     documents, _ = _loaded(spark, sf_dir)

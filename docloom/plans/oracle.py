@@ -422,6 +422,8 @@ SELECT user_id, epoch_us(min(ts) OVER (PARTITION BY user_id, num)) AS session_us
     "section_pages": f"""WITH h AS ({headings()}), p AS (SELECT * FROM {PAGES}),
 m AS (SELECT p.*, h.section_id, count(h.page_no) OVER (PARTITION BY p.file_name ORDER BY p.page_no) AS num, count(h.page_no) OVER (PARTITION BY p.file_name) AS heads FROM p LEFT JOIN h ON h.file_name = p.file_name AND h.page_no = p.page_no)
 SELECT file_name, coalesce(max(section_id), '0') AS section_id, min(page_no) AS page_start, count(*)::BIGINT AS n_pages, max(page_no)::BIGINT AS last_page FROM m WHERE num > 0 OR heads = 0 GROUP BY file_name, num""",
+    "crawl_source": f"""WITH site AS (SELECT {SITE_URL} AS url, {SITE_HTML} AS html FROM pages)
+SELECT l.url AS seed, l.ord, l.link AS url, length(s.html)::BIGINT AS n_chars FROM ({LINKS.replace('FROM pages', 'FROM site')}) l LEFT JOIN site s ON s.url = l.link""",
     "crawl_progress": f"""SELECT 'pages' AS stage, count(*)::BIGINT AS n_rows, sum(strlen(url) + strlen(html))::BIGINT AS n_bytes FROM pages
 UNION ALL SELECT 'links', count(*)::BIGINT, sum(strlen(url) + strlen(link))::BIGINT FROM ({LINKS})""",
     "index_grown_topk": tfidf(),

@@ -554,7 +554,7 @@ def crawl_source(spark, sf_dir):
     pages, folder = site_pages(spark, sf_dir), files.scratch_folder(spark)
     crawl.write_pages(pages, f"{folder}/pages")
     files.write_small(spark, f"{folder}/seeds.txt", "".join(f"{r.url}\n" for r in pages.select("url").toLocalIterator()))
-    spark.dataSource.register(crawl.CrawlSource)
+    crawl.register(spark)
     found = spark.read.format("crawl").options(path=f"{folder}/pages", seed_file=f"{folder}/seeds.txt").load()
     return found.select("seed", "ord", "url", F.length("html").cast("long").alias("n_chars"))
 

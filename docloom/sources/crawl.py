@@ -1,6 +1,6 @@
 """A crawl as a data source: spark.read.format("crawl") and spark.readStream.format("crawl") over stored pages.
 
-    spark.dataSource.register(crawl.CrawlSource)
+    crawl.register(spark)
     spark.read.format("crawl").option("path", folder_of_pages).option("seeds", "http://a/,http://b/x").load()
 
 A page table is a folder of Parquet files with url and html, dealt by a hash of the host (write_pages makes one), so one
@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
@@ -159,3 +159,9 @@ class CrawlSource(DataSource):
 
     def streamReader(self, schema) -> CrawlStream:
         return CrawlStream(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CrawlSource)

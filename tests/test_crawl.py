@@ -12,8 +12,7 @@ def pages(spark, tmp_path_factory):
     rows = [(f"http://h{k % 3}.example/a/p{k}", f"<p>page {k}</p><a href='../a/p{k + 3}'>next</a><a href=\"/gone{k}\">g</a><a href='http://o.example/'>o</a><a href=p{k + 6}>x</a>") for k in range(30)]
     df = spark.createDataFrame(rows, "url string, html string")
     crawl.write_pages(df, path, 8)
-    spark.dataSource.register(crawl.CrawlSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    crawl.register(spark)
     return df, path
 
 

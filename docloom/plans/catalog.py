@@ -150,7 +150,7 @@ def theta_gate(spark, sf_dir):
 
 @query
 def tiered_search_dedupe(spark, sf_dir):
-    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("seg_id"), F.substring("text", 1, 200).alias("text"), F.when(F.col("doc_id") % 4 == 0, "realtime").otherwise("historical").alias("tier"))
+    d = docs_of(spark, sf_dir).select(F.col("doc_id").alias("seg_id"), "text", F.when(F.col("doc_id") % 4 == 0, "realtime").otherwise("historical").alias("tier"))
     hits = retrieval.dense_topk(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 24).join(d, "seg_id")
     return retrieval.tiered_search(hits)
 
@@ -205,7 +205,7 @@ def is_academic(spark, sf_dir):
 
 @query
 def is_book(spark, sf_dir):
-    return _marked(spark, sf_dir).select("doc_id", classify.is_book(F.substring("text", 1, 3000)).alias("is_book"), classify.route(F.col("text")).alias("route"))
+    return _marked(spark, sf_dir).select("doc_id", classify.is_book(F.col("text")).alias("is_book"), classify.route(F.col("text")).alias("route"))
 
 
 @query
@@ -636,7 +636,13 @@ def segment_files(spark, sf_dir):
 
 @query
 def demo_segments(spark, sf_dir):
-    return files.load_or_demo(spark, files.scratch_folder(spark)).select("seg_id", "source", "doc_type", "pub_year", "category", F.length("text").cast("long").alias("n_chars"))
+    """All documents as a segment file that is loaded, and a missing file, which gives the demonstration segments."""
+    folder, segs = files.scratch_folder(spark), segments(spark, sf_dir)
+    rows = segs.withColumn("seg_id", F.col("seg_id").cast("string")).withColumn("category", F.lit("general"))
+    files.write_segments(rows, f"{folder}/segments")
+    both = files.load_or_demo(spark, f"{folder}/segments").select("seg_id", "source", "doc_type", "pub_year", "category", "text")
+    both = both.unionByName(files.load_or_demo(spark, f"{folder}/missing").select("seg_id", "source", "doc_type", "pub_year", "category", "text"))
+    return both.select("seg_id", "source", "doc_type", "pub_year", "category", F.length("text").cast("long").alias("n_chars"))
 
 
 @query

@@ -136,6 +136,11 @@ IS_BOOK = (
     f"(NOT (({count_of('substring(t, 1, 3000)', PAPER)}) >= 2 OR {IS_ACADEMIC}) AND (({count_of('substring(t, 1, 3000)', BOOK)}) >= 2 OR "
     f"({' + '.join(f'regexp_matches(substring(t, 1, 3000), {lit(p)})::INT' for p in BOOK_PATTERNS)}) >= 2))"
 )
+#: Of whole texts, as the operator takes them; routing looks at the beginning alone.
+IS_BOOK_WHOLE = (
+    f"(NOT (({count_of('substring(t, 1, 3000)', PAPER)}) >= 2 OR {IS_ACADEMIC}) AND (({count_of('t', BOOK)}) >= 2 OR "
+    f"({' + '.join(f'regexp_matches(t, {lit(p)})::INT' for p in BOOK_PATTERNS)}) >= 2))"
+)
 POLICY = "(['Where can I get a refund for the parking fee', 'I will sue the clinic in court', 'Please give me the doctor phone number', 'Can I fake the form to bypass the line', 'What are the rules about suing', 'Is there a rule on personal info and billing', 'When can I shower after the operation', 'A regulation says the physician  address is public'])[o_orderkey % 8 + 1] || ' ' || o_orderkey"
 PAGES = """(SELECT source AS file_name, doc_id AS page_no, CASE WHEN doc_id % 3 = 0 THEN 'Page 1 of 9' || chr(10)
  || CASE WHEN doc_id % 7 = 0 THEN '1.2.3.4.' || doc_id % 3 ELSE (doc_id % 5 + 1) || '.' || doc_id % 2 END || ' '
@@ -356,7 +361,7 @@ SELECT query_id, tier, seg_id, score, rank::INT AS rank FROM (SELECT *, row_numb
 FROM benchmark LEFT JOIN (SELECT query_id, string_agg({LOCAL}, chr(10) ORDER BY rank) AS l FROM ({boosted(tfidf())}) JOIN documents ON doc_id = seg_id GROUP BY 1) h ON h.query_id = item_id""",
     "classify_unsuitable": f"SELECT o_orderkey, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(t), {lit(p)}) THEN {lit(n)} END' for n, p in UNSUITABLE)}], lambda x: x IS NOT NULL), ',') AS labels FROM (SELECT o_orderkey, {POLICY} AS t FROM orders)",
     "is_academic": f"SELECT doc_id, {IS_ACADEMIC} AS is_academic FROM {MARKED}",
-    "is_book": f"SELECT doc_id, {IS_BOOK} AS is_book, CASE WHEN {IS_BOOK} THEN 'book' WHEN {IS_ACADEMIC} THEN 'academic' ELSE 'generic' END AS route FROM {MARKED}",
+    "is_book": f"SELECT doc_id, {IS_BOOK_WHOLE} AS is_book, CASE WHEN {IS_BOOK} THEN 'book' WHEN {IS_ACADEMIC} THEN 'academic' ELSE 'generic' END AS route FROM {MARKED}",
     "book_type": rf"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(substring(t, 1, 5000), {lit(p)}) THEN {lit(n)}' for n, p in BOOK_TYPES)} WHEN regexp_matches(substring(t, 1, 5000), {lit(NOVEL_WORDS)}) AND len(list_filter(string_split_regex(substring(t, 1, 5000), '\s+'), lambda w: w <> '')) > 200 THEN 'novel' WHEN regexp_matches(substring(t, 1, 5000), {lit(DRUG_WORDS)}) THEN 'drug' ELSE 'unknown' END AS book_type FROM {MARKED}",
     "normalize_text": f"SELECT doc_id, sha1({normalize(NORMAL_RAW)}) AS normal_sha1, length({normalize(NORMAL_RAW)})::BIGINT AS n_chars FROM documents",
     "title_doi": rf"""WITH p AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Clinical Guideline for part ' || doc_id || chr(10) || 'doi 10.1234/AbC-' || doc_id || ' x' ELSE '' END AS t FROM documents),
@@ -432,7 +437,7 @@ UNION ALL SELECT 'links', count(*)::BIGINT, sum(strlen(url) + strlen(link))::BIG
     "kb_status": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'realtime' ELSE 'historical' END AS tier, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
     "kb_merge": "SELECT 'historical' AS tier, true AS exists, count(DISTINCT source)::BIGINT AS n_sources, count(*)::BIGINT AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM documents UNION ALL SELECT 'realtime', true, 0, 0, 0",
     "segment_files": "SELECT doc_id::VARCHAR AS seg_id, source, CASE WHEN doc_id % 5 = 0 THEN 'guideline' ELSE 'education' END AS doc_type, (doc_id % 10 + 2015)::INT AS pub_year, sha1(text) AS text_sha1 FROM documents",
-    "demo_segments": "SELECT * FROM (VALUES ('guideline_1', 'guideline_demo', 'guideline', 2023, 'postop_care', 139::BIGINT), ('edu_1', 'education_demo', 'education', 2022, 'warnings', 89)) t(seg_id, source, doc_type, pub_year, category, n_chars)",
+    "demo_segments": "SELECT doc_id::VARCHAR AS seg_id, source, CASE WHEN doc_id % 5 = 0 THEN 'guideline' ELSE 'education' END AS doc_type, (doc_id % 10 + 2015)::INT AS pub_year, 'general' AS category, length(text)::BIGINT AS n_chars FROM documents UNION ALL SELECT * FROM (VALUES ('guideline_1', 'guideline_demo', 'guideline', 2023, 'postop_care', 139::BIGINT), ('edu_1', 'education_demo', 'education', 2022, 'warnings', 89)) t(seg_id, source, doc_type, pub_year, category, n_chars)",
     "join_documents": f"SELECT file_name, arg_min(page_no, page_no)::VARCHAR AS first_page, length(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (page_no % 10 <> 3), ''))::BIGINT AS n_chars, sha1(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_no) FILTER (page_no % 10 <> 3), '')) AS text_sha1 FROM {PAGES} GROUP BY 1",
     "drop_blank": f"SELECT doc_id FROM documents WHERE doc_id % 7 <> 2 AND {strip('text')} <> ''",
     "chunk_metadata": f"""SELECT doc_id, (i - 1)::INT AS chunk_index, '{{"lang":"' || lang || '","chunk_index":"' || (i - 1) || '","total_chunks":"' || n || '"}}' AS metadata FROM (SELECT doc_id, lang, len(w) AS n, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, lang, {WINDOWS} AS w FROM documents))""",

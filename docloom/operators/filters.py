@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from docloom.functions.text import bind, strip
 
 #: Characters that count as punctuation, besides ASCII's and white space (fixed values).
 WIDE_PUNCTUATION = "，。！？；：「」『』（）【】《》〈〉、·"
-PUNCTUATION_CLASS = r"[，。！？；：「」『』（）【】《》〈〉、·!-/:-@\[-`{-~ \t\n\r]"
+PUNCTUATION = WIDE_PUNCTUATION + string.punctuation + " \t\n\r"
 VALID_CLASS = "[一-鿿a-zA-Z0-9]"
 #: Chunks that hold one of these say nothing (fixed values).
 PLACEHOLDERS = (
@@ -25,14 +26,19 @@ MIN_CHARS, MAX_PUNCTUATION, MIN_VALID = 15, 0.8, 0.3
 
 
 def keep_chunk(chunk: Column) -> Column:
-    """Long enough, not mostly punctuation, enough letters or digits, no placeholder (as a substring, any case)."""
-    words = "|".join(re.escape(p) for p in sorted({p.lower() for p in PLACEHOLDERS}))
-    text = strip(chunk)
-    n = F.greatest(F.length(text), F.lit(1))
-    marks = n - F.length(F.regexp_replace(text, PUNCTUATION_CLASS + "+", ""))
-    valid = F.length(text) - F.length(F.regexp_replace(text, VALID_CLASS + "+", ""))
-    punctuation = F.lit(1) - (F.length(text) - marks) / n
-    return (F.length(text) >= MIN_CHARS) & (punctuation <= MAX_PUNCTUATION) & (valid / n >= MIN_VALID) & ~F.lower(text).rlike(words)
+    """Long enough, not mostly punctuation, enough letters or digits, no placeholder (as a substring, any case). Stripped and
+    lowered once; cheap tests come first."""
+
+    def judged(text: Column) -> Column:
+        n = F.length(text)
+        # Characters that stay once punctuation is taken out.
+        rest = F.length(F.translate(text, PUNCTUATION, ""))
+        valid = n - F.length(F.regexp_replace(text, VALID_CLASS + "+", ""))
+        words = sorted({p.lower() for p in PLACEHOLDERS})
+        said = bind(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in words]))
+        return (n >= MIN_CHARS) & (F.lit(1) - rest / n <= MAX_PUNCTUATION) & ~said & (valid / n >= MIN_VALID)
+
+    return bind(strip(chunk), judged)
 
 
 def drop_contained(chunks: Column) -> Column:

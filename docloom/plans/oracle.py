@@ -7,7 +7,7 @@ from docloom.functions.splitters import LOOK_AHEAD, MANUAL, NOVEL, REFERENCE_BOO
 from docloom.functions.text import ABSTRACT_PREFIX, MASKS, PROMPT_HEAD, PROMPT_QUESTION, STOP_WORDS
 from docloom.config import EngineConfig
 from docloom.operators.chunking import ACADEMIC_HEADS, DRUG_LABELS, REFERENCE_START, SENTENCE, SENTENCE_END
-from docloom.operators.filters import PLACEHOLDERS, PUNCTUATION_CLASS, VALID_CLASS
+from docloom.operators.filters import PLACEHOLDERS
 from docloom.operators.sections import HEADING, PAGE_LINE
 
 CONFIG = EngineConfig()
@@ -290,6 +290,9 @@ def references() -> str:
     return f"list_transform([{items}], lambda it: flatten(list_transform(range(0, (len(it) + 4) // 5), lambda g: CASE WHEN length({joined}) > 500 THEN {single} ELSE [{joined}] END)))[1]"
 
 
+#: Written out for the SQL, apart from the operator's own.
+PUNCTUATION_CLASS = r"[，。！？；：「」『』（）【】《》〈〉、·!-/:-@\[-`{-~ \t\n\r]"
+VALID_CLASS = "[一-鿿a-zA-Z0-9]"
 KEEP = f"(length(s) >= 15 AND 1 - (length(s) - len(regexp_extract_all(s, {lit(PUNCTUATION_CLASS)}))) / greatest(length(s), 1) <= 0.8 AND len(regexp_extract_all(s, {lit(VALID_CLASS)})) / greatest(length(s), 1) >= 0.3 AND NOT ({like_any('lower(s)', sorted({p.lower() for p in PLACEHOLDERS}))}))"
 CONTAINED = (
     f"list_reduce(list_filter(list_transform(string_split_regex(text, '[.,]'), lambda c: {strip('c')}), lambda s: {KEEP}), lambda a, x: "

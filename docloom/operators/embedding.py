@@ -101,7 +101,7 @@ def _product(rows: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
 
 def fit(segments: DataFrame, size: int = 64, most_terms: int = MOST_TERMS, rounds: int = 6, ngram_max: int = 1) -> LatentEmbedder:
     """segments(seg_id, text) -> an embedder of `size` directions (fewer if there are fewer terms). Deterministic."""
-    forward = kept(retrieval.segment_terms(segments, ngram_max))
+    forward = kept(retrieval.segment_terms(retrieval.spread(segments.select("seg_id", "text")), ngram_max))
     df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = kept(retrieval.with_idf(df, forward.count()))
     columns = vocab.orderBy(F.col("df").desc(), "term").limit(most_terms).collect()  # bounded by most_terms

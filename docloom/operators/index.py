@@ -88,7 +88,7 @@ class RetrievalIndex:
             frequencies = self.spark.createDataFrame([], FREQUENCIES)
             gone = removed.select(F.col("seg_id").cast("long")) if removed is not None else segments.select(F.col("seg_id").cast("long"))
             if segments is not None:
-                retrieval.segment_terms(segments, config.ngram_max).write.parquet(f"{to}/forward")
+                retrieval.segment_terms(retrieval.spread(segments.select("seg_id", "text"), "seg_id"), config.ngram_max).write.parquet(f"{to}/forward")
                 forward = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
                 n = forward.count()
                 frequencies = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))

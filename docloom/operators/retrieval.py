@@ -91,10 +91,19 @@ def with_idf(df: DataFrame, n: int, min_df: int = 1) -> DataFrame:
 HEAVY = 50_000
 
 
-def weighed(rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+def spread(df: DataFrame, near: str | None = None) -> DataFrame:
+    """Few large partitions (a table of one file, say) dealt to all cores, rows with near values of a column together if one
+    is named; more partitions than cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartitionByRange(cores, near).sortWithinPartitions(near) if near else df.repartition(cores)
+
+
+def weighed(rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...], more: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
     """rows(keys..., term, tf) and vocab(term, df, idf, more...) -> (keys..., term, raw, more...), raw being tf times idf. A term that is in
-    many rows never is the key of a shuffle: it is looked up in the broadcast part."""
-    total = vocab.agg(F.sum("df")).first()[0] or 0
+    many rows never is the key of a shuffle: it is looked up in the broadcast part. total: the sum of df, if known."""
+    total = (vocab.agg(F.sum("df")).first()[0] or 0) if total is None else total
     needed = vocab.select("term", "idf", *more)
     many = F.col("df") > total // HEAVY
     looked_up = rows.join(F.broadcast(vocab.where(many).select(F.col("term").alias("__term"), "idf", *more)), F.col("term") == F.col("__term"), "left").drop("__term")
@@ -104,9 +113,9 @@ def weighed(rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...], more: tupl
     return frequent.select(*out).unionByName(rest.select(*out))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def weigh(counts: DataFrame, vocab: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """(key, term, w): tf times idf over the row's L2 norm."""
-    raw = weighed(counts, vocab, (key,))
+    raw = weighed(counts, vocab, (key,), total=total)
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
@@ -123,13 +132,13 @@ def question_terms(questions: DataFrame, ngram_max: int = 1) -> DataFrame:
     return rows.groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
 
 
-def segment_weights(forward: DataFrame, vocab: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def segment_weights(forward: DataFrame, vocab: DataFrame, asked: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """(uid, seg_id, terms, weights) of the segments: tf times idf over the norm of all terms, given for the asked(term) ones alone
     where they are named. The norm and the weights leave one aggregation over uid."""
     more = ("asked",) if asked is not None else ()
     if asked is not None:
         vocab = vocab.join(asked.select("term", F.lit(True).alias("asked")), "term", "left")
-    raw = weighed(unfolded(forward), vocab, ("uid", "seg_id"), more)
+    raw = weighed(unfolded(forward), vocab, ("uid", "seg_id"), more, total)
     entry = F.struct("term", "raw")
     entry = F.when(F.col("asked"), entry) if more else entry
     made = raw.groupBy("uid", "seg_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(entry).alias("xs")).where(F.size("xs") > 0)
@@ -233,12 +242,13 @@ def score_sparse(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1, min_df: int = 1) -> DataFrame:
     """segments(seg_id, text), questions(query_id, text) -> (query_id, seg_id, score, rank)."""
-    forward = kept(segment_terms(segments, ngram_max))
+    forward = kept(segment_terms(spread(segments.select("seg_id", "text")), ngram_max))
+    n, total = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = kept(with_idf(df, forward.count(), min_df))
+    vocab = kept(with_idf(df, n, min_df))
     counts = kept(question_terms(questions, ngram_max))
-    rows = segment_weights(forward, vocab, counts.select("term").distinct()).select("seg_id", "terms", "weights")
-    return filled(score_sparse(rows, weigh(counts, vocab, "query_id"), k), segments, questions, k)
+    rows = segment_weights(forward, vocab, counts.select("term").distinct(), total).select("seg_id", "terms", "weights")
+    return filled(score_sparse(rows, weigh(counts, vocab, "query_id", total), k), segments, questions, k)
 
 
 def _query_blocks(questions: DataFrame, most: int = 2000) -> Iterator[list]:

@@ -14,7 +14,7 @@ costs in proportion. Only short numbers of matches leave the scan of the texts.
 
 Cases: a null text is empty; a null or repeated doc_id is a document of its own, as rows have a key of their own; equal
 spans of one kind count once; ties of start are ordered by kind, then end; texts of any length are searched whole; an empty table
-gives an empty one; columns beside doc_id and text are never read, whatever their names.
+gives an empty one; other columns pass through, whatever their names, but those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -99,14 +99,14 @@ _FOUND = "array<struct<part:int,i:int,gap:int,len:int,ok:boolean>>"
 
 
 def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, the other columns, found): one scan of the texts. uid is a number for each row, which stays once this is stored."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    others = [c for c in docs.columns if c != text]
-    out = docs.select(*others, F.monotonically_increasing_id().alias("__uid"), t.alias("__text"))
-    t = F.col("__text")
-    out = out.select(*others, "__uid", "__text", F.concat(*[matches(t, k) for k in range(BREAK)]).alias("__found"))
-    weak = F.exists("__found", lambda x: x["ok"] & (x["part"] >= BASE))
-    return out.select(F.col("__uid").alias("uid"), *others, F.when(weak, F.concat("__found", matches(t, BREAK))).otherwise(F.col("__found")).alias("found"))
+    """(uid, row, found): one scan of the texts. row holds the other columns, whatever their names; uid is a number for each
+    row, which stays once this is stored."""
+    row = F.struct(*[docs[c] for c in docs.columns if c != text], F.lit(0).alias("__none"))
+    out = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("uid"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    t = F.col("text")
+    out = out.select("uid", "row", "text", F.concat(*[matches(t, k) for k in range(BREAK)]).alias("found"))
+    weak = F.exists("found", lambda x: x["ok"] & (x["part"] >= BASE))
+    return out.select("uid", "row", F.when(weak, F.concat("found", matches(t, BREAK))).otherwise(F.col("found")).alias("found"))
 
 
 def positions(found: DataFrame) -> DataFrame:
@@ -162,12 +162,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         parts = store(positions(found))
         spans = parts.where(F.col("part") < BASE).select("uid", "part", "start", "end").unionByName(linked(parts))
         spans = spans.select("uid", F.struct("start", kind_of(F.col("part")).alias("kind"), "end").alias("s")).groupBy("uid").agg(F.sort_array(F.collect_set("s")).alias("spans"))
-        others = [c for c in found.columns if c not in ("uid", "found")]
-        with_some = found.where(F.size("found") > 0).select("uid", *others).join(spans, "uid", "left").drop("uid")
-        without = found.where(F.size("found") == 0).select(*others, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-        out = with_some.unionByName(without).withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
-        counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(BASE)]
-        return materialize(out.select(*others, *counts, F.size(F.filter("spans", lambda s: s["kind"] >= BASE)).cast("long").alias("n_linked"), "spans"))
+        none = F.array().cast(spans.schema["spans"].dataType)
+        with_some = found.where(F.size("found") > 0).select("uid", "row").join(spans, "uid", "left").select("row", F.coalesce("spans", none).alias("spans"))
+        out = with_some.unionByName(found.where(F.size("found") == 0).select("row", none.alias("spans")))
+        made = [*(_count(k).alias(f"n_{KINDS[k]}") for k in range(BASE)), F.size(F.filter("spans", lambda s: s["kind"] >= BASE)).cast("long").alias("n_linked"), F.col("spans")]
+        names = {*(f"n_{k}" for k in KINDS[:BASE]), "n_linked", "spans"}
+        others = [F.col("row").getField(c).alias(c) for c in docs.columns if c != text and c not in names]
+        return materialize(out.select(*others, *made))
 
 
 def written(spans: Column) -> Column:

@@ -69,7 +69,7 @@ def test_alignment_against_whole_texts(spark, monkeypatch):
     alphabet = ["the", "of", " ", "  ", "\n", "ing", "É", "ñ", ".", ",", "'s", "(", "\r", "\t", "7", "日", "🙂", "—", "xq", "\xa0", "###"]
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "twice"), (7, "twice")]
     rows += [(1000 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))) for i in range(250)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).selectExpr("doc_id", "text", "1 AS numbers", "'k' AS key")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS numbers", "'k' AS key")
     want = aligned(rows)
     assert sorted((tuple(r) for r in alignment.align(docs).collect()), key=repr) == want
 
@@ -218,7 +218,8 @@ def test_weak_parts_are_reported_together(spark, text, want):
 
 def test_scan_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "user: anna password: hunter2x"), (5, "user: anna password: hunter2x"), (5, "user: anna password: hunter2x"), (6, None)], "doc_id long, text string")
-    got = secret_scan.scan(docs.selectExpr("doc_id", "text", "1 AS found", "2 AS part", "3 AS start").select("doc_id", "text")).collect()
+    got = secret_scan.scan(docs.selectExpr("doc_id", "text", "1 AS found", "2 AS uid", "3 AS spans", "4 AS row", "6 AS n_linked")).collect()
+    assert {(r.found, r.uid, r.row) for r in got} == {(1, 2, 4)}
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_linked) for r in got) == [(-1, 2), (5, 2), (5, 2), (6, 0)]
     assert secret_scan.scan(docs.limit(0)).collect() == []
     many = "user: a1b2 password: hunter2x\n" * 3000

@@ -110,15 +110,25 @@ def pack_lines(text: Column, size: int = 500) -> Column:
 
 
 def pack_default(text: Column, size: int = 500) -> Column:
-    """Lines as they are; the joining line feed isn't counted; chunks are stripped."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Lines as they are; the joining line feed isn't counted; chunks are stripped. The fold goes over lengths: a first line
+    that fits counts with a line feed before it, and a chunk that is an empty line alone is none."""
+
+    def packed(lines: Column) -> Column:
+        sizes = F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i")))
+        start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("starts"))
+
+        def named(a: Column) -> Column:
+            return F.when(a["cur"] == 0, F.slice(a["starts"], 1, F.greatest(F.size(a["starts"]) - 1, F.lit(0)))).otherwise(a["starts"])
+
+        def step(a: Column, x: Column) -> Column:
+            fits = a["cur"] + x["n"] <= size
+            starts = F.when(fits & (x["i"] > 0), a["starts"]).otherwise(F.array_append(named(a), x["i"]))
+            return F.struct((F.when(fits, a["cur"] + 1).otherwise(0) + x["n"]).alias("cur"), starts.alias("starts"))
 
-    def step(a: Column, x: Column) -> Column:
-        fits = F.length(a["cur"]) + F.length(x) <= size
-        done = F.when(fits | (a["cur"] == ""), a["done"]).otherwise(F.array_append(a["done"], strip(a["cur"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(a["cur"], F.lit("\n"), x)).otherwise(x).alias("cur"))
+        starts = F.aggregate(sizes, start, step, named)
+        return bind(starts, lambda s: F.transform(s, lambda at, k: strip(F.array_join(F.slice(lines, at + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - at), "\n"))))
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], strip(a["cur"]))))
+    return bind(F.split(text, "\n"), packed)
 
 
 def split_references(text: Column, size: int = 500, group: int = 5) -> Column:
@@ -149,28 +159,30 @@ def split_drug(text: Column, size: int = 500) -> Column:
 
 def academic_sections(text: Column) -> Column:
     """Sections of a paper by heading lines, each under 【heading】; a heading without lines vanishes."""
-    lines = _kept(F.split(text, "\n"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("title"), F.lit("").alias("body"))
-
-    def closed(a: Column) -> Column:
-        whole = F.when(a["title"] == "", a["body"]).otherwise(F.concat(a["title"], F.lit("\n"), a["body"]))
-        return F.when(a["body"] == "", a["done"]).otherwise(F.array_append(a["done"], whole))
-
-    def step(a: Column, x: Column) -> Column:
-        head = x.rlike(ACADEMIC_HEADS)
-        return F.struct(
-            F.when(head, closed(a)).otherwise(a["done"]).alias("done"),
-            F.when(head, F.concat(F.lit("【"), F.regexp_extract(x, ACADEMIC_HEADS, 1), F.lit("】"))).otherwise(a["title"]).alias("title"),
-            F.when(head, F.lit("")).when(a["body"] == "", x).otherwise(F.concat(a["body"], F.lit("\n"), x)).alias("body"),
-        )
 
-    return F.aggregate(lines, start, step, closed)
+    def cut(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(ACADEMIC_HEADS), i)), lambda i: i.isNotNull())
+
+        def section(at: Column, end: Column) -> Column:
+            body = F.array_join(F.slice(lines, at + 2, end - at - 1), "\n")
+            title = F.regexp_extract(F.get(lines, at), ACADEMIC_HEADS, 1)
+            return F.when(at < 0, body).otherwise(F.concat(F.lit("【"), title, F.lit("】\n"), body))
+
+        def sections(starts: Column) -> Column:
+            spans = F.transform(starts, lambda at, k: F.struct(at.alias("at"), F.coalesce(F.get(starts, k + 1), F.size(lines)).alias("end")))
+            return F.transform(F.filter(spans, lambda s: s["end"] - s["at"] > 1), lambda s: section(s["at"], s["end"]))
+
+        return bind(F.concat(F.array(F.lit(-1)), heads), sections)
+
+    return bind(_kept(F.split(text, "\n")), cut)
 
 
 def split_academic_lines(text: Column, size: int = 500) -> Column:
-    sections = academic_sections(text)
-    packed = F.flatten(F.transform(sections, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(pack_lines(s, size))))
-    return F.when(F.size(sections) == 0, pack_lines(text, size)).otherwise(packed)
+    def packed(sections: Column) -> Column:
+        parts = F.flatten(F.transform(sections, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(pack_lines(s, size))))
+        return F.when(F.size(sections) == 0, pack_lines(text, size)).otherwise(parts)
+
+    return bind(academic_sections(text), packed)
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keys: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.sources.files import kept
+from docloom.sources.files import kept, narrowed
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 DIGITS = 6
@@ -300,9 +300,9 @@ def fuse(dense: DataFrame, sparse: DataFrame, config: EngineConfig) -> DataFrame
 def boost(fused: DataFrame, segments: DataFrame, config: EngineConfig, order: str | None = None) -> DataFrame:
     """The 3 k_fused best, guidelines among them times the boost, ranked anew, the k_fused best. The cut comes
     before the boost: a guideline further down stays out. Of segments with one id the last by the column `order`
-    names the type (without one, the greatest type)."""
-    cut = top_k(fused, 3 * config.k_fused).drop("rank")
-    typed = segments.groupBy("seg_id").agg((F.max_by("doc_type", order) if order else F.max("doc_type")).alias("doc_type"))
+    names the type (without one, the greatest type). The cut is stored, so only its segments are grouped."""
+    cut = kept(top_k(fused, 3 * config.k_fused).drop("rank"))
+    typed = narrowed(segments, cut, "seg_id").groupBy("seg_id").agg((F.max_by("doc_type", order) if order else F.max("doc_type")).alias("doc_type"))
     raised = cut.join(typed, "seg_id").withColumn("score", F.round(F.col("score") * F.when(F.col("doc_type") == "guideline", config.boost).otherwise(1.0), DIGITS + 4))
     return top_k(raised.select("query_id", "seg_id", "score"), config.k_fused)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import nonspace_ratio, normalize, strip
-from docloom.sources.files import write_small
+from docloom.sources.files import kept, narrowed, write_single
 
 #: A number of parts, an optional separator, a title (fixed value); `3mg daily` matches, too.
 HEADING = r"^([0-9]+(?:\.[0-9]+)*)\s*[\x{2002}\x{2003}\x{00A0}\s]*[—\- –]*\s*(.+?)\s*$"
@@ -65,15 +66,18 @@ def segment_id(file_name: Column, section_id: Column, index: Column, text: Colum
 
 
 def sample_pages(pages: DataFrame, n: int = 6) -> DataFrame:
-    """Up to n pages of each file, by the hash of their number, so that a sample can be drawn again."""
+    """Up to n pages of each file, by the hash of their number, so that a sample can be drawn again; a number that comes
+    again is one page, all of whose rows are taken. The numbers are drawn and stored before any text is read."""
     w = Window.partitionBy("file_name").orderBy(F.md5(F.col("page_no").cast("string")), "page_no")
-    return pages.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+    numbers = pages.select("file_name", "page_no").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    return narrowed(pages, kept(numbers.drop("k")), "file_name", "page_no")
 
 
 def quality_sample(pages: DataFrame, files: DataFrame | None = None, n: int = 6) -> DataFrame:
     """(file_name, sample_n, nonempty_ratio_mean, pages): the mean share of characters that aren't white space over a
-    sample of each file. files(file_name) without a page have a sample of 0 and a mean of 0."""
-    rows = sample_pages(pages, n).select("file_name", "page_no", nonspace_ratio(F.col("text")).alias("ratio"))
+    sample of each file, the greatest of a page that comes again. files(file_name) without a page have a sample of 0 and
+    a mean of 0."""
+    rows = sample_pages(pages, n).groupBy("file_name", "page_no").agg(F.max(nonspace_ratio(F.col("text"))).alias("ratio"))
     counted = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("sample_n"), F.avg("ratio").alias("nonempty_ratio_mean"), F.sort_array(F.collect_list("page_no")).alias("pages"))
     if files is None:
         return counted
@@ -81,7 +85,23 @@ def quality_sample(pages: DataFrame, files: DataFrame | None = None, n: int = 6)
     return joined.select("file_name", F.coalesce("sample_n", F.lit(0)).alias("sample_n"), F.coalesce("nonempty_ratio_mean", F.lit(0.0)).alias("nonempty_ratio_mean"), F.coalesce("pages", F.array().cast(dict(counted.dtypes)["pages"])).alias("pages"))
 
 
+def _one_object(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Objects of one field each, as lines of a single object."""
+    lead = "{"
+    for batch in batches:
+        lines = []
+        for row in filter(lambda x: x != "{}", batch.column(0).to_pylist()):
+            lines.append(lead + row[1:-1])
+            lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"])], names=["value"])
+
+
 def write_quality(sample: DataFrame, path: str) -> None:
-    """The quality sample as one JSON file, an object for each file name: a row for each file, so it is small."""
-    rows = {r.file_name: {"sample_n": r.sample_n, "nonempty_ratio_mean": r.nonempty_ratio_mean, "pages": r.pages} for r in sample.collect()}
-    write_small(sample.sparkSession, path, json.dumps(rows, ensure_ascii=False))
+    """The quality sample as one JSON file, an object for each file name (null: `null`). One task writes it row by row in the
+    order of names, as it is one file; none of it goes through the driver."""
+    name = F.coalesce("file_name", F.lit("null"))
+    rows = sample.select(name.alias("name"), F.to_json(F.create_map(name, F.struct("sample_n", "nonempty_ratio_mean", "pages"))).alias("row"))
+    # Without a row the plan would have no task; one empty object makes sure of it.
+    rows = rows.unionByName(sample.sparkSession.range(1).select(F.lit(None).cast("string").alias("name"), F.lit("{}").alias("row")))
+    write_single(rows.repartition(1).sortWithinPartitions("name").select("row").mapInArrow(_one_object, "value string"), path)

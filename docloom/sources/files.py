@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,7 @@ DEMO = (
 MAX_INDEX_BYTES, MAX_FILE_BYTES, LARGE_FILE_BYTES, CHARS_PER_CHUNK = 20 << 20, 500 << 20, 100 << 20, 1000
 EXTENSIONS = ("pdf", "txt")
 MAX_LINKS = 5
+BROADCAST_KEYS = 200_000
 
 
 def file_system(spark: SparkSession, path: str):
@@ -60,6 +63,17 @@ def read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_single(rows: DataFrame, path: str) -> None:
+    """rows(value) as one text file, in place of what was there: made by tasks in a folder beside it, then renamed."""
+    spark, made = rows.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
+    rows.write.text(made)
+    system, at = file_system(spark, path)
+    part = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{made}/part-*"))[0].getPath()
+    system.delete(at, True)
+    system.rename(part, at)
+    delete_path(spark, made)
+
+
 def publish(spark: SparkSession, path: str, text: str) -> bool:
     """A short text as a file that no one else has made: whole or not at all, and False if the file is there already. The
     text goes to a name of its own first, then the file system renames it without overwriting. (A local file
@@ -113,6 +127,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrowed(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """rows whose keys, null ones too, are among those of a stored table `wanted`. Up to BROADCAST_KEYS of them go out to the
+    rows, which then aren't shuffled; more are joined by a shuffle."""
+    named = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        named = F.broadcast(named)
+    return rows.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_semi")
+
+
 def demo_segments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEMO, "seg_id string, text string, source string, doc_type string, pub_year int, category string")
 

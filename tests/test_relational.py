@@ -290,6 +290,28 @@ def test_quality_samples(spark):
     assert rows["f"].nonempty_ratio_mean == pytest.approx(sum(0.5 for p in rows["f"].pages if p % 2) / 6) and rows["f"].pages == sorted(rows["f"].pages)
 
 
+def test_quality_sample_of_repeated_and_null_pages(spark):
+    rows = [("f", 1, "ab"), ("f", 1, ""), (None, 2, "a "), (None, None, "abc"), ("f", 3, None)]
+    pages = spark.createDataFrame(rows, "file_name string, page_no int, text string")
+    for most in (files.BROADCAST_KEYS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(files, "BROADCAST_KEYS", most)
+            found = {r.file_name: r for r in sections.quality_sample(pages).collect()}
+            plan = sections.sample_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("rightHint=(strategy=broadcast)" in plan) == (most > 0)
+        assert (found["f"].sample_n, found["f"].nonempty_ratio_mean, found["f"].pages) == (2, 1.0, [1, 3])
+        assert (found[None].sample_n, found[None].nonempty_ratio_mean, found[None].pages) == (2, 0.75, [2])
+    assert sections.quality_sample(pages.limit(0)).collect() == []
+
+
+def test_boost_reads_only_what_was_cut(spark):
+    segs = spark.createDataFrame([(i, "guideline" if i % 2 else "education", i) for i in range(9)] + [(1, "education", 99)], "seg_id long, doc_type string, at long")
+    fused = spark.createDataFrame([(7, i, (9 - i) / 10) for i in range(8)], "query_id long, seg_id long, score double")
+    want = {i: round((9 - i) / 10 * (EngineConfig().boost if i in (3, 5, 7) else 1), 10) for i in range(8)}
+    got = {r.seg_id: r.score for r in retrieval.boost(fused, segs, EngineConfig(), order="at").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_task_numbers_over_ranges(spark):
     rows = spark.createDataFrame([(s,) for s in (5, 1, 70_000, 66_000, 200_000, 7)], "seq long")
     assert {r.seq: r.task_id for r in state.with_task_ids(rows).collect()} == {1: 1, 5: 2, 7: 3, 66_000: 4, 70_000: 5, 200_000: 6}
@@ -323,6 +345,12 @@ def test_quality_report_and_settings(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame([("f", 1, "ab "), ("f", 2, "")], "file_name string, page_no int, text string")
     sections.write_quality(sections.quality_sample(pages), str(tmp_path / "qc.json"))
     assert json.loads(files.read_small(spark, str(tmp_path / "qc.json"))) == {"f": {"sample_n": 2, "nonempty_ratio_mean": pytest.approx(1 / 3), "pages": [1, 2]}}
+    names = ['q"{', "参考", None]
+    odd = spark.createDataFrame([(n, 1, 0.5, [i]) for i, n in enumerate(names)], "file_name string, sample_n long, nonempty_ratio_mean double, pages array<int>")
+    sections.write_quality(odd, str(tmp_path / "qc.json"))
+    assert json.loads(files.read_small(spark, str(tmp_path / "qc.json"))) == {n or "null": {"sample_n": 1, "nonempty_ratio_mean": 0.5, "pages": [i]} for i, n in enumerate(names)}
+    sections.write_quality(odd.limit(0), str(tmp_path / "qc.json"))
+    assert json.loads(files.read_small(spark, str(tmp_path / "qc.json"))) == {} and len(list(tmp_path.glob("*.tmp"))) == 0
     EngineConfig().assert_internal()
     for url in ("https://api.openai.com/v1", "http://x.deepseek.com"):
         with pytest.raises(ValueError):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,35 @@ def test_config(monkeypatch):
     assert EngineConfig.from_env().theta == 0.5 and EngineConfig().theta == 0.75
     with pytest.raises(ValueError):
         EngineConfig(service_url="https://api.openai.com/v1").assert_internal()
+
+
+def packed_lines(text, size):
+    done, cur = [], ""
+    for line in text.split("\n"):
+        if len(cur) + len(line) <= size:
+            cur = f"{cur}\n{line}"
+        else:
+            done += [cur.strip()] if cur else []
+            cur = line
+    return done + ([cur.strip()] if cur else [])
+
+
+def paper_sections(text):
+    done, title, body = [], "", []
+    for line in [*filter(None, map(str.strip, text.split("\n"))), None]:
+        if line is None or line in ("RESULTS", "Abstract", "结论"):
+            done += ["\n".join([*filter(None, [title]), *body])] if body else []
+            title, body = f"【{line}】", []
+        else:
+            body.append(line)
+    return done
+
+
+def test_folds_over_lines_against_plain_ones(spark):
+    rng = random.Random(3)
+    texts = ["", "\n", "\n\n", "x" * 20, "x" * 20 + "\n", "\n" + "x" * 20 + "\n\n" + "y" * 20, "RESULTS", "a\nRESULTS\nAbstract\nb", None]
+    texts += ["\n".join(rng.choice(["", " ", "a", "bb c", "RESULTS", "Abstract ", "结论", "x" * rng.randrange(25)]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("text", chunking.pack_default(F.col("text"), 10).alias("lines"), chunking.academic_sections(F.col("text")).alias("sections")).collect():
+        assert r.lines == (None if r.text is None else packed_lines(r.text, 10)), r.text
+        assert r.sections == (None if r.text is None else paper_sections(r.text)), r.text

@@ -294,6 +294,44 @@ def test_toxicity_regression_against_differences():
         assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 0.05
 
 
+def test_toxicity_threshold_against_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        n = int(rng.integers(0, 30))
+        z, y, lowest = np.round(rng.normal(0, 2, n), int(rng.integers(0, 3))), rng.integers(0, 2, n), float(rng.normal(-1, 1))
+        values = sorted(set(z.tolist()))
+        cuts = [c for c in [*((a + b) / 2 for a, b in zip(values, values[1:], strict=False)), 0.0] if c > lowest]
+
+        def agreement(c):
+            right, above, toxic = sum((z > c) & (y == 1)), sum(z > c), sum(y == 1)
+            at = sum((z == c) & (y == 1)), sum(z == c)  # 0 may be a score; a score there counts as toxic
+            return 2 * (right + at[0]) / max(above + at[1] + toxic, 1)
+
+        best = max(map(agreement, cuts), default=0)
+        want = min((c for c in cuts if agreement(c) >= best - 1e-12), key=lambda c: (abs(c), -c), default=0.0)
+        assert toxicity.threshold(z, y, lowest) == pytest.approx(want)
+
+
+def test_toxicity_bias_follows_held_out_folds(spark):
+    rng = random.Random(8)
+    clean, weak, strong = ["".join(rng.choices("kpmnz", k=6)) for _ in range(200)], ["bafor", "gelun", "tirok"], ["scum", "moron"]
+    rows = []
+    for i in range(1500):
+        y, words = i % 5 == 0, rng.choices(clean, k=12)
+        words += rng.choices(strong, k=2) if y and i % 2 else rng.choices(weak, k=1) if y or rng.random() < 0.02 else []
+        rows.append((i, " ".join(words), int(y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counts = {(r.term, r.fold): (r.toxic, r.clean) for r in toxicity.term_counts(df.select("text", F.col("toxic").alias("y"), (F.col("doc_id") % 3).alias("fold"))).collect()}
+    for term in ("scum", "gelun", clean[7]):
+        for fold in range(3):
+            having = [y for i, t, y in rows if i % 3 == fold and term in t.split()]
+            assert counts.get((term, fold), (0, 0)) == (sum(having), len(having) - sum(having))
+    weight, bias = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    out = toxicity.score(df, weight, bias).where(toxicity.held_out(F.col("doc_id"))).collect()
+    caught = [r.predicted for r in out if r.toxic]
+    assert sum(caught) / len(caught) > 0.9 and sum(r.predicted for r in out if not r.toxic) / len(out) < 0.05 and bias < 0
+
+
 def test_toxicity_cases(spark, odd):
     docs = spark.createDataFrame([(i, f"plain words {i}" if i % 2 else "scum scum", None) for i in range(40)] + [(None, None, None), (3, "word " * 30_000, None), (3, "", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 1) for i in range(40)] + [(None, 1, 0), (3, 0, None), (5, None, 1)], "doc_id long, toxic int, quality int")

@@ -318,7 +318,7 @@ def test_toxicity_bias_follows_held_out_folds(spark):
     rows = []
     for i in range(1500):
         y, words = i % 5 == 0, rng.choices(clean, k=12)
-        words += rng.choices(strong, k=2) if y and i % 2 else rng.choices(weak, k=1) if y or rng.random() < 0.02 else []
+        words += rng.choices(strong, k=2) if y and i % 2 else rng.choices(weak, k=1) if y or rng.random() < 0.01 else []
         rows.append((i, " ".join(words), int(y)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     counts = {(r.term, r.fold): (r.toxic, r.clean) for r in toxicity.term_counts(df.select("text", F.col("toxic").alias("y"), (F.col("doc_id") % 3).alias("fold"))).collect()}

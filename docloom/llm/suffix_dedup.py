@@ -12,8 +12,8 @@ are first cut where equal strings can't be torn apart. Every 100-byte window has
    of its windows repeats (unless the piece holds its least gram twice; then it goes on, too). Of equal pieces all
    but the first are removed whole. Nothing is gathered: rows stream past in their order.
 3. Of hashes with several different pieces, the first of each goes on with its bytes. What no other window of the
-   hash equals, by a hash of the whole window, is cut away. Suffix order and common prefixes of the rest are built
-   column by column (bwt.py), in as many rounds as a piece has bytes, through sequential files; in a run of suffixes
+   hash equals, by a hash of the whole window, is cut away; of parts that are equal then all but the first are removed
+   whole, as in 2., until no more can be cut. Suffix order and common prefixes of the rest are built column by column (bwt.py), in as many rounds as a piece has bytes, through sequential files; in a run of suffixes
    that share 100 bytes all but the first start are removed. A hash with more than HOT_PIECES different pieces (a
    common phrase in very many contexts) isn't gathered: its pieces are cut again by the least hash of longer grams,
    64 bytes and in the end whole windows, and go through 1. to 3. anew. Whole windows need no 3.: they are equal or not.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,8 @@ WIDTH, RUN = 100, 69
 #: HOT_PIECES different pieces goes on to the next gram of GRAMS.
 COLLECTION_BYTES, HOT_PIECES, GRAMS = 3 << 18, 2048, (32, 64, 100)
 _LAST_ID = (1 << 63) - 1
-#: So many rows are collapsed at a time.
-COLLAPSE = 200_000
+#: So many rows are collapsed at a time; texts of so many bytes together are scanned side by side.
+COLLAPSE, SCAN_BYTES = 200_000, 1 << 15
 #: `at` holds the start (from bit 10), whether the piece is to be removed whole (9), whether a window may repeat
 #: inside it (8), and its length (8 bits).
 _GONE, _INSIDE = 1 << 9, 1 << 8
@@ -98,17 +99,24 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-def pieces(data: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, length in bytes, whether a window may repeat inside the piece) of the pieces of one text. With
-    grams as long as windows each window is a piece."""
-    if len(data) < width:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+def pieces(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, hash, start in it, length in bytes, whether a window may repeat inside the piece) of the pieces
+    of some texts, which are scanned side by side. With grams as long as windows each window is a piece."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    count = np.maximum(length - width + 1, 0)
+    if not count.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     span = width - gram + 1
-    grams = window_hashes(np.frombuffer(data, np.uint8), gram)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    grams = window_hashes(raw, gram)
+    # Windows within a text: its number, and where they start in all bytes.
+    number = np.repeat(np.arange(len(texts)), count)
+    base = np.cumsum(length) - length
+    at = np.arange(len(number)) + np.repeat(base - (np.cumsum(count) - count), count)
     if span == 1:
-        return grams, np.arange(len(grams)), np.full(len(grams), width), np.zeros(len(grams), bool)
-    least = window_minima(grams, span)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        return number, grams[at], at - base[number], np.full(len(at), width), np.zeros(len(at), bool)
+    least = window_minima(grams, span)[at]
+    starts = np.concatenate([[0], np.flatnonzero((least[1:] != least[:-1]) | (number[1:] != number[:-1])) + 1])
     sizes = np.diff(np.append(starts, len(least)))
     if (sizes > RUN).any():  # long runs are cut
         times = -(-sizes // RUN)
@@ -117,13 +125,14 @@ def pieces(data: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray,
         sizes = np.diff(np.append(starts, len(least)))
     # Equal windows of one piece hold its least gram at two places: those of the grams that are the least of
     # some window and equal the next such gram.
-    edge = np.full(span - 1, np.iinfo(np.uint64).max)
-    top = ~window_minima(np.concatenate([edge, ~least, edge]), span)
+    top = np.full(len(grams) + span - 1, np.iinfo(np.uint64).max)
+    top[at + span - 1] = ~least
+    top = ~window_minima(top, span)
     places = np.flatnonzero(grams == top)
     twice = np.concatenate([[0], np.cumsum(grams[places[1:]] == grams[places[:-1]])])
-    low = np.searchsorted(places, starts)
-    high = np.searchsorted(places, starts + sizes + span - 1) - 1
-    return least[starts], starts, sizes + width - 1, twice[high] > twice[low]
+    low = np.searchsorted(places, at[starts])
+    high = np.searchsorted(places, at[starts] + sizes + span - 1) - 1
+    return number[starts], least[starts], (at - base[number])[starts], sizes + width - 1, twice[high] > twice[low]
 
 
 def _batch(columns, names=_ROWS) -> pa.RecordBatch:
@@ -166,14 +175,23 @@ def collapsed(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch
 def _scan(width: int, gram: int):
     """(doc, ord, bytes, place of the bytes in their text) -> rows of pieces."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def rows(texts: list[bytes], doc: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         digest = xxhash.xxh3_64_intdigest
+        number, h, start, size, inside = pieces(texts, width, gram)
+        sums = np.fromiter((digest(texts[k][s:e]) for k, s, e in zip(number.tolist(), start.tolist(), (start + size).tolist(), strict=True)), np.uint64, len(h))
+        return h.view(np.int64), sums.view(np.int64), doc[number], order[number], (start + place[number] << 10) | (inside * np.int64(_INSIDE)) | size
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in slices(batches):
-            for doc, order, data, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                h, start, size, inside = pieces(data, width, gram)
-                if len(h):
-                    sums = np.fromiter((digest(data[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)), np.uint64, len(h))
-                    yield h.view(np.int64), sums.view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), order, np.int64), (start + place << 10) | (inside * np.int64(_INSIDE)) | size
+            texts = batch.column(2).to_pylist()
+            doc, order, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            at = size = 0
+            for k, text in enumerate(texts):
+                size += len(text)
+                if size >= SCAN_BYTES or k + 1 == len(texts):
+                    if len((some := rows(texts[at : k + 1], doc[at : k + 1], order[at : k + 1], place[at : k + 1]))[0]):
+                        yield some
+                    at, size = k + 1, 0
 
     return lambda batches: collapsed(found(batches))
 
@@ -229,17 +247,20 @@ def sifted(rows: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, ord, [(place, bytes)], [(h, at)]) -> (h, doc, ord, at, bytes of the piece). Of the document's parts, which
     are sets of windows without any in common, the last that starts at or before a piece holds it."""
-    kinds = [*[pa.int64()] * 4, pa.binary()]
     for batch in slices(batches):
-        out = []
-        for doc, order, parts, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        doc, order = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        found = batch.column(3).flatten()
+        h, at = (found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        count = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+        start, end = (at >> 10).tolist(), ((at >> 10) + (at & 0xFF)).tolist()
+        data: list[bytes] = []
+        for parts, n in zip(batch.column(2).to_pylist(), count.tolist(), strict=True):
             held = sorted((p["place"], p["data"]) for p in parts)
             places = [p for p, _ in held]
-            for x in found:
-                place, raw = held[bisect_right(places, x["at"] >> 10) - 1]
-                start = (x["at"] >> 10) - place
-                out.append((x["h"], doc, order, x["at"], raw[start : start + (x["at"] & 0xFF)]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "ord", "at", "data"])
+            for k in range(len(data), len(data) + n):
+                place, raw = held[bisect_right(places, start[k]) - 1]
+                data.append(raw[start[k] - place : end[k] - place])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(doc, count)), pa.array(np.repeat(order, count)), pa.array(at), pa.array(data, pa.binary())], names=["h", "doc", "ord", "at", "data"])
 
 
 def repeated_part(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,20 +281,47 @@ def repeated_part(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return first, last
 
 
+def distinct_parts(rows: list[tuple], width: int) -> tuple[list[tuple], list[tuple]]:
+    """Rows (h, doc, ord, at, data) in the order of documents and places -> (equal, parts). parts are (doc, ord, start,
+    bytes), in that order still: of each piece what lies between its first and last window that others repeat, the first of
+    equal ones alone. The others (doc, ord, start, end) are removed whole. Without them more windows are single, so this
+    goes on until nothing changes."""
+    parts = [(doc, order, at >> 10, data) for _, doc, order, at, data in rows]
+    equal: list[tuple] = []
+    while parts:
+        first, last = repeated_part([x[3] for x in parts], width)
+        seen: set[bytes] = set()
+        left = []
+        for k in np.flatnonzero(first >= 0).tolist():
+            doc, order, start, data = parts[k]
+            start, data = start + int(first[k]), data[first[k] : last[k] + width]
+            if data in seen:
+                equal.append((doc, order, start, start + len(data)))
+            else:
+                seen.add(data)
+                left.append((doc, order, start, data))
+        same = len(left) == len(parts) and all(len(x[3]) == len(y[3]) for x, y in zip(left, parts, strict=True))
+        parts = left
+        if same:
+            break
+    return equal, parts
+
+
 def _compare(width: int, least_bytes: int):
     """Rows (h, doc, ord, at, data) sorted by h -> (doc, ord, s, e), ranges to remove."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[1:4])
         rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # repeated rows of documents
-        first, last = repeated_part([r[4] for r in rows], width)
-        used = np.flatnonzero(first >= 0).tolist()
-        if not used:
+        again, parts = distinct_parts(rows, width)
+        if again:
+            yield _batch(list(zip(*again, strict=True)), ["doc", "ord", "s", "e"])
+        if not parts:
             return
-        doc, order = (np.array([rows[k][c] for k in used], np.int64) for c in (1, 2))
-        start = np.array([(rows[k][3] >> 10) + first[k] for k in used], np.int64)
+        data = [x[3] for x in parts]
+        doc, order, start = (np.array([x[c] for x in parts], np.int64) for c in range(3))
         number = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (order[1:] != order[:-1]))])
-        found = list(repeated_starts([rows[k][4][first[k] : last[k] + width] for k in used], width, (number << 32) + start))
+        found = list(repeated_starts(data, width, (number << 32) + start))
         if not found:
             return
         string, place = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -234,6 +234,29 @@ def test_suffix_dedup_chunks_of_one_scan(spark, monkeypatch):
     assert got == want
 
 
+def test_only_different_parts_reach_the_suffix_order():
+    """Pieces with a passage in common and each its own end: of the equal parts one remains, which nothing repeats."""
+    rng = random.Random(4)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage, other = word(120), word(110)
+    rows = [(1, k, 0, 7 << 10 | 140, passage + word(20)) for k in range(5)] + [(1, 9, 0, 3 << 10 | 150, word(20) + other + word(20)), (1, 10, 0, 150, other + word(30))]
+    equal, parts = suffix_dedup.distinct_parts(rows, 100)
+    assert parts == [] and equal == [(k, 0, 7, 127) for k in range(1, 5)] + [(10, 0, 0, 110)]
+    # A part that reaches further than another stays for the suffix order.
+    rows = [(1, 0, 0, 150, passage + other), (1, 1, 0, 130, passage[:105] + word(25)), (1, 2, 0, 140, passage[10:] + word(30))]
+    equal, parts = suffix_dedup.distinct_parts(rows, 100)
+    assert equal == [] and [x[:3] for x in parts] == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]
+
+
+def test_texts_scanned_side_by_side():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab c") for _ in range(n)) for n in (0, 99, 100, 101, 400, 50, 168, 900)] + [b"a" * 700, b"", b"abcd" * 60]
+    for gram in suffix_dedup.GRAMS:
+        together = list(zip(*(c.tolist() for c in suffix_dedup.pieces(texts, 100, gram)), strict=True))
+        alone = [(k, *row[1:]) for k, t in enumerate(texts) for row in zip(*(c.tolist() for c in suffix_dedup.pieces([t], 100, gram)), strict=True)]
+        assert together == alone and {row[0] for row in together} == {k for k, t in enumerate(texts) if len(t) >= 100}
+
+
 def test_chat_round_trip_and_branches(spark):
     texts = ["\\### Assistant: </turn> ok", "<turn><body>", "\\b\\l\\\\", None, "", "a\n</turn>\n<turn>assistant<body>x"]
     turns = [(t, i, "assistant" if i % 2 else "user", x) for t in ("a", "b") for i, x in enumerate(texts, 1)]

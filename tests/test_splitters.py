@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docloom.functions import splitters
 
@@ -124,3 +126,13 @@ def test_udtf(spark):
     splitters.register_chunks_udtf(spark)
     rows = spark.sql("SELECT chunk_index, chunk FROM VALUES ('aa bb cc') AS t(x), LATERAL chunks(x, 5, 0)").collect()
     assert [r.chunk for r in rows] == ["aa bb", "cc"]
+
+
+def test_texts_are_split_in_slices(spark):
+    """However many texts a batch has, chunks of a slice of them are held at a time; each text keeps its own chunks."""
+    held = splitters.chunks_udf(lambda t: [t] * 2).func([pa.array(["a"] * 600 + [None] * 3)].__iter__())
+    parts = list(held)
+    assert max(len(p) for p in parts) <= 256 and sum(len(p) for p in parts) == 603
+    assert parts[-1].to_pylist()[-4:] == [["a", "a"], [], [], []]
+    rows = spark.range(1000, numPartitions=1).select("id", splitters.chunks_udf(lambda t: [t, t + "!"])(F.col("id").cast("string")).alias("c")).collect()
+    assert all(r.c == [str(r.id), f"{r.id}!"] for r in rows) and len(rows) == 1000

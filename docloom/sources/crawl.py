@@ -33,6 +33,9 @@ from docloom.sources.files import MAX_LINKS, host
 
 SCHEMA = "seed string, ord int, url string, host string, html string"
 BUCKETS = 64
+#: Pages lie in row groups of about so many bytes, in the order of their URLs; a task looks up the pages of so many seeds,
+#: neighbours in that order, at a time, in record batches of so many rows.
+GROUP_BYTES, SEEDS_AT_ONCE, BATCH_ROWS = 4 << 20, 500, 256
 
 
 def bucket_of(name: str, buckets: int) -> int:
@@ -43,7 +46,7 @@ def write_pages(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """pages(url, html) as a table that the source reads: a folder for each bucket of hosts, of several files where it is large."""
     name = F.coalesce(host(F.col("url")), F.lit(""))
     rows = pages.select("url", "html", name.alias("host"), (F.crc32(F.encode(name, "utf-8")) % buckets).cast("int").alias("bucket"))
-    rows.repartitionByRange("bucket", "url").sortWithinPartitions("bucket", "host", "url").write.partitionBy("bucket").option("maxRecordsPerFile", 200_000).parquet(path)
+    rows.repartitionByRange("bucket", "url").sortWithinPartitions("bucket", "host", "url").write.partitionBy("bucket").option("maxRecordsPerFile", 200_000).option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 @dataclass
@@ -53,33 +56,40 @@ class Seeds(InputPartition):
 
 
 def _batches(path: str, part: Seeds, most: int) -> Iterator[pa.RecordBatch]:
-    """The pages of one bucket that its seeds and their links need: two looks, each for a list of URLs."""
+    """The pages of one bucket that its seeds and their links need: for some seeds at a time two looks, each for a list of
+    URLs, in the row groups between the first and the last of them."""
     system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     folder = f"{at}/bucket={part.bucket}"
     found = system.get_file_info(folder).type != fs.FileType.NotFound
+    stored = ds.dataset(folder, filesystem=system, format=ds.ParquetFileFormat(default_fragment_scan_options=ds.ParquetFragmentScanOptions(pre_buffer=False))) if found else None
 
     def pages(urls: set[str]) -> dict[str, str]:
-        if not found or not urls:
+        if stored is None or not urls:
             return {}
-        table = ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=["url", "html"], filter=pc.field("url").isin(sorted(urls)))
+        wanted, url = sorted(urls), pc.field("url")
+        between = (url >= wanted[0]) & (url <= wanted[-1]) & url.isin(wanted)
+        # One batch after the other: readahead would hold many batches of whole pages.
+        table = stored.to_table(columns=["url", "html"], filter=between, batch_size=BATCH_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False)
         return dict(zip(table.column("url").to_pylist(), table.column("html").to_pylist(), strict=True))
 
-    wanted = pages({u for _, u in part.seeds})
-    frontier = []
-    for _, seed in part.seeds:
-        links = [seed]
-        for target in link_targets(wanted.get(seed)):
-            if len(links) > most:
-                break
-            link = urljoin(seed, target.strip())
-            if urlsplit(link).netloc == urlsplit(seed).netloc and link not in links:
-                links.append(link)
-        frontier += [(seed, k, link) for k, link in enumerate(links)]
-    wanted |= pages({u for _, _, u in frontier} - set(wanted))
-    for k in range(0, len(frontier), 1024):
-        rows = frontier[k : k + 1024]
-        cols = [[r[0] for r in rows], pa.array([r[1] for r in rows], pa.int32()), [r[2] for r in rows], [urlsplit(r[2]).netloc for r in rows], pa.array([wanted.get(r[2]) for r in rows], pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if isinstance(c, list) else c for c in cols], names=["seed", "ord", "url", "host", "html"])
+    for k in range(0, len(part.seeds), SEEDS_AT_ONCE):
+        seeds = part.seeds[k : k + SEEDS_AT_ONCE]
+        wanted = pages({u for _, u in seeds})
+        frontier = []
+        for _, seed in seeds:
+            links = [seed]
+            for target in link_targets(wanted.get(seed)):
+                if len(links) > most:
+                    break
+                link = urljoin(seed, target.strip())
+                if urlsplit(link).netloc == urlsplit(seed).netloc and link not in links:
+                    links.append(link)
+            frontier += [(seed, n, link) for n, link in enumerate(links)]
+        wanted |= pages({u for _, _, u in frontier} - set(wanted))
+        for n in range(0, len(frontier), BATCH_ROWS):
+            rows = frontier[n : n + BATCH_ROWS]
+            cols = [[r[0] for r in rows], pa.array([r[1] for r in rows], pa.int32()), [r[2] for r in rows], [urlsplit(r[2]).netloc for r in rows], pa.array([wanted.get(r[2]) for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if isinstance(c, list) else c for c in cols], names=["seed", "ord", "url", "host", "html"])
 
 
 def _dealt(seeds: list[str], buckets: int, hosts: set[str] | None = None) -> list[Seeds]:
@@ -88,8 +98,9 @@ def _dealt(seeds: list[str], buckets: int, hosts: set[str] | None = None) -> lis
         name = urlsplit(seed).netloc
         if hosts is None or name in hosts:
             by_bucket.setdefault(bucket_of(name, buckets), []).append((n, seed))
-    # Many seeds of one bucket are several partitions.
-    return [Seeds(b, tuple(own[k : k + 2000])) for b, own in sorted(by_bucket.items()) for k in range(0, len(own), 2000)]
+    # Many seeds of one bucket are several partitions, each of neighbours by URL, whose pages lie together.
+    ranked = ((b, sorted(own, key=lambda x: x[1])) for b, own in sorted(by_bucket.items()))
+    return [Seeds(b, tuple(own[k : k + 2000])) for b, own in ranked for k in range(0, len(own), 2000)]
 
 
 def _listed(options: dict) -> list[str]:

@@ -1,4 +1,6 @@
 import pytest
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from docloom.sources import crawl, files
@@ -67,3 +69,20 @@ def test_a_stream_goes_on_after_a_restart(spark, pages, tmp_path):
     listed.write_text("".join(f"{s}\n" for s in seeds[:10]) + "no url\n" + "".join(f"{s}\n" for s in seeds[10:17]))
     run()
     assert sorted((r.seed, r.ord, r.url, r.html) for r in rows) == expected(spark, df, seeds[:17])
+
+
+def test_seeds_of_a_task_are_neighbours_and_looked_up_in_runs(tmp_path, monkeypatch):
+    """Seeds in any order are dealt in the order of their URLs, and no look asks for more than the pages of some of them."""
+    urls = [f"http://h.example/p{k}" for k in range(5000)]
+    dealt = crawl._dealt(urls[::-1], 64)
+    assert [u for p in dealt for _, u in p.seeds] == sorted(urls) and len(dealt) == 3
+    monkeypatch.setattr(crawl, "SEEDS_AT_ONCE", 7)
+    bucket = dealt[0].bucket
+    (tmp_path / f"bucket={bucket}").mkdir()
+    html = ['<a href="/p%d">x</a> %d' % (k + 9, k) for k in range(100)]
+    pq.write_table(pa.table({"url": urls[:100], "html": html}), tmp_path / f"bucket={bucket}" / "a.parquet", row_group_size=10)
+    seeds = crawl.Seeds(bucket, tuple(sorted(enumerate(urls[:100]), key=lambda x: x[1])))
+    batches = list(crawl._batches(str(tmp_path), seeds, 5))
+    assert max(b.num_rows for b in batches) <= 14
+    rows = {(r["seed"], r["ord"]): (r["url"], r["html"]) for b in batches for r in b.to_pylist()}
+    assert rows == {(urls[k], n): (urls[k + 9 * n], html[k + 9 * n] if k + 9 * n < 100 else None) for k in range(100) for n in (0, 1)}

@@ -90,3 +90,12 @@ def test_resolve_like_the_library(spark):
 def test_children_by_dot_segments(spark):
     page = spark.createDataFrame([("http://h.example/a/d/e", "<a href='../b'>1</a><a href=./c>2</a><a href=\"/a/d/c\">again</a><a href='http://o.example/'>other</a>")], "url string, html string")
     assert [r.link for r in files.crawl_frontier(page).orderBy("ord").collect()] == ["http://h.example/a/d/e", "http://h.example/a/b", "http://h.example/a/d/c"]
+
+
+@pytest.mark.parametrize("page", ["<title>a&amp;&amp</title><p>b", "<p>x &copy 2</p>&lt", "<p>&amp&amp;amp</p>", "<p>a&nosuch b&#233</p>"])
+def test_references_without_a_semicolon(page):
+    """Titles that are cut off inside a reference, as in larger tables."""
+    tree = Tree()
+    tree.feed(page)
+    tree.close()
+    assert html.visible_text(page) == "\n".join(x.strip() for x in tree.lines if x.strip())

@@ -47,3 +47,9 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-500:]
+
+
+def test_the_vocabulary_is_shuffled_by_term_alone(spark):
+    """Terms are counted within their segment before anything is shuffled."""
+    plan = QUERIES["tfidf_vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(seg_id" not in plan

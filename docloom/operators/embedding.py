@@ -25,8 +25,8 @@ from docloom.sources.files import kept
 from docloom.sources.snapshots import Conflict, Snapshots
 
 #: Columns of the matrix at most; directions beside those asked for; columns whose partial products make one row; rows that
-#: are multiplied at a time, over the columns they use.
-MOST_TERMS, SPARE, BLOCK, DENSE_ROWS = 1 << 15, 10, 512, 256
+#: are multiplied at a time, over the columns they use; words that are embedded at a time.
+MOST_TERMS, SPARE, BLOCK, DENSE_ROWS, SOME_WORDS = 1 << 15, 10, 512, 256, 1 << 14
 
 
 @dataclass
@@ -40,10 +40,15 @@ class LatentEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.directions.shape[1]))
-        for row, text in zip(out, texts, strict=True):
-            for term, n in retrieval._terms(text or "", self.ngram_max).items():
-                if found := self.terms.get(term):
-                    row += n * found[1] * self.directions[found[0]]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts, pa.string())], names=["at", "text"])
+        for at, words, sizes in retrieval._chunks(iter([batch]), SOME_WORDS):
+            terms, row, place, tf = retrieval._counted(words, sizes, self.ngram_max)
+            found = [self.terms.get(t, (-1, 0.0)) for t in terms.to_pylist()]
+            column, idf = np.array([c for c, _ in found], np.int64)[place], np.array([w for _, w in found])[place]
+            known = np.flatnonzero(column >= 0)
+            if len(known):
+                own, first = np.unique(row[known], return_index=True)
+                out[at.to_numpy()[own]] = np.add.reduceat((tf[known] * idf[known])[:, None] * self.directions[column[known]], first)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
@@ -99,19 +104,35 @@ def _product(rows: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
     return matrix(summed).reshape(-1, basis.shape[1]) if summed.num_rows else np.zeros((basis.shape[1],) * 2 if gram else basis.shape)
 
 
+def _placed(weights: DataFrame, columns: list[str]) -> DataFrame:
+    """(terms, weights) -> (places, weights), by the columns' order."""
+    sent = weights.sparkSession.sparkContext.broadcast(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = pa.array(sent.value, pa.string())
+        for batch in batches:
+            terms = batch.column(0)
+            sizes = np.cumsum(np.append(0, pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False)))
+            places = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.compute.index_in(terms.flatten(), columns))
+            yield pa.RecordBatch.from_arrays([places, batch.column(1)], names=["places", "weights"])
+
+    return weights.mapInArrow(run, "places array<int>, weights array<double>")
+
+
 def fit(segments: DataFrame, size: int = 64, most_terms: int = MOST_TERMS, rounds: int = 6, ngram_max: int = 1) -> LatentEmbedder:
     """segments(seg_id, text) -> an embedder of `size` directions (fewer if there are fewer terms). Deterministic."""
-    forward = kept(retrieval.segment_terms(retrieval.spread(segments.select("seg_id", "text")), ngram_max))
-    df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = kept(retrieval.with_idf(df, forward.count()))
+    corpus = retrieval.spread(segments.select("seg_id", "text"))
+    buckets = retrieval.buckets_for(corpus)
+    chunks = kept(retrieval.coded(corpus, ngram_max, buckets))
+    n = chunks.agg(F.count("uid")).first()[0]
+    vocab = retrieval.with_idf(retrieval.known_terms(retrieval.frequencies(chunks)), n)
     columns = vocab.orderBy(F.col("df").desc(), "term").limit(most_terms).collect()  # bounded by most_terms
     known = {r.term: (i, r.idf) for i, r in enumerate(columns)}
-    places = segments.sparkSession.createDataFrame([(t, i) for t, (i, _) in known.items()], "term string, place int") if known else None
-    if places is None:
+    if not known:
         return LatentEmbedder({}, np.zeros((0, size)), np.zeros(size), ngram_max)
-    weights = retrieval.segment_weights(forward, vocab, places).select("uid", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
-    placed = weights.select("uid", F.col("x.terms").alias("term"), F.col("x.weights").alias("w")).join(F.broadcast(places), "term")
-    rows = kept(placed.groupBy("uid").agg(F.collect_list(F.struct("place", "w")).alias("xs")).select(F.col("xs.place").alias("places"), F.col("xs.w").alias("weights")))
+    wanted = segments.sparkSession.createDataFrame([(0, list(known), [1] * len(known))], "seg_id long, terms array<string>, tfs array<int>")
+    weights = retrieval.segment_weights(chunks, retrieval.frequencies(chunks, retrieval.coded_terms(wanted, buckets)), n)
+    rows = kept(_placed(weights.select("terms", "weights"), list(known)))
     # Every task sends a matrix; more tasks than cores would only send more of them.
     rows = rows.coalesce(max(1, segments.sparkSession.sparkContext.defaultParallelism))
     width = min(size + SPARE, len(known))

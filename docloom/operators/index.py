@@ -6,7 +6,8 @@ older one as dead, and takes its terms off the document frequencies. So adding c
 parts before), frequencies of the whole are sums over the parts, and results are those of a rebuild.
 
 Weights depend on the whole through idf and norms. They are made from the parts' terms, not from texts, once for each
-version that is asked: postings in blocks of 256 segments, a row for each term and block with the greatest weight in it.
+version that is asked: postings in blocks of 256 neighbouring segments, a row for each term and block with the greatest weight in
+it, made where a chunk of segments is weighed, so without a shuffle of their own.
 A batch of questions is answered in passes. What a block can reach at most for a question is a sum of those greatest weights; the
 blocks that can reach most give the k-th score to beat; blocks that can't reach it are never scored. All questions share each
 scan.
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from docloom.config import EngineConfig
 from docloom.operators import retrieval
 from docloom.operators.vectors import VectorCells
-from docloom.sources.files import delete_path, kept, path_exists, write_small
+from docloom.sources.files import delete_path, kept, narrowed, path_exists, write_small
 from docloom.sources.snapshots import Snapshots
 
 VECTORS, SEGMENTS = "seg_id long, embedding array<float>", "seg_id long, doc_type string"
 FORWARD, FREQUENCIES, DEAD = "uid long, seg_id long, terms array<string>, tfs array<int>", "term string, df long", "seg_id long"
 POSTINGS = "term string, block long, most double, seg_ids array<long>, weights array<double>"
-#: Blocks that are scored first, for the score to beat; what rounding may add to a score.
-FIRST_BLOCKS, MARGIN = 2, 2 * 10.0**-retrieval.DIGITS
+#: Segments of a block; blocks that are scored first, for the score to beat; what rounding may add to a score.
+BLOCK_ROWS, FIRST_BLOCKS, MARGIN = 256, 2, 2 * 10.0**-retrieval.DIGITS
 
 
 @dataclass(frozen=True)
@@ -114,17 +115,17 @@ class RetrievalIndex:
         path = f"{self.snapshots.at(part['name'])}/{what}"
         return path if path_exists(self.spark, path) else None
 
-    def _live(self, what: str, schema: str, parts: list[dict], marked: bool = False) -> DataFrame:
+    def _live(self, what: str, schema: str, parts: list[dict]) -> DataFrame:
         """Rows of all parts but those of segments that a later part replaced or removed."""
-        out = self.spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+        out = self.spark.createDataFrame([], schema)
         for k, part in enumerate(parts):
             if path := self._files(part, what):
-                rows = self.spark.read.schema(schema).parquet(path).withColumn("part", F.lit(k))
+                rows = self.spark.read.schema(schema).parquet(path)
                 later = [self.spark.read.schema(DEAD).parquet(p) for later in parts[k + 1 :] if later["dead"] and (p := self._files(later, "dead"))]
                 for dead in later:
                     rows = rows.join(dead, "seg_id", "left_anti")
                 out = out.unionByName(rows)
-        return out if marked else out.drop("part")
+        return out
 
     def config(self) -> IndexConfig:
         if self.version < 0 or not self.state:
@@ -152,15 +153,10 @@ class RetrievalIndex:
         to = f"{self.snapshots.at('derived-' + str(self.version))}"
         if not path_exists(self.spark, f"{to}/READY"):
             self.vocabulary().write.mode("overwrite").parquet(f"{to}/vocabulary")
-            forward = self._live("forward", FORWARD, self.parts, marked=True)
-            # Parts number their rows each on their own; blocks of two parts must differ.
-            numbered = forward.withColumn("uid", F.col("uid").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 52))).drop("part")
-            weights = retrieval.segment_weights(numbered, self.spark.read.parquet(f"{to}/vocabulary"))
-            rows = weights.select((F.shiftright("uid", 8)).alias("block"), "seg_id", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
-            posted = rows.groupBy(F.col("x.terms").alias("term"), "block").agg(F.max("x.weights").alias("most"), F.collect_list(F.struct("seg_id", F.col("x.weights").alias("w"))).alias("xs"))
-            posted = posted.select("term", "block", "most", F.col("xs.seg_id").alias("seg_ids"), F.col("xs.w").alias("weights"))
-            # In ranges of both: a frequent term's blocks lie in several files.
-            posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{to}/postings")
+            forward = self._live("forward", FORWARD, self.parts)
+            buckets, min_df = retrieval.buckets_for(forward), self.config().min_df
+            chunks = kept(retrieval.coded_terms(forward, buckets))
+            retrieval.postings(chunks, retrieval.frequencies(chunks, min_df=min_df), self.size(), BLOCK_ROWS, min_df).write.mode("overwrite").parquet(f"{to}/postings")
             write_small(self.spark, f"{to}/READY", "")
         return to
 
@@ -168,12 +164,15 @@ class RetrievalIndex:
         counts = retrieval.question_terms(questions, self.config().ngram_max)
         return kept(retrieval.weigh(counts, self.spark.read.parquet(f"{folder}/vocabulary"), "query_id"))
 
-    def _scored(self, pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-        """The scores of all segments of pairs(query_id, block)."""
-        wanted = pairs.join(asked.withColumnRenamed("w", "asked_w"), "query_id")
-        rows = wanted.join(postings, ["term", "block"]).select("query_id", "asked_w", F.explode(F.arrays_zip("seg_ids", "weights")).alias("x"))
-        rows = rows.groupBy("query_id", F.col("x.seg_ids").alias("seg_id")).agg(F.round(F.sum(F.col("asked_w") * F.col("x.weights")), retrieval.DIGITS).alias("score"))
-        return rows.where(F.col("score") > 0)
+    def _scored(self, pairs: DataFrame, asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+        """The scores of the segments of pairs(query_id, block), the k best of each question at least. What the asked terms have
+        in a block meets the block's questions in one task."""
+        blocks = kept(pairs.groupBy("block").agg(F.collect_list("query_id").alias("queries")))
+        needed = narrowed(postings, blocks, "block")
+        rows = needed.select("block", "term", "seg_ids", "weights", F.lit(None).cast("array<long>").alias("queries"))
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name in ("term", "seg_ids", "weights")]
+        rows = rows.unionByName(blocks.select("block", *nothing, "queries"))
+        return retrieval.score_blocks(rows.repartition("block").sortWithinPartitions("block"), asked, k)
 
     def sparse_topk(self, questions: DataFrame, k: int = 20) -> DataFrame:
         return self._pruned(questions, k)[0]
@@ -187,15 +186,16 @@ class RetrievalIndex:
         folder = self.prepare()
         asked = self._asked(questions, folder)
         postings = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        postings = narrowed(postings, kept(asked.select("term").distinct()), "term")
         # What each block can reach: from terms, blocks and greatest weights alone.
         ahead = postings.select("term", "block", "most").join(asked, "term")
         bounds = kept(ahead.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound")))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
         first = bounds.withColumn("place", place).where(F.col("place") <= FIRST_BLOCKS).select("query_id", "block")
-        begun = retrieval.top_k(self._scored(first, asked, postings), k)
+        begun = retrieval.top_k(self._scored(first, asked, postings, k), k)
         to_beat = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("to_beat"))
         chosen = kept(bounds.join(to_beat, "query_id", "left").where(F.col("bound") + MARGIN >= F.coalesce("to_beat", F.lit(0.0))).select("query_id", "block"))
-        return retrieval.filled(self._scored(chosen, asked, postings), self.segments(), questions, k), bounds, chosen
+        return retrieval.filled(self._scored(chosen, asked, postings, k), self.segments(), questions, k), bounds, chosen
 
     def cells(self) -> list[VectorCells]:
         return [VectorCells(self.spark, path) for part in self.parts if (path := self._files(part, "vectors"))]
@@ -242,7 +242,7 @@ class RetrievalIndex:
         name = self.snapshots.new_folder("part")
         to = self.snapshots.at(name)
         try:
-            forward = self._live("forward", FORWARD, self.parts, marked=True)
+            forward = self._live("forward", FORWARD, self.parts)
             forward.select(F.monotonically_increasing_id().alias("uid"), "seg_id", "terms", "tfs").write.parquet(f"{to}/forward")
             self.segments().write.parquet(f"{to}/segments")
             self.frequencies().write.parquet(f"{to}/frequencies")

@@ -1,8 +1,9 @@
 """Batch retrieval: TF-IDF weights, dense scores, fusion, boost, gate and tiered search.
 
-The corpus is tokenised once: a segment's terms and their frequencies are one row, counted within it. Of the terms, those of
-so many segments that a task couldn't have them as one key are at most HEAVY by arithmetic and are looked up by
-broadcast; the others are joined. A batch of questions shares one scan of the segments' weights: questions go out in blocks
+The corpus is tokenised once, in chunks of neighbouring segments: a chunk has a dictionary of its terms, with the number
+of its segments that have each, and its segments as places in that dictionary. The dictionaries alone meet to sum document
+frequencies; a chunk gets back those of its own terms and makes norms and weights from them. So a term costs a row for each
+chunk, not for each segment, and a chunk is of bounded size. A batch of questions shares one scan of the segments' weights: questions go out in blocks
 of bounded size, each task scores its segments against them and keeps what can be among the k best of a question, so
 nothing that grows with the product of both sides is shuffled. Scores are rounded before they rank, so that ties don't depend
 on the order of addition.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import batched, pairwise
 
 import numpy as np
@@ -61,27 +63,210 @@ def _terms(text: str, ngram_max: int) -> Counter[str]:
     return Counter(words if ngram_max == 1 else [*words, *map(" ".join, pairwise(words))])
 
 
+def _counted(words: pa.Array, sizes: np.ndarray, ngram_max: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of neighbouring texts, sizes[i] of the i-th one -> (terms, row, place, tf): the distinct terms, and by text and
+    place of the term how often it is there; tokens() of each text, counted."""
+    known = words.dictionary_encode()
+    terms, place = known.dictionary, known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    if ngram_max > 1:
+        first = np.flatnonzero(row[1:] == row[:-1])
+        pairs, number = np.unique(place[first] * len(terms) + place[first + 1], return_inverse=True)
+        two = pc.binary_join_element_wise(terms.take(pa.array(pairs // max(1, len(terms)))), terms.take(pa.array(pairs % max(1, len(terms)))), " ")
+        place, row = np.concatenate([place, number + len(terms)]), np.concatenate([row, row[first]])
+        terms = pa.concat_arrays([terms, two])
+    key, tf = np.unique(row * max(1, len(terms)) + place, return_counts=True)
+    return terms, key // max(1, len(terms)), key % max(1, len(terms)), tf.astype(np.int32)
+
+
+#: A chunk takes so many words or terms, and the rest of the text that reaches them; so many texts are taken apart at a time.
+CHUNK, SOME_TEXTS = 1 << 19, 64
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Rows (key, text) -> (keys, words, words of each text) of neighbouring rows, up to most words and no more rows than that."""
+    keys: list[pa.Array] = []
+    words: list[pa.Array] = []
+    sizes: list[int] = []
+    n = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME_TEXTS):
+            part = batch.slice(at, SOME_TEXTS)
+            found = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
+            keys.append(part.column(0))
+            words.append(pa.array([w for ws in found for w in ws], pa.string()))
+            sizes += map(len, found)
+            n += len(words[-1])
+            if max(n, len(sizes)) >= most:
+                yield pa.concat_arrays(keys), pa.concat_arrays(words), np.array(sizes, np.int64)
+                keys, words, sizes, n = [], [], [], 0
+    if sizes:
+        yield pa.concat_arrays(keys), pa.concat_arrays(words), np.array(sizes, np.int64)
+
+
+def _listed(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """values, in order of the rows that they belong to, as a list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), values)
+
+
 def segment_terms(segments: DataFrame, ngram_max: int = 1, key: str = "seg_id") -> DataFrame:
     """(uid, key, terms, tfs): a row for each segment, its terms and how often it has each; no shuffle. uid numbers the
-    rows, 256 neighbours share uid >> 8; it stays once the table is stored. Counting within a text is a small helper for
-    batches of texts, as sorted arrays and lambda functions take several times as long."""
+    rows; it stays once the table is stored. Counting is a small helper for batches of texts, as sorted arrays and lambda
+    functions take several times as long."""
     names = ["uid", key, "terms", "tfs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                counted = [_terms(t or "", ngram_max) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, counted)])
-                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([t for c in counted for t in c], pa.string()))
-                tfs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([n for c in counted for n in c.values()], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + part.num_rows), pa.int64()), part.column(0), terms, tfs], names=names)
-                uid += part.num_rows
+        for keys, words, sizes in _chunks(batches, CHUNK // 4):
+            terms, row, place, tf = _counted(words, sizes, ngram_max)
+            columns = [pa.array(np.arange(uid, uid + len(keys)), pa.int64()), keys, _listed(row, len(keys), terms.take(pa.array(place))), _listed(row, len(keys), pa.array(tf))]
+            made = pa.RecordBatch.from_arrays(columns, names=names)
+            uid += len(keys)
+            yield from (made.slice(at, SLICE_ROWS) for at in range(0, len(keys), SLICE_ROWS))
 
     return segments.select(key, "text").mapInArrow(run, f"uid long, {key} {dict(segments.dtypes)[key]}, terms array<string>, tfs array<int>")
 
 
+def _dealt(terms: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each term, by a hash of its bytes. Terms are never empty."""
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(terms), 1 << 16):
+        part = pa.concat_arrays([terms.slice(at, 1 << 16)])
+        offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        power = np.cumprod(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+        h = np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(starts, sizes)], starts)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((h >> np.uint64(33)).astype(np.int64) % buckets)
+    return np.concatenate(out)
+
+
+def _coded_rows(chunk: int, keys: pa.Array, terms: pa.Array, row: np.ndarray, place: np.ndarray, tf: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows of coded()."""
+
+    def rows(n: int, **given: pa.Array) -> Iterator[pa.RecordBatch]:
+        kinds = {"uid": pa.int64(), "seg_id": keys.type, "bucket": pa.int32(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "terms": pa.list_(pa.string())}
+        made = pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(n, chunk))} | {name: given.get(name, pa.nulls(n, kind)) for name, kind in kinds.items()})
+        return (made.slice(at, SLICE_ROWS) for at in range(0, n, SLICE_ROWS))
+
+    n = len(keys)
+    yield from rows(n, uid=pa.array(np.arange(chunk << 21, (chunk << 21) + n), pa.int64()), seg_id=keys, places=_listed(row, n, pa.array(place.astype(np.int32))), tfs=_listed(row, n, pa.array(tf)))
+    if len(terms):
+        bucket = _dealt(terms, buckets)
+        order = np.argsort(bucket, kind="stable")
+        own, at = np.unique(bucket[order], return_inverse=True)
+        held = np.bincount(place, minlength=len(terms)).astype(np.int32)[order]
+        yield from rows(len(own), bucket=pa.array(own.astype(np.int32)), places=_listed(at, len(own), pa.array(order.astype(np.int32))), tfs=_listed(at, len(own), pa.array(held)), terms=_listed(at, len(own), terms.take(pa.array(order))))
+
+
+def _coded_schema(seg_id: str) -> str:
+    return f"chunk long, uid long, seg_id {seg_id}, bucket int, places array<int>, tfs array<int>, terms array<string>"
+
+
+def buckets_for(segments: DataFrame) -> int:
+    """Into how many buckets the terms of chunks are dealt: a bucket is to hold a small share of a partition's terms."""
+    return 64 * max(1, segments.rdd.getNumPartitions())
+
+
+def coded(segments: DataFrame, ngram_max: int, buckets: int) -> DataFrame:
+    """segments(seg_id, text) in chunks, no shuffle. A row for each segment: (chunk, uid, seg_id, places, tfs), the places of its
+    terms in the chunk's dictionary; and the dictionary, a row for each bucket: (chunk, bucket, places, tfs, terms), tfs being in
+    how many of the chunk's segments a term is. To be stored before it is read twice, as chunks are numbered by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 22
+        for keys, words, sizes in _chunks(batches, CHUNK):
+            yield from _coded_rows(chunk, keys, *_counted(words, sizes, ngram_max), buckets)
+            chunk += 1
+
+    return segments.select("seg_id", "text").mapInArrow(run, _coded_schema(dict(segments.dtypes)["seg_id"]))
+
+
+def coded_terms(forward: DataFrame, buckets: int) -> DataFrame:
+    """coded() of segments whose terms are counted already: forward(seg_id, terms, tfs)."""
+
+    def close(chunk: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.concat_arrays([p.column(1).flatten() for p in parts]).dictionary_encode()
+        sizes = np.concatenate([pc.list_value_length(p.column(1)).to_numpy(zero_copy_only=False) for p in parts])
+        tf = np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts])
+        yield from _coded_rows(chunk, pa.concat_arrays([p.column(0) for p in parts]), known.dictionary, np.repeat(np.arange(len(sizes)), sizes), known.indices.to_numpy(zero_copy_only=False), tf, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, n, rows = TaskContext.get().partitionId() << 22, [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME_TEXTS):
+                parts.append(batch.slice(at, SOME_TEXTS))
+                n, rows = n + len(parts[-1].column(1).flatten()), rows + parts[-1].num_rows
+                if max(n, rows) >= CHUNK:
+                    yield from close(chunk, parts)
+                    chunk, parts, n, rows = chunk + 1, [], 0, 0
+        if parts:
+            yield from close(chunk, parts)
+
+    return forward.select("seg_id", "terms", "tfs").mapInArrow(run, _coded_schema(dict(forward.dtypes)["seg_id"]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, as a table for each of its values."""
+    key = None
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = batch.column(0).to_numpy(zero_copy_only=False)
+        for start, end in pairwise([0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]):
+            if start < end:
+                if parts and first[start] != key:
+                    yield pa.Table.from_batches(parts).combine_chunks()
+                    parts = []
+                key = first[start]
+                parts.append(batch.slice(start, end - start))
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table.column(name).chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
+
+
+def frequencies(chunks: DataFrame, wanted: DataFrame | None = None, min_df: int = 1) -> DataFrame:
+    """coded() -> what is known of its terms, by bucket. Rows (chunk, places, dfs, names): the document frequencies of a chunk's
+    terms, names being null where a term isn't among those of wanted (coded() too; without it all are). Terms of fewer than
+    min_df segments, and of one alone that isn't wanted, are left out. Rows without a chunk: the wanted terms and their frequencies."""
+    rows = chunks.where("bucket IS NOT NULL").select("bucket", "chunk", "places", "tfs", "terms")
+    every = wanted is None
+    if not every:
+        rows = rows.unionByName(wanted.where("bucket IS NOT NULL").select("bucket", F.lit(None).cast("long").alias("chunk"), "places", "tfs", "terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            terms = _column(table, "terms")
+            known = terms.flatten().dictionary_encode()
+            code = known.indices.to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+            chunk = _column(table, "chunk")
+            asking = pc.is_null(chunk).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            n = np.where(asking[row], 0, _column(table, "tfs").flatten().to_numpy(zero_copy_only=False))
+            df = np.bincount(code, n, len(known.dictionary)).astype(np.int32)
+            named = np.full(len(df), every)
+            named[code[asking[row]]] = True
+            back = np.flatnonzero(~asking[row] & (df[code] >= min_df) & (named[code] | (df[code] > 1)))
+            places, given = _column(table, "places").flatten().take(pa.array(back)), code[back]
+            names = known.dictionary.take(pa.array(given, mask=~named[given]))
+            out = [chunk, *(_listed(row[back], len(sizes), x) for x in (places, pa.array(df[given]), names))]
+            made = pa.RecordBatch.from_arrays(out, names=["chunk", "places", "dfs", "names"])
+            yield made.filter(pc.and_(pc.is_valid(chunk), pc.greater(pc.list_value_length(out[1]), 0)))
+            own = np.flatnonzero(named & (df >= max(1, min_df)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([df[own]], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), known.dictionary.take(pa.array(own)))], names=["chunk", "places", "dfs", "names"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, places array<int>, dfs array<int>, names array<string>")
+
+
+def known_terms(found: DataFrame) -> DataFrame:
+    """frequencies() -> (term, df) of the wanted terms."""
+    return found.where("chunk IS NULL").select(F.explode(F.arrays_zip("names", "dfs")).alias("x")).select(F.col("x.names").alias("term"), F.col("x.dfs").cast("long").alias("df"))
+
+
 def with_idf(df: DataFrame, n: int, min_df: int = 1) -> DataFrame:
     """(term, df) of n segments -> (term, df, idf)."""
     return df.where(F.col("df") >= min_df).select("term", "df", (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -132,17 +317,87 @@ def question_terms(questions: DataFrame, ngram_max: int = 1) -> DataFrame:
     return rows.groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
 
 
-def segment_weights(forward: DataFrame, vocab: DataFrame, asked: DataFrame | None = None, total: int | None = None) -> DataFrame:
-    """(uid, seg_id, terms, weights) of the segments: tf times idf over the norm of all terms, given for the asked(term) ones alone
-    where they are named. The norm and the weights leave one aggregation over uid."""
-    more = ("asked",) if asked is not None else ()
-    if asked is not None:
-        vocab = vocab.join(asked.select("term", F.lit(True).alias("asked")), "term", "left")
-    raw = weighed(unfolded(forward), vocab, ("uid", "seg_id"), more, total)
-    entry = F.struct("term", "raw")
-    entry = F.when(F.col("asked"), entry) if more else entry
-    made = raw.groupBy("uid", "seg_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(entry).alias("xs")).where(F.size("xs") > 0)
-    return made.select("uid", "seg_id", F.col("xs.term").alias("terms"), F.transform("xs", lambda x: x["raw"] / F.col("norm")).alias("weights"))
+@dataclass
+class _Chunk:
+    """A chunk's segments and what came back of its terms: places, document frequencies and, of those that are wanted, names."""
+
+    uids: np.ndarray
+    seg_ids: pa.Array
+    row: np.ndarray
+    place: np.ndarray
+    tf: np.ndarray
+    entry: np.ndarray
+    df: np.ndarray
+    names: pa.Array
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Chunk:
+        """Rows of _by_chunk(), the terms' first."""
+        n = table.column("uid").null_count
+        flat = lambda rows, name: _column(rows, name).flatten()
+        head, own = table.slice(0, n), table.slice(n)
+        sizes = pc.list_value_length(_column(own, "places")).to_numpy(zero_copy_only=False)
+        numbers = [flat(*x).to_numpy(zero_copy_only=False) for x in ((own, "places"), (own, "tfs"), (head, "places"), (head, "tfs"))]
+        return cls(_column(own, "uid").to_numpy(zero_copy_only=False), _column(own, "seg_id"), np.repeat(np.arange(len(sizes)), sizes), *numbers, flat(head, "terms"))
+
+    def weights(self, n: int, df: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, weight) of the wanted terms: tf times idf over the norm of all terms. df: the frequency of the terms that
+        didn't come back; None: they don't count."""
+        size = 1 + max(self.place.max(initial=0), self.entry.max(initial=0))
+        idf = np.full(size, 0.0 if df is None else np.log((n + 1) / (df + 1)) + 1)
+        idf[self.entry] = np.log((n + 1) / (self.df + 1)) + 1
+        raw = self.tf * idf[self.place]
+        norm = np.sqrt(np.bincount(self.row, raw * raw, len(self.uids)))
+        number = np.full(size, -1)
+        wanted = np.flatnonzero(pc.is_valid(self.names).to_numpy(zero_copy_only=False))
+        number[self.entry[wanted]] = wanted
+        at = np.flatnonzero(number[self.place] >= 0)
+        return self.row[at], number[self.place[at]], raw[at] / norm[self.row[at]]
+
+
+def _by_chunk(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """coded() and frequencies() side by side, each chunk in one task, its terms first."""
+    own = chunks.where("uid IS NOT NULL").select("chunk", "uid", "seg_id", "places", "tfs", F.lit(None).cast("array<string>").alias("terms"))
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in chunks.dtypes if name in ("uid", "seg_id")]
+    rows = own.unionByName(found.where("chunk IS NOT NULL").select("chunk", *empty, "places", F.col("dfs").alias("tfs"), F.col("names").alias("terms")))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "uid")
+
+
+def segment_weights(chunks: DataFrame, found: DataFrame, n: int, min_df: int = 1) -> DataFrame:
+    """(uid, seg_id, terms, weights) of n segments: tf times idf over the norm of all terms, given for the wanted ones. chunks is
+    coded(), stored; found its frequencies()."""
+    df = 1 if min_df <= 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in map(_Chunk.of, _runs(batches)):
+            row, entry, weight = chunk.weights(n, df)
+            rows = len(chunk.uids)
+            made = pa.RecordBatch.from_arrays([pa.array(chunk.uids, pa.int64()), chunk.seg_ids, _listed(row, rows, chunk.names.take(pa.array(entry))), _listed(row, rows, pa.array(weight))], names=["uid", "seg_id", "terms", "weights"])
+            made = made.filter(pc.greater(pc.list_value_length(made.column(2)), 0))
+            yield from (made.slice(at, SLICE_ROWS) for at in range(0, made.num_rows, SLICE_ROWS))
+
+    return _by_chunk(chunks, found).mapInArrow(run, f"uid long, seg_id {dict(chunks.dtypes)['seg_id']}, terms array<string>, weights array<double>")
+
+
+def postings(chunks: DataFrame, found: DataFrame, n: int, block_rows: int, min_df: int = 1) -> DataFrame:
+    """The same weights by term: (term, block, most, seg_ids, weights), a row for each term and block of so many neighbouring segments
+    with the greatest weight in it."""
+    df = 1 if min_df <= 1 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in map(_Chunk.of, _runs(batches)):
+            row, entry, weight = chunk.weights(n, df)
+            cuts = np.searchsorted(row, np.arange(0, len(chunk.uids) + block_rows, block_rows))
+            for number, (start, end) in enumerate(pairwise(cuts.tolist())):
+                if start < end:
+                    order = start + np.argsort(entry[start:end], kind="stable")
+                    terms, first = np.unique(entry[order], return_index=True)
+                    ends = pa.array(np.append(first, len(order)), pa.int32())
+                    block = np.full(len(terms), (int(chunk.uids[0]) + number * block_rows) // block_rows)
+                    columns = [chunk.names.take(pa.array(terms)), pa.array(block, pa.int64()), pa.array(np.maximum.reduceat(weight[order], first)), pa.ListArray.from_arrays(ends, chunk.seg_ids.take(pa.array(row[order])).cast(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(weight[order]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "most", "seg_ids", "weights"])
+
+    return _by_chunk(chunks, found).mapInArrow(run, "term string, block long, most double, seg_ids array<long>, weights array<double>")
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", seg: str = "seg_id", score: str = "score") -> DataFrame:
@@ -195,16 +450,21 @@ class _Block:
         self.question = np.array([j for x in by_term for j, _ in x], np.int64)
         self.weight = np.array([w for x in by_term for _, w in x])
 
-    def hits(self, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        terms, ws = part.column(1), part.column(2)
-        found = pc.index_in(terms.flatten(), self.known)
-        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-        hit = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
-        term, row, w = found.to_numpy(zero_copy_only=False)[hit].astype(np.int64), row[hit], ws.flatten().to_numpy(zero_copy_only=False)[hit]
+    def scores(self, found: pa.Array, sizes: np.ndarray, row: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+        """Scores (rows by questions): found[i] is the number of a term, null if no one asks for it, and holds for the next sizes[i]
+        of (row, w)."""
+        known = np.repeat(pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        hit = np.flatnonzero(known >= 0)
+        term, row, w = known[hit], row[hit], w[hit]
         times = self.size[term]
         place = np.repeat(self.first[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         cell = np.repeat(row, times) * len(self.ids) + self.question[place]
-        scores = np.bincount(cell, np.repeat(w, times) * self.weight[place], part.num_rows * len(self.ids)).reshape(part.num_rows, len(self.ids))
+        return np.bincount(cell, np.repeat(w, times) * self.weight[place], rows * len(self.ids)).reshape(rows, len(self.ids))
+
+    def hits(self, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        terms, ws = part.column(1), part.column(2).flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        scores = self.scores(pc.index_in(terms.flatten(), self.known), np.ones(len(ws), np.int64), row, ws, part.num_rows)
         return _hits(self.ids, part.column(0).to_numpy(zero_copy_only=False), scores, k, True)
 
 
@@ -221,6 +481,41 @@ def _scorer(sent, k: int):
     return run
 
 
+def _block_scorer(sent, k: int):
+    """Rows (block, term, seg_ids, weights, queries) sorted by block, of which one a block names its questions -> hits of these. A task
+    gives those that are among the k best of its question so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_Block(b) for b in sent.value]
+        tops = [np.zeros((k, len(b.ids))) for b in blocks]
+        for table in _runs(batches):
+            queries = _column(table, "queries").flatten().to_numpy(zero_copy_only=False)
+            lists = _column(table, "seg_ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            segs, row = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            terms, weights = _column(table, "term"), _column(table, "weights").flatten().to_numpy(zero_copy_only=False)
+            for block, top in zip(blocks, tops, strict=True):
+                asking = np.flatnonzero(np.isin(block.ids, queries))
+                if not len(asking) or not len(segs):
+                    continue
+                scores = block.scores(pc.index_in(terms, block.known), sizes, row, weights, len(segs))[:, asking]
+                rounded = np.round(scores, DIGITS) + 0.0
+                top[:, asking] = np.partition(np.concatenate([top[:, asking], rounded]), len(rounded), axis=0)[len(rounded) :]
+                seg, query = np.nonzero((rounded >= top[:, asking].min(axis=0)) & (rounded > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids[asking[query]], pa.int64()), pa.array(segs[seg], pa.int64()), pa.array(rounded[seg, query])], names=["query_id", "seg_id", "score"])
+
+    return run
+
+
+def score_blocks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Hits of the questions asked(query_id, term, w) among rows(block, term, seg_ids, weights, queries), sorted by block."""
+    spark = rows.sparkSession
+    hits = spark.createDataFrame([], _HITS)
+    for shared in batched(_question_blocks(asked), SHARED_BLOCKS):
+        hits = hits.unionByName(rows.mapInArrow(_block_scorer(spark.sparkContext.broadcast(list(shared)), k), _HITS))
+    return hits
+
+
 def filled(hits: DataFrame, segments: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """The k best of hits(query_id, seg_id, score). A question with fewer hits is filled up with segments of score 0, the
     lowest ids first."""
@@ -242,12 +537,15 @@ def score_sparse(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 def sparse_topk(segments: DataFrame, questions: DataFrame, k: int = 20, ngram_max: int = 1, min_df: int = 1) -> DataFrame:
     """segments(seg_id, text), questions(query_id, text) -> (query_id, seg_id, score, rank)."""
-    forward = kept(segment_terms(spread(segments.select("seg_id", "text")), ngram_max))
-    n, total = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = kept(with_idf(df, n, min_df))
+    corpus = spread(segments.select("seg_id", "text"))
+    buckets = buckets_for(corpus)
+    chunks = kept(coded(corpus, ngram_max, buckets))
+    n, total = chunks.agg(F.count("uid"), F.coalesce(F.sum(F.when(F.col("uid").isNotNull(), F.size("places"))), F.lit(0))).first()
     counts = kept(question_terms(questions, ngram_max))
-    rows = segment_weights(forward, vocab, counts.select("term").distinct(), total).select("seg_id", "terms", "weights")
+    asked = coded(questions.select(F.col("query_id").alias("seg_id"), "text"), ngram_max, buckets)
+    found = kept(frequencies(chunks, asked, min_df))
+    vocab = kept(with_idf(known_terms(found), n, min_df))
+    rows = segment_weights(chunks, found, n, min_df).select("seg_id", "terms", "weights")
     return filled(score_sparse(rows, weigh(counts, vocab, "query_id", total), k), segments, questions, k)
 
 

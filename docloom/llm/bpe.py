@@ -5,8 +5,8 @@ are a suffix of it come from an automaton of the vocabulary's prefixes with link
 byte; along the links lie the tokens that end there). Such a token is the last one if it starts the word or if the last token of the
 prefix before it and the token itself stay two tokens when their bytes are merged by rank. That pair test
 undoes merges on both sides of the border and looks for a merge across it that would have come first.
-Back-pointers from the whole word give the ids. Words (the pre-tokenizer's pieces) are remembered per
-worker, up to a bound on their number, as the same bytes have the same ids.
+Back-pointers from the whole word give the ids. Words (the pre-tokenizer's pieces) are remembered until
+the task ends, up to a bound on their number, as the same bytes have the same ids.
 
 Cases: a null text is empty; it has no tokens and decodes to the empty text. Texts of any length are
 encoded whole; a piece of any length takes time in proportion to it. Rows stand for themselves, so repeated
@@ -28,11 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import KEPT, read_table, slices
+from .common import KEPT, give_back, read_table, slices
 
 #: The pre-tokenizer's pattern, a fixed value of byte-level vocabularies; white space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words remembered per worker (three times as many at most, twice as many pairs and steps), and the longest of them in
+#: Words remembered in a task (three times as many at most, twice as many pairs and steps), and the longest of them in
 #: characters.
 REMEMBERED, LONGEST = 1 << 17, 64
 
@@ -213,6 +213,10 @@ class Codec:
             out += [self.words.get(word) or self._packed(word) for word in self.pieces.findall(part)]
         return b"".join(out)
 
+    def forget_words(self) -> None:
+        """A worker waits between tasks, and there are more workers than cores: what waits holds the vocabulary alone."""
+        self.words, self.older, self.once = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
@@ -228,6 +232,20 @@ def codec(vocabulary_text: str) -> Codec:
 KEPT["bpe"] = codec.cache_clear
 
 
+def _rows(own: Codec, batches: Iterator[pa.RecordBatch], kept: list[str], schema: pa.Schema, row, text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with their new columns; words are remembered until the task ends."""
+    try:
+        for batch in slices(batches, "bpe"):
+            rows = [row(own, t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], names=kept + schema.names
+            )
+    finally:
+        own.forget_words()
+        give_back()
+
+
 def _mapped(docs: DataFrame, vocabulary: str, schema: pa.Schema, ddl: str, row, text: str) -> DataFrame:
     """Rows of docs through row(codec, text) -> tuple of the new columns, batch by batch. The vocabulary file
     (1.5 MB, a fixed size) is read on the driver and goes out as a broadcast."""
@@ -236,13 +254,7 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: pa.Schema, ddl: str, row,
     kept = [c for c in docs.columns if c not in schema.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(sent.value)
-        for batch in slices(batches, "bpe"):
-            rows = [row(own, t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], names=kept + schema.names
-            )
+        yield from _rows(codec(sent.value), batches, kept, schema, row, text)
 
     types = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), ddl]))

@@ -70,6 +70,14 @@ def test_bpe_caches_stay_bounded(codec, monkeypatch):
         assert max(map(len, own.words | own.once)) <= bpe.LONGEST
 
 
+def test_bpe_words_go_with_the_task(codec):
+    schema = pa.schema([("token_ids", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_pydict({"text": ["some words and some words more"] * 3})
+    rows = bpe._rows(codec, iter([batch]), [], schema, lambda c, t: (c.encode(t),), "text")
+    assert next(rows).num_rows == 3 and codec.words
+    assert list(rows) == [] and not codec.words and not codec.older and not codec.once
+
+
 def test_bpe_refuses_other_kinds_of_vocabularies(codec):
     byte = {c: i for i, c in enumerate(bpe.byte_characters())}
     model = {"vocab": byte | {"ab": 256, "abc": 257, "bc": 258}, "merges": ["a b", "b c", "ab c"]}

@@ -354,6 +354,24 @@ def test_pairs_that_share_only_a_hot_piece_meet(spark):
         assert roots == {d: 1 if d == 2 else d for d, _ in docs}
 
 
+def test_pairs_within_the_radius_that_share_no_piece_meet(spark):
+    rng = random.Random(12)
+    while True:
+        words = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        cuts = [0, *(k + 1 for k, w in enumerate(words) if decontaminate.word_hash(w.encode()) % near_duplicates.CUT == 0)]
+        spans = {xxhash.xxh64_intdigest(" ".join(words[a:b]).encode(), simhash.SEED): a for a, b in zip(cuts, cuts[1:], strict=False)}
+        copy = list(words)
+        for piece in near_duplicates.outline(" ".join(words))[2]:  # an edit in each piece that the text is dealt by
+            copy[spans.get(piece, cuts[-1])] = f"edit{rng.randrange(9000)}"
+        one, two = " ".join(words), " ".join(copy)
+        (_, a, p, *_), (_, b, q, *_) = near_duplicates.outline(one), near_duplicates.outline(two)
+        if not set(p) & set(q) and (a ^ b).bit_count() <= simhash.RADIUS and five_word_similarity(one, two) >= 0.8:
+            break
+    df = spark.createDataFrame([(1, one), (2, two), (3, " ".join(f"x{rng.randrange(9000)}" for _ in range(1500)))], "doc_id long, text string")
+    for hot in (1, 4096):
+        assert {r.doc: r.root.doc for r in near_duplicates.near_duplicate_groups(df, hot=hot).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_share_of_similar_windows_within_the_radius():
     rng = random.Random(14)
     near = total = 0

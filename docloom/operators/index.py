@@ -7,7 +7,8 @@ parts before), frequencies of the whole are sums over the parts, and results are
 
 Weights depend on the whole through idf and norms. They are made from the parts' terms, not from texts, once for each
 version that is asked: postings in blocks of 256 neighbouring segments, a row for each term and block with the greatest weight in
-it, made where a chunk of segments is weighed, so without a shuffle of their own.
+it, made where a chunk of segments is weighed, so without a shuffle of their own. A posting holds small whole numbers, the places of
+segments in their block and how often they have the term; norms are stored once for a block, and weights made where they score.
 A batch of questions is answered in passes. What a block can reach at most for a question is a sum of those greatest weights; the
 blocks that can reach most give the k-th score to beat; blocks that can't reach it are never scored. All questions share each
 scan.
@@ -28,7 +29,8 @@ from docloom.sources.snapshots import Snapshots
 
 VECTORS, SEGMENTS = "seg_id long, embedding array<float>", "seg_id long, doc_type string"
 FORWARD, FREQUENCIES, DEAD = "uid long, seg_id long, terms array<string>, tfs array<int>", "term string, df long", "seg_id long"
-POSTINGS = "term string, block long, most double, seg_ids array<long>, weights array<double>"
+#: What is stored of terms takes about a third less space with it.
+CODEC = "zstd"
 #: Segments of a block; blocks that are scored first, for the score to beat; what rounding may add to a score.
 BLOCK_ROWS, FIRST_BLOCKS, MARGIN = 256, 2, 2 * 10.0**-retrieval.DIGITS
 
@@ -89,7 +91,7 @@ class RetrievalIndex:
             frequencies = self.spark.createDataFrame([], FREQUENCIES)
             gone = removed.select(F.col("seg_id").cast("long")) if removed is not None else segments.select(F.col("seg_id").cast("long"))
             if segments is not None:
-                retrieval.segment_terms(retrieval.spread(segments.select("seg_id", "text"), "seg_id"), config.ngram_max).write.parquet(f"{to}/forward")
+                retrieval.segment_terms(retrieval.spread(segments.select("seg_id", "text"), "seg_id"), config.ngram_max).write.parquet(f"{to}/forward", compression=CODEC)
                 forward = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
                 n = forward.count()
                 frequencies = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -155,8 +157,8 @@ class RetrievalIndex:
             self.vocabulary().write.mode("overwrite").parquet(f"{to}/vocabulary")
             forward = self._live("forward", FORWARD, self.parts)
             buckets, min_df = retrieval.buckets_for(forward), self.config().min_df
-            chunks = kept(retrieval.coded_terms(forward, buckets))
-            retrieval.postings(chunks, retrieval.frequencies(chunks, min_df=min_df), self.size(), BLOCK_ROWS, min_df).write.mode("overwrite").parquet(f"{to}/postings")
+            chunks = kept(retrieval.coded_terms(forward, buckets), CODEC)
+            retrieval.postings(chunks, retrieval.frequencies(chunks, min_df=min_df), self.size(), BLOCK_ROWS, min_df).write.mode("overwrite").parquet(f"{to}/postings", compression=CODEC)
             write_small(self.spark, f"{to}/READY", "")
         return to
 
@@ -164,15 +166,13 @@ class RetrievalIndex:
         counts = retrieval.question_terms(questions, self.config().ngram_max)
         return kept(retrieval.weigh(counts, self.spark.read.parquet(f"{folder}/vocabulary"), "query_id"))
 
-    def _scored(self, pairs: DataFrame, asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    def _scored(self, pairs: DataFrame, asked: DataFrame, postings: DataFrame, wholes: DataFrame, k: int) -> DataFrame:
         """The scores of the segments of pairs(query_id, block), the k best of each question at least. What the asked terms have
-        in a block meets the block's questions in one task."""
+        in a block meets the block's segments and questions in one task."""
         blocks = kept(pairs.groupBy("block").agg(F.collect_list("query_id").alias("queries")))
-        needed = narrowed(postings, blocks, "block")
-        rows = needed.select("block", "term", "seg_ids", "weights", F.lit(None).cast("array<long>").alias("queries"))
-        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name in ("term", "seg_ids", "weights")]
-        rows = rows.unionByName(blocks.select("block", *nothing, "queries"))
-        return retrieval.score_blocks(rows.repartition("block").sortWithinPartitions("block"), asked, k)
+        needed = narrowed(postings.unionByName(wholes), blocks, "block").select("block", "term", "df", "seg_ids", "tfs", "segs", "norms")
+        rows = needed.unionByName(blocks, allowMissingColumns=True)
+        return retrieval.score_blocks(rows.repartition("block").sortWithinPartitions("block"), asked, k, self.size())
 
     def sparse_topk(self, questions: DataFrame, k: int = 20) -> DataFrame:
         return self._pruned(questions, k)[0]
@@ -185,17 +185,18 @@ class RetrievalIndex:
     def _pruned(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         folder = self.prepare()
         asked = self._asked(questions, folder)
-        postings = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        postings = self.spark.read.schema(retrieval.POSTINGS).parquet(f"{folder}/postings")
+        wholes = postings.where("segs IS NOT NULL").select("block", "segs", "norms", *[F.lit(None).cast(kind).alias(name) for name, kind in postings.dtypes if name not in ("block", "segs", "norms")])
         postings = narrowed(postings, kept(asked.select("term").distinct()), "term")
         # What each block can reach: from terms, blocks and greatest weights alone.
         ahead = postings.select("term", "block", "most").join(asked, "term")
         bounds = kept(ahead.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound")))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))
         first = bounds.withColumn("place", place).where(F.col("place") <= FIRST_BLOCKS).select("query_id", "block")
-        begun = retrieval.top_k(self._scored(first, asked, postings, k), k)
+        begun = retrieval.top_k(self._scored(first, asked, postings, wholes, k), k)
         to_beat = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("to_beat"))
         chosen = kept(bounds.join(to_beat, "query_id", "left").where(F.col("bound") + MARGIN >= F.coalesce("to_beat", F.lit(0.0))).select("query_id", "block"))
-        return retrieval.filled(self._scored(chosen, asked, postings, k), self.segments(), questions, k), bounds, chosen
+        return retrieval.filled(self._scored(chosen, asked, postings, wholes, k), self.segments(), questions, k), bounds, chosen
 
     def cells(self) -> list[VectorCells]:
         return [VectorCells(self.spark, path) for part in self.parts if (path := self._files(part, "vectors"))]
@@ -243,7 +244,7 @@ class RetrievalIndex:
         to = self.snapshots.at(name)
         try:
             forward = self._live("forward", FORWARD, self.parts)
-            forward.select(F.monotonically_increasing_id().alias("uid"), "seg_id", "terms", "tfs").write.parquet(f"{to}/forward")
+            forward.select(F.monotonically_increasing_id().alias("uid"), "seg_id", "terms", "tfs").write.parquet(f"{to}/forward", compression=CODEC)
             self.segments().write.parquet(f"{to}/segments")
             self.frequencies().write.parquet(f"{to}/frequencies")
             if self.cells():

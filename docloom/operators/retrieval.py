@@ -143,7 +143,7 @@ def _dealt(terms: pa.Array, buckets: int) -> np.ndarray:
 
 
 def _coded_rows(chunk: int, keys: pa.Array, terms: pa.Array, row: np.ndarray, place: np.ndarray, tf: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A chunk as rows of coded()."""
+    """A chunk as rows of coded(). row and place are in order."""
 
     def rows(n: int, **given: pa.Array) -> Iterator[pa.RecordBatch]:
         kinds = {"uid": pa.int64(), "seg_id": keys.type, "bucket": pa.int32(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "terms": pa.list_(pa.string())}
@@ -151,7 +151,8 @@ def _coded_rows(chunk: int, keys: pa.Array, terms: pa.Array, row: np.ndarray, pl
         return (made.slice(at, SLICE_ROWS) for at in range(0, n, SLICE_ROWS))
 
     n = len(keys)
-    yield from rows(n, uid=pa.array(np.arange(chunk << 21, (chunk << 21) + n), pa.int64()), seg_id=keys, places=_listed(row, n, pa.array(place.astype(np.int32))), tfs=_listed(row, n, pa.array(tf)))
+    gaps = np.where(np.diff(row, prepend=-1) > 0, place, np.diff(place, prepend=0)).astype(np.int32)
+    yield from rows(n, uid=pa.array(np.arange(chunk << 21, (chunk << 21) + n), pa.int64()), seg_id=keys, places=_listed(row, n, pa.array(gaps)), tfs=_listed(row, n, pa.array(tf)))
     if len(terms):
         bucket = _dealt(terms, buckets)
         order = np.argsort(bucket, kind="stable")
@@ -171,7 +172,7 @@ def buckets_for(segments: DataFrame) -> int:
 
 def coded(segments: DataFrame, ngram_max: int, buckets: int) -> DataFrame:
     """segments(seg_id, text) in chunks, no shuffle. A row for each segment: (chunk, uid, seg_id, places, tfs), the places of its
-    terms in the chunk's dictionary; and the dictionary, a row for each bucket: (chunk, bucket, places, tfs, terms), tfs being in
+    terms in the chunk's dictionary, each as what it is beyond the place before; and the dictionary, a row for each bucket: (chunk, bucket, places, tfs, terms), tfs being in
     how many of the chunk's segments a term is. To be stored before it is read twice, as chunks are numbered by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,9 @@ def coded_terms(forward: DataFrame, buckets: int) -> DataFrame:
         known = pa.concat_arrays([p.column(1).flatten() for p in parts]).dictionary_encode()
         sizes = np.concatenate([pc.list_value_length(p.column(1)).to_numpy(zero_copy_only=False) for p in parts])
         tf = np.concatenate([p.column(2).flatten().to_numpy(zero_copy_only=False) for p in parts])
-        yield from _coded_rows(chunk, pa.concat_arrays([p.column(0) for p in parts]), known.dictionary, np.repeat(np.arange(len(sizes)), sizes), known.indices.to_numpy(zero_copy_only=False), tf, buckets)
+        row, place = np.repeat(np.arange(len(sizes)), sizes), known.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(row * max(1, len(known.dictionary)) + place)
+        yield from _coded_rows(chunk, pa.concat_arrays([p.column(0) for p in parts]), known.dictionary, row, place[order], tf[order], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts, n, rows = TaskContext.get().partitionId() << 22, [], 0, 0
@@ -337,22 +340,24 @@ class _Chunk:
         flat = lambda rows, name: _column(rows, name).flatten()
         head, own = table.slice(0, n), table.slice(n)
         sizes = pc.list_value_length(_column(own, "places")).to_numpy(zero_copy_only=False)
-        numbers = [flat(*x).to_numpy(zero_copy_only=False) for x in ((own, "places"), (own, "tfs"), (head, "places"), (head, "tfs"))]
-        return cls(_column(own, "uid").to_numpy(zero_copy_only=False), _column(own, "seg_id"), np.repeat(np.arange(len(sizes)), sizes), *numbers, flat(head, "terms"))
-
-    def weights(self, n: int, df: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, entry, weight) of the wanted terms: tf times idf over the norm of all terms. df: the frequency of the terms that
-        didn't come back; None: they don't count."""
+        gaps, *numbers = [flat(*x).to_numpy(zero_copy_only=False) for x in ((own, "places"), (own, "tfs"), (head, "places"), (head, "tfs"))]
+        row, total = np.repeat(np.arange(len(sizes)), sizes), np.append(0, np.cumsum(gaps, dtype=np.int64))
+        place = total[1:] - total[np.cumsum(sizes) - sizes][row]
+        return cls(_column(own, "uid").to_numpy(zero_copy_only=False), _column(own, "seg_id"), row, place, *numbers, flat(head, "terms"))
+
+    def weights(self, n: int, df: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, tf, weight) of the wanted terms: tf times idf over the norm of all terms; and the norms. df: the frequency of
+        the terms that didn't come back; None: they don't count."""
         size = 1 + max(self.place.max(initial=0), self.entry.max(initial=0))
         idf = np.full(size, 0.0 if df is None else np.log((n + 1) / (df + 1)) + 1)
-        idf[self.entry] = np.log((n + 1) / (self.df + 1)) + 1
+        idf[self.entry] = _idf(n, self.df)
         raw = self.tf * idf[self.place]
         norm = np.sqrt(np.bincount(self.row, raw * raw, len(self.uids)))
         number = np.full(size, -1)
         wanted = np.flatnonzero(pc.is_valid(self.names).to_numpy(zero_copy_only=False))
         number[self.entry[wanted]] = wanted
         at = np.flatnonzero(number[self.place] >= 0)
-        return self.row[at], number[self.place[at]], raw[at] / norm[self.row[at]]
+        return self.row[at], number[self.place[at]], self.tf[at], raw[at] / norm[self.row[at]], norm
 
 
 def _by_chunk(chunks: DataFrame, found: DataFrame) -> DataFrame:
@@ -370,7 +375,7 @@ def segment_weights(chunks: DataFrame, found: DataFrame, n: int, min_df: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in map(_Chunk.of, _runs(batches)):
-            row, entry, weight = chunk.weights(n, df)
+            row, entry, _, weight, _ = chunk.weights(n, df)
             rows = len(chunk.uids)
             made = pa.RecordBatch.from_arrays([pa.array(chunk.uids, pa.int64()), chunk.seg_ids, _listed(row, rows, chunk.names.take(pa.array(entry))), _listed(row, rows, pa.array(weight))], names=["uid", "seg_id", "terms", "weights"])
             made = made.filter(pc.greater(pc.list_value_length(made.column(2)), 0))
@@ -379,25 +384,50 @@ def segment_weights(chunks: DataFrame, found: DataFrame, n: int, min_df: int = 1
     return _by_chunk(chunks, found).mapInArrow(run, f"uid long, seg_id {dict(chunks.dtypes)['seg_id']}, terms array<string>, weights array<double>")
 
 
+#: Rows of postings().
+POSTINGS = "term string, block long, df int, most double, seg_ids array<smallint>, tfs array<int>, segs array<long>, norms array<double>"
+
+
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((n + 1) / (df + 1)) + 1
+
+
+def _raised(x: np.ndarray) -> np.ndarray:
+    """x > 0 rounded up to eight binary digits, so that few different numbers are stored."""
+    part, power = np.frexp(x)
+    return np.ldexp(np.ceil(part * 256) / 256, power)
+
+
 def postings(chunks: DataFrame, found: DataFrame, n: int, block_rows: int, min_df: int = 1) -> DataFrame:
-    """The same weights by term: (term, block, most, seg_ids, weights), a row for each term and block of so many neighbouring segments
-    with the greatest weight in it."""
+    """What these weights are made of, by term. A row for each term and block of so many neighbouring segments: (term, block, df, most,
+    seg_ids, tfs), the segments that have it by their place in the block, how often they do, and a bound of the greatest weight in
+    it, hardly above it. And a row for each block, without a term: (block, segs, norms), its segments by their place."""
     df = 1 if min_df <= 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in map(_Chunk.of, _runs(batches)):
-            row, entry, weight = chunk.weights(n, df)
+            row, entry, tf, weight, norm = chunk.weights(n, df)
+            # Terms in their order lie beside similar ones, which takes less space.
+            ordered = pc.sort_indices(chunk.names).to_numpy()
+            entry = np.argsort(ordered)[entry]
             cuts = np.searchsorted(row, np.arange(0, len(chunk.uids) + block_rows, block_rows))
             for number, (start, end) in enumerate(pairwise(cuts.tolist())):
                 if start < end:
                     order = start + np.argsort(entry[start:end], kind="stable")
                     terms, first = np.unique(entry[order], return_index=True)
                     ends = pa.array(np.append(first, len(order)), pa.int32())
-                    block = np.full(len(terms), (int(chunk.uids[0]) + number * block_rows) // block_rows)
-                    columns = [chunk.names.take(pa.array(terms)), pa.array(block, pa.int64()), pa.array(np.maximum.reduceat(weight[order], first)), pa.ListArray.from_arrays(ends, chunk.seg_ids.take(pa.array(row[order])).cast(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(weight[order]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "most", "seg_ids", "weights"])
+                    block, at = (int(chunk.uids[0]) + number * block_rows) // block_rows, number * block_rows
+                    segs = chunk.seg_ids.slice(at, block_rows).cast(pa.int64())
+                    made = {
+                        "term": chunk.names.take(pa.array(ordered[terms])), "block": pa.array(np.full(len(terms), block), pa.int64()), "df": pa.array(chunk.df[ordered[terms]], pa.int32()),
+                        "most": pa.array(_raised(np.maximum.reduceat(weight[order], first))), "seg_ids": pa.ListArray.from_arrays(ends, pa.array((row[order] - at).astype(np.int16))), "tfs": pa.ListArray.from_arrays(ends, pa.array(tf[order], pa.int32())),
+                        "segs": pa.nulls(len(terms), pa.list_(pa.int64())), "norms": pa.nulls(len(terms), pa.list_(pa.float64())),
+                    }
+                    whole = {"block": [block], "seg_ids": [[]], "tfs": [[]], "segs": [segs.to_pylist()], "norms": [norm[at : at + len(segs)]]}
+                    yield pa.RecordBatch.from_pydict(made)
+                    yield pa.RecordBatch.from_pydict({name: pa.array(whole.get(name, [None]), column.type) for name, column in made.items()})
 
-    return _by_chunk(chunks, found).mapInArrow(run, "term string, block long, most double, seg_ids array<long>, weights array<double>")
+    return _by_chunk(chunks, found).mapInArrow(run, POSTINGS)
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", seg: str = "seg_id", score: str = "score") -> DataFrame:
@@ -481,9 +511,9 @@ def _scorer(sent, k: int):
     return run
 
 
-def _block_scorer(sent, k: int):
-    """Rows (block, term, seg_ids, weights, queries) sorted by block, of which one a block names its questions -> hits of these. A task
-    gives those that are among the k best of its question so far."""
+def _block_scorer(sent, k: int, n: int):
+    """Rows (block, term, df, seg_ids, tfs, segs, norms, queries) sorted by block, postings() of n segments, of which one a block names
+    its segments and one its questions -> hits of these. A task gives those that are among the k best of its question so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [_Block(b) for b in sent.value]
@@ -492,8 +522,10 @@ def _block_scorer(sent, k: int):
             queries = _column(table, "queries").flatten().to_numpy(zero_copy_only=False)
             lists = _column(table, "seg_ids")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            segs, row = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            terms, weights = _column(table, "term"), _column(table, "weights").flatten().to_numpy(zero_copy_only=False)
+            row, tf, segs, norms = (_column(table, name).flatten().to_numpy(zero_copy_only=False) for name in ("seg_ids", "tfs", "segs", "norms"))
+            row = row.astype(np.int64)
+            terms, idf = _column(table, "term"), _idf(n, pc.fill_null(_column(table, "df"), 0).to_numpy(zero_copy_only=False))
+            weights = tf * np.repeat(idf, sizes) / norms[row]
             for block, top in zip(blocks, tops, strict=True):
                 asking = np.flatnonzero(np.isin(block.ids, queries))
                 if not len(asking) or not len(segs):
@@ -507,12 +539,12 @@ def _block_scorer(sent, k: int):
     return run
 
 
-def score_blocks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Hits of the questions asked(query_id, term, w) among rows(block, term, seg_ids, weights, queries), sorted by block."""
+def score_blocks(rows: DataFrame, asked: DataFrame, k: int, n: int) -> DataFrame:
+    """Hits of the questions asked(query_id, term, w) among rows of _block_scorer(), sorted by block."""
     spark = rows.sparkSession
     hits = spark.createDataFrame([], _HITS)
     for shared in batched(_question_blocks(asked), SHARED_BLOCKS):
-        hits = hits.unionByName(rows.mapInArrow(_block_scorer(spark.sparkContext.broadcast(list(shared)), k), _HITS))
+        hits = hits.unionByName(rows.mapInArrow(_block_scorer(spark.sparkContext.broadcast(list(shared)), k, n), _HITS))
     return hits
 
 

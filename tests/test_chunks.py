@@ -91,3 +91,28 @@ def test_an_embedder_is_fitted_from_few_rows(spark):
     for text, got in zip(texts, made.embed(texts), strict=True):
         want = sum((n * made.terms[t][1] * made.directions[made.terms[t][0]] for t, n in retrieval._terms(text or "", 1).items() if t in made.terms), np.zeros(4))
         assert np.allclose(got, want / (np.linalg.norm(want) or 1))
+
+
+def test_a_posting_is_whole_numbers_and_its_weights_are_made_from_them(spark, tmp_path):
+    segments = corpus(spark)
+    built = index.RetrievalIndex(spark, str(tmp_path / "index"))
+    built.build(segments)
+    folder = built.prepare()
+    rows = spark.read.parquet(f"{folder}/postings").collect()
+    wholes = {r.block: r for r in rows if r.term is None}
+    texts = {r.seg_id: retrieval._terms(r.text or "", 1) for r in segments.collect()}
+    # A norm is stored once for a segment, not with each of its terms.
+    assert sum(len(r.norms) for r in wholes.values()) == len(texts) and sum(len(r.seg_ids) for r in rows) == sum(map(len, texts.values()))
+    idf = {r.term: r.idf for r in built.vocabulary().collect()}
+    norm = {s: math.sqrt(sum((n * idf[t]) ** 2 for t, n in ts.items())) for s, ts in texts.items()}
+    seen = 0
+    for r in rows:
+        if r.term is not None:
+            whole = wholes[r.block]
+            made = {whole.segs[p]: tf * (math.log((1 + len(texts)) / (1 + r.df)) + 1) / whole.norms[p] for p, tf in zip(r.seg_ids, r.tfs, strict=True)}
+            assert all(math.isclose(w, texts[s][r.term] * idf[r.term] / norm[s]) for s, w in made.items())
+            assert max(made.values()) <= r.most < max(made.values()) * 1.01
+            seen += len(made)
+    assert seen == sum(map(len, texts.values()))
+    size = sum(f.stat().st_size for f in (tmp_path / "index").glob("derived-*/postings/*.parquet"))
+    assert size < 8 * seen

@@ -25,8 +25,9 @@ from docloom.sources.files import kept
 from docloom.sources.snapshots import Conflict, Snapshots
 
 #: Columns of the matrix at most; directions beside those asked for; columns whose partial products make one row; rows that
-#: are multiplied at a time, over the columns they use; words that are embedded at a time.
-MOST_TERMS, SPARE, BLOCK, DENSE_ROWS, SOME_WORDS = 1 << 15, 10, 512, 256, 1 << 14
+#: are multiplied at a time, over the columns they use (few, as most columns of many rows are used by one or two of them); words
+#: that are embedded at a time.
+MOST_TERMS, SPARE, BLOCK, DENSE_ROWS, SOME_WORDS = 1 << 15, 10, 512, 16, 1 << 14
 
 
 @dataclass
@@ -70,25 +71,30 @@ class LatentEmbedder:
         return cls({r.term: (r.place, r.idf) for r in rows}, np.array([r.direction for r in rows]), np.array(value.singular), value.ngram_max)
 
 
+def _partial(batches: Iterator[pa.RecordBatch], basis: np.ndarray, gram: bool) -> np.ndarray:
+    """What the rows (places, weights) of one task add to a product."""
+    out = np.zeros((basis.shape[1],) * 2 if gram else basis.shape)
+    for batch in batches:
+        for at in range(0, batch.num_rows, DENSE_ROWS):
+            part = batch.slice(at, DENSE_ROWS)
+            size = pa.compute.list_value_length(part.column(0)).to_numpy(zero_copy_only=False)
+            used, place = np.unique(part.column(0).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            dense = np.zeros((part.num_rows, len(used)))
+            dense[np.repeat(np.arange(part.num_rows), size), place] = part.column(1).flatten().to_numpy(zero_copy_only=False)
+            along = dense @ basis[used]
+            if gram:
+                out += along.T @ along
+            else:
+                out[used] += dense.T @ along
+    return out
+
+
 def _product(rows: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
     """A'(A basis), or (A basis)'(A basis) with gram. rows(places, weights) are the sparse rows of A."""
     sent = rows.sparkSession.sparkContext.broadcast(basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = sent.value
-        out = np.zeros((basis.shape[1],) * 2 if gram else basis.shape)
-        for batch in batches:
-            for at in range(0, batch.num_rows, DENSE_ROWS):
-                part = batch.slice(at, DENSE_ROWS)
-                size = pa.compute.list_value_length(part.column(0)).to_numpy(zero_copy_only=False)
-                used, place = np.unique(part.column(0).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-                dense = np.zeros((part.num_rows, len(used)))
-                dense[np.repeat(np.arange(part.num_rows), size), place] = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                along = dense @ basis[used]
-                if gram:
-                    out += along.T @ along
-                else:
-                    out[used] += dense.T @ along
+        out = _partial(batches, sent.value, gram)
         for k in range(0, len(out), BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + BLOCK].ravel()], pa.list_(pa.float64()))], names=["block", "sums"])
 

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,20 @@ def test_a_posting_is_whole_numbers_and_its_weights_are_made_from_them(spark, tm
     assert seen == sum(map(len, texts.values()))
     size = sum(f.stat().st_size for f in (tmp_path / "index").glob("derived-*/postings/*.parquet"))
     assert size < 8 * seen
+
+
+def test_sparse_rows_are_multiplied_without_a_wide_dense_matrix():
+    rng = np.random.default_rng(2)
+    n, columns, each = 512, 20_000, 100
+    places = [np.sort(rng.choice(columns, each, replace=False)).astype(np.int32) for _ in range(n)]
+    weights = rng.random((n, each))
+    matrix = np.zeros((n, columns))
+    np.put_along_axis(matrix, np.array(places, np.int64), weights, 1)
+    basis = rng.normal(size=(columns, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(list(weights), pa.list_(pa.float64()))], names=["places", "weights"])
+    for gram, want in ((False, matrix.T @ (matrix @ basis)), (True, (matrix @ basis).T @ (matrix @ basis))):
+        tracemalloc.start()
+        got = embedding._partial(iter([batch]), basis, gram)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(got, want) and peak < 4e6

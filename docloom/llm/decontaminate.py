@@ -39,7 +39,11 @@ from .common import read_table, slices
 from .simhash import SEED
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, FLIPS = 5, 0.8, 20, 7, 2
+#: Words whose hashes are made in one go, and the longest that are taken byte by byte.
+LINE_WORDS, LONGEST = 4096, 64
 ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 5_000, 8 << 20
+#: Powers of an odd number and of its inverse, modulo 2 ** 64.
+_POWERS, _INVERSE = (np.multiply.accumulate(np.array([1] + [x] * (LINE_WORDS * (LONGEST + 1)), np.uint64)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 32 + b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -47,13 +51,41 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
 
 
+def _line(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the words with spaces between them, and where each word starts and ends."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    return data, np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash for every word (none has a space), from the word alone. It is a polynomial in the word's bytes, made from sums
+    over the whole line; words of more than LONGEST bytes are replaced by their XXH64."""
+    out = np.zeros(len(words), np.uint64)
+    for at in range(0, len(words), LINE_WORDS):
+        data, starts, ends = _line(words[at : at + LINE_WORDS])
+        if (ends - starts).max() > LONGEST:
+            data, starts, ends = _line([w if len(w) <= LONGEST else xxhash.xxh64_hexdigest(w, SEED).encode() for w in words[at : at + LINE_WORDS]])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=sums[1:])
+        out[at : at + LINE_WORDS] = (sums[ends] - sums[starts]) * _INVERSE[starts]
+    return mixed(out)
+
+
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
+    return int(word_hashes([word])[0])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Every bit of the numbers spread over all bits."""
+    h = h ^ h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
 
 
-def shingles(words: list[bytes], width: int) -> np.ndarray:
+def shingles(words: list[bytes], width: int, hashes: np.ndarray | None = None) -> np.ndarray:
     """A hash for every run of width words (of them all if there are fewer), from the words' hashes."""
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = word_hashes(words) if hashes is None else hashes
     width = min(width, len(h))
     if not width:
         return h
@@ -62,9 +94,7 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
         out = np.zeros(n, np.uint64)
         for k in range(width):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ out >> np.uint64(29)
+        return mixed(out)
 
 
 def simhashes(hashes: np.ndarray, count: int) -> np.ndarray:

@@ -48,9 +48,10 @@ FLUSH_TERMS, TERMS_PER_BLOCK = 300_000, 500_000
 
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# Runs of digits are taken from their start and whole: that is where the leftmost match begins and how far it goes.
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+# Runs of digits are taken from their start and whole: that is where the leftmost match begins and how far it goes. That no
+# digit lies before is looked up after the first one, as patterns that begin with a set of characters skip all others fast.
+_IP = re.compile(r"([0-9](?<![0-9][0-9])[0-9]*+)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _WORD_EDGE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 32 + b"abcdefghijklmnopqrstuvwxyz")

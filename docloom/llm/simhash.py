@@ -35,6 +35,11 @@ SEED = 42
 RADIUS, BLOCKS, HOT, FEW_BITS = 4, 7, 4096, 12
 
 
+#: Places of a hash's eight bytes in a table of counts by value, and the bits of each value.
+_LANES = np.arange(8) << 8
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -56,10 +61,10 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit i is set if it is in over half the hashes; unsigned."""
-    total = np.zeros(64, np.int64)
+    total = np.zeros(64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8", copy=False)
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        lanes = hashes[at : at + (1 << 16)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _LANES
+        total += (np.bincount(lanes.ravel(), minlength=8 << 8).reshape(8, 256) @ _BITS).ravel()
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 

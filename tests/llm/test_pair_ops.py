@@ -329,6 +329,19 @@ def test_pipeline_decides_similarities_around_the_threshold(spark, tmp_path):
     assert got == want
 
 
+def test_word_hashes_are_of_the_word_alone():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 63, 64, 65, 200]))) for _ in range(10_000)]
+    hashes = decontaminate.word_hashes(words).tolist()
+    assert len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
+    for k in (0, 1, 4095, 4096, 9999):
+        assert decontaminate.word_hash(words[k]) == hashes[k]
+    assert decontaminate.word_hashes([]).tolist() == []
+    assert near_duplicates.shingle_set([]).tolist() == [] and near_duplicates.outline(" ")[2] == [0]
+    few = near_duplicates.shingle_set(words[:3])
+    assert len(few) == 1 and near_duplicates.shingle_set(words[:3] * 9).tolist() == sorted(set(decontaminate.shingles(words[:3] * 9, 5).tolist()))
+
+
 def test_pairs_that_share_only_a_hot_piece_meet(spark):
     rng = random.Random(10)
     pieces = lambda t: set(near_duplicates.outline(t)[2])
